@@ -33,6 +33,10 @@ from digestry.functions import urls as U
 
 
 def content_empty(content: str = "content") -> Column:
+    """True when the row has no content.  A boolean column named ``_empty``
+    (narrow rows whose text was dropped after scoring) is used as is."""
+    if content == "_empty":
+        return F.col("_empty")
     return F.coalesce(F.col(content), F.lit("")) == ""
 
 
@@ -52,21 +56,21 @@ def with_url_key(df: DataFrame, strict: bool = True, keep_query: bool = False, u
     return df.withColumn("url_key", U.canonical_url(F.col(url), strict=strict, keep_query=keep_query, fallback_key=F.col(ord_col)))
 
 
-def dedup_url(df: DataFrame, group_cols=(), strict: bool = True, keep_query: bool = False) -> DataFrame:
+def dedup_url(df: DataFrame, group_cols=(), strict: bool = True, keep_query: bool = False, content: str = "content") -> DataFrame:
     """One row per (group, canonical url); content preferred; first position kept."""
     keyed = with_url_key(df, strict, keep_query)
-    return survivor_by_key(keyed, [*group_cols, "url_key"]).drop("url_key")
+    return survivor_by_key(keyed, [*group_cols, "url_key"], content=content).drop("url_key")
 
 
-def dedup_fingerprint(df: DataFrame, group_cols=(), title: str = "title") -> DataFrame:
+def dedup_fingerprint(df: DataFrame, group_cols=(), title: str = "title", content: str = "content") -> DataFrame:
     """One row per (group, fingerprint of the title), ordered by D1's positions."""
     keyed = df.withColumn("fp_key", T.fingerprint(title))
-    return survivor_by_key(keyed, [*group_cols, "fp_key"]).drop("fp_key")
+    return survivor_by_key(keyed, [*group_cols, "fp_key"], content=content).drop("fp_key")
 
 
-def exact_dedup(df: DataFrame, group_cols=(), strict: bool = True, keep_query: bool = False) -> DataFrame:
+def exact_dedup(df: DataFrame, group_cols=(), strict: bool = True, keep_query: bool = False, content: str = "content") -> DataFrame:
     """D1 then D2 (the reference's removeExactDuplicates)."""
-    return dedup_fingerprint(dedup_url(df, group_cols, strict, keep_query), group_cols)
+    return dedup_fingerprint(dedup_url(df, group_cols, strict, keep_query, content), group_cols, content=content)
 
 
 # --------------------------------------------------------------------------- D3a
@@ -266,9 +270,9 @@ def fuzzy_dedup_scale(
     return out.drop("_leader")
 
 
-def composite_dedup(df: DataFrame, group_cols=(), threshold: float = 0.7, strict: bool = True) -> DataFrame:
+def composite_dedup(df: DataFrame, group_cols=(), threshold: float = 0.7, strict: bool = True, content: str = "content") -> DataFrame:
     """D1 -> D2 -> D3 (scale mode, no bound on group size)."""
-    return fuzzy_dedup_scale(exact_dedup(df, group_cols, strict), group_cols, threshold)
+    return fuzzy_dedup_scale(exact_dedup(df, group_cols, strict, content=content), group_cols, threshold, content=content)
 
 
 def keyed_last_wins(earlier: DataFrame, later: DataFrame, key: str = "id", pos_col: str = "pos") -> DataFrame:

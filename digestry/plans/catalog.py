@@ -67,3 +67,37 @@ def q1_top_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     passed = rank.signal_threshold(scored, THRESHOLD, "layer1")
     top = rank.top_k(passed, TOP_N, [F.col("layer1").desc(), F.col("ord")], ["lang"], "rank")
     return top.select("lang", "rank", "id", "title", "url", "ord", "layer1")
+
+
+# ----------------------------------------------------------------------------------------
+# Q0: the flagship digest run, one digest per language.
+
+RUN_AS_OF = "2024-01-20 18:00:00"
+
+
+def q0_params():
+    from digestry.params import DigestParams
+
+    return DigestParams(group_cols=("lang",))
+
+
+def q0_run(spark: SparkSession, sf_dir: str):
+    from digestry.plans.signal_digest import run_digest
+
+    return run_digest(
+        TD.articles(spark, sf_dir), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, q0_params(), RUN_AS_OF,
+        model_scores=TD.model_scores(spark, sf_dir), analyses=TD.analyses(spark, sf_dir),
+        stored=TD.stored_articles(spark, sf_dir),
+    )
+
+
+@register("q0_signal_digest")
+def q0_signal_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q0: digest items per language (flattened) with the digest metadata."""
+    docs = q0_run(spark, sf_dir).digests
+    return docs.select("lang", F.posexplode("items").alias("_p", "_i"), "metadata").select(
+        "lang", (F.col("_p") + 1).cast("int").alias("pos"), "_i.*",
+        F.col("metadata.total_new_items").alias("total_new_items"),
+        F.col("metadata.total_selected").alias("total_selected"),
+        F.col("metadata.date").alias("digest_date"),
+    )

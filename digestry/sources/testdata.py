@@ -104,3 +104,47 @@ def health_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(err, F.concat(F.lit("fetch failed: "), F.col("props"))).alias("error_message"),
         F.col("ts").cast("timestamp").alias("last_check"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Fixed values of the stored state of a previous run (derived from `labels`).
+PREVIOUS_DIGEST_DATE = "2024-01-20"
+STORED_SCORE_CLEAN = 70  # score of a stored, non-toxic labelled document
+STORED_SCORE_TOXIC = 30
+# ---------------------------------------------------------------------------
+
+
+def stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article table of a previous run: every labelled document.
+
+    published_at is unknown (null), so the high-water mark falls back to the
+    digest date; documents of quality 1 were already delivered.
+    """
+    arts = articles(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality", "toxic")
+    j = arts.join(lab, "id")
+    return j.select(
+        "id", "title", "url", "source",
+        F.nullif(F.col("content"), F.lit("")).alias("content"),
+        F.concat(F.lit("quality="), F.col("quality").cast("string"), F.lit(", toxic="), F.col("toxic").cast("string")).alias("summary"),
+        text.heuristic_category(F.col("title")).alias("category"),
+        F.lit(None).cast("string").alias("published_at"),
+        F.when(F.col("toxic") == 0, F.lit(STORED_SCORE_CLEAN)).otherwise(F.lit(STORED_SCORE_TOXIC)).cast("bigint").alias("score"),
+        F.lit(PREVIOUS_DIGEST_DATE).alias("digest_date"),
+        F.col("quality").cast("int").alias("delivered"),
+        "lang",
+    )
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precomputed model analyses (id, summary, category) for labelled documents.
+
+    Toxic documents get an empty category (falsy -> Uncategorized in J4);
+    unlabelled documents have no analysis (fallback: S17).
+    """
+    lab = table(spark, sf_dir, "labels")
+    return lab.select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.concat(F.lit("quality="), F.col("quality").cast("string"), F.lit(", toxic="), F.col("toxic").cast("string")).alias("summary"),
+        F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.lit("Research")).alias("category"),
+    )
