@@ -101,3 +101,7 @@ def q0_signal_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("metadata.total_selected").alias("total_selected"),
         F.col("metadata.date").alias("digest_date"),
     )
+
+
+# the per-operator query modules register themselves on import
+from digestry.plans import catalog_text  # noqa: E402,F401

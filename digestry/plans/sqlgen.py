@@ -28,12 +28,12 @@ def norm_title(t: str) -> str:
 def fingerprint(t: str) -> str:
     s = f"translate(lower(trim(coalesce({t}, ''))), {q(T.ACCENTED)}, {q(T.FOLDED)})"
     s = f"regexp_replace({s}, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')"
-    return f"array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array({s}, '\\s+'), x -> x <> ''))), ' ')"
+    return f"array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array({s}, '\\s+'), lambda x: x <> ''))), ' ')"
 
 
 def bigrams(n: str) -> str:
     return (f"(CASE WHEN length({n}) < 2 THEN CAST([] AS VARCHAR[]) ELSE "
-            f"list_distinct(list_transform(range(1, length({n})), i -> substr({n}, i, 2))) END)")
+            f"list_distinct(list_transform(range(1, length({n})), lambda i: substr({n}, i, 2))) END)")
 
 
 def dice(na: str, nb: str, ga: str, gb: str) -> str:
@@ -59,7 +59,7 @@ def keyword_matches(keywords, title="title", content="content") -> str:
     items = ", ".join(
         f"CASE WHEN contains({tl}, {q(k.lower())}) OR contains({cl}, {q(k.lower())}) THEN {q(k)} END" for k in keywords
     )
-    return f"list_filter([{items}], x -> x IS NOT NULL)"
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
 
 
 def heuristic_category(title: str = "title") -> str:
