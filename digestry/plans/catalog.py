@@ -17,6 +17,7 @@ from digestry.plans import sqlgen as Q
 from digestry.sources import testdata as TD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES_RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
@@ -29,6 +30,7 @@ def register(name: str, sql: str | None = None):
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        QUERIES_RAW.setdefault(name, fn)
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -105,3 +107,4 @@ def q0_signal_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # the per-operator query modules register themselves on import
 from digestry.plans import catalog_text  # noqa: E402,F401
+from digestry.plans import catalog_dedup  # noqa: E402,F401

@@ -32,10 +32,14 @@ from digestry.params import DigestParams
 
 @dataclass
 class DigestRun:
-    new_items: DataFrame  # M6 input: after F2
-    candidates: DataFrame  # after T2, with layer2/final_score
-    selected: DataFrame  # after F3/T3 + J4 (enriched)
-    stored: DataFrame  # K1 result (new table version)
+    new_items: DataFrame  # after F2 (M6 counts these)
+    unique: DataFrame  # after D1 -> D2, narrow rows with layer-1 scores
+    pruned: DataFrame  # after T1 (l1_rank)
+    fuzzy: DataFrame  # after D3a (rank = slot)
+    candidates: DataFrame  # after F5/T2 (cov_rank)
+    blended: DataFrame  # after F4/J2/S5 (layer2, final_score)
+    selected: DataFrame  # after F3/T3 + J4 (sel_rank, summary, category, score)
+    stored: DataFrame  # K1 result (the next table version)
     delivered_items: DataFrame  # U2 result, with pos
     digests: DataFrame  # M7 result
 
@@ -117,4 +121,4 @@ def run_digest(
     w = Window.partitionBy(*g).orderBy("_p") if g else Window.orderBy("_p")
     items = keyed.select(*g, "id", "_v.*", "_p").withColumn("pos", F.row_number().over(w)).drop("_p")
     docs = digest.assemble(items, counts, dd_text, g, "pos")
-    return DigestRun(new, blended, enriched, stored_next, items, docs)
+    return DigestRun(new, uniq, pruned, fuzzy, cands, blended, enriched, stored_next, items, docs)

@@ -128,3 +128,45 @@ def survivor_cte(name: str, src: str, keys: list[str], key_expr: str, key_name:
          min(ord) OVER (PARTITION BY {part}) AS _first
   FROM {name}_k
 ), {name} AS (SELECT * EXCLUDE (_rn, _first, ord, {key_name}), _first AS ord FROM {name}_r WHERE _rn = 1)"""
+
+
+def greedy_fold_ctes(name: str, src: str, group: str, order: str, threshold: float, replace: bool) -> str:
+    """D3 as a recursive CTE: the greedy leader loop, one item per step per group.
+
+    ``src`` must provide columns ``{group}``, ``ord``, ``norm``, ``has``.
+    Produces ``{name}`` with one row per surviving slot: group, ``slot``
+    (1-based), the slot holder's ``ord``; and ``{name}_members`` mapping every
+    item's ``ord`` to its slot's leader ``ord`` (without replacement only).
+    """
+    t = dbl(threshold)
+    x_struct = "STRUCT(ord BIGINT, norm VARCHAR, grams VARCHAR[], has BOOLEAN)"
+    sim = f"list_transform(f.acc, lambda l: {dice('l.norm', 'i.x.norm', 'l.grams', 'i.x.grams')} >= {t})"
+    if replace:
+        step = ("CASE WHEN s.idx = 0 THEN list_append(s.acc, s.x) "
+                "WHEN NOT s.acc[s.idx].has AND s.x.has THEN list_transform(s.acc, lambda l, k: CASE WHEN k = s.idx THEN s.x ELSE l END) "
+                "ELSE s.acc END")
+    else:
+        step = "CASE WHEN s.idx = 0 THEN list_append(s.acc, s.x) ELSE s.acc END"
+    member = "CASE WHEN s.idx = 0 THEN s.x.ord ELSE s.acc[s.idx].ord END"
+    return f"""{name}_items AS (
+  SELECT {group}, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS step,
+         {{'ord': ord, 'norm': norm, 'grams': {bigrams('norm')}, 'has': has}}::{x_struct} AS x
+  FROM {src}
+), {name}_fold AS (
+  SELECT {group}, CAST(0 AS BIGINT) AS step, CAST([] AS {x_struct}[]) AS acc, CAST(NULL AS BIGINT) AS item_ord, CAST(NULL AS BIGINT) AS leader_ord
+  FROM (SELECT DISTINCT {group} FROM {name}_items)
+  UNION ALL
+  SELECT s.{group}, s.step, {step}, s.x.ord, {member}
+  FROM (
+    SELECT f.{group}, i.step, f.acc, i.x, coalesce(list_position({sim}, true), 0) AS idx
+    FROM {name}_fold f JOIN {name}_items i ON i.{group} = f.{group} AND i.step = f.step + 1
+  ) s
+), {name}_last AS (
+  SELECT f.{group}, f.acc FROM {name}_fold f
+  JOIN (SELECT {group}, max(step) AS ms FROM {name}_fold GROUP BY {group}) m ON f.{group} = m.{group} AND f.step = m.ms
+), {name} AS (
+  SELECT {group}, CAST(slot AS BIGINT) AS slot, r.ord AS ord FROM (
+    SELECT {group}, unnest(acc) AS r, unnest(range(1, len(acc) + 1)) AS slot FROM {name}_last)
+), {name}_members AS (
+  SELECT {group}, item_ord, leader_ord FROM {name}_fold WHERE item_ord IS NOT NULL
+)"""

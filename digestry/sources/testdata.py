@@ -82,7 +82,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_table(spark: SparkSession, weights: dict[str, int]) -> DataFrame:
     """A dictionary as a small dimension DataFrame (keyword, weight)."""
-    return spark.createDataFrame(sorted(weights.items()), "keyword string, weight double")
+    return spark.createDataFrame([(k, float(v)) for k, v in sorted(weights.items())], "keyword string, weight double")
 
 
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
