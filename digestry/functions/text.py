@@ -34,6 +34,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal (backslash escapes on, the default)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def falsy_or(a, b) -> Column:
     """``a || b`` for strings: null and '' fall through to ``b``."""
     return F.coalesce(F.nullif(_c(a), F.lit("")), _c(b))
@@ -91,8 +96,22 @@ def collapse_ws(col) -> Column:
     return F.trim(F.regexp_replace(_c(col), r"\s+", " "))
 
 
+def sql_double(x: float) -> str:
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
 def keyword_matches(keywords: list[str], title="title", content="content") -> Column:
-    """Keywords found in lower(title) or in lower(content), tested separately."""
+    """Keywords found in lower(title) or in lower(content), tested separately.
+
+    Built as one SQL expression (one call to the JVM, however long the list)."""
+    if isinstance(title, str) and isinstance(content, str):
+        if not keywords:
+            return F.expr("CAST(array() AS ARRAY<STRING>)")
+        tl, cl = f"lower(coalesce(`{title}`, ''))", f"lower(coalesce(`{content}`, ''))"
+        items = ", ".join(
+            f"CASE WHEN contains({tl}, {sql_str(k.lower())}) OR contains({cl}, {sql_str(k.lower())}) THEN {sql_str(k)} END"
+            for k in keywords)
+        return F.expr(f"array_compact(array({items}))")
     tl = F.lower(F.coalesce(_c(title), F.lit("")))
     cl = F.lower(F.coalesce(_c(content), F.lit("")))
     hits = [F.when(F.contains(tl, F.lit(k.lower())) | F.contains(cl, F.lit(k.lower())), F.lit(k)) for k in keywords]

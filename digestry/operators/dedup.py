@@ -40,15 +40,29 @@ def content_empty(content: str = "content") -> Column:
     return F.coalesce(F.col(content), F.lit("")) == ""
 
 
-def survivor_by_key(df: DataFrame, key_cols: list[str], ord_col: str = "ord", content: str = "content") -> DataFrame:
+def survivor_by_key(df: DataFrame, key_cols: list[str], ord_col: str = "ord", content: str = "content",
+                    size_col: str | None = None) -> DataFrame:
     """M8: per key, the first row with content, else the first row; its
-    ``ord`` becomes the cluster's first position."""
+    ``ord`` becomes the cluster's first position.  ``size_col`` (optional,
+    an existing column) is summed over the cluster, so input row counts
+    survive the dedup without a second pass over the input."""
     cols = df.columns
-    agg = df.groupBy(*key_cols).agg(
+    aggs = [
         F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(content_empty(content), F.col(ord_col))).alias("_s"),
         F.min(ord_col).alias("_first"),
-    )
-    return agg.select(*[F.col("_s")[c].alias(c) if c != ord_col else F.col("_first").alias(ord_col) for c in cols])
+    ]
+    if size_col:
+        aggs.append(F.sum(size_col).alias("_size"))
+    agg = df.groupBy(*key_cols).agg(*aggs)
+
+    def pick(c):
+        if c == ord_col:
+            return F.col("_first").alias(ord_col)
+        if c == size_col:
+            return F.col("_size").alias(size_col)
+        return F.col("_s")[c].alias(c)
+
+    return agg.select(*[pick(c) for c in cols])
 
 
 def with_url_key(df: DataFrame, strict: bool = True, keep_query: bool = False, url: str = "url", ord_col: str = "ord") -> DataFrame:
@@ -56,21 +70,25 @@ def with_url_key(df: DataFrame, strict: bool = True, keep_query: bool = False, u
     return df.withColumn("url_key", U.canonical_url(F.col(url), strict=strict, keep_query=keep_query, fallback_key=F.col(ord_col)))
 
 
-def dedup_url(df: DataFrame, group_cols=(), strict: bool = True, keep_query: bool = False, content: str = "content") -> DataFrame:
+def dedup_url(df: DataFrame, group_cols=(), strict: bool = True, keep_query: bool = False, content: str = "content",
+              size_col: str | None = None) -> DataFrame:
     """One row per (group, canonical url); content preferred; first position kept."""
     keyed = with_url_key(df, strict, keep_query)
-    return survivor_by_key(keyed, [*group_cols, "url_key"], content=content).drop("url_key")
+    return survivor_by_key(keyed, [*group_cols, "url_key"], content=content, size_col=size_col).drop("url_key")
 
 
-def dedup_fingerprint(df: DataFrame, group_cols=(), title: str = "title", content: str = "content") -> DataFrame:
+def dedup_fingerprint(df: DataFrame, group_cols=(), title: str = "title", content: str = "content",
+                      size_col: str | None = None) -> DataFrame:
     """One row per (group, fingerprint of the title), ordered by D1's positions."""
     keyed = df.withColumn("fp_key", T.fingerprint(title))
-    return survivor_by_key(keyed, [*group_cols, "fp_key"], content=content).drop("fp_key")
+    return survivor_by_key(keyed, [*group_cols, "fp_key"], content=content, size_col=size_col).drop("fp_key")
 
 
-def exact_dedup(df: DataFrame, group_cols=(), strict: bool = True, keep_query: bool = False, content: str = "content") -> DataFrame:
+def exact_dedup(df: DataFrame, group_cols=(), strict: bool = True, keep_query: bool = False, content: str = "content",
+                size_col: str | None = None) -> DataFrame:
     """D1 then D2 (the reference's removeExactDuplicates)."""
-    return dedup_fingerprint(dedup_url(df, group_cols, strict, keep_query, content), group_cols, content=content)
+    d1 = dedup_url(df, group_cols, strict, keep_query, content, size_col)
+    return dedup_fingerprint(d1, group_cols, content=content, size_col=size_col)
 
 
 # --------------------------------------------------------------------------- D3a

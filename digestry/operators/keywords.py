@@ -52,14 +52,13 @@ def _as_items(dictionary, limit: int) -> list[tuple[str, float]] | None:
     return [(r["keyword"], float(r["weight"])) for r in dictionary.select("keyword", "weight").collect()]
 
 
-def inline_score(text_lower: Column, items: list[tuple[str, float]]) -> Column:
-    """Sum of the weights of the keywords contained in ``text_lower`` (each once)."""
-    total = F.lit(0.0).cast("double")
-    for kw, w in items:
-        total = total + F.when(F.contains(text_lower, F.lit(kw.lower())), F.lit(float(w)).cast("double")).otherwise(
-            F.lit(0.0).cast("double")
-        )
-    return total
+def inline_score(text_lower: str, items: list[tuple[str, float]]) -> Column:
+    """Sum of the weights of the keywords contained in the column named
+    ``text_lower`` (each keyword once).  One SQL expression, parsed in one
+    call, however many keywords there are."""
+    terms = [f"CASE WHEN contains(`{text_lower}`, {T.sql_str(kw.lower())}) THEN {T.sql_double(w)} ELSE {T.sql_double(0)} END"
+             for kw, w in items]
+    return F.expr("(" + " + ".join([T.sql_double(0)] + terms) + ")")
 
 
 def layer1_scores(
@@ -69,6 +68,7 @@ def layer1_scores(
     title: str = "title",
     content: str = "content",
     inline_limit: int = 512,
+    keep_text: bool = False,
 ) -> DataFrame:
     """M2 + S4: adds ``positive``, ``negative`` and ``layer1`` columns.
 
@@ -81,14 +81,15 @@ def layer1_scores(
     pos_items = _as_items(positive, inline_limit)
     neg_items = _as_items(negative, inline_limit)
     if pos_items is not None:
-        out = out.withColumn("positive", inline_score(F.col("_score_text"), pos_items))
+        out = out.withColumn("positive", inline_score("_score_text", pos_items))
     else:
         out = score_large_dictionary(out, positive, "_score_text", "positive")
     if neg_items is not None:
-        out = out.withColumn("negative", inline_score(F.col("_score_text"), neg_items))
+        out = out.withColumn("negative", inline_score("_score_text", neg_items))
     else:
         out = score_large_dictionary(out, negative, "_score_text", "negative")
-    return out.drop("_score_text").withColumn("layer1", S.layer1("positive", "negative"))
+    out = out.withColumn("layer1", S.layer1("positive", "negative"))
+    return out if keep_text else out.drop("_score_text")
 
 
 def score_large_dictionary(df: DataFrame, dictionary: DataFrame, text_col: str, out_col: str) -> DataFrame:

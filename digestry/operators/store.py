@@ -31,7 +31,7 @@ ARTICLE_SCHEMA = StructType([
 ARTICLE_COLUMNS = [f.name for f in ARTICLE_SCHEMA.fields]
 UPDATABLE = ("title", "summary", "category", "score")
 # Additive schema evolution: column -> default for rows written before it existed.
-ARTICLE_DEFAULTS = {"delivered": F.lit(0)}
+ARTICLE_DEFAULTS = {"delivered": 0}
 
 
 def to_stored(df: DataFrame, digest_date: str | None = None, keep=()) -> DataFrame:
@@ -180,7 +180,7 @@ def pending(stored: DataFrame, threshold: float, as_of, hours: int = 24, strict:
 def with_defaults(df: DataFrame, defaults: dict = ARTICLE_DEFAULTS) -> DataFrame:
     """K7: columns added over time appear with their defaults on old rows."""
     for c, d in defaults.items():
-        df = df.withColumn(c, F.coalesce(F.col(c), d)) if c in df.columns else df.withColumn(c, d)
+        df = df.withColumn(c, F.coalesce(F.col(c), F.lit(d))) if c in df.columns else df.withColumn(c, F.lit(d))
     return df
 
 

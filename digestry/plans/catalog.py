@@ -83,13 +83,13 @@ def q0_params():
     return DigestParams(group_cols=("lang",))
 
 
-def q0_run(spark: SparkSession, sf_dir: str):
+def q0_run(spark: SparkSession, sf_dir: str, finish: bool = True):
     from digestry.plans.signal_digest import run_digest
 
     return run_digest(
         TD.articles(spark, sf_dir), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, q0_params(), RUN_AS_OF,
         model_scores=TD.model_scores(spark, sf_dir), analyses=TD.analyses(spark, sf_dir),
-        stored=TD.stored_articles(spark, sf_dir),
+        stored=TD.stored_articles(spark, sf_dir), finish=finish,
     )
 
 

@@ -65,10 +65,9 @@ def u3(spark: SparkSession, sf: str) -> DataFrame:
     base = TD.keyword_table(spark, TD.SIGNAL_KEYWORDS)
     custom = TD.keyword_table(spark, TD.CUSTOM_KEYWORDS)
     merged = keywords.overlay(base, custom)
-    arts = TD.articles(spark, sf)
-    txt = T.scoring_text()
+    arts = TD.articles(spark, sf).withColumn("_t", T.scoring_text())
     items = keywords._as_items(merged, 512)
-    return arts.select("id", keywords.inline_score(txt, items).alias("positive"))
+    return arts.select("id", keywords.inline_score("_t", items).alias("positive"))
 
 
 @register("j5_keyword_hits", f"""
@@ -85,8 +84,8 @@ def j5(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------------------------- Q0 chain pieces
 
 
-def _run(spark, sf):
-    return catalog.q0_run(spark, sf)
+def _run(spark, sf, finish=False):
+    return catalog.q0_run(spark, sf, finish)
 
 
 @register("m6_new_item_counts", f"WITH RECURSIVE {CHAIN} SELECT lang, total_new_items FROM counts")
@@ -140,7 +139,7 @@ def t3(spark: SparkSession, sf: str) -> DataFrame:
 SELECT id, title, url, source, md5(coalesce(content, '')) AS content_md5, summary, category, published_at, score, digest_date, delivered, lang
 FROM stored_next""")
 def k1(spark: SparkSession, sf: str) -> DataFrame:
-    s = _run(spark, sf).stored
+    s = _run(spark, sf, True).stored
     return s.select("id", "title", "url", "source", F.md5(F.coalesce("content", F.lit(""))).alias("content_md5"),
                     "summary", "category", "published_at", "score", "digest_date", "delivered", "lang")
 
@@ -148,7 +147,7 @@ def k1(spark: SparkSession, sf: str) -> DataFrame:
 @register("f6_u2_pending_union", f"""WITH RECURSIVE {CHAIN}
 SELECT lang, CAST(pos AS INTEGER) AS pos, id, title, score FROM items""")
 def f6(spark: SparkSession, sf: str) -> DataFrame:
-    return _run(spark, sf).delivered_items.select("lang", "pos", "id", "title", "score")
+    return _run(spark, sf, True).delivered_items.select("lang", "pos", "id", "title", "score")
 
 
 @register("q0_signal_digest", f"WITH RECURSIVE {CHAIN} SELECT * FROM digest_items")

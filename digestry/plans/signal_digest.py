@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from digestry.functions import text as T
 from digestry.operators import dedup, digest, keywords, model, rank, store
 from digestry.params import DigestParams
+from digestry.session import checkpoint_dir
 
 
 @dataclass
@@ -44,12 +45,26 @@ class DigestRun:
     digests: DataFrame  # M7 result
 
 
-def match_indices(keywords_: list[str], title: str = "title", content: str = "content"):
-    """S16 as indices into ``keywords_`` (small ints instead of strings on narrow rows)."""
-    tl = F.lower(F.coalesce(F.col(title), F.lit("")))
-    cl = F.lower(F.coalesce(F.col(content), F.lit("")))
-    hits = [F.when(F.contains(tl, F.lit(k.lower())) | F.contains(cl, F.lit(k.lower())), F.lit(i)) for i, k in enumerate(keywords_)]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
+def match_indices(keywords_: list[str], title: str = "title", content: str = "content", scoring_text: str | None = None):
+    """S16 as indices into ``keywords_`` (small ints instead of strings on narrow rows).
+
+    A keyword without a space is in title or content exactly when it is in
+    the scoring text (title + ' ' + content), so its test is the scoring
+    test itself, which Spark evaluates once per row.  Only keywords with a
+    space are tested on title and content separately.
+    """
+    if not keywords_:
+        return F.expr("CAST(array() AS ARRAY<INT>)")
+    tl, cl = f"lower(coalesce(`{title}`, ''))", f"lower(coalesce(`{content}`, ''))"
+    hits = []
+    for i, k in enumerate(keywords_):
+        kl = T.sql_str(k.lower())
+        if scoring_text is not None and " " not in k:
+            cond = f"contains(`{scoring_text}`, {kl})"
+        else:
+            cond = f"(contains({tl}, {kl}) OR contains({cl}, {kl}))"
+        hits.append(f"CASE WHEN {cond} THEN {i} END")
+    return F.expr(f"array_compact(array({', '.join(hits)}))")
 
 
 def run_digest(
@@ -61,23 +76,29 @@ def run_digest(
     model_scores: DataFrame | None = None,
     analyses: DataFrame | None = None,
     stored: DataFrame | None = None,
+    finish: bool = True,
 ) -> DigestRun:
+    """Q0.  With ``finish=False`` only the selection (up to J4) is planned:
+    no checkpoint, store or digest step."""
     g = list(params.group_cols)
     strict = params.strict_reference
     # the mark is one scalar of the stored table (or none)
     hwm = store.read_mark(stored, strict) if stored is not None else None
     new = store.incremental_filter(articles, hwm)
-    counts = digest.new_item_counts(new, g)
 
     # scan-side work: layer-1 score, coverage matches, content flag; then drop the text
     kw_list = keywords.dictionary_keywords(positive, params.inline_keyword_limit)
-    scored = keywords.layer1_scores(new, positive, negative, inline_limit=params.inline_keyword_limit)
+    scored = keywords.layer1_scores(new, positive, negative, inline_limit=params.inline_keyword_limit, keep_text=True)
     narrow = scored.select(
         *g, "id", "title", "url", "source", "published_at", "ord", "positive", "negative", "layer1",
-        match_indices(kw_list).alias("match_idx"),
+        match_indices(kw_list, scoring_text="_score_text").alias("match_idx"),
         dedup.content_empty("content").alias("_empty"),
+        F.lit(1).cast("bigint").alias("_n_raw"),
     )
-    uniq = dedup.exact_dedup(narrow, g, strict, params.keep_query_params, content="_empty")
+    uniq = dedup.exact_dedup(narrow, g, strict, params.keep_query_params, content="_empty", size_col="_n_raw")
+    # M6 from the cluster sizes: no second pass over the input
+    counts = uniq.groupBy(*g).agg(F.sum("_n_raw").alias("total_new_items"))
+    uniq = uniq.drop("_n_raw")
     pruned = rank.top_k(uniq, params.prune_k, [F.col("layer1").desc(), F.col("ord")], g, "l1_rank")
     fuzzy = dedup.fuzzy_dedup_greedy(pruned, g, params.fuzzy_threshold, [F.col("l1_rank")], content="_empty", rank_col="rank")
     kw_arr = F.array(*[F.lit(k) for k in kw_list]) if kw_list else F.array().cast("array<string>")
@@ -96,6 +117,12 @@ def run_digest(
     else:
         sel = model.fallback_analysis(sel)
     enriched = sel.withColumn("score", F.col("final_score"))
+    if not finish:
+        return DigestRun(new, uniq, pruned, fuzzy, cands, blended, enriched, None, None, None)
+    # the selection is at most max_items rows per group; materialise it once
+    # (reliable checkpoint in spark.checkpoint.dir) for the store and digest steps
+    checkpoint_dir(sel.sparkSession)
+    enriched = enriched.checkpoint()
 
     dd_text = dt.datetime.fromisoformat(as_of).date().isoformat()
     # K1: the content of the selected rows only, joined back by (id, ord)

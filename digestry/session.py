@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every job of this library assumes.  All of them are
 # session-level and may be set on a running session.
@@ -61,3 +61,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has cores.
+
+    A parquet file is split by row group; a file of one row group is read by
+    one task however large it is.  Text-heavy projections (keyword scoring)
+    after such a scan would run on one core, so the rows are spread first.
+    A scan that already has enough splits (the normal case at scale) is
+    returned unchanged: no shuffle is added there.
+    """
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < parallelism:
+        return df.repartition(parallelism)
+    return df

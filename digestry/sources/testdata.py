@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestry.functions import dates, text
+from digestry.session import spread
 
 # ---------------------------------------------------------------------------
 # Fixed values of the test binding.
@@ -60,7 +61,7 @@ def published_ts(doc_id: Column) -> Column:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> scraped-article rows (id, title, url, source, content,
     published_at, published_ts, ord, lang)."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     title = doc_title(F.col("text"))
     url = F.concat(
         F.lit("https://"), F.col("source"), F.lit(".example/"),
