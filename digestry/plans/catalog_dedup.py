@@ -153,3 +153,51 @@ def f6(spark: SparkSession, sf: str) -> DataFrame:
 @register("q0_signal_digest", f"WITH RECURSIVE {CHAIN} SELECT * FROM digest_items")
 def _q0(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.QUERIES_RAW["q0_signal_digest"](spark, sf)
+
+
+# --------------------------------------------------------------------------------- J6, D3b, D4
+
+_SRC = f"""src AS (SELECT lang, ord, id, content, {Q.norm_title('title')} AS norm, coalesce(content, '') <> '' AS has FROM {{t}})"""
+
+
+def _survivors_sql(fold: str, rows: str) -> str:
+    return f"""mem AS (SELECT m.lang, m.item_ord, m.leader_ord, r.id, r.content FROM {fold}_members m JOIN {rows} r ON r.lang = m.lang AND r.ord = m.item_ord),
+surv AS (SELECT *, row_number() OVER (PARTITION BY lang, leader_ord ORDER BY coalesce(content, '') = '', item_ord) AS rn FROM mem)
+SELECT lang, id, leader_ord AS ord FROM surv WHERE rn = 1"""
+
+
+@register("j6_similar_pairs", f"""
+WITH {A},
+{_SRC.format(t='articles')},
+reps AS (SELECT lang, norm, min(ord) AS rep FROM src GROUP BY lang, norm),
+rg AS (SELECT *, {Q.bigrams('norm')} AS grams FROM reps),
+pairs AS (
+  SELECT a.lang, a.rep AS a_ord, b.rep AS b_ord, a.norm AS a_norm, b.norm AS b_norm,
+         {Q.dice('a.norm', 'b.norm', 'a.grams', 'b.grams')} AS dice
+  FROM rg a JOIN rg b ON a.lang = b.lang AND a.rep < b.rep
+)
+SELECT * FROM pairs WHERE dice >= {Q.dbl(0.7)}""")
+def j6(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.similar_pairs(TD.articles(spark, sf), ["lang"], 0.7)
+
+
+@register("d3b_fuzzy_scale", f"""
+WITH RECURSIVE {A},
+{_SRC.format(t='articles')},
+{Q.greedy_fold_ctes('g', 'src', 'lang', 'ord', 0.7, False)},
+{_survivors_sql('g', 'articles')}""")
+def d3b(spark: SparkSession, sf: str) -> DataFrame:
+    out = dedup.fuzzy_dedup_scale(TD.articles(spark, sf), ["lang"], 0.7)
+    return out.select("lang", "id", "ord")
+
+
+@register("d4_composite_dedup", f"""
+WITH RECURSIVE {A},
+{Q.survivor_cte('d1', 'articles', ['lang'], Q.canonical_url('url'), 'url_key')},
+{Q.survivor_cte('d2', 'd1', ['lang'], Q.fingerprint('title'), 'fp_key')},
+{_SRC.format(t='d2')},
+{Q.greedy_fold_ctes('g', 'src', 'lang', 'ord', 0.7, False)},
+{_survivors_sql('g', 'd2')}""")
+def d4(spark: SparkSession, sf: str) -> DataFrame:
+    out = dedup.composite_dedup(TD.articles(spark, sf), ["lang"], 0.7)
+    return out.select("lang", "id", "ord")
