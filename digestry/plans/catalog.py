@@ -108,3 +108,4 @@ def q0_signal_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the per-operator query modules register themselves on import
 from digestry.plans import catalog_text  # noqa: E402,F401
 from digestry.plans import catalog_dedup  # noqa: E402,F401
+from digestry.plans import catalog_sources  # noqa: E402,F401

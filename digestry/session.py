@@ -76,3 +76,17 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < parallelism:
         return df.repartition(parallelism)
     return df
+
+
+def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast hint for a dimension table whose row count is checked first.
+
+    Above ``max_rows`` the table is returned without the hint, so the join
+    falls back to a shuffle join (and adaptive execution may still pick a
+    broadcast when runtime statistics prove the side small).
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        from pyspark.sql import functions as F
+
+        return F.broadcast(df)
+    return df

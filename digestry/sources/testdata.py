@@ -149,3 +149,146 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("quality="), F.col("quality").cast("string"), F.lit(", toxic="), F.col("toxic").cast("string")).alias("summary"),
         F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.lit("Research")).alias("category"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Fixed values of the payload binding: one registry source per (source, lang)
+# of `documents`, a payload format per language, at most PAGE_ITEMS items per
+# payload; `hn` from `benchmark`, `github_trending` from `conversations`,
+# one scrape source per row of `pages`.
+PAGE_ITEMS = 20
+LANG_FEEDS = {  # lang -> (id prefix, declared type)
+    "en": ("rss-", "rss"),
+    "fr": ("arxiv-", "rss"),
+    "de": ("reddit-", "json"),
+    "es": ("json-", "json"),
+}
+JSON_MAPPING = {"items": "results", "title": "heading", "url": "link", "content": "desc", "published_at": "date"}
+ATOM_NS = "http://www.w3.org/2005/Atom"
+RFC822_OUT = "EEE, dd MMM yyyy HH:mm:ss"
+# ---------------------------------------------------------------------------
+
+
+def _feed_id(lang: Column, source: Column) -> Column:
+    expr = None
+    for lg, (prefix, _) in LANG_FEEDS.items():
+        v = F.concat(F.lit(prefix), source)
+        expr = F.when(lang == lg, v) if expr is None else expr.when(lang == lg, v)
+    return expr
+
+
+def _feed_type(lang: Column) -> Column:
+    expr = None
+    for lg, (_, typ) in LANG_FEEDS.items():
+        expr = F.when(lang == lg, F.lit(typ)) if expr is None else expr.when(lang == lg, F.lit(typ))
+    return expr
+
+
+def feed_url(source: Column, lang: Column) -> Column:
+    return F.concat(F.lit("https://"), source, F.lit(".example/"), lang, F.lit("/feed"))
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source registry rows (REGISTRY_SCHEMA) derived from the test tables."""
+    d = table(spark, sf_dir, "documents").select("source", "lang").distinct()
+    mapping = F.create_map(*[x for k, v in JSON_MAPPING.items() for x in (F.lit(k), F.lit(v))])
+    feeds = d.select(
+        _feed_id(F.col("lang"), F.col("source")).alias("id"),
+        F.concat(F.col("source"), F.lit(" ("), F.col("lang"), F.lit(")")).alias("name"),
+        _feed_type(F.col("lang")).alias("type"),
+        feed_url(F.col("source"), F.col("lang")).alias("url"),
+        F.lit(1).alias("tier"), F.array(F.col("lang")).alias("tags"),
+        F.lit(None).cast("string").alias("selector"),
+        F.when(F.col("lang") == "es", mapping).alias("mapping"),
+    )
+    pages = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("name"),
+        F.lit("scrape").alias("type"), F.col("url"), F.lit(2).alias("tier"), F.array(F.lit("web")).alias("tags"),
+        F.lit("li").alias("selector"), F.create_map(F.lit("title"), F.lit("a"), F.lit("url"), F.lit("a")).alias("mapping"),
+    )
+    ev = table(spark, sf_dir, "events").select("event_type").distinct()
+    events_json = ev.select(
+        F.concat(F.lit("evt-"), F.col("event_type")).alias("id"), F.col("event_type").alias("name"), F.lit("json").alias("type"),
+        F.concat(F.lit("https://events.example/"), F.col("event_type")).alias("url"), F.lit(3).alias("tier"),
+        F.array(F.lit("events")).alias("tags"), F.lit(None).cast("string").alias("selector"),
+        F.create_map(F.lit("title"), F.lit("k")).alias("mapping"))
+    events_api = ev.select(
+        F.concat(F.lit("api-"), F.col("event_type")).alias("id"), F.col("event_type").alias("name"), F.lit("api").alias("type"),
+        F.concat(F.lit("https://events.example/api/"), F.col("event_type")).alias("url"), F.lit(3).alias("tier"),
+        F.array(F.lit("events")).alias("tags"), F.lit(None).cast("string").alias("selector"),
+        F.lit(None).cast("map<string,string>").alias("mapping"))
+    fixed = spark.createDataFrame(
+        [("hn", "News API", "api", "https://hn.example/api/search", 1, ["news"], None, None),
+         ("github_trending", "Trending", "scrape", "https://github.com/trending", 1, ["code"], None, None)],
+        "id string, name string, type string, url string, tier int, tags array<string>, selector string, mapping map<string,string>")
+    return feeds.unionByName(pages).unionByName(events_json).unionByName(events_api).unionByName(fixed)
+
+
+def xml_escape(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _pages_of(items: DataFrame, key_cols: list[str], pos_col: str, body: Column, head: Column, tail: Column,
+              sep: str = "") -> DataFrame:
+    """Group items into payload pages of at most PAGE_ITEMS consecutive rows."""
+    grouped = items.groupBy(*key_cols).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("_k"), body.alias("_b")))).alias("_items"))
+    return grouped.select(*key_cols, F.concat(head, F.array_join(F.transform("_items", lambda x: x["_b"]), sep), tail).alias("payload"))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw payload table (source_id, page, fetched_at, payload)."""
+    a = articles(spark, sf_dir)
+    a = a.withColumn("source_id", _feed_id(F.col("lang"), F.col("source"))).withColumn(
+        "page", F.floor(F.col("ord") / F.lit(PAGE_ITEMS)).cast("bigint"))
+    keys = ["source_id", "page"]
+    en = a.where(F.col("lang") == "en")
+    rss_item = F.concat(
+        F.lit("<item><guid>"), xml_escape(F.col("url")), F.lit("</guid><title>"), xml_escape(F.col("title")),
+        F.lit("</title><link>"), xml_escape(F.col("url")), F.lit("</link><description>"), xml_escape(F.col("content")),
+        F.lit("</description><pubDate>"), F.date_format(F.col("published_ts"), RFC822_OUT), F.lit(" GMT</pubDate></item>"))
+    rss = _pages_of(en, keys, "ord", rss_item, F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>feed</title>'),
+                    F.lit("</channel></rss>"))
+    fr = a.where(F.col("lang") == "fr")
+    entry = F.concat(
+        F.lit("<entry><id>"), xml_escape(F.col("url")), F.lit("</id><title>"), xml_escape(F.col("title")),
+        F.lit("</title><summary>"), xml_escape(F.col("content")), F.lit("</summary><published>"), F.col("published_at"),
+        F.lit("</published></entry>"))
+    atom = _pages_of(fr, keys, "ord", entry, F.lit(f'<?xml version="1.0"?><feed xmlns="{ATOM_NS}"><title>feed</title>'), F.lit("</feed>"))
+    de = a.where(F.col("lang") == "de")
+    child = F.to_json(F.struct(F.struct(
+        F.concat(F.lit("t3_"), F.col("id")).alias("name"), F.col("title"),
+        F.concat(F.lit("/r/"), F.col("source"), F.lit("/comments/"), F.col("id")).alias("url"),
+        F.col("content").alias("selftext"),
+        (F.unix_micros(F.col("published_ts")) / F.lit(1_000_000)).cast("double").alias("created_utc")).alias("data")))
+    reddit = _pages_of(de, keys, "ord", child, F.lit('{"kind":"Listing","data":{"children":['), F.lit("]}}"), ",")
+    es = a.where(F.col("lang") == "es")
+    res = F.to_json(F.struct(F.col("title").alias("heading"), F.col("url").alias("link"), F.col("content").alias("desc"),
+                             F.col("published_at").alias("date")))
+    mapped = _pages_of(es, keys, "ord", res, F.lit('{"results":['), F.lit("]}"), ",")
+    bench = table(spark, sf_dir, "benchmark").select(
+        F.lit("hn").alias("source_id"), F.floor(F.col("item_id") / F.lit(PAGE_ITEMS)).cast("bigint").alias("page"),
+        F.col("item_id"),
+        F.to_json(F.struct(
+            F.col("item_id").cast("string").alias("objectID"), doc_title(F.col("text")).alias("title"),
+            F.lit(None).cast("string").alias("url"), F.col("text").alias("story_text"),
+            dates.to_iso(published_ts(F.col("item_id"))).alias("created_at"))).alias("hit"))
+    hn = _pages_of(bench, keys, "item_id", F.col("hit"), F.lit('{"hits":['), F.lit("]}"), ",")
+    conv = table(spark, sf_dir, "conversations").select(
+        F.lit("github_trending").alias("source_id"), F.col("conv_id").cast("bigint").alias("page"), "turn",
+        F.concat(F.lit('<article class="Box-row"><h2 class="h3 lh-condensed"><a href="/'), F.col("role"), F.lit("/c"),
+                 F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit('">\n  '), F.col("role"),
+                 F.lit(" /\n  c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"),
+                 F.lit('\n</a></h2><p class="col-9">'), xml_escape(F.col("text")), F.lit("</p></article>")).alias("block"))
+    trending = _pages_of(conv, keys, "turn", F.col("block"), F.lit("<html><body>"), F.lit("</body></html>"))
+    pages = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("source_id"), F.lit(0).cast("bigint").alias("page"),
+        F.col("html").alias("payload"))
+    ev = table(spark, sf_dir, "events").select(
+        "event_type", "event_id", F.floor(F.col("event_id") / F.lit(PAGE_ITEMS)).cast("bigint").alias("page"), "props")
+    ev_pages = _pages_of(ev, ["event_type", "page"], "event_id", F.col("props"), F.lit("["), F.lit("]"), ",")
+    evt = ev_pages.select(F.concat(F.lit("evt-"), F.col("event_type")).alias("source_id"), "page", "payload")
+    api = ev_pages.select(F.concat(F.lit("api-"), F.col("event_type")).alias("source_id"), "page", "payload")
+    out = (rss.unionByName(atom).unionByName(reddit).unionByName(mapped).unionByName(hn).unionByName(trending)
+           .unionByName(pages).unionByName(evt).unionByName(api))
+    return out.withColumn("fetched_at", F.to_timestamp(F.lit(AS_OF)))
