@@ -109,3 +109,4 @@ def q0_signal_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 from digestry.plans import catalog_text  # noqa: E402,F401
 from digestry.plans import catalog_dedup  # noqa: E402,F401
 from digestry.plans import catalog_sources  # noqa: E402,F401
+from digestry.plans import catalog_audit  # noqa: E402,F401

@@ -115,12 +115,12 @@ def a02(spark: SparkSession, sf: str) -> DataFrame:
 
 # --------------------------------------------------------------------------------- A3-A7
 
-_A3 = f"""WITH {A},
-x AS ({_paged('articles', 'rss-', "lang = 'en'")})
-SELECT {ITEM_SQL_COLS} FROM (
+RSS_ITEMS = f"""rss_x AS ({_paged('articles', 'rss-', "lang = 'en'")}),
+rss_items AS (
   SELECT src AS source, page, item_pos, url AS id, coalesce(nullif({_trimjs('title')}, ''), 'No Title') AS title, url,
          coalesce(nullif({_trimjs(_unescape(_strip(_trimjs('content'))))}, ''), {_trimjs('content')}) AS content, published_at
-  FROM x)"""
+  FROM rss_x)"""
+_A3 = f"WITH {A}, {RSS_ITEMS} SELECT {ITEM_SQL_COLS} FROM rss_items"
 
 
 @register("a03_rss_extract", _A3)
@@ -128,23 +128,27 @@ def a03(spark: SparkSession, sf: str) -> DataFrame:
     return _item_out(_run_parser(spark, sf, "rss", P.parse_rss))
 
 
-@register("a04_atom_extract", f"""WITH {A},
-x AS ({_paged('articles', 'arxiv-', "lang = 'fr'")})
-SELECT {ITEM_SQL_COLS} FROM (
+ATOM_ITEMS = f"""atom_x AS ({_paged('articles', 'arxiv-', "lang = 'fr'")}),
+atom_items AS (
   SELECT src AS source, page, item_pos, url AS id, {Q.collapse_ws('title')} AS title, url, {Q.collapse_ws('content')} AS content,
-         published_at FROM x)""")
+         published_at FROM atom_x)"""
+
+
+@register("a04_atom_extract", f"WITH {A}, {ATOM_ITEMS} SELECT {ITEM_SQL_COLS} FROM atom_items")
 def a04(spark: SparkSession, sf: str) -> DataFrame:
     return _item_out(_run_parser(spark, sf, "arxiv", P.parse_atom))
 
 
-@register("a05_news_api_extract", f"""
-SELECT {ITEM_SQL_COLS} FROM (
+HN_ITEMS = f"""hn_items AS (
   SELECT 'hn' AS source, floor(item_id / {PI}) AS page,
          row_number() OVER (PARTITION BY floor(item_id / {PI}) ORDER BY item_id) - 1 AS item_pos,
          CAST(item_id AS VARCHAR) AS id, substr(split_part(text, '.', 1), 1, 80) AS title,
          '{P.NEWS_API_ITEM_URL}' || CAST(item_id AS VARCHAR) AS url, coalesce(nullif(text, ''), '') AS content,
          strftime(TIMESTAMP '{TD.EPOCH_START}' + to_hours(CAST(item_id AS INTEGER)), '%Y-%m-%dT%H:%M:%S.%gZ') AS published_at
-  FROM benchmark)""")
+  FROM benchmark)"""
+
+
+@register("a05_news_api_extract", f"WITH {HN_ITEMS} SELECT {ITEM_SQL_COLS} FROM hn_items")
 def a05(spark: SparkSession, sf: str) -> DataFrame:
     return _item_out(_run_parser(spark, sf, "api", P.parse_news_api))
 
@@ -152,10 +156,9 @@ def a05(spark: SparkSession, sf: str) -> DataFrame:
 _NOW_ISO = f"strftime(TIMESTAMP '{TD.AS_OF}', '%Y-%m-%dT%H:%M:%S.%gZ')"
 
 
-@register("a06_a07_json_extract", f"""WITH {A},
-es AS ({_paged('articles', 'json-', "lang = 'es'")}),
-de AS ({_paged('articles', 'reddit-', "lang = 'de'")})
-SELECT {ITEM_SQL_COLS} FROM (
+JSON_ITEMS = f"""es AS ({_paged('articles', 'json-', "lang = 'es'")}),
+de AS ({_paged('articles', 'reddit-', "lang = 'de'")}),
+json_items AS (
   SELECT src AS source, page, item_pos, 'json-' || src || '-' || CAST(item_pos AS VARCHAR) AS id,
          coalesce(nullif(title, ''), 'No Title') AS title,
          coalesce(nullif(url, ''), 'https://' || source || '.example/es/feed') AS url,
@@ -171,7 +174,10 @@ SELECT {ITEM_SQL_COLS} FROM (
          'json-evt-' || event_type || '-' || CAST(row_number() OVER (PARTITION BY event_type, floor(event_id / {PI}) ORDER BY event_id) - 1 AS VARCHAR),
          coalesce(nullif(json_extract_string(props, '$.k'), ''), 'No Title'),
          'https://events.example/' || event_type, '', {_NOW_ISO}
-  FROM events)""")
+  FROM events)"""
+
+
+@register("a06_a07_json_extract", f"WITH {A}, {JSON_ITEMS} SELECT {ITEM_SQL_COLS} FROM json_items")
 def a06(spark: SparkSession, sf: str) -> DataFrame:
     return _item_out(_run_parser(spark, sf, "json", lambda d: P.parse_json(d, TD.AS_OF)))
 
@@ -182,20 +188,18 @@ _LI = r"<li>(.*?)</li>"
 _HREF = r'<a[^>]*href="([^"]*)"'
 _A_TEXT = r"<a[^>]*>(.*?)</a>"
 
-_A8 = f"""
-WITH b AS (
+NAV_ITEMS = f"""nav_b AS (
   SELECT 'page-' || CAST(page_id AS VARCHAR) AS source, 0 AS page, url AS base,
          unnest(regexp_extract_all(html, {Q.q(_LI)}, 1)) AS block,
          unnest(range(0, len(regexp_extract_all(html, {Q.q(_LI)}, 1)))) AS item_pos FROM pages
-), x AS (
+), nav_x AS (
   SELECT source, page, item_pos, {_sql_resolve(f"nullif(regexp_extract(block, {Q.q(_HREF)}, 1), '')", 'base')} AS url,
          coalesce(nullif({_trimjs(_unescape(_strip(f"regexp_extract(block, {Q.q(_A_TEXT)}, 1)")))}, ''), 'No Title') AS title
-  FROM b
-)
-SELECT {ITEM_SQL_COLS} FROM (SELECT source, page, item_pos, url AS id, title, url, '' AS content, CAST(NULL AS VARCHAR) AS published_at FROM x)"""
+  FROM nav_b
+), nav_items AS (SELECT source, page, item_pos, url AS id, title, url, '' AS content, CAST(NULL AS VARCHAR) AS published_at FROM nav_x)"""
 
 
-@register("a08_html_blocks", _A8)
+@register("a08_html_blocks", f"WITH {NAV_ITEMS} SELECT {ITEM_SQL_COLS} FROM nav_items")
 def a08(spark: SparkSession, sf: str) -> DataFrame:
     def nav(d):
         return P.parse_html_blocks(d.where(F.col("selector").isNotNull()), **P.NAV_PRESET)
@@ -207,8 +211,7 @@ def _xml_escape_sql(x: str) -> str:
     return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-_A9 = f"""
-SELECT {ITEM_SQL_COLS} FROM (
+TRENDING_ITEMS = f"""trending_items AS (
   SELECT 'github_trending' AS source, conv_id AS page,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS item_pos,
          '{P.TRENDING_HOST}/' || role || '/c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
@@ -218,7 +221,7 @@ SELECT {ITEM_SQL_COLS} FROM (
   FROM conversations)"""
 
 
-@register("a09_trending_blocks", _A9)
+@register("a09_trending_blocks", f"WITH {TRENDING_ITEMS} SELECT {ITEM_SQL_COLS} FROM trending_items")
 def a09(spark: SparkSession, sf: str) -> DataFrame:
     def trending(d):
         return P.parse_html_blocks(d.where(F.col("source") == "github_trending"), **P.TRENDING_PRESET)
@@ -256,3 +259,10 @@ def a11(spark: SparkSession, sf: str) -> DataFrame:
     _, env = P.fan_out(pl, reg, TD.AS_OF)
     return env.where(F.col("status") == "error").groupBy("status", "error").agg(
         F.count("*").alias("payloads"), F.sum("items_found").cast("bigint").alias("items"))
+
+
+ALL_ITEMS = f"""{A}, {RSS_ITEMS}, {ATOM_ITEMS}, {HN_ITEMS}, {JSON_ITEMS}, {NAV_ITEMS}, {TRENDING_ITEMS},
+all_items AS (
+  SELECT * FROM rss_items UNION ALL SELECT * FROM atom_items UNION ALL SELECT * FROM hn_items
+  UNION ALL SELECT * FROM json_items UNION ALL SELECT * FROM nav_items UNION ALL SELECT * FROM trending_items
+)"""

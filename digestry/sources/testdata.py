@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestry.functions import dates, text
-from digestry.session import spread
+from digestry.session import checkpoint_dir, spread
 
 # ---------------------------------------------------------------------------
 # Fixed values of the test binding.
@@ -291,4 +291,61 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     api = ev_pages.select(F.concat(F.lit("api-"), F.col("event_type")).alias("source_id"), "page", "payload")
     out = (rss.unionByName(atom).unionByName(reddit).unionByName(mapped).unionByName(hn).unionByName(trending)
            .unionByName(pages).unionByName(evt).unionByName(api))
-    return out.withColumn("fetched_at", F.to_timestamp(F.lit(AS_OF)))
+    # a deployment reads its payload table from storage; the binding writes the
+    # derived one once (reliable checkpoint) so every parser branch reads it back
+    checkpoint_dir(spark)
+    return out.withColumn("fetched_at", F.to_timestamp(F.lit(AS_OF))).checkpoint()
+
+
+# ---------------------------------------------------------------------------
+# Subscriptions and delivery channels derived from the tables.
+SUBS_AS_OF = "2024-01-30 12:00:00"
+# ---------------------------------------------------------------------------
+
+
+def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One subscription per user of `events`: daily when the user signed up
+    (else hourly); the time is the first event's value read as 'H.mm'; inactive
+    when the latest event is an error; last run = latest purchase (or never)."""
+    ev = table(spark, sf_dir, "events")
+    agg = ev.groupBy("user_id").agg(
+        F.count_if(F.col("event_type") == "signup").alias("_signups"),
+        F.min_by("value", F.struct("ts", "event_id")).alias("_first_value"),
+        F.max_by("event_type", F.struct("ts", "event_id")).alias("_last_type"),
+        F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("_last_purchase"),
+    )
+    return agg.select(
+        F.concat(F.lit("sub-"), F.col("user_id").cast("string")).alias("id"),
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("name"),
+        F.when(F.col("_signups") > 0, F.lit("daily")).otherwise(F.lit("hourly")).alias("cron"),
+        F.replace(F.col("_first_value").cast("string"), F.lit("."), F.lit(":")).alias("scheduled_time"),
+        F.when(F.col("_last_type") == "error", F.lit(0)).otherwise(F.lit(1)).alias("active"),
+        dates.to_iso(F.col("_last_purchase").cast("timestamp")).alias("last_run"),
+    )
+
+
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivery channels: every page as a webhook (its url) and as a chat hook
+    (its first link, often relative); the ad block's text is a third, unset hook."""
+    p = table(spark, sf_dir, "pages")
+    first_href = F.regexp_extract(F.col("html"), r'href="([^"]*)"', 1)
+    return p.select(F.posexplode(F.array(
+        F.struct(F.lit("webhook").alias("type"), F.col("url").alias("webhook_url")),
+        F.struct(F.lit("slack").alias("type"), first_href.alias("webhook_url")),
+        F.struct(F.lit("webhook").alias("type"), F.lit(None).cast("string").alias("webhook_url")),
+    )).alias("_k", "_c"), "page_id").select(
+        (F.col("page_id") * 3 + F.col("_k")).cast("bigint").alias("idx"), "_c.type", "_c.webhook_url")
+
+
+def href_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry entries proposed from page links (F9 input): absolute links
+    become scrape sources, relative ones have no type."""
+    p = table(spark, sf_dir, "pages")
+    ex = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), 1)).alias("pos", "url"),
+                  F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), 2).alias("_names"))
+    return ex.select(
+        (F.col("page_id") * 1000 + F.col("pos")).cast("bigint").alias("idx"),
+        F.element_at("_names", (F.col("pos") + 1).cast("int")).alias("name"),
+        F.when(F.col("url").startswith("http"), F.lit("scrape")).alias("type"),
+        "url",
+    )
