@@ -111,3 +111,4 @@ from digestry.plans import catalog_dedup  # noqa: E402,F401
 from digestry.plans import catalog_sources  # noqa: E402,F401
 from digestry.plans import catalog_audit  # noqa: E402,F401
 from digestry.plans import catalog_store  # noqa: E402,F401
+from digestry.plans import catalog_stream  # noqa: E402,F401

@@ -61,7 +61,11 @@ def published_ts(doc_id: Column) -> Column:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> scraped-article rows (id, title, url, source, content,
     published_at, published_ts, ord, lang)."""
-    d = spread(table(spark, sf_dir, "documents"))
+    return articles_from_documents(spread(table(spark, sf_dir, "documents")))
+
+
+def articles_from_documents(d: DataFrame) -> DataFrame:
+    """The article projection of a documents DataFrame (batch or streaming)."""
     title = doc_title(F.col("text"))
     url = F.concat(
         F.lit("https://"), F.col("source"), F.lit(".example/"),
