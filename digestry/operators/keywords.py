@@ -58,7 +58,15 @@ def inline_score(text_lower: str, items: list[tuple[str, float]]) -> Column:
     call, however many keywords there are."""
     terms = [f"CASE WHEN contains(`{text_lower}`, {T.sql_str(kw.lower())}) THEN {T.sql_double(w)} ELSE {T.sql_double(0)} END"
              for kw, w in items]
-    return F.expr("(" + " + ".join([T.sql_double(0)] + terms) + ")")
+    return F.expr(balanced_sum([T.sql_double(0)] + terms))
+
+
+def balanced_sum(terms: list[str]) -> str:
+    """``t1 + t2 + ...`` as a balanced tree, so a long dictionary does not build
+    an expression nested as deep as it is long."""
+    while len(terms) > 1:
+        terms = [f"({terms[i]} + {terms[i + 1]})" if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0]
 
 
 def layer1_scores(
