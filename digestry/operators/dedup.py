@@ -183,28 +183,45 @@ def similar_pairs(df: DataFrame, group_cols=(), threshold: float = 0.7, title: s
 
 
 def _rep_pairs(reps: DataFrame, group_cols, threshold: float, keep_dice: bool = False) -> DataFrame:
-    """Verified similar pairs between distinct normalised titles (a._rep < b._rep)."""
+    """Verified similar pairs between distinct normalised titles (a._rep < b._rep).
+
+    Candidate generation (AllPairs / PPJoin, exact):
+    * bigrams are ordered rarest first by their frequency in the group;
+    * a title's prefix is its first n - ceil(n * t / (2 - t)) + 1 grams, and
+      two titles can reach Dice t only if their prefixes share a gram;
+    * length filter: n_b >= n_a * t / (2 - t) and vice versa;
+    * per pair, the first shared gram (positions p_a, p_b) must lie within the
+      pair's own prefixes (p <= n - alpha + 1, alpha = ceil(t (n_a + n_b) / 2))
+      and the positional bound 1 + min(n_a - p_a, n_b - p_b) >= alpha must hold.
+    Only surviving pairs are verified with the exact Dice coefficient.
+    """
     g = list(group_cols)
-    # global bigram frequency; the bigram alphabet of normalised titles is [a-z0-9 ]^2,
-    # so this table has at most 37 * 37 rows: a proven bound for the broadcast.
-    freq = reps.select(F.explode("_grams").alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_f"))
-    freq = F.broadcast(freq)
-    ex = reps.select(*g, "_rep", "_norm", "_grams", F.explode("_grams").alias("_gram"))
-    ranked = ex.join(freq, "_gram").withColumn(
+    # gram frequency per group: at most 37 * 37 rows per group (the alphabet of
+    # normalised titles), joined on (group, gram)
+    freq = reps.select(*g, F.explode("_grams").alias("_gram")).groupBy(*g, "_gram").agg(F.count("*").alias("_f"))
+    ex = reps.select(*g, "_rep", "_grams", F.explode("_grams").alias("_gram"))
+    ranked = ex.join(freq, [*g, "_gram"]).withColumn(
         "_pos", F.row_number().over(Window.partitionBy(*g, "_rep").orderBy("_f", "_gram"))
     )
     n = F.size("_grams")
-    prefix = ranked.where(F.col("_pos") <= _prefix_len(n, threshold)).select(*g, "_rep", "_gram", n.alias("_n"))
-    a = prefix.select(*g, F.col("_rep").alias("a"), "_gram", F.col("_n").alias("na"))
-    b = prefix.select(*g, F.col("_rep").alias("b"), "_gram", F.col("_n").alias("nb"))
+    prefix = ranked.where(F.col("_pos") <= _prefix_len(n, threshold)).select(*g, "_rep", "_gram", "_pos", n.alias("_n"))
+    a = prefix.select(*g, F.col("_rep").alias("a"), "_gram", F.col("_pos").alias("pa"), F.col("_n").alias("na"))
+    b = prefix.select(*g, F.col("_rep").alias("b"), "_gram", F.col("_pos").alias("pb"), F.col("_n").alias("nb"))
     lo = float(threshold) / (2.0 - float(threshold))
     cand = (
         a.join(b, [*g, "_gram"])
-        .where((F.col("a") < F.col("b")))
+        .where(F.col("a") < F.col("b"))
         .where((F.col("nb").cast("double") >= F.col("na") * F.lit(lo)) & (F.col("na").cast("double") >= F.col("nb") * F.lit(lo)))
-        .select(*g, "a", "b")
-        .distinct()
+        .groupBy(*g, "a", "b")
+        .agg(F.min(F.struct("pa", "pb")).alias("_first"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     )
+    # alpha = ceil(t (na + nb) / 2), computed a hair low so float error never drops a pair
+    alpha = F.ceil(F.lit(float(threshold)) * (F.col("na") + F.col("nb")).cast("double") / F.lit(2.0) - F.lit(1e-9))
+    pa, pb = F.col("_first.pa"), F.col("_first.pb")
+    cand = cand.where(
+        (pa <= F.col("na") - alpha + 1) & (pb <= F.col("nb") - alpha + 1)
+        & (F.lit(1) + F.least(F.col("na") - pa, F.col("nb") - pb) >= alpha)
+    ).select(*g, "a", "b")
     ra = reps.select(*g, F.col("_rep").alias("a"), F.col("_norm").alias("na_t"), F.col("_grams").alias("ga"))
     rb = reps.select(*g, F.col("_rep").alias("b"), F.col("_norm").alias("nb_t"), F.col("_grams").alias("gb"))
     t = F.lit(float(threshold)).cast("double")
