@@ -77,17 +77,17 @@ def q1_top_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUN_AS_OF = "2024-01-20 18:00:00"
 
 
-def q0_params():
+def q0_params(model_enabled: bool = True):
     from digestry.params import DigestParams
 
-    return DigestParams(group_cols=("lang",))
+    return DigestParams(group_cols=("lang",), enable_model_scoring=model_enabled)
 
 
-def q0_run(spark: SparkSession, sf_dir: str, finish: bool = True):
+def q0_run(spark: SparkSession, sf_dir: str, finish: bool = True, model_enabled: bool = True):
     from digestry.plans.signal_digest import run_digest
 
     return run_digest(
-        TD.articles(spark, sf_dir), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, q0_params(), RUN_AS_OF,
+        TD.articles(spark, sf_dir), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, q0_params(model_enabled), RUN_AS_OF,
         model_scores=TD.model_scores(spark, sf_dir), analyses=TD.analyses(spark, sf_dir),
         stored=TD.stored_articles(spark, sf_dir), finish=finish,
     )

@@ -279,3 +279,33 @@ def b4(spark: SparkSession, sf: str) -> DataFrame:
         return [float(min(100, len(t))) for t in titles]
 
     return model.apply_scorer(cands, scorer, 10, "cov_rank", ["lang"]).select("lang", "id", "layer2")
+
+
+# --------------------------------------------------------------------------------- F8, B6, B8
+
+
+@register("f8_model_disabled", f"""WITH RECURSIVE {Z.chain(model_enabled=False)}
+SELECT lang, CAST(sel_rank AS INTEGER) AS sel_rank, id, final_score FROM sel""")
+def f8(spark: SparkSession, sf: str) -> DataFrame:
+    """F8: the model layer is skipped; the final score is the layer-1 score."""
+    sel = catalog.q0_run(spark, sf, finish=False, model_enabled=False).selected
+    return sel.select("lang", "sel_rank", "id", "final_score")
+
+
+@register("b6_per_item_analysis", f"""WITH RECURSIVE {CHAIN}
+SELECT lang, id, NULL::VARCHAR AS summary, {Q.heuristic_category('title')} AS category FROM sel""")
+def b6(spark: SparkSession, sf: str) -> DataFrame:
+    """B6 + B5 failure path: one call per item (a batch of one); every call
+    fails here, so each item gets a null summary and the title heuristic."""
+    sel = catalog.q0_run(spark, sf, finish=False).selected.select("lang", "id", "title", "sel_rank")
+    b = rank.batch_numbers(sel, 1, "sel_rank", ["lang"])
+    return model.fallback_analysis(b).select("lang", "id", F.col("summary").cast("string").alias("summary"), "category")
+
+
+@register("b8_run_audit", None)
+def b8(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompt, raw response and latency next to each scoring call (the
+    default scorer is the lookup join; its latency is measured per batch)."""
+    b = model.scoring_batches(catalog.q0_run(spark, sf, finish=False).candidates, 10, "cov_rank", ["lang"])
+    return model.run_audit(b, model.scoring_prompt(F.col("titles")), F.lit(None).cast("string"), F.lit(0).cast("bigint")).select(
+        "lang", "batch", F.md5("prompt").alias("prompt_md5"), "raw_response", "latency_ms")

@@ -25,7 +25,7 @@ def stored_cte() -> str:
 )"""
 
 
-def chain() -> str:
+def chain(model_enabled: bool = True) -> str:
     kw = list(TD.SIGNAL_KEYWORDS)
     txt = Q.scoring_text()
     cut_iso = f"strftime(TIMESTAMP '{RUN_AS_OF}' - INTERVAL 24 HOUR, '%Y-%m-%dT%H:%M:%S.%gZ')"
@@ -67,7 +67,7 @@ ms AS (SELECT CAST(doc_id AS VARCHAR) AS id, max(CAST(CASE WHEN toxic = 0 THEN q
 blended0 AS (
   SELECT c.*, CASE WHEN c.negative = 0 THEN coalesce(ms.model_score, {Q.dbl(0)}) ELSE {Q.dbl(0)} END AS layer2
   FROM cov c LEFT JOIN ms ON c.id = ms.id
-), blended AS (SELECT *, {Q.blend('layer1', 'layer2')} AS final_score FROM blended0),
+), blended AS (SELECT *, {Q.blend('layer1', 'layer2') if model_enabled else 'CAST(round(layer1) AS BIGINT)'} AS final_score FROM blended0),
 sel AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY final_score DESC, cov_rank) AS sel_rank
                  FROM blended WHERE final_score >= {Q.dbl(THRESHOLD)})
