@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from digestry.functions import scores as S
 from digestry.functions import text as T
 from digestry.operators import dedup, digest, keywords, model, rank, store
 from digestry.params import DigestParams
@@ -88,10 +89,23 @@ def run_digest(
 
     # scan-side work: layer-1 score, coverage matches, content flag; then drop the text
     kw_list = keywords.dictionary_keywords(positive, params.inline_keyword_limit)
-    scored = keywords.layer1_scores(new, positive, negative, inline_limit=params.inline_keyword_limit, keep_text=True)
+    pos_items = keywords._as_items(positive, params.inline_keyword_limit)
+    neg_items = keywords._as_items(negative, params.inline_keyword_limit)
+    if pos_items is not None and neg_items is not None:
+        # one projection: the score terms and the match indices share their
+        # contains() tests, which Spark then evaluates once per row
+        texted = new.withColumn("_score_text", T.scoring_text())
+        scored = texted.select(
+            "*",
+            keywords.inline_score("_score_text", pos_items).alias("positive"),
+            keywords.inline_score("_score_text", neg_items).alias("negative"),
+            match_indices(kw_list, scoring_text="_score_text").alias("match_idx"),
+        ).withColumn("layer1", S.layer1("positive", "negative"))
+    else:
+        scored = keywords.layer1_scores(new, positive, negative, inline_limit=params.inline_keyword_limit, keep_text=True)
+        scored = scored.withColumn("match_idx", match_indices(kw_list, scoring_text="_score_text"))
     narrow = scored.select(
-        *g, "id", "title", "url", "source", "published_at", "ord", "positive", "negative", "layer1",
-        match_indices(kw_list, scoring_text="_score_text").alias("match_idx"),
+        *g, "id", "title", "url", "source", "published_at", "ord", "positive", "negative", "layer1", "match_idx",
         dedup.content_empty("content").alias("_empty"),
         F.lit(1).cast("bigint").alias("_n_raw"),
     )
