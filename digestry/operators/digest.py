@@ -38,8 +38,9 @@ def assemble(items: DataFrame, counts: DataFrame | None, digest_date: str, group
     if counts is not None:
         if g:
             docs = docs.join(counts, g, "left")
-        else:  # one row on each side
-            docs = docs.withColumn("_one", F.lit(1)).join(counts.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+        else:  # one row on each side: read the single count as a literal
+            row = counts.first()
+            docs = docs.withColumn("total_new_items", F.lit(row["total_new_items"] if row else 0).cast("bigint"))
     else:
         docs = docs.withColumn("total_new_items", F.lit(None).cast("bigint"))
     return docs.select(

@@ -66,12 +66,15 @@ SELECT (SELECT max(coalesce(published_at, digest_date)) FROM stored) AS hwm_prev
        (SELECT strftime(max(coalesce(CAST(published_at AS TIMESTAMP), CAST(digest_date AS TIMESTAMP))), '%Y-%m-%dT%H:%M:%S.%gZ') FROM stored_next) AS hwm_instant""")
 def m1(spark: SparkSession, sf: str) -> DataFrame:
     run = catalog.q0_run(spark, sf)
-    prev = store.high_water_mark(TD.stored_articles(spark, sf), True).withColumnRenamed("hwm", "hwm_previous")
-    strict = store.high_water_mark(run.stored, True).withColumnRenamed("hwm", "hwm_strict")
-    inst = store.high_water_mark(run.stored, False).withColumnRenamed("hwm", "hwm_instant")
-    one = F.lit(1)
-    return (prev.withColumn("_k", one).join(strict.withColumn("_k", one), "_k").join(inst.withColumn("_k", one), "_k")
-            .drop("_k"))
+    cols = ["published_at", "digest_date"]
+    both = (TD.stored_articles(spark, sf).select(*cols, F.lit(0).alias("_v"))
+            .unionByName(run.stored.select(*cols, F.lit(1).alias("_v"))))
+    prev = store.high_water_mark(both.where(F.col("_v") == 0), True).first()["hwm"]
+    # one aggregation over the next version gives both marks (no join)
+    text_mark = F.max(F.coalesce(F.col("published_at"), F.col("digest_date")))
+    inst = F.max(F.coalesce(D.parse_instant(F.col("published_at")), F.to_timestamp(F.col("digest_date"))))
+    return both.where(F.col("_v") == 1).agg(
+        F.lit(prev).alias("hwm_previous"), text_mark.alias("hwm_strict"), D.to_iso(inst).alias("hwm_instant"))
 
 
 @register("f2_incremental_filter", f"""WITH RECURSIVE {CHAIN}
