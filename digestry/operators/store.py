@@ -13,6 +13,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from digestry.functions import dates as D
 from digestry.functions import text as T
+from digestry.session import checked_broadcast
 
 # Stored-article schema; columns added later get defaults on read (K7).
 ARTICLE_SCHEMA = StructType([
@@ -56,11 +57,21 @@ def to_stored(df: DataFrame, digest_date: str | None = None, keep=()) -> DataFra
     )
 
 
+# Runs with at most this many new rows upsert by broadcast joins (the stored
+# table is only streamed); larger runs use one full outer shuffle join.
+MAX_BROADCAST_NEW_ROWS = 2_000_000
+
+
 def upsert(stored: DataFrame, new: DataFrame, order_col: str = "pos", extra_cols=()) -> DataFrame:
     """Insert new ids; on an existing id update only title, summary,
     category and score.  Within ``new``, a repeated id takes the last row's
     updatable values and the first row's other values (``order_col`` order).
     ``new`` must already be in stored form (``to_stored``) plus ``order_col``.
+
+    A run's new rows are few next to the stored table, so after a row-count
+    check they are broadcast: the stored table is streamed once through a
+    broadcast left join (updates) and once through a broadcast semi join
+    (which new ids exist), and is never shuffled.
     """
     fixed = [c for c in ARTICLE_COLUMNS if c not in UPDATABLE and c != "id"] + list(extra_cols)
     n = new.groupBy("id").agg(
@@ -68,10 +79,20 @@ def upsert(stored: DataFrame, new: DataFrame, order_col: str = "pos", extra_cols
         F.min_by(F.struct(*[F.col(c) for c in fixed]), F.col(order_col)).alias("_first"),
     ).select("id", *[F.col("_last")[c].alias(c) for c in UPDATABLE], *[F.col("_first")[c].alias(c) for c in fixed],
              F.lit(True).alias("_in"))
-    s = stored.select(*ARTICLE_COLUMNS, *extra_cols, F.lit(True).alias("_in"))
+    all_cols = [*ARTICLE_COLUMNS, *extra_cols]
+    s = stored.select(*all_cols, F.lit(True).alias("_in"))
+    if n.limit(MAX_BROADCAST_NEW_ROWS + 1).count() <= MAX_BROADCAST_NEW_ROWS:
+        nb = F.broadcast(n)
+        upd = s.alias("s").join(nb.alias("n"), "id", "left").select(*[
+            F.col("id") if c == "id" else
+            (F.when(F.col("n._in").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c) if c in UPDATABLE
+             else F.col(f"s.{c}").alias(c)) for c in all_cols])
+        existing = stored.select("id").join(F.broadcast(n.select("id")), "id", "left_semi").distinct()
+        ins = n.join(existing, "id", "left_anti").select(*all_cols)
+        return upd.unionByName(ins)
     j = s.alias("s").join(n.alias("n"), "id", "full_outer")
     out = []
-    for c in [*ARTICLE_COLUMNS, *extra_cols]:
+    for c in all_cols:
         if c == "id":
             out.append(F.col("id"))
         elif c in UPDATABLE:
@@ -86,7 +107,8 @@ def mark_delivered(stored: DataFrame, delivered_ids: DataFrame, any_channel_ok=T
     if any_channel_ok is False:
         return stored
     ids = delivered_ids.select(F.col("id").alias("_did")).distinct().withColumn("_hit", F.lit(1))
-    j = stored.join(ids, stored["id"] == F.col("_did"), "left")
+    # a digest's ids are few: broadcast them (count-checked) and stream the table
+    j = stored.join(checked_broadcast(ids, MAX_BROADCAST_NEW_ROWS), stored["id"] == F.col("_did"), "left")
     gate = F.lit(True) if any_channel_ok is True else any_channel_ok
     return j.withColumn("delivered", F.when(F.col("_hit").isNotNull() & gate, F.lit(1)).otherwise(F.col("delivered"))).drop("_did", "_hit")
 

@@ -29,7 +29,7 @@ from digestry.functions import scores as S
 from digestry.functions import text as T
 from digestry.operators import dedup, digest, keywords, model, rank, store
 from digestry.params import DigestParams
-from digestry.session import checkpoint_dir
+from digestry.session import checked_broadcast, checkpoint_dir
 
 
 @dataclass
@@ -140,7 +140,9 @@ def run_digest(
 
     dd_text = dt.datetime.fromisoformat(as_of).date().isoformat()
     # K1: the content of the selected rows only, joined back by (id, ord)
-    content = articles.select("id", "ord", "content").join(enriched.select("id", "ord"), ["id", "ord"], "left_semi")
+    # the selection is small (count-checked broadcast): the text side is only streamed, never shuffled
+    keys = checked_broadcast(enriched.select("id", "ord"), store.MAX_BROADCAST_NEW_ROWS)
+    content = articles.select("id", "ord", "content").join(keys, ["id", "ord"], "left_semi")
     to_store = enriched.join(content, ["id", "ord"], "left").withColumn("pos", F.col("sel_rank"))
     new_rows = store.to_stored(to_store, dd_text, keep=[*g, "pos"])
     if stored is not None:
