@@ -201,3 +201,31 @@ WITH RECURSIVE {A},
 def d4(spark: SparkSession, sf: str) -> DataFrame:
     out = dedup.composite_dedup(TD.articles(spark, sf), ["lang"], 0.7)
     return out.select("lang", "id", "ord")
+
+
+# --------------------------------------------------------------------------------- M2 with a large dictionary
+
+LARGE_DICT_SIZE = 2000
+
+
+def _large_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """The LARGE_DICT_SIZE most frequent lower-case title words (ties by word), weight = length."""
+    words = TD.articles(spark, sf).select(F.explode(F.split(F.lower("title"), r"[^\p{L}\p{N}]+")).alias("keyword"))
+    top = (words.where(F.length("keyword") >= 3).groupBy("keyword").agg(F.count("*").alias("n"))
+           .orderBy(F.col("n").desc(), F.col("keyword")).limit(LARGE_DICT_SIZE))
+    return top.select("keyword", F.length("keyword").cast("double").alias("weight"))
+
+
+@register("m2_large_dictionary", f"""
+WITH {A},
+w AS (SELECT unnest(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}]+')) AS keyword FROM articles),
+d AS (SELECT keyword, CAST(length(keyword) AS DOUBLE) AS weight FROM (
+        SELECT keyword, count(*) AS n FROM w WHERE length(keyword) >= 3 GROUP BY keyword ORDER BY n DESC, keyword LIMIT {LARGE_DICT_SIZE})),
+t AS (SELECT id, {Q.scoring_text()} AS txt FROM articles)
+SELECT t.id, coalesce(sum(d.weight), CAST(0 AS DOUBLE)) AS positive
+FROM t LEFT JOIN d ON contains(t.txt, d.keyword) GROUP BY t.id""")
+def m2_large(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 above the inline limit: chunked broadcast Aho-Corasick in Arrow batches."""
+    d = _large_dictionary(spark, sf)
+    out = keywords.layer1_scores(TD.articles(spark, sf), d, {}, inline_limit=512)
+    return out.select("id", "positive")
