@@ -192,7 +192,9 @@ def _rep_pairs(reps: DataFrame, group_cols, threshold: float, keep_dice: bool =
     * length filter: n_b >= n_a * t / (2 - t) and vice versa;
     * per pair, the first shared gram (positions p_a, p_b) must lie within the
       pair's own prefixes (p <= n - alpha + 1, alpha = ceil(t (n_a + n_b) / 2))
-      and the positional bound 1 + min(n_a - p_a, n_b - p_b) >= alpha must hold.
+      and the positional bound 1 + min(n_a - p_a, n_b - p_b) >= alpha must hold;
+    * the number of shared prefix grams must reach alpha minus the longer of
+      the two prefix tails.
     Only surviving pairs are verified with the exact Dice coefficient.
     """
     g = list(group_cols)
@@ -213,14 +215,20 @@ def _rep_pairs(reps: DataFrame, group_cols, threshold: float, keep_dice: bool =
         .where(F.col("a") < F.col("b"))
         .where((F.col("nb").cast("double") >= F.col("na") * F.lit(lo)) & (F.col("na").cast("double") >= F.col("nb") * F.lit(lo)))
         .groupBy(*g, "a", "b")
-        .agg(F.min(F.struct("pa", "pb")).alias("_first"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        .agg(F.min(F.struct("pa", "pb")).alias("_first"), F.first("na").alias("na"), F.first("nb").alias("nb"),
+             F.count("*").alias("_shared"))
     )
     # alpha = ceil(t (na + nb) / 2), computed a hair low so float error never drops a pair
     alpha = F.ceil(F.lit(float(threshold)) * (F.col("na") + F.col("nb")).cast("double") / F.lit(2.0) - F.lit(1e-9))
     pa, pb = F.col("_first.pa"), F.col("_first.pb")
+    # common grams of rank k <= I - max(n_a - prefix_a, n_b - prefix_b) lie in both
+    # prefixes, so a pair reaching alpha shares at least alpha - max(...) prefix grams
+    tail_a = F.ceil(F.col("na").cast("double") * F.lit(lo)) - 1
+    tail_b = F.ceil(F.col("nb").cast("double") * F.lit(lo)) - 1
     cand = cand.where(
         (pa <= F.col("na") - alpha + 1) & (pb <= F.col("nb") - alpha + 1)
         & (F.lit(1) + F.least(F.col("na") - pa, F.col("nb") - pb) >= alpha)
+        & (F.col("_shared") >= alpha - F.greatest(tail_a, tail_b))
     ).select(*g, "a", "b")
     ra = reps.select(*g, F.col("_rep").alias("a"), F.col("_norm").alias("na_t"), F.col("_grams").alias("ga"))
     rb = reps.select(*g, F.col("_rep").alias("b"), F.col("_norm").alias("nb_t"), F.col("_grams").alias("gb"))
