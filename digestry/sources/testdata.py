@@ -225,7 +225,9 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("hn", "News API", "api", "https://hn.example/api/search", 1, ["news"], None, None),
          ("github_trending", "Trending", "scrape", "https://github.com/trending", 1, ["code"], None, None)],
         "id string, name string, type string, url string, tier int, tags array<string>, selector string, mapping map<string,string>")
-    return feeds.unionByName(pages).unionByName(events_json).unionByName(events_api).unionByName(fixed)
+    # a small dimension table read by several branches: materialise it once
+    checkpoint_dir(spark)
+    return feeds.unionByName(pages).unionByName(events_json).unionByName(events_api).unionByName(fixed).checkpoint()
 
 
 def xml_escape(c: Column) -> Column:
