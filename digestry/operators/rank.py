@@ -69,7 +69,10 @@ def coverage_filter(df: DataFrame, matches_col: str = "matches", rank_col: str =
 
 
 def batch_numbers(df: DataFrame, batch_size: int, order_col: str = "rank", group_cols=(), out_col: str = "batch") -> DataFrame:
-    """Consecutive batches of ``batch_size`` in rank order (0-based) and the position inside."""
+    """Consecutive batches of ``batch_size`` in rank order (0-based) and the position inside.
+
+    Applied to candidate sets (at most 25 rows per group); without group
+    columns the window is one partition, so callers pass bounded inputs."""
     w = Window.partitionBy(*group_cols).orderBy(order_col) if group_cols else Window.orderBy(order_col)
     rn = F.row_number().over(w) - 1
     return df.withColumn(out_col, F.floor(rn / F.lit(batch_size)).cast("int")).withColumn(

@@ -11,7 +11,7 @@ from digestry.functions import text as T
 from digestry.plans import sqlgen as Q
 from digestry.plans.catalog import register
 from digestry.plans.catalog_text import _sql_resolve
-from digestry.session import checkpoint_dir
+from digestry.session import checked_broadcast, checkpoint_dir
 from digestry.sources import payloads as P
 from digestry.sources import testdata as TD
 
@@ -75,7 +75,8 @@ def _prepared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def _run_parser(spark: SparkSession, sf: str, parser: str, fn) -> DataFrame:
     pl, reg = _prepared(spark, sf)
     r = P.route(reg).select(F.col("id").alias("source_id"), F.col("url").alias("source_url"), "mapping", "selector", "parser")
-    p = pl.join(F.broadcast(r), "source_id").where(F.col("parser") == parser).withColumn("source", F.col("source_id"))
+    p = pl.join(checked_broadcast(r, P.MAX_BROADCAST_SOURCES), "source_id").where(F.col("parser") == parser).withColumn(
+        "source", F.col("source_id"))
     items, _ = fn(p)
     return items
 
@@ -212,8 +213,8 @@ def _xml_escape_sql(x: str) -> str:
 
 
 TRENDING_ITEMS = f"""trending_items AS (
-  SELECT 'github_trending' AS source, conv_id AS page,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS item_pos,
+  SELECT 'github_trending' AS source, conv_id * {TD.TRENDING_PAGES_PER_CONVERSATION} + floor(turn / {PI}) AS page,
+         row_number() OVER (PARTITION BY conv_id, floor(turn / {PI}) ORDER BY turn) - 1 AS item_pos,
          '{P.TRENDING_HOST}/' || role || '/c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
          role || ' / c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS title,
          '{P.TRENDING_HOST}/' || role || '/c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS url,

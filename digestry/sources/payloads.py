@@ -49,12 +49,15 @@ REDDIT_SCHEMA = (
 )
 ITEM_COLUMNS = ["source", "page", "item_pos", "id", "title", "url", "content", "published_at"]
 # Registries up to this many sources are broadcast to the payload join.
-MAX_BROADCAST_SOURCES = 1_000_000
+MAX_BROADCAST_SOURCES = 1 << 20
 
 
 def encounter_ord(source_ord: Column, page: Column, item_pos: Column) -> Column:
-    """One long preserving (source order, page, position): 24 + 27 + 12 bits."""
-    return (source_ord.cast("bigint") * F.lit(1 << 39) + page.cast("bigint") * F.lit(1 << 12) + item_pos.cast("bigint"))
+    """One long preserving (source order, page, position).
+
+    20 bits of source order (at most MAX_BROADCAST_SOURCES sources), 31 bits
+    of page number, 12 bits of position in the payload (4,096 items)."""
+    return (source_ord.cast("bigint") * F.lit(1 << 43) + page.cast("bigint") * F.lit(1 << 12) + item_pos.cast("bigint"))
 
 
 # --------------------------------------------------------------------------- A1, A2
@@ -291,7 +294,9 @@ def fan_out(payloads: DataFrame, registry: DataFrame, as_of: str) -> tuple[DataF
     payload that fails, yields an error envelope and no items.
     """
     reg = route(registry)
-    # the registry is a dimension table (one row per source); its size is checked before broadcast
+    # the registry is a dimension table (one row per source, at most
+    # MAX_BROADCAST_SOURCES; checked before the broadcast below): ranking it in
+    # one window is bounded by that, not by the payload volume
     reg = reg.withColumn("source_ord", F.dense_rank().over(Window.orderBy("id")))
     dim = reg.select(F.col("id").alias("source_id"), F.col("url").alias("source_url"), "mapping",
                      "selector", "parser", "route_error", "source_ord")

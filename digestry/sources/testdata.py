@@ -170,6 +170,9 @@ LANG_FEEDS = {  # lang -> (id prefix, declared type)
 JSON_MAPPING = {"items": "results", "title": "heading", "url": "link", "content": "desc", "published_at": "date"}
 ATOM_NS = "http://www.w3.org/2005/Atom"
 RFC822_OUT = "EEE, dd MMM yyyy HH:mm:ss"
+# A conversation's turns are cut into pages of PAGE_ITEMS; page ids leave room
+# for this many pages per conversation (a long conversation never becomes one group).
+TRENDING_PAGES_PER_CONVERSATION = 256
 # ---------------------------------------------------------------------------
 
 
@@ -281,7 +284,9 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             dates.to_iso(published_ts(F.col("item_id"))).alias("created_at"))).alias("hit"))
     hn = _pages_of(bench, keys, "item_id", F.col("hit"), F.lit('{"hits":['), F.lit("]}"), ",")
     conv = table(spark, sf_dir, "conversations").select(
-        F.lit("github_trending").alias("source_id"), F.col("conv_id").cast("bigint").alias("page"), "turn",
+        F.lit("github_trending").alias("source_id"),
+        (F.col("conv_id") * F.lit(TRENDING_PAGES_PER_CONVERSATION) + F.floor(F.col("turn") / F.lit(PAGE_ITEMS))).cast("bigint").alias("page"),
+        "turn",
         F.concat(F.lit('<article class="Box-row"><h2 class="h3 lh-condensed"><a href="/'), F.col("role"), F.lit("/c"),
                  F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit('">\n  '), F.col("role"),
                  F.lit(" /\n  c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"),
