@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from digestry.functions import scores as S
 from digestry.functions import text as T
 from digestry.operators import rank
+from digestry.session import checked_broadcast
 
 # ---------------------------------------------------------------------------
 # Prompt wording (our own rubric; only the layout follows the
@@ -29,6 +30,8 @@ ANALYSIS_HEADER = 'For each item give a one-sentence "summary" and a "category".
 # ---------------------------------------------------------------------------
 
 SCORES_SCHEMA = "struct<scores: array<double>>"
+# Candidate sets up to this many ids are broadcast into lookups of big tables.
+MAX_LOOKUP_KEYS = 2_000_000
 ANALYSIS_SCHEMA = "struct<signals: array<struct<summary: string, category: string>>>"
 
 
@@ -43,7 +46,8 @@ def lookup_scores(cands: DataFrame, scores: DataFrame, key: str = "id", score_co
     The score table is reduced to the candidates' keys by a semi join before
     the lookup, so only matching score rows move.
     """
-    keys = cands.select(key).distinct()
+    # the candidate ids are few (count-checked broadcast); the score table is only streamed
+    keys = checked_broadcast(cands.select(key).distinct(), MAX_LOOKUP_KEYS)
     needed = scores.join(keys, key, "left_semi").groupBy(key).agg(F.max(score_col).alias("_l2"))
     return cands.join(needed, key, "left").withColumn("layer2", F.coalesce(F.col("_l2"), F.lit(0.0))).drop("_l2")
 

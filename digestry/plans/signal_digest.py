@@ -118,12 +118,18 @@ def run_digest(
     kw_arr = F.array(*[F.lit(k) for k in kw_list]) if kw_list else F.array().cast("array<string>")
     with_matches = fuzzy.withColumn("matches", F.transform("match_idx", lambda i: F.element_at(kw_arr, i + 1)))
     cands = rank.coverage_filter(with_matches, "matches", "rank", g, params.candidate_limit, "cov_rank")
+    # at most candidate_limit rows per group: materialise once (reliable checkpoint), so the
+    # size checks of the broadcast lookups below read this small set, not the whole lineage
+    checkpoint_dir(cands.sparkSession)
+    cands = cands.checkpoint()
     blended = model.model_layer(cands, model_scores, params.enable_model_scoring, w1=params.blend_l1, w2=params.blend_l2)
     sel = rank.select_top(blended, params.signal_threshold, params.max_items, g, "final_score", "cov_rank", "sel_rank")
 
     # Analysis lookup (default: precomputed table), fallback S17
     if analyses is not None:
-        a = analyses.select("id", F.col("summary").alias("_as"), F.col("category").alias("_ac"), F.lit(True).alias("_ah"))
+        keys = checked_broadcast(sel.select("id").distinct(), model.MAX_LOOKUP_KEYS)
+        a = analyses.join(keys, "id", "left_semi").dropDuplicates(["id"]).select(
+            "id", F.col("summary").alias("_as"), F.col("category").alias("_ac"), F.lit(True).alias("_ah"))
         sel = sel.join(a, "id", "left")
         sel = sel.withColumn("summary", F.when(F.col("_ah"), F.nullif(F.col("_as"), F.lit(""))))
         sel = sel.withColumn("category", F.when(F.col("_ah"), T.falsy_or("_ac", F.lit(T.UNCATEGORIZED))).otherwise(T.heuristic_category("title")))
