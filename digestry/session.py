@@ -34,15 +34,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is a shared folder and is never replaced.  Only when the
     setting is unset (local tests) a scratch folder is created and registered.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: no SparkContext; the server's setting applies)
+        sc = None
+    current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
     local = tempfile.mkdtemp(prefix="digestry-ckpt-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if sc is not None:
+        sc.setCheckpointDir(local)
+        return sc.getCheckpointDir() or local
+    spark.conf.set("spark.checkpoint.dir", local)
+    return local
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "digestry") -> SparkSession:
@@ -72,8 +78,12 @@ def spread(df: DataFrame) -> DataFrame:
     A scan that already has enough splits (the normal case at scale) is
     returned unchanged: no shuffle is added there.
     """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < parallelism:
+    try:
+        parallelism = df.sparkSession.sparkContext.defaultParallelism
+        partitions = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD view, e.g. Spark Connect: leave the scan as it is)
+        return df
+    if partitions < parallelism:
         return df.repartition(parallelism)
     return df
 
