@@ -122,3 +122,17 @@ def test_routing(spark):
                                 "id string, type string")
     got = {r["id"]: r["parser"] for r in P.route(reg).collect()}
     assert got == {"hn": "api", "arxiv-cs": "arxiv", "reddit-x": "json", "z": None, "github_trending": "scrape"}
+
+
+def test_upsert_broadcast_and_shuffle_paths_agree(spark):
+    s = spark.createDataFrame([(str(i), f"t{i}", "u", "s", None, "x", "c", None, i, "d", i % 2) for i in range(50)], ART)
+    n = spark.createDataFrame([(str(i), f"n{i}", "u2", "s2", None, "y", "c2", None, 100 + i, "d2", 0, i) for i in range(40, 70)],
+                              ART + ", pos int")
+    fast = sorted(tuple(r) for r in store.upsert(s, n).collect())
+    old = store.MAX_BROADCAST_NEW_ROWS
+    try:
+        store.MAX_BROADCAST_NEW_ROWS = 0
+        slow = sorted(tuple(r) for r in store.upsert(s, n).collect())
+    finally:
+        store.MAX_BROADCAST_NEW_ROWS = old
+    assert fast == slow and len(fast) == 70
