@@ -1,4 +1,4 @@
-"""Ranking, cuts and coverage.
+"""Ranking, cuts and coverage (T1-T3, W3, W4, F3, F5; W2 is ``sources.payloads.encounter_ord``).
 
 Per-group cuts use ``row_number() <= k``; Spark plans it with a
 ``WindowGroupLimit`` below the shuffle, so each map task forwards at most k
@@ -78,13 +78,3 @@ def batch_numbers(df: DataFrame, batch_size: int, order_col: str = "rank", group
     return df.withColumn(out_col, F.floor(rn / F.lit(batch_size)).cast("int")).withColumn(
         "batch_pos", (rn % F.lit(batch_size)).cast("int")
     )
-
-
-def encounter_rank(df: DataFrame, source_ord: str = "source_ord", item_pos: str = "item_pos", out_col: str = "ord") -> DataFrame:
-    """A global, unique, dense position from (source order, item position).
-
-    Computed without a global sort: ``source_ord`` and ``item_pos`` are
-    packed into one long (2^31 sources x 2^32 positions), which preserves
-    their lexicographic order.
-    """
-    return df.withColumn(out_col, F.col(source_ord).cast("bigint") * F.lit(1 << 32) + F.col(item_pos).cast("bigint"))

@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from digestry.functions import text as T
 from digestry.plans import sqlgen as Q
 from digestry.plans.catalog import register
 from digestry.plans.catalog_text import _sql_resolve

@@ -8,7 +8,6 @@ micro-batch, drained with ``availableNow``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from digestry.operators import store
 from digestry.plans import sqlgen as Q
