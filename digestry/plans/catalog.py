@@ -77,17 +77,17 @@ def q1_top_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUN_AS_OF = "2024-01-20 18:00:00"
 
 
-def q0_params(model_enabled: bool = True):
+def q0_params(model_enabled: bool = True, group: str = "lang"):
     from digestry.params import DigestParams
 
-    return DigestParams(group_cols=("lang",), enable_model_scoring=model_enabled)
+    return DigestParams(group_cols=(group,), enable_model_scoring=model_enabled)
 
 
-def q0_run(spark: SparkSession, sf_dir: str, finish: bool = True, model_enabled: bool = True):
+def q0_run(spark: SparkSession, sf_dir: str, finish: bool = True, model_enabled: bool = True, group: str = "lang"):
     from digestry.plans.signal_digest import run_digest
 
     return run_digest(
-        TD.articles(spark, sf_dir), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, q0_params(model_enabled), RUN_AS_OF,
+        TD.articles(spark, sf_dir), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, q0_params(model_enabled, group), RUN_AS_OF,
         model_scores=TD.model_scores(spark, sf_dir), analyses=TD.analyses(spark, sf_dir),
         stored=TD.stored_articles(spark, sf_dir), finish=finish,
     )
@@ -105,6 +105,16 @@ def q0_signal_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("q0_digest_per_source")
+def q0_digest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q0 with one digest per source (20 digests in one job): the group column
+    is any article column; every per-group cut applies inside each source."""
+    docs = q0_run(spark, sf_dir, group="source").digests
+    return docs.select("source", F.posexplode("items").alias("_p", "_i"), "metadata").select(
+        F.col("source").alias("digest"), (F.col("_p") + 1).cast("int").alias("pos"), "_i.*",
+        F.col("metadata.total_new_items").alias("total_new_items"), F.col("metadata.total_selected").alias("total_selected"))
+
+
 # the per-operator query modules register themselves on import
 from digestry.plans import catalog_text  # noqa: E402,F401
 from digestry.plans import catalog_dedup  # noqa: E402,F401

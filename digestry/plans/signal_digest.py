@@ -46,6 +46,11 @@ class DigestRun:
     digests: DataFrame  # M7 result
 
 
+def _uniq(cols: list[str]) -> list[str]:
+    """Column names without repeats (a group column may also be an article column)."""
+    return list(dict.fromkeys(cols))
+
+
 def match_indices(keywords_: list[str], title: str = "title", content: str = "content", scoring_text: str | None = None):
     """S16 as indices into ``keywords_`` (small ints instead of strings on narrow rows).
 
@@ -105,7 +110,7 @@ def run_digest(
         scored = keywords.layer1_scores(new, positive, negative, inline_limit=params.inline_keyword_limit, keep_text=True)
         scored = scored.withColumn("match_idx", match_indices(kw_list, scoring_text="_score_text"))
     narrow = scored.select(
-        *g, "id", "title", "url", "source", "published_at", "ord", "positive", "negative", "layer1", "match_idx",
+        *_uniq([*g, "id", "title", "url", "source", "published_at", "ord", "positive", "negative", "layer1", "match_idx"]),
         dedup.content_empty("content").alias("_empty"),
         F.lit(1).cast("bigint").alias("_n_raw"),
     )
@@ -150,17 +155,18 @@ def run_digest(
     keys = checked_broadcast(enriched.select("id", "ord"), store.MAX_BROADCAST_NEW_ROWS)
     content = articles.select("id", "ord", "content").join(keys, ["id", "ord"], "left_semi")
     to_store = enriched.join(content, ["id", "ord"], "left").withColumn("pos", F.col("sel_rank"))
-    new_rows = store.to_stored(to_store, dd_text, keep=[*g, "pos"])
+    extra = [c for c in g if c not in store.ARTICLE_COLUMNS]  # group columns the article schema lacks
+    new_rows = store.to_stored(to_store, dd_text, keep=[*extra, "pos"])
     if stored is not None:
-        stored_next = store.upsert(stored.select(*store.ARTICLE_COLUMNS, *g), new_rows, "pos", extra_cols=g)
+        stored_next = store.upsert(stored.select(*store.ARTICLE_COLUMNS, *extra), new_rows, "pos", extra_cols=extra)
     else:
         stored_next = new_rows.drop("pos")
 
     # F6 + U2: pending (storage order) then this run's items; later wins, first position kept
     pend = store.pending(stored_next, params.signal_threshold, as_of, params.pending_hours, strict)
-    pend = pend.select(*g, *digest.ITEM_FIELDS, "id", F.lit(0).alias("_src"), F.col("digest_date").alias("_k1"),
-                       F.col("id").alias("_k2"))
-    cur = enriched.select(*g, *digest.ITEM_FIELDS, "id", F.lit(1).alias("_src"),
+    fields = _uniq([*g, *digest.ITEM_FIELDS, "id"])
+    pend = pend.select(*fields, F.lit(0).alias("_src"), F.col("digest_date").alias("_k1"), F.col("id").alias("_k2"))
+    cur = enriched.select(*fields, F.lit(1).alias("_src"),
                           F.lpad(F.col("sel_rank").cast("string"), 12, "0").alias("_k1"), F.lit("").alias("_k2"))
     keyed = pend.unionByName(cur).groupBy(*g, "id").agg(
         F.max_by(F.struct(*[F.col(c) for c in digest.ITEM_FIELDS]), F.col("_src")).alias("_v"),
@@ -168,6 +174,7 @@ def run_digest(
     )
     # one digest's items (selected + pending): bounded by the selection, not by the input
     w = Window.partitionBy(*g).orderBy("_p") if g else Window.orderBy("_p")
-    items = keyed.select(*g, "id", "_v.*", "_p").withColumn("pos", F.row_number().over(w)).drop("_p")
+    items = keyed.select(*g, "id", *[F.col("_v")[c].alias(c) for c in digest.ITEM_FIELDS if c not in g], "_p").withColumn(
+        "pos", F.row_number().over(w)).drop("_p")
     docs = digest.assemble(items, counts, dd_text, g, "pos")
     return DigestRun(new, uniq, pruned, fuzzy, cands, blended, enriched, stored_next, items, docs)
