@@ -83,13 +83,26 @@ def run_digest(
     analyses: DataFrame | None = None,
     stored: DataFrame | None = None,
     finish: bool = True,
+    health: DataFrame | None = None,
+    force: bool = False,
 ) -> DigestRun:
     """Q0.  With ``finish=False`` only the selection (up to J4) is planned:
-    no checkpoint, store or digest step."""
+    no checkpoint, store or digest step.
+
+    ``health`` (a source-health log) turns on F1: items of sources whose
+    latest check is younger than ``params.cooldown_minutes`` are skipped
+    (``force`` bypasses it), as the reference skips those sources before
+    fetching.  If every source is cooling down, the run still assembles the
+    pending items."""
     g = list(params.group_cols)
     strict = params.strict_reference
     # the mark is one scalar of the stored table (or none)
     hwm = store.read_mark(stored, strict) if stored is not None else None
+    if health is not None and not force:
+        sources = articles.select(F.col("source").alias("id")).distinct()
+        active = store.cooldown_filter(sources, health, as_of, params.cooldown_minutes)
+        keys = checked_broadcast(active.select(F.col("id").alias("source")), 1 << 20)
+        articles = articles.join(keys, "source", "left_semi")
     new = store.incremental_filter(articles, hwm)
 
     # scan-side work: layer-1 score, coverage matches, content flag; then drop the text

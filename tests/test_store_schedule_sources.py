@@ -136,3 +136,20 @@ def test_upsert_broadcast_and_shuffle_paths_agree(spark):
     finally:
         store.MAX_BROADCAST_NEW_ROWS = old
     assert fast == slow and len(fast) == 70
+
+
+def test_digest_run_skips_cooling_sources(spark):
+    from digestry.params import DigestParams
+    from digestry.plans.signal_digest import run_digest
+
+    arts = spark.createDataFrame(
+        [(str(i), f"headline number {i} about agents", f"https://s{i % 2}.example/{i}", f"s{i % 2}", "agents agents",
+          None, i) for i in range(6)],
+        "id string, title string, url string, source string, content string, published_at string, ord bigint")
+    health = spark.createDataFrame([(1, "s0", "ok", "2024-01-01 11:59:00")], "id int, source string, status string, last_check string") \
+        .withColumn("last_check", F.to_timestamp("last_check"))
+    params = DigestParams(signal_threshold=0, max_items=10, enable_model_scoring=False, fuzzy_threshold=0.99)
+    run = run_digest(arts, {"agents": 10}, {}, params, "2024-01-01 12:00:00", health=health, finish=False)
+    assert {r["id"] for r in run.selected.collect()} <= {"1", "3", "5"}
+    forced = run_digest(arts, {"agents": 10}, {}, params, "2024-01-01 12:00:00", health=health, force=True, finish=False)
+    assert any(r["id"] in {"0", "2", "4"} for r in forced.selected.collect())
