@@ -40,27 +40,29 @@ def negative_split(df: DataFrame, negative_col: str = "negative") -> DataFrame:
     return df.withColumn("needs_model", F.col(negative_col) == F.lit(0.0))
 
 
-def lookup_scores(cands: DataFrame, scores: DataFrame, key: str = "id", score_col: str = "model_score") -> DataFrame:
+def lookup_scores(cands: DataFrame, scores: DataFrame, key: str = "id", score_col: str = "model_score",
+                  bounded: bool = False) -> DataFrame:
     """Left lookup of a model score by id; missing -> 0.
 
     The score table is reduced to the candidates' keys by a semi join before
     the lookup, so only matching score rows move.
     """
     # the candidate ids are few (count-checked broadcast); the score table is only streamed
-    keys = checked_broadcast(cands.select(key).distinct(), MAX_LOOKUP_KEYS)
+    keys = cands.select(key).distinct()
+    keys = F.broadcast(keys) if bounded else checked_broadcast(keys, MAX_LOOKUP_KEYS)
     needed = scores.join(keys, key, "left_semi").groupBy(key).agg(F.max(score_col).alias("_l2"))
     return cands.join(needed, key, "left").withColumn("layer2", F.coalesce(F.col("_l2"), F.lit(0.0))).drop("_l2")
 
 
 def model_layer(cands: DataFrame, scores: DataFrame | None, enabled: bool = True, l1: str = "layer1",
-                negative_col: str = "negative", w1: float = 0.7, w2: float = 0.3) -> DataFrame:
+                negative_col: str = "negative", w1: float = 0.7, w2: float = 0.3, bounded: bool = False) -> DataFrame:
     """F4 + J2 + S5 (+ F8 when disabled): adds ``layer2`` and ``final_score``."""
     if not enabled or scores is None:
         return cands.withColumn("layer2", F.lit(None).cast("double")).withColumn(
             "final_score", F.round(F.col(l1)).cast("bigint")
         )
     split = negative_split(cands, negative_col)
-    looked = lookup_scores(split, scores)
+    looked = lookup_scores(split, scores, bounded=bounded)
     l2 = F.when(F.col("needs_model"), F.col("layer2")).otherwise(F.lit(0.0))
     return looked.withColumn("layer2", l2).withColumn("final_score", S.blend(l1, "layer2", w1, w2)).drop("needs_model")
 

@@ -62,7 +62,7 @@ def to_stored(df: DataFrame, digest_date: str | None = None, keep=()) -> DataFra
 MAX_BROADCAST_NEW_ROWS = 2_000_000
 
 
-def upsert(stored: DataFrame, new: DataFrame, order_col: str = "pos", extra_cols=()) -> DataFrame:
+def upsert(stored: DataFrame, new: DataFrame, order_col: str = "pos", extra_cols=(), new_is_small: bool = False) -> DataFrame:
     """Insert new ids; on an existing id update only title, summary,
     category and score.  Within ``new``, a repeated id takes the last row's
     updatable values and the first row's other values (``order_col`` order).
@@ -81,7 +81,7 @@ def upsert(stored: DataFrame, new: DataFrame, order_col: str = "pos", extra_cols
              F.lit(True).alias("_in"))
     all_cols = [*ARTICLE_COLUMNS, *extra_cols]
     s = stored.select(*all_cols, F.lit(True).alias("_in"))
-    if n.limit(MAX_BROADCAST_NEW_ROWS + 1).count() <= MAX_BROADCAST_NEW_ROWS:
+    if new_is_small or n.limit(MAX_BROADCAST_NEW_ROWS + 1).count() <= MAX_BROADCAST_NEW_ROWS:
         nb = F.broadcast(n)
         upd = s.alias("s").join(nb.alias("n"), "id", "left").select(*[
             F.col("id") if c == "id" else

@@ -140,12 +140,17 @@ def run_digest(
     # size checks of the broadcast lookups below read this small set, not the whole lineage
     checkpoint_dir(cands.sparkSession)
     cands = cands.checkpoint()
-    blended = model.model_layer(cands, model_scores, params.enable_model_scoring, w1=params.blend_l1, w2=params.blend_l2)
+    # every later small set (selection, enrichment, rows to store) is a subset of the
+    # candidates: one count bounds them all
+    small = cands.count() <= min(model.MAX_LOOKUP_KEYS, store.MAX_BROADCAST_NEW_ROWS)
+    blended = model.model_layer(cands, model_scores, params.enable_model_scoring, w1=params.blend_l1, w2=params.blend_l2,
+                                bounded=small)
     sel = rank.select_top(blended, params.signal_threshold, params.max_items, g, "final_score", "cov_rank", "sel_rank")
 
     # Analysis lookup (default: precomputed table), fallback S17
     if analyses is not None:
-        keys = checked_broadcast(sel.select("id").distinct(), model.MAX_LOOKUP_KEYS)
+        keys = sel.select("id").distinct()
+        keys = F.broadcast(keys) if small else checked_broadcast(keys, model.MAX_LOOKUP_KEYS)
         a = analyses.join(keys, "id", "left_semi").dropDuplicates(["id"]).select(
             "id", F.col("summary").alias("_as"), F.col("category").alias("_ac"), F.lit(True).alias("_ah"))
         sel = sel.join(a, "id", "left")
@@ -165,13 +170,15 @@ def run_digest(
     dd_text = dt.datetime.fromisoformat(as_of).date().isoformat()
     # K1: the content of the selected rows only, joined back by (id, ord)
     # the selection is small (count-checked broadcast): the text side is only streamed, never shuffled
-    keys = checked_broadcast(enriched.select("id", "ord"), store.MAX_BROADCAST_NEW_ROWS)
+    keys = enriched.select("id", "ord")
+    keys = F.broadcast(keys) if small else checked_broadcast(keys, store.MAX_BROADCAST_NEW_ROWS)
     content = articles.select("id", "ord", "content").join(keys, ["id", "ord"], "left_semi")
     to_store = enriched.join(content, ["id", "ord"], "left").withColumn("pos", F.col("sel_rank"))
     extra = [c for c in g if c not in store.ARTICLE_COLUMNS]  # group columns the article schema lacks
     new_rows = store.to_stored(to_store, dd_text, keep=[*extra, "pos"])
     if stored is not None:
-        stored_next = store.upsert(stored.select(*store.ARTICLE_COLUMNS, *extra), new_rows, "pos", extra_cols=extra)
+        stored_next = store.upsert(stored.select(*store.ARTICLE_COLUMNS, *extra), new_rows, "pos", extra_cols=extra,
+                                   new_is_small=small)
     else:
         stored_next = new_rows.drop("pos")
 
