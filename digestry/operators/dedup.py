@@ -259,20 +259,21 @@ def fuzzy_dedup_scale(
     earliest similar leader; the survivor of a cluster is its first row with
     content, else its first row (M8), at the leader's position.
     """
-    from digestry.session import checkpoint_dir
+    from digestry.session import checkpoint_dir, materialize
 
     spark = df.sparkSession
     checkpoint_dir(spark)
     g = list(group_cols)
     members, reps = _norm_table(df, group_cols, title, ord_col)
-    pairs = _rep_pairs(reps, group_cols, threshold).checkpoint()
+    pairs = materialize(_rep_pairs(reps, group_cols, threshold))
     nodes = reps.select(*g, "_rep")
     # status: 1 leader, 2 absorbed, null undecided; only titles with an earlier neighbour
     # can be absorbed, so the rest are leaders from the start.
     has_earlier = pairs.select(*g, F.col("b").alias("_rep")).distinct().withColumn("_e", F.lit(True))
     state = nodes.join(has_earlier, [*g, "_rep"], "left").select(
         *g, "_rep", F.when(F.col("_e").isNull(), F.lit(1)).alias("_st")
-    ).checkpoint()
+    )
+    state = materialize(state)
     for _ in range(max_rounds):
         st_a = state.select(*g, F.col("_rep").alias("a"), F.col("_st").alias("sa"))
         st_b = state.select(*g, F.col("_rep").alias("b"), F.col("_st").alias("sb"))
@@ -288,8 +289,8 @@ def fuzzy_dedup_scale(
         state = (
             state.join(new, [*g, "_rep"], "left")
             .select(*g, "_rep", F.coalesce(F.col("_st"), F.col("_new")).alias("_st"))
-            .checkpoint()
         )
+        state = materialize(state)
         if state.where(F.col("_st").isNull()).limit(1).count() == 0:
             break
     else:

@@ -29,7 +29,7 @@ from digestry.functions import scores as S
 from digestry.functions import text as T
 from digestry.operators import dedup, digest, keywords, model, rank, store
 from digestry.params import DigestParams
-from digestry.session import checked_broadcast, checkpoint_dir
+from digestry.session import checked_broadcast, checkpoint_dir, materialize
 
 
 @dataclass
@@ -138,8 +138,7 @@ def run_digest(
     cands = rank.coverage_filter(with_matches, "matches", "rank", g, params.candidate_limit, "cov_rank")
     # at most candidate_limit rows per group: materialise once (reliable checkpoint), so the
     # size checks of the broadcast lookups below read this small set, not the whole lineage
-    checkpoint_dir(cands.sparkSession)
-    cands = cands.checkpoint()
+    cands = materialize(cands)
     # every later small set (selection, enrichment, rows to store) is a subset of the
     # candidates: one count bounds them all
     small = cands.count() <= min(model.MAX_LOOKUP_KEYS, store.MAX_BROADCAST_NEW_ROWS)
@@ -164,8 +163,7 @@ def run_digest(
         return DigestRun(new, uniq, pruned, fuzzy, cands, blended, enriched, None, None, None)
     # the selection is at most max_items rows per group; materialise it once
     # (reliable checkpoint in spark.checkpoint.dir) for the store and digest steps
-    checkpoint_dir(sel.sparkSession)
-    enriched = enriched.checkpoint()
+    enriched = materialize(enriched)
 
     dd_text = dt.datetime.fromisoformat(as_of).date().isoformat()
     # K1: the content of the selected rows only, joined back by (id, ord)

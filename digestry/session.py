@@ -100,3 +100,21 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
         return F.broadcast(df)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (in ``spark.checkpoint.dir``) computed once.
+
+    ``Dataset.checkpoint`` runs its lineage for the eager action and again to
+    write the checkpoint files unless the data is persisted; persisting
+    (memory and disk) around the checkpoint avoids the second run.  The
+    returned DataFrame reads the checkpoint files, so it survives the loss
+    of executors and its lineage is cut.
+    """
+    checkpoint_dir(df.sparkSession)
+    df.persist()
+    try:
+        out = df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestry.functions import dates, text
-from digestry.session import checkpoint_dir, spread
+from digestry.session import checkpoint_dir, materialize, spread
 
 # ---------------------------------------------------------------------------
 # Fixed values of the test binding.
@@ -230,7 +230,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id string, name string, type string, url string, tier int, tags array<string>, selector string, mapping map<string,string>")
     # a small dimension table read by several branches: materialise it once
     checkpoint_dir(spark)
-    return feeds.unionByName(pages).unionByName(events_json).unionByName(events_api).unionByName(fixed).checkpoint()
+    return materialize(feeds.unionByName(pages).unionByName(events_json).unionByName(events_api).unionByName(fixed))
 
 
 def xml_escape(c: Column) -> Column:
@@ -305,7 +305,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a deployment reads its payload table from storage; the binding writes the
     # derived one once (reliable checkpoint) so every parser branch reads it back
     checkpoint_dir(spark)
-    return out.withColumn("fetched_at", F.to_timestamp(F.lit(AS_OF))).checkpoint()
+    return materialize(out.withColumn("fetched_at", F.to_timestamp(F.lit(AS_OF))))
 
 
 # ---------------------------------------------------------------------------
