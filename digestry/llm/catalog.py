@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from digestry.llm import chat, mixing, url_rules
+from digestry.llm import chat, mixing, quality, secrets, url_rules
 
-_MODULES = (chat, url_rules, mixing)
+_MODULES = (chat, url_rules, quality, mixing, secrets)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

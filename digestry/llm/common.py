@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from digestry import session
 
@@ -53,3 +55,24 @@ def registry() -> tuple[dict[str, Callable], dict[str, str], Callable]:
         return add
 
     return queries, oracles, register
+
+
+def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[..., dict]], rows: int = 256) -> DataFrame:
+    """Arrow map over slices of at most ``rows`` rows.
+
+    ``make()`` runs once per task and returns a function that takes the columns as Python lists
+    and returns the output columns as lists.  Slices keep the Python copies of long texts few.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out = work(*[c.to_pylist() for c in part.columns])
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, schema)
