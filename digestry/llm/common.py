@@ -76,3 +76,19 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[..., dict]
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+#: A key holding more than one in ``HOT_SHARE`` of all rows is joined by broadcast: there are fewer such keys than this.
+HOT_SHARE = 1000
+
+
+def join_split(rows: DataFrame, by_key: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``by_key``, which has one row per key and, in ``n``, the number of rows with it.
+
+    Rows of the few hot keys stay where they are and meet a broadcast of under ``HOT_SHARE`` rows;
+    all others are shuffled, so no task gathers more than a small share of the rows.  ``rows`` and
+    ``by_key`` should be written tables: both are read twice.
+    """
+    hot = F.broadcast(by_key.filter(F.col("n") > max(1, total // HOT_SHARE)))
+    rest = rows.join(hot.select(key), key, "left_anti").join(by_key.drop("n"), key, how)
+    return rows.join(hot.drop("n"), key).unionByName(rest)
