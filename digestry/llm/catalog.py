@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from digestry.llm import chat, mixing, quality, secrets, simhash, url_rules
+from digestry.llm import chat, mixing, packing, quality, secrets, simhash, url_rules
 
-_MODULES = (chat, url_rules, simhash, quality, mixing, secrets)
+_MODULES = (packing, chat, url_rules, simhash, quality, mixing, secrets)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
