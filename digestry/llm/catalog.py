@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from digestry.llm import chat, mixing, packing, quality, secrets, simhash, topk, url_rules
+from digestry.llm import chat, language, mixing, packing, quality, secrets, simhash, topk, url_rules
 
-_MODULES = (packing, chat, url_rules, simhash, quality, topk, mixing, secrets)
+_MODULES = (packing, chat, url_rules, simhash, quality, topk, mixing, secrets, language)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
