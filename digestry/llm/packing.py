@@ -4,7 +4,8 @@ Documents are tokenized and cut into pieces of at most ``LENGTH`` tokens.  Only
 for packing, and there are at most ``LENGTH`` of them, so the search runs over the counts per
 length (a bounded table, however many documents there are) and its result is a short list of
 fillings, each with the number of sequences it is used for.  Pieces are then numbered within
-their length, and a piece's number gives its sequence and place.  Neither ids nor texts are shuffled.
+their length, and a piece's number gives its sequence and place.  Texts are never shuffled; ids only
+where the caller wants them placed (``with_ids``), as ``sequences`` does to build the packed rows.
 
 Search: branch and bound over fillings around the largest length left.  A filling is undominated if
 nothing more fits and no length in it can be exchanged for a larger one that is left.  Fillings are
@@ -37,7 +38,7 @@ ROWS_PER_RANGE = 8192  # pieces of one length that are numbered together, about
 Filling = tuple[tuple[int, int], ...]  # (length, how often), largest first
 Plan = list[tuple[Filling, int]]  # fillings and for how many sequences each
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, hash long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, hash long, ids array<int>"
 
 
 def default_vocabulary() -> str:
@@ -87,8 +88,10 @@ def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(0, head)] * (head > 0) + [(at, length) for at in range(head, n, length)]
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece; ``hash`` spreads the pieces and is the same on every run."""
+def token_pieces(
+    docs: DataFrame, vocabulary: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """One row per piece; ``hash`` spreads the pieces and is the same on every run; ids are null unless asked for."""
 
     def make():
         import zlib
@@ -105,7 +108,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, id_col:
                     crc = zlib.crc32(tokens[start : start + n].tobytes())
                     # neither the id alone (it may repeat or be null) nor the tokens alone (copies)
                     spread = zlib.crc32(f"{doc_id}:{k}:{crc}".encode())
-                    for values, x in zip(out.values(), (doc_id, k, start, n, crc, spread), strict=True):
+                    ids_of = tokens[start : start + n].tolist() if with_ids else None
+                    for values, x in zip(out.values(), (doc_id, k, start, n, crc, spread, ids_of), strict=True):
                         values.append(x)
             return out
 
@@ -142,7 +146,7 @@ def _use(left: dict[int, int], filling: Filling) -> int:
     return times
 
 
-def sequences(plan: Plan) -> int:
+def n_sequences(plan: Plan) -> int:
     return sum(times for _, times in plan)
 
 
@@ -207,7 +211,7 @@ def bin_completion(counts: dict[int, int], length: int = LENGTH, nodes: int = NO
     """Fillings for all pieces counted in ``counts`` (length -> number), as few sequences as the search finds."""
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit(counts, length)
-    least, most = lower_bound(counts, length), sequences(best)
+    least, most = lower_bound(counts, length), n_sequences(best)
     total = sum(s * n for s, n in counts.items())
     steps = nodes
 
@@ -222,8 +226,8 @@ def bin_completion(counts: dict[int, int], length: int = LENGTH, nodes: int = NO
     while stack and most > least and steps:
         left, wasted, plan, todo = stack.pop()
         if not left:
-            if sequences(plan) < most:
-                best, most = plan, sequences(plan)
+            if n_sequences(plan) < most:
+                best, most = plan, n_sequences(plan)
             continue
         if wasted > (most - 1) * length - total:
             continue
@@ -280,10 +284,13 @@ def number_within_length(pieces: DataFrame, total: int) -> DataFrame:
     return numbered.withColumn("number", F.col("ahead") + F.col("inside")).drop("range", "ahead", "inside", "hash")
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(
+    docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for."""
     spark = docs.sparkSession
-    pieces = written(token_pieces(docs, vocabulary or default_vocabulary(), length, id_col, text_col))
+    pieces = token_pieces(docs, vocabulary or default_vocabulary(), length, id_col, text_col, with_ids)
+    pieces = written(pieces if with_ids else pieces.drop("ids"))
     # at most `length` rows
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = bin_completion(counts, length)
@@ -302,9 +309,16 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, i
         "ids_crc32",
         (F.col("first_sequence") + F.expr("(number - first) div per_sequence")).alias("sequence_id"),
         (F.col("first_offset") + nth % F.col("per_sequence") * F.col("length")).alias("offset"),
+        *(["ids"] if with_ids else []),
     )
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, ids of the whole sequence, and starts of the pieces in it, from ``pack(..., with_ids=True)``."""
+    rows = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("pieces"))
+    return rows.select("sequence_id", F.flatten("pieces.ids").alias("ids"), F.col("pieces.offset").alias("starts"))
+
+
 @register("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))

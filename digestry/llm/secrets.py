@@ -173,7 +173,7 @@ _SCAN: list = []
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every secret in the text replaced by ``MASK``; other columns as they are."""
+    """``docs`` with every secret in the text replaced by ``MASK`` and, where there is one, n_chars counted anew."""
 
     @F.udf("string", useArrow=True)
     def masked(text):
@@ -181,7 +181,8 @@ def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
             _SCAN.append(make_scanner())  # one per Python worker
         return mask(text, _SCAN[0](text))
 
-    return docs.withColumn(text_col, masked(F.col(f"`{text_col}`")))
+    out = docs.withColumn(text_col, masked(F.col(f"`{text_col}`")))
+    return out.withColumn("n_chars", F.length(F.col(f"`{text_col}`")).cast("long")) if "n_chars" in docs.columns else out
 
 
 @register("op9_secret_scan")
