@@ -14,9 +14,9 @@ from digestry.functions import text as T
 
 # ---------------------------------------------------------------------------
 # Chat-block texts of the K5 sink.
-HEADER_TEXT = "Signal Digest - {date}"
-SUMMARY_TEXT = "Found *{selected}* high-signal items out of *{new}* new articles analyzed today."
-FOOTER_TEXT = "Generated by digestry."
+HEADER_TEXT = "Your digest, {date}"
+SUMMARY_TEXT = "New since the last run: {new}. Picked for you: *{selected}*."
+FOOTER_TEXT = "Sent by digestry"
 # ---------------------------------------------------------------------------
 
 ITEM_FIELDS = ("title", "url", "summary", "category", "source", "score")
@@ -59,29 +59,34 @@ def new_item_counts(new_items: DataFrame, group_cols=()) -> DataFrame:
 
 
 def to_json_doc(digests: DataFrame, group_cols=()) -> DataFrame:
-    """K4: the nested document as JSON text."""
-    return digests.select(*group_cols, F.to_json(F.struct("items", "metadata")).alias("json"))
+    """K4: the nested document as JSON text; a missing value is an explicit null."""
+    doc = F.to_json(F.struct("items", "metadata"), {"ignoreNullFields": "false"})
+    return digests.select(*group_cols, doc.alias("json"))
 
 
 def chat_blocks(digests: DataFrame, group_cols=()) -> DataFrame:
-    """K5: header, summary line, divider, one section per item, footer; as JSON."""
+    """K5: header, summary line, divider, one section per item, footer; as JSON.
+
+    The blocks differ in shape (a header's text allows emoji, a context block
+    has ``elements``), so each is written as JSON by itself."""
     md = F.col("metadata")
-    header = F.struct(F.lit("header").alias("type"), F.struct(
-        F.lit("plain_text").alias("type"),
-        F.replace(F.lit(HEADER_TEXT), F.lit("{date}"), md["date"]).alias("text")).alias("text"))
-    summary_txt = F.replace(F.replace(F.lit(SUMMARY_TEXT), F.lit("{selected}"), md["total_selected"].cast("string")),
-                            F.lit("{new}"), md["total_new_items"].cast("string"))
-    summary = F.struct(F.lit("section").alias("type"),
-                       F.struct(F.lit("mrkdwn").alias("type"), summary_txt.alias("text")).alias("text"))
-    divider = F.struct(F.lit("divider").alias("type"), F.lit(None).cast("struct<type:string,text:string>").alias("text"))
-    items = F.transform(F.col("items"), lambda i: F.struct(
-        F.lit("section").alias("type"),
-        F.struct(F.lit("mrkdwn").alias("type"),
-                 T.digest_line(i["title"], i["url"], i["category"], i["source"], i["score"], i["summary"]).alias("text")).alias("text")))
-    footer = F.struct(F.lit("context").alias("type"),
-                      F.struct(F.lit("mrkdwn").alias("type"), F.lit(FOOTER_TEXT).alias("text")).alias("text"))
-    blocks = F.concat(F.array(header, summary, divider), items, F.array(footer))
-    return digests.select(*group_cols, F.to_json(F.struct(blocks.alias("blocks"))).alias("json"))
+
+    def text(kind: str, value: Column, *more: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), value.alias("text"), *more)
+
+    def section(value: Column) -> Column:
+        return F.to_json(F.struct(F.lit("section").alias("type"), text("mrkdwn", value).alias("text")))
+
+    title = F.replace(F.lit(HEADER_TEXT), F.lit("{date}"), md["date"])
+    header = F.to_json(F.struct(F.lit("header").alias("type"), text("plain_text", title, F.lit(True).alias("emoji")).alias("text")))
+    summary = section(F.replace(F.replace(F.lit(SUMMARY_TEXT), F.lit("{selected}"), md["total_selected"].cast("string")),
+                                F.lit("{new}"), md["total_new_items"].cast("string")))
+    divider = F.to_json(F.struct(F.lit("divider").alias("type")))
+    items = F.transform(F.col("items"), lambda i: section(
+        T.digest_line(i["title"], i["url"], i["category"], i["source"], i["score"], i["summary"])))
+    footer = F.to_json(F.struct(F.lit("context").alias("type"), F.array(text("mrkdwn", F.lit(FOOTER_TEXT))).alias("elements")))
+    blocks = F.array_join(F.concat(F.array(header, summary, divider), items, F.array(footer)), ",")
+    return digests.select(*group_cols, F.concat(F.lit('{"blocks":['), blocks, F.lit("]}")).alias("json"))
 
 
 def delivery_outcome(outcomes: DataFrame, group_cols=()) -> DataFrame:

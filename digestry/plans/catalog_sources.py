@@ -142,7 +142,7 @@ def a04(spark: SparkSession, sf: str) -> DataFrame:
 HN_ITEMS = f"""hn_items AS (
   SELECT 'hn' AS source, floor(item_id / {PI}) AS page,
          row_number() OVER (PARTITION BY floor(item_id / {PI}) ORDER BY item_id) - 1 AS item_pos,
-         CAST(item_id AS VARCHAR) AS id, substr(split_part(text, '.', 1), 1, 80) AS title,
+         CAST(item_id AS VARCHAR) AS id, split_part(text, '.', 1) AS title,
          '{P.NEWS_API_ITEM_URL}' || CAST(item_id AS VARCHAR) AS url, coalesce(nullif(text, ''), '') AS content,
          strftime(TIMESTAMP '{TD.EPOCH_START}' + to_hours(CAST(item_id AS INTEGER)), '%Y-%m-%dT%H:%M:%S.%gZ') AS published_at
   FROM benchmark)"""

@@ -166,14 +166,12 @@ def m7(spark: SparkSession, sf: str) -> DataFrame:
         F.col("metadata.date").alias("digest_date"))
 
 
-def _json_field(name: str, expr: str, last: bool = False) -> str:
-    """A JSON member as Spark's to_json writes it: omitted when the value is null."""
-    return f"CASE WHEN {expr} IS NULL THEN '' ELSE '\"{name}\":' || CAST(to_json({expr}) AS VARCHAR) || '{'' if last else ','}' END"
+def _json_value(expr: str) -> str:
+    return f"coalesce(CAST(to_json({expr}) AS VARCHAR), 'null')"
 
 
-_K4_ITEM = ("'{' || rtrim(" + " || ".join([
-    _json_field("title", "title"), _json_field("url", "url"), _json_field("summary", "summary"),
-    _json_field("category", "category"), _json_field("source", "source"), _json_field("score", "score")]) + ", ',') || '}'")
+_K4_ITEM = ("'{' || " + " || ',' || ".join(
+    f"'\"{name}\":' || {_json_value(name)}" for name in ("title", "url", "summary", "category", "source", "score")) + " || '}'")
 
 
 @register("k4_digest_json", f"""WITH RECURSIVE {CHAIN}
@@ -185,17 +183,18 @@ def k4(spark: SparkSession, sf: str) -> DataFrame:
     return digest.to_json_doc(catalog.q0_run(spark, sf).digests, ["lang"])
 
 
-def _block(kind: str, text_kind: str, text_expr: str) -> str:
+def _block(kind: str, text_kind: str, text_expr: str, more: str = "") -> str:
     return (f"'{{\"type\":\"{kind}\",\"text\":{{\"type\":\"{text_kind}\",\"text\":' || "
-            f"CAST(to_json({text_expr}) AS VARCHAR) || '}}}}'")
+            f"CAST(to_json({text_expr}) AS VARCHAR) || '{more}}}}}'")
 
 
 _K5_LINE = ("'*<' || url || '|' || title || '>*' || chr(10) || '_' || category || '_ • ' || source || ' • Score: ' "
             f"|| CAST(score AS VARCHAR) || chr(10) || coalesce(nullif(summary, ''), {Q.q('No summary available.')})")
-_K5_HEADER = _block("header", "plain_text", f"replace({Q.q(digest.HEADER_TEXT)}, '{{date}}', max(digest_date))")
+_K5_HEADER = _block("header", "plain_text", f"replace({Q.q(digest.HEADER_TEXT)}, '{{date}}', max(digest_date))", ',"emoji":true')
 _K5_SUMMARY = _block("section", "mrkdwn", f"replace(replace({Q.q(digest.SUMMARY_TEXT)}, '{{selected}}', CAST(max(total_selected) AS VARCHAR)), "
                                           f"'{{new}}', CAST(max(total_new_items) AS VARCHAR))")
-_K5_FOOTER = _block("context", "mrkdwn", Q.q(digest.FOOTER_TEXT))
+_K5_FOOTER = ("'{\"type\":\"context\",\"elements\":[{\"type\":\"mrkdwn\",\"text\":' || "
+              f"CAST(to_json({Q.q(digest.FOOTER_TEXT)}) AS VARCHAR) || '}}]}}'")
 
 
 @register("k5_chat_blocks", f"""WITH RECURSIVE {CHAIN}

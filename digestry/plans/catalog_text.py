@@ -115,16 +115,16 @@ def s08(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _second_sentence_sql() -> str:
-    return "substr(split_part(text, '.', 2), 1, 80)"
+    return "split_part(text, '.', 2)"
 
 
 @register("s11_dice_title_vs_second_sentence", f"""
-WITH d AS (SELECT doc_id, {Q.norm_title("substr(split_part(text, '.', 1), 1, 80)")} AS a, {Q.norm_title(_second_sentence_sql())} AS b FROM documents)
+WITH d AS (SELECT doc_id, {Q.norm_title("split_part(text, '.', 1)")} AS a, {Q.norm_title(_second_sentence_sql())} AS b FROM documents)
 SELECT doc_id, {Q.dice('a', 'b', Q.bigrams('a'), Q.bigrams('b'))} AS dice FROM d""")
 def s11(spark: SparkSession, sf: str) -> DataFrame:
     d = TD.table(spark, sf, "documents").select(
         "doc_id", T.normalize_title(TD.doc_title(F.col("text"))).alias("a"),
-        T.normalize_title(F.substring(F.split_part(F.col("text"), F.lit("."), F.lit(2)), 1, 80)).alias("b"))
+        T.normalize_title(F.split_part(F.col("text"), F.lit("."), F.lit(2))).alias("b"))
     return d.select("doc_id", T.dice("a", "b", T.bigrams("a"), T.bigrams("b")).alias("dice"))
 
 
@@ -230,20 +230,22 @@ def _response_text_spark():
     )
 
 
-_RESP_SQL = """CASE lang WHEN 'en' THEN '**Summary:** ' || substr(split_part(text, '.', 1), 1, 80) || chr(10) || '**Category:** ' || source || '.'
+_RESP_SQL = """CASE lang WHEN 'en' THEN '**Summary:** ' || split_part(text, '.', 1) || chr(10) || '**Category:** ' || source || '.'
                  WHEN 'de' THEN 'category: *' || source || '*'
-                 WHEN 'fr' THEN 'SUMMARY ' || substr(split_part(text, '.', 1), 1, 80)
-                 ELSE 'no labels here: ' || substr(split_part(text, '.', 1), 1, 80) END"""
-_SUM_RE = r"(?i)\*{0,2}summary\*{0,2}:?\*{0,2}\s*(.+)"
-_CAT_RE = r"(?i)\*{0,2}category\*{0,2}:?\*{0,2}\s*(.+)"
+                 WHEN 'fr' THEN 'SUMMARY ' || split_part(text, '.', 1)
+                 ELSE 'no labels here: ' || split_part(text, '.', 1) END"""
+
+
+def _labelled_sql(label: str) -> str:
+    fill = "chr(42) || ': ' || chr(9) || chr(13) || chr(10)"
+    return f"nullif(trim(split_part(ltrim(regexp_extract(resp, '{label}(.*)', 1, 'is'), {fill}), chr(10), 1)), '')"
 
 
 @register("s18_recover_fields", f"""
 WITH r AS (SELECT doc_id, {_RESP_SQL} AS resp FROM documents),
-m AS (SELECT doc_id, regexp_matches(resp, '{_SUM_RE[4:]}', 'i') AS hs, regexp_matches(resp, '{_CAT_RE[4:]}', 'i') AS hc, resp FROM r)
-SELECT doc_id,
-  CASE WHEN hs OR hc THEN (CASE WHEN hs THEN trim(regexp_extract(resp, '{_SUM_RE[4:]}', 1, 'i')) END) END AS summary,
-  CASE WHEN hs OR hc THEN (CASE WHEN hc THEN trim(regexp_replace(regexp_extract(resp, '{_CAT_RE[4:]}', 1, 'i'), '[.*]', '', 'g')) ELSE 'Uncategorized' END) END AS category
+m AS (SELECT doc_id, {_labelled_sql('summary')} AS s, {_labelled_sql('category')} AS c FROM r)
+SELECT doc_id, s AS summary,
+  CASE WHEN s IS NOT NULL OR c IS NOT NULL THEN coalesce(trim(replace(replace(c, '.', ''), '*', '')), 'Uncategorized') END AS category
 FROM m""")
 def s18(spark: SparkSession, sf: str) -> DataFrame:
     d = TD.table(spark, sf, "documents").withColumn("resp", _response_text_spark())

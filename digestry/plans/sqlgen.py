@@ -104,14 +104,14 @@ def is_valid_url(u: str) -> str:
 
 def articles_cte() -> str:
     """The test binding of ``documents`` as the CTE ``articles``."""
-    title = "substr(split_part(text, '.', 1), 1, 80)"
+    title = "split_part(text, '.', 1)"
     return f"""articles_src AS (
   SELECT doc_id, text, lang, source, n_chars, {title} AS title FROM documents
 ), articles AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, title,
-         'https://' || source || '.example/' || substr(md5({norm_title('title')}), 1, 12) || '?d=' || CAST(doc_id AS VARCHAR) AS url,
+         'https://' || source || '.example/' || md5({norm_title('title')}) || '?d=' || CAST(doc_id AS VARCHAR) AS url,
          source,
-         CASE WHEN n_chars < {TD.HEADLINE_ONLY_CHARS} THEN '' ELSE text END AS content,
+         substr(text, length(title) + 2) AS content,
          strftime(TIMESTAMP '{TD.EPOCH_START}' + to_hours(CAST(doc_id AS INTEGER)), '%Y-%m-%dT%H:%M:%S.%gZ') AS published_at,
          TIMESTAMP '{TD.EPOCH_START}' + to_hours(CAST(doc_id AS INTEGER)) AS published_ts,
          CAST(doc_id AS BIGINT) AS ord, lang

@@ -2,7 +2,7 @@
 
 Every derived table is computed by Spark from the given parquet tables, so its
 size grows with them.  The same derivations are written in DuckDB SQL in
-``digestry.plans.oracle``.
+``digestry.plans.sqlgen``.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from digestry.session import checkpoint_dir, materialize, spread
 
 # ---------------------------------------------------------------------------
 # Fixed values of the test binding.
-# Documents shorter than this are headline-only items (empty content).
-HEADLINE_ONLY_CHARS = 400
 # Publication instant of document d: EPOCH_START + d hours.
 EPOCH_START = "2024-01-01 00:00:00"
 # Scoring dictionary (positive weights); also the coverage dictionary of F5.
@@ -50,12 +48,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_title(text_col: Column) -> Column:
-    """First sentence, first 80 characters."""
-    return F.substring(F.split_part(text_col, F.lit("."), F.lit(1)), 1, 80)
+    """The whole first sentence (up to the first full stop)."""
+    return F.split_part(text_col, F.lit("."), F.lit(1))
+
+
+def doc_content(text_col: Column) -> Column:
+    """The text after the first sentence; empty when there is only that one."""
+    return F.substring(text_col, F.length(doc_title(text_col)) + 2, F.length(text_col))
 
 
 def published_ts(doc_id: Column) -> Column:
-    return F.to_timestamp(F.lit(EPOCH_START)) + F.make_dt_interval(F.lit(0), doc_id.cast("int"))
+    return F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(EPOCH_START))) + doc_id.cast("bigint") * 3600)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +72,7 @@ def articles_from_documents(d: DataFrame) -> DataFrame:
     title = doc_title(F.col("text"))
     url = F.concat(
         F.lit("https://"), F.col("source"), F.lit(".example/"),
-        F.substring(F.md5(text.normalize_title(title)), 1, 12), F.lit("?d="), F.col("doc_id").cast("string"),
+        F.md5(text.normalize_title(title)), F.lit("?d="), F.col("doc_id").cast("string"),
     )
     ts = published_ts(F.col("doc_id"))
     return d.select(
@@ -77,7 +80,7 @@ def articles_from_documents(d: DataFrame) -> DataFrame:
         title.alias("title"),
         url.alias("url"),
         F.col("source"),
-        F.when(F.col("n_chars") < HEADLINE_ONLY_CHARS, F.lit("")).otherwise(F.col("text")).alias("content"),
+        doc_content(F.col("text")).alias("content"),
         dates.to_iso(ts).alias("published_at"),
         ts.alias("published_ts"),
         F.col("doc_id").cast("bigint").alias("ord"),
