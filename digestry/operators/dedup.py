@@ -247,7 +247,6 @@ def fuzzy_dedup_scale(
     title: str = "title",
     content: str = "content",
     ord_col: str = "ord",
-    max_rounds: int = 1000,
 ) -> DataFrame:
     """Greedy leader clustering without a bound on group size.
 
@@ -274,7 +273,7 @@ def fuzzy_dedup_scale(
         *g, "_rep", F.when(F.col("_e").isNull(), F.lit(1)).alias("_st")
     )
     state = materialize(state)
-    for _ in range(max_rounds):
+    while True:  # every round decides at least the earliest undecided title
         st_a = state.select(*g, F.col("_rep").alias("a"), F.col("_st").alias("sa"))
         st_b = state.select(*g, F.col("_rep").alias("b"), F.col("_st").alias("sb"))
         open_edges = pairs.join(st_b.where(F.col("sb").isNull()), [*g, "b"]).join(st_a, [*g, "a"])
@@ -293,8 +292,6 @@ def fuzzy_dedup_scale(
         state = materialize(state)
         if state.where(F.col("_st").isNull()).limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError("leader rounds did not converge")
     leaders = state.where(F.col("_st") == 1).select(*g, "_rep")
     # earliest similar leader of every absorbed title
     lead_a = leaders.select(*g, F.col("_rep").alias("a"))

@@ -86,7 +86,7 @@ def _explode_rules(keep: str, scope: str, rules: list[str], src: str) -> str:
   SELECT {keep}, unnest({arr}) AS message, unnest(range(1, len({arr}) + 1)) AS pos FROM {src})"""
 
 
-_F9_SRC = f"""(SELECT CAST(page_id * 1000 + pos - 1 AS BIGINT) AS idx, name, CASE WHEN starts_with(url, 'http') THEN 'scrape' END AS type, url
+_F9_SRC = f"""(SELECT CAST(page_id * (max(pos) OVER ()) + pos - 1 AS BIGINT) AS idx, name, CASE WHEN starts_with(url, 'http') THEN 'scrape' END AS type, url
   FROM (SELECT page_id, unnest(regexp_extract_all(html, {Q.q(_A_RE)}, 1)) AS url, unnest(regexp_extract_all(html, {Q.q(_A_RE)}, 2)) AS name,
                unnest(range(1, len(regexp_extract_all(html, {Q.q(_A_RE)}, 1)) + 1)) AS pos FROM pages))"""
 _F9_RULES = [

@@ -34,12 +34,12 @@ def _strip(x: str) -> str:
 
 def _feed_id_sql() -> str:
     parts = " ".join(f"WHEN {Q.q(lg)} THEN {Q.q(pre)} || source" for lg, (pre, _) in TD.LANG_FEEDS.items())
-    return f"CASE lang {parts} END"
+    return f"CASE lang {parts} ELSE {Q.q(TD.RSS_PREFIX)} || coalesce(lang, 'none') || '-' || source END"
 
 
 def _feed_type_sql() -> str:
     parts = " ".join(f"WHEN {Q.q(lg)} THEN {Q.q(typ)}" for lg, (_, typ) in TD.LANG_FEEDS.items())
-    return f"CASE lang {parts} END"
+    return f"CASE lang {parts} ELSE 'rss' END"
 
 
 REGISTRY_SQL = f"""reg AS (
@@ -88,9 +88,13 @@ def _item_out(df: DataFrame) -> DataFrame:
 ITEM_SQL_COLS = "source, CAST(page AS BIGINT) AS page, CAST(item_pos AS INTEGER) AS item_pos, id, title, url, md5(coalesce(content, '')) AS content_md5, published_at"
 
 
-def _paged(src: str, prefix: str, where: str) -> str:
-    return (f"SELECT a.*, {Q.q(prefix)} || source AS src, CAST(floor(ord / {PI}) AS BIGINT) AS page, "
-            f"row_number() OVER (PARTITION BY source, floor(ord / {PI}) ORDER BY ord) - 1 AS item_pos FROM {src} a WHERE {where}")
+def _paged(src: str, where: str) -> str:
+    return (f"SELECT a.*, {_feed_id_sql()} AS src, CAST(floor(ord / {PI}) AS BIGINT) AS page, "
+            f"row_number() OVER (PARTITION BY {_feed_id_sql()}, floor(ord / {PI}) ORDER BY ord) - 1 AS item_pos FROM {src} a WHERE {where}")
+
+
+_RSS_LANG = "coalesce(lang NOT IN ('fr', 'de', 'es'), true)"
+_TRENDING_PAGE = f"conv_id * (SELECT floor(max(turn) / {PI}) + 1 FROM conversations) + floor(turn / {PI})"
 
 
 # --------------------------------------------------------------------------------- A1, A2
@@ -115,7 +119,7 @@ def a02(spark: SparkSession, sf: str) -> DataFrame:
 
 # --------------------------------------------------------------------------------- A3-A7
 
-RSS_ITEMS = f"""rss_x AS ({_paged('articles', 'rss-', "lang = 'en'")}),
+RSS_ITEMS = f"""rss_x AS ({_paged('articles', _RSS_LANG)}),
 rss_items AS (
   SELECT src AS source, page, item_pos, url AS id, coalesce(nullif({_trimjs('title')}, ''), 'No Title') AS title, url,
          coalesce(nullif({_trimjs(_unescape(_strip(_trimjs('content'))))}, ''), {_trimjs('content')}) AS content, published_at
@@ -128,7 +132,7 @@ def a03(spark: SparkSession, sf: str) -> DataFrame:
     return _item_out(_run_parser(spark, sf, "rss", P.parse_rss))
 
 
-ATOM_ITEMS = f"""atom_x AS ({_paged('articles', 'arxiv-', "lang = 'fr'")}),
+ATOM_ITEMS = f"""atom_x AS ({_paged('articles', "lang = 'fr'")}),
 atom_items AS (
   SELECT src AS source, page, item_pos, url AS id, {Q.collapse_ws('title')} AS title, url, {Q.collapse_ws('content')} AS content,
          published_at FROM atom_x)"""
@@ -156,8 +160,8 @@ def a05(spark: SparkSession, sf: str) -> DataFrame:
 _NOW_ISO = f"strftime(TIMESTAMP '{TD.AS_OF}', '%Y-%m-%dT%H:%M:%S.%gZ')"
 
 
-JSON_ITEMS = f"""es AS ({_paged('articles', 'json-', "lang = 'es'")}),
-de AS ({_paged('articles', 'reddit-', "lang = 'de'")}),
+JSON_ITEMS = f"""es AS ({_paged('articles', "lang = 'es'")}),
+de AS ({_paged('articles', "lang = 'de'")}),
 json_items AS (
   SELECT src AS source, page, item_pos, 'json-' || src || '-' || CAST(item_pos AS VARCHAR) AS id,
          coalesce(nullif(title, ''), 'No Title') AS title,
@@ -212,7 +216,7 @@ def _xml_escape_sql(x: str) -> str:
 
 
 TRENDING_ITEMS = f"""trending_items AS (
-  SELECT 'github_trending' AS source, conv_id * {TD.TRENDING_PAGES_PER_CONVERSATION} + floor(turn / {PI}) AS page,
+  SELECT 'github_trending' AS source, {_TRENDING_PAGE} AS page,
          row_number() OVER (PARTITION BY conv_id, floor(turn / {PI}) ORDER BY turn) - 1 AS item_pos,
          '{P.TRENDING_HOST}/' || role || '/c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
          role || ' / c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS title,
@@ -236,7 +240,7 @@ def a09(spark: SparkSession, sf: str) -> DataFrame:
 ords AS (SELECT id, dense_rank() OVER (ORDER BY id) AS source_ord FROM reg),
 docs AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
 per_parser AS (
-  SELECT 'rss' AS parser, n FROM docs WHERE lang = 'en' UNION ALL SELECT 'arxiv', n FROM docs WHERE lang = 'fr'
+  SELECT 'rss' AS parser, (SELECT sum(n) FROM docs WHERE {_RSS_LANG}) AS n UNION ALL SELECT 'arxiv', n FROM docs WHERE lang = 'fr'
   UNION ALL SELECT 'json', (SELECT sum(n) FROM docs WHERE lang IN ('de', 'es')) + (SELECT count(*) FROM events)
   UNION ALL SELECT 'api', (SELECT count(*) FROM benchmark)
   UNION ALL SELECT 'scrape', (SELECT count(*) FROM conversations) + (SELECT sum(len(regexp_extract_all(html, {Q.q(_LI)}, 1))) FROM pages)

@@ -12,7 +12,7 @@ and a failed payload becomes an error envelope with no items (A11).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestry.functions import dates as D
@@ -52,12 +52,10 @@ ITEM_COLUMNS = ["source", "page", "item_pos", "id", "title", "url", "content", "
 MAX_BROADCAST_SOURCES = 1 << 20
 
 
-def encounter_ord(source_ord: Column, page: Column, item_pos: Column) -> Column:
-    """One long preserving (source order, page, position).
-
-    20 bits of source order (at most MAX_BROADCAST_SOURCES sources), 31 bits
-    of page number, 12 bits of position in the payload (4,096 items)."""
-    return (source_ord.cast("bigint") * F.lit(1 << 43) + page.cast("bigint") * F.lit(1 << 12) + item_pos.cast("bigint"))
+def encounter_ord(source: Column, page: Column, item_pos: Column) -> Column:
+    """The encounter position as a struct that sorts by source, page and
+    position in the payload (nothing is packed, so any of them may be large)."""
+    return F.struct(source.alias("source"), page.cast("bigint").alias("page"), item_pos.cast("bigint").alias("item_pos"))
 
 
 # --------------------------------------------------------------------------- A1, A2
@@ -289,17 +287,13 @@ def fan_out(payloads: DataFrame, registry: DataFrame, as_of: str) -> tuple[DataF
     """A10 + A11: route every payload to its parser, parse, and union.
 
     ``payloads``: (source_id, page, fetched_at, payload).  Returns (items,
-    envelopes).  Items carry ``ord``, the encounter position (registry order,
+    envelopes).  Items carry ``ord``, the encounter position (source id,
     page, position in the payload).  A source without a parser, or a
     payload that fails, yields an error envelope and no items.
     """
     reg = route(registry)
-    # the registry is a dimension table (one row per source, at most
-    # MAX_BROADCAST_SOURCES; checked before the broadcast below): ranking it in
-    # one window is bounded by that, not by the payload volume
-    reg = reg.withColumn("source_ord", F.dense_rank().over(Window.orderBy("id")))
     dim = reg.select(F.col("id").alias("source_id"), F.col("url").alias("source_url"), "mapping",
-                     "selector", "parser", "route_error", "source_ord")
+                     "selector", "parser", "route_error")
     p = payloads.join(checked_broadcast(dim, MAX_BROADCAST_SOURCES), "source_id")
     p = p.withColumn("source", F.col("source_id"))
     outs = []
@@ -327,9 +321,7 @@ def fan_out(payloads: DataFrame, registry: DataFrame, as_of: str) -> tuple[DataF
     for e in envs[1:]:
         env = env.unionByName(e)
     # All-or-nothing per payload (a failed payload has no items by construction)
-    ords = reg.select(F.col("id").alias("source"), "source_ord")
-    items = items.join(checked_broadcast(ords, MAX_BROADCAST_SOURCES), "source").withColumn(
-        "ord", encounter_ord(F.col("source_ord"), F.col("page"), F.col("item_pos"))).drop("source_ord")
+    items = items.withColumn("ord", encounter_ord(F.col("source"), F.col("page"), F.col("item_pos")))
     counts = items.groupBy("source", "page").agg(F.count("*").alias("items_found"))
     env = env.join(counts, ["source", "page"], "left").withColumn("items_found", F.coalesce("items_found", F.lit(0)).cast("int"))
     return items, env

@@ -173,25 +173,23 @@ LANG_FEEDS = {  # lang -> (id prefix, declared type)
 JSON_MAPPING = {"items": "results", "title": "heading", "url": "link", "content": "desc", "published_at": "date"}
 ATOM_NS = "http://www.w3.org/2005/Atom"
 RFC822_OUT = "EEE, dd MMM yyyy HH:mm:ss"
-# A conversation's turns are cut into pages of PAGE_ITEMS; page ids leave room
-# for this many pages per conversation (a long conversation never becomes one group).
-TRENDING_PAGES_PER_CONVERSATION = 256
+# Languages without an entry above are RSS feeds of their own, RSS_PREFIX-<lang>-<source>.
+RSS_PREFIX = "rss-"
 # ---------------------------------------------------------------------------
 
 
 def _feed_id(lang: Column, source: Column) -> Column:
-    expr = None
+    expr = F
     for lg, (prefix, _) in LANG_FEEDS.items():
-        v = F.concat(F.lit(prefix), source)
-        expr = F.when(lang == lg, v) if expr is None else expr.when(lang == lg, v)
-    return expr
+        expr = expr.when(lang == lg, F.concat(F.lit(prefix), source))
+    return expr.otherwise(F.concat(F.lit(RSS_PREFIX), F.coalesce(lang, F.lit("none")), F.lit("-"), source))
 
 
 def _feed_type(lang: Column) -> Column:
-    expr = None
+    expr = F
     for lg, (_, typ) in LANG_FEEDS.items():
-        expr = F.when(lang == lg, F.lit(typ)) if expr is None else expr.when(lang == lg, F.lit(typ))
-    return expr
+        expr = expr.when(lang == lg, F.lit(typ))
+    return expr.otherwise(F.lit("rss"))
 
 
 def feed_url(source: Column, lang: Column) -> Column:
@@ -254,7 +252,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = a.withColumn("source_id", _feed_id(F.col("lang"), F.col("source"))).withColumn(
         "page", F.floor(F.col("ord") / F.lit(PAGE_ITEMS)).cast("bigint"))
     keys = ["source_id", "page"]
-    en = a.where(F.col("lang") == "en")
+    en = a.where(~F.coalesce(F.col("lang").isin("fr", "de", "es"), F.lit(False)))
     rss_item = F.concat(
         F.lit("<item><guid>"), xml_escape(F.col("url")), F.lit("</guid><title>"), xml_escape(F.col("title")),
         F.lit("</title><link>"), xml_escape(F.col("url")), F.lit("</link><description>"), xml_escape(F.col("content")),
@@ -286,9 +284,12 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(None).cast("string").alias("url"), F.col("text").alias("story_text"),
             dates.to_iso(published_ts(F.col("item_id"))).alias("created_at"))).alias("hit"))
     hn = _pages_of(bench, keys, "item_id", F.col("hit"), F.lit('{"hits":['), F.lit("]}"), ",")
-    conv = table(spark, sf_dir, "conversations").select(
+    turns = table(spark, sf_dir, "conversations")
+    # as many page numbers per conversation as its longest one needs: none collide
+    room = turns.agg(F.coalesce(F.floor(F.max("turn") / F.lit(PAGE_ITEMS)) + 1, F.lit(1))).first()[0]
+    conv = turns.select(
         F.lit("github_trending").alias("source_id"),
-        (F.col("conv_id") * F.lit(TRENDING_PAGES_PER_CONVERSATION) + F.floor(F.col("turn") / F.lit(PAGE_ITEMS))).cast("bigint").alias("page"),
+        (F.col("conv_id") * F.lit(room) + F.floor(F.col("turn") / F.lit(PAGE_ITEMS))).cast("bigint").alias("page"),
         "turn",
         F.concat(F.lit('<article class="Box-row"><h2 class="h3 lh-condensed"><a href="/'), F.col("role"), F.lit("/c"),
                  F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit('">\n  '), F.col("role"),
@@ -357,8 +358,9 @@ def href_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     ex = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), 1)).alias("pos", "url"),
                   F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), 2).alias("_names"))
+    room = ex.agg(F.coalesce(F.max("pos") + 1, F.lit(1))).first()[0]
     return ex.select(
-        (F.col("page_id") * 1000 + F.col("pos")).cast("bigint").alias("idx"),
+        (F.col("page_id") * F.lit(room) + F.col("pos")).cast("bigint").alias("idx"),
         F.element_at("_names", (F.col("pos") + 1).cast("int")).alias("name"),
         F.when(F.col("url").startswith("http"), F.lit("scrape")).alias("type"),
         "url",
