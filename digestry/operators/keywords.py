@@ -1,32 +1,30 @@
 """Keyword dictionaries: overlay (U3), weighted score (M2, S4), match sets.
 
 A dictionary is a small dimension table ``(keyword string, weight double)``.
-Scoring never shuffles the article rows:
-
-* up to ``inline_limit`` keywords, the dictionary is read to the driver (its
-  row count is checked first) and folded into one JVM expression, a sum of
-  ``contains`` tests that runs inside whole-stage code generation;
-* above that, the dictionary is cut into chunks whose size is checked, each
-  chunk is broadcast as an Aho-Corasick automaton and applied by an Arrow
-  batched pandas UDF; the chunk scores are added up.  The article rows stay
-  where the scan put them in both cases.
+
+* Up to ``inline_limit`` keywords, it is read to the driver (its row count is
+  checked first) and folded into one JVM expression, a sum of ``contains``
+  tests that runs inside whole-stage code generation; the article rows are
+  not shuffled.
+* A larger one, of any size, stays a table.  Every keyword is represented by
+  the one of its trigrams that the fewest texts hold; texts meet keywords by an
+  equi-join on that trigram, and each meeting is verified with ``contains``.
+  The result is the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from digestry.functions import scores as S
 from digestry.functions import text as T
+from digestry.session import checked_broadcast, materialize
 
-# Largest number of keywords broadcast to the executors in one automaton.
-AC_CHUNK_KEYWORDS = 200_000
-# Upper bound on the characters of one broadcast chunk (about 8 MB of text).
-AC_CHUNK_CHARS = 8 * 1024 * 1024
+# Keywords of a large dictionary, each with its trigram, are broadcast up to this many.
+MAX_BROADCAST_KEYWORDS = 1_000_000
 
 
 def overlay(base: DataFrame, custom: DataFrame) -> DataFrame:
@@ -77,85 +75,84 @@ def layer1_scores(
     content: str = "content",
     inline_limit: int = 512,
     keep_text: bool = False,
+    key: str = "ord",
 ) -> DataFrame:
     """M2 + S4: adds ``positive``, ``negative`` and ``layer1`` columns.
 
     The scoring text is lower-cased once per row (S2); each keyword is tested
     as a plain substring (S3), without word boundaries and across the
-    title/content boundary.
+    title/content boundary.  ``key`` names a column unique per row (used only
+    for dictionaries above ``inline_limit``).
     """
     txt = T.scoring_text(title, content)
     out = df.withColumn("_score_text", txt)
-    pos_items = _as_items(positive, inline_limit)
-    neg_items = _as_items(negative, inline_limit)
-    if pos_items is not None:
-        out = out.withColumn("positive", inline_score("_score_text", pos_items))
-    else:
-        out = score_large_dictionary(out, positive, "_score_text", "positive")
-    if neg_items is not None:
-        out = out.withColumn("negative", inline_score("_score_text", neg_items))
-    else:
-        out = score_large_dictionary(out, negative, "_score_text", "negative")
+    for dictionary, name in ((positive, "positive"), (negative, "negative")):
+        items = _as_items(dictionary, inline_limit)
+        if items is not None:
+            out = out.withColumn(name, inline_score("_score_text", items))
+        else:
+            out = with_found(out, as_table(df, dictionary), "_score_text", key, "_found").withColumn(name, found_score("_found")).drop("_found")
     out = out.withColumn("layer1", S.layer1("positive", "negative"))
     return out if keep_text else out.drop("_score_text")
 
 
-def score_large_dictionary(df: DataFrame, dictionary: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    """M2 for dictionaries too large to inline: one Aho-Corasick pass per chunk.
-
-    Each chunk is bounded by ``AC_CHUNK_KEYWORDS`` entries and
-    ``AC_CHUNK_CHARS`` characters before it is broadcast; chunks are read one
-    after another with ``toLocalIterator`` so the driver never holds the whole
-    dictionary.
+def as_table(df: DataFrame, dictionary) -> DataFrame:
+    """A dictionary as a (keyword, weight) table."""
+    if isinstance(dictionary, Mapping):
+        rows = [(str(k), float(v)) for k, v in dictionary.items()]
+        return df.sparkSession.createDataFrame(rows, "keyword string, weight double")
+    return dictionary.select("keyword", F.col("weight").cast("double").alias("weight"))
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct substrings of the given lengths; linear in the text."""
+    chars = F.split(text, "")
+    grams, parts = chars, []
+    for n in range(1, max(sizes) + 1):
+        if n > 1:  # longer by the character that follows; null past the end
+            grams = F.zip_with(grams, F.slice(chars, n, F.length(text) + 1), lambda a, b: F.concat(a, b))
+        if n in sizes:
+            parts.append(grams)
+    return F.array_compact(F.array_distinct(F.flatten(F.array(*parts))))
+
+
+def with_found(df: DataFrame, dictionary: DataFrame, text_col: str, key: str, out: str) -> DataFrame:
+    """M2 for any dictionary size: adds ``out``, the (keyword, weight) structs
+    contained in ``text_col``.
+
+    A keyword of one or two characters is its own gram.  Grams no keyword has
+    are dropped where the text is cut into them, so only meetings travel; they
+    are collected per row (at most the keywords of one text) and join the
+    text once, by ``key``.
     """
-    import ahocorasick  # noqa: F401
-
-    from pyspark.sql.functions import pandas_udf
-
-    total = F.lit(0.0).cast("double")
-    chunk: list[tuple[str, float]] = []
-    chars = 0
-    cols = []
-
-    def flush(ch):
-        weights: dict[str, float] = {}
-        for kw, w in ch:
-            weights[kw.lower()] = weights.get(kw.lower(), 0.0) + float(w)
-        base = weights.pop("", 0.0)
-        bc = df.sparkSession.sparkContext.broadcast(weights)
-
-        @pandas_udf("double")
-        def chunk_score(texts: pd.Series) -> pd.Series:
-            import ahocorasick as ac
-
-            w = bc.value
-            auto = ac.Automaton()
-            for k in w:
-                auto.add_word(k, k)
-            auto.make_automaton()
-            res = []
-            for t in texts:
-                if t is None:
-                    res.append(0.0)
-                    continue
-                found = {k for _, k in auto.iter(t)}
-                res.append(base + sum(w[k] for k in found))
-            return pd.Series(res, dtype="float64")
-
-        return chunk_score(F.col(text_col))
-
-    for row in dictionary.select("keyword", "weight").toLocalIterator():
-        kw, w = row["keyword"], float(row["weight"])
-        if chunk and (len(chunk) >= AC_CHUNK_KEYWORDS or chars + len(kw) > AC_CHUNK_CHARS):
-            cols.append(flush(chunk))
-            chunk, chars = [], 0
-        chunk.append((kw, w))
-        chars += len(kw)
-    if chunk:
-        cols.append(flush(chunk))
-    for c in cols:
-        total = total + c
-    return df.withColumn(out_col, total)
+    words = materialize(dictionary.withColumn("_low", F.lower("keyword")))  # read several times
+    always = words.where(F.col("_low") == "")  # the empty keyword is in every text
+    words = words.where(F.col("_low") != "")
+    # at most three lengths
+    sizes = sorted(r[0] for r in words.select(F.least(F.length("_low"), F.lit(3))).distinct().collect()) or [3]
+    cuts = words.select("keyword", "weight", "_low", F.explode(_grams(F.col("_low"), sizes)).alias("_gram"))
+    cuts = cuts.where(F.length("_gram") == F.least(F.length("_low"), F.lit(3)))
+    wanted = checked_broadcast(cuts.select("_gram").distinct(), MAX_BROADCAST_KEYWORDS)
+    held = df.select(F.col(key).alias("_key"), F.explode(_grams(F.col(text_col), sizes)).alias("_gram"))
+    texts_with = held.join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_texts"))
+    # a gram in no text rules its keyword out, so the inner join may drop others of the keyword only after the minimum
+    rarest = cuts.join(texts_with, "_gram", "left").groupBy("keyword", "weight", "_low").agg(
+        F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_rare"))
+    rarest = materialize(rarest.where(F.col("_rare.n") > 0).select("keyword", "weight", "_low", F.col("_rare.gram").alias("_gram")))
+    met = held.join(checked_broadcast(rarest, MAX_BROADCAST_KEYWORDS), "_gram")
+    met = met.groupBy("_key").agg(F.collect_list(F.struct("keyword", "weight", "_low")).alias("_met"))
+    joined = df.join(met, df[key] == F.col("_key"), "left").drop("_key")
+    empty = F.array().cast("array<struct<keyword:string,weight:double>>")
+    found = F.transform(F.filter("_met", lambda m: F.contains(F.col(text_col), m["_low"])),
+                        lambda m: F.struct(m["keyword"].alias("keyword"), m["weight"].alias("weight")))
+    base = [F.struct(F.lit(r["keyword"]).alias("keyword"), F.lit(float(r["weight"])).alias("weight")) for r in always.collect()]
+    found = F.coalesce(found, empty)
+    return joined.withColumn(out, F.concat(found, F.array(*base)) if base else found).drop("_met")
+
+
+def found_score(found: str) -> Column:
+    """Sum of the weights of ``with_found``'s structs."""
+    return F.aggregate(found, F.lit(0.0).cast("double"), lambda acc, m: acc + m["weight"])
 
 
 def match_array(keywords: list[str], title: str = "title", content: str = "content") -> Column:
@@ -163,23 +160,20 @@ def match_array(keywords: list[str], title: str = "title", content: str = "conte
     return T.keyword_matches(keywords, title, content)
 
 
-def dictionary_keywords(dictionary, inline_limit: int = 512) -> list[str]:
-    items = _as_items(dictionary, inline_limit)
-    if items is None:
-        raise ValueError("coverage dictionary above inline_limit")
-    return [k for k, _ in items]
-
-
 def keyword_hits(df: DataFrame, dictionary, id_cols: list[str], title: str = "title", content: str = "content",
-                 inline_limit: int = 512) -> DataFrame:
+                 inline_limit: int = 512, key: str = "ord") -> DataFrame:
     """(row, keyword, weight) for every keyword contained in title or content.
 
-    The reference's substring "join" is evaluated as one inline match array
-    per row and exploded, so neither side is shuffled or paired up.
+    Up to ``inline_limit`` keywords the reference's substring "join" is one
+    inline match array per row, exploded; above, the trigram equi-join of
+    ``with_found``.  A keyword found only across the end of the title is not a
+    hit, so title and content are joined by a character no keyword has.
     """
     items = _as_items(dictionary, inline_limit)
     if items is None:
-        raise ValueError("dictionary above inline_limit")
+        both = df.withColumn("_both", F.lower(F.concat_ws("\x00", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit("")))))
+        found = with_found(both, as_table(df, dictionary), "_both", key, "_found")
+        return found.select(*id_cols, F.explode("_found").alias("_m")).select(*id_cols, "_m.keyword", "_m.weight")
     weights = F.create_map(*[x for k, w in items for x in (F.lit(k), F.lit(float(w)))]) if items else None
     hits = df.select(*id_cols, F.explode(T.keyword_matches([k for k, _ in items], title, content)).alias("keyword"))
     if weights is None:

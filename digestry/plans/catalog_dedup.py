@@ -205,27 +205,57 @@ def d4(spark: SparkSession, sf: str) -> DataFrame:
 
 # --------------------------------------------------------------------------------- M2 with a large dictionary
 
-LARGE_DICT_SIZE = 2000
-
 
 def _large_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    """The LARGE_DICT_SIZE most frequent lower-case title words (ties by word), weight = length."""
+    """Every lower-case title word of three characters or more, weight = length."""
     words = TD.articles(spark, sf).select(F.explode(F.split(F.lower("title"), r"[^\p{L}\p{N}]+")).alias("keyword"))
-    top = (words.where(F.length("keyword") >= 3).groupBy("keyword").agg(F.count("*").alias("n"))
-           .orderBy(F.col("n").desc(), F.col("keyword")).limit(LARGE_DICT_SIZE))
-    return top.select("keyword", F.length("keyword").cast("double").alias("weight"))
+    return words.where(F.length("keyword") >= 3).distinct().select("keyword", F.length("keyword").cast("double").alias("weight"))
 
 
-@register("m2_large_dictionary", f"""
-WITH {A},
+_LARGE_SQL = f"""{A},
 w AS (SELECT unnest(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}]+')) AS keyword FROM articles),
-d AS (SELECT keyword, CAST(length(keyword) AS DOUBLE) AS weight FROM (
-        SELECT keyword, count(*) AS n FROM w WHERE length(keyword) >= 3 GROUP BY keyword ORDER BY n DESC, keyword LIMIT {LARGE_DICT_SIZE})),
+d AS (SELECT DISTINCT keyword, CAST(length(keyword) AS DOUBLE) AS weight FROM w WHERE length(keyword) >= 3)"""
+
+
+@register("m2_large_dictionary", f"""
+WITH {_LARGE_SQL},
 t AS (SELECT id, {Q.scoring_text()} AS txt FROM articles)
 SELECT t.id, coalesce(sum(d.weight), CAST(0 AS DOUBLE)) AS positive
 FROM t LEFT JOIN d ON contains(t.txt, d.keyword) GROUP BY t.id""")
 def m2_large(spark: SparkSession, sf: str) -> DataFrame:
-    """M2 above the inline limit: chunked broadcast Aho-Corasick in Arrow batches."""
+    """M2 above the inline limit: an equi-join on each keyword's rarest trigram."""
     d = _large_dictionary(spark, sf)
     out = keywords.layer1_scores(TD.articles(spark, sf), d, {}, inline_limit=512)
     return out.select("id", "positive")
+
+
+@register("j5_large_dictionary", f"""
+WITH {_LARGE_SQL}
+SELECT d.keyword, count(*) AS n_docs, sum(d.weight) AS weight_sum
+FROM articles a JOIN d ON contains(lower(coalesce(a.title, '')), d.keyword) OR contains(lower(coalesce(a.content, '')), d.keyword)
+GROUP BY d.keyword""")
+def j5_large(spark: SparkSession, sf: str) -> DataFrame:
+    """J5 above the inline limit."""
+    hits = keywords.keyword_hits(TD.articles(spark, sf), _large_dictionary(spark, sf), ["id"])
+    return hits.groupBy("keyword").agg(F.count("*").alias("n_docs"), F.sum("weight").alias("weight_sum"))
+
+
+@register("q0_large_dictionary", f"""
+WITH {_LARGE_SQL},
+{Z.stored_cte()},
+hwm AS (SELECT max(coalesce(published_at, digest_date)) AS mark FROM stored),
+f2 AS (SELECT a.* FROM articles a, hwm WHERE hwm.mark IS NULL OR coalesce(a.published_at, '') = '' OR a.published_ts > CAST(hwm.mark AS TIMESTAMP)),
+pos AS (SELECT f.id, coalesce(sum(d.weight), CAST(0 AS DOUBLE)) AS positive
+        FROM f2 f LEFT JOIN d ON contains({Q.scoring_text('f.title', 'f.content')}, d.keyword) GROUP BY f.id),
+scored AS (SELECT f2.*, {Q.layer1('positive', Q.inline_score(Q.scoring_text(), TD.NEGATIVE_KEYWORDS))} AS layer1 FROM f2 JOIN pos USING (id)),
+{Q.survivor_cte('d1', 'scored', ['lang'], Q.canonical_url('url'), 'url_key')},
+{Q.survivor_cte('d2', 'd1', ['lang'], Q.fingerprint('title'), 'fp_key')},
+t1 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY layer1 DESC, ord) AS l1_rank FROM d2)
+SELECT lang, CAST(l1_rank AS INTEGER) AS l1_rank, id, layer1 FROM t1 WHERE l1_rank <= 150""")
+def q0_large(spark: SparkSession, sf: str) -> DataFrame:
+    """Q0 up to the prune (T1) with every title word as a keyword."""
+    from digestry.plans.signal_digest import run_digest
+
+    run = run_digest(TD.articles(spark, sf), _large_dictionary(spark, sf), TD.NEGATIVE_KEYWORDS, catalog.q0_params(), catalog.RUN_AS_OF,
+                     stored=TD.stored_articles(spark, sf), finish=False)
+    return run.pruned.select("lang", "l1_rank", "id", "layer1")

@@ -106,22 +106,27 @@ def run_digest(
     new = store.incremental_filter(articles, hwm)
 
     # scan-side work: layer-1 score, coverage matches, content flag; then drop the text
-    kw_list = keywords.dictionary_keywords(positive, params.inline_keyword_limit)
     pos_items = keywords._as_items(positive, params.inline_keyword_limit)
     neg_items = keywords._as_items(negative, params.inline_keyword_limit)
-    if pos_items is not None and neg_items is not None:
-        # one projection: the score terms and the match indices share their
-        # contains() tests, which Spark then evaluates once per row
-        texted = new.withColumn("_score_text", T.scoring_text())
-        scored = texted.select(
-            "*",
-            keywords.inline_score("_score_text", pos_items).alias("positive"),
-            keywords.inline_score("_score_text", neg_items).alias("negative"),
-            match_indices(kw_list, scoring_text="_score_text").alias("match_idx"),
-        ).withColumn("layer1", S.layer1("positive", "negative"))
+    kw_list = [k for k, _ in pos_items] if pos_items is not None else []
+    # one projection: the score terms and the match indices share their
+    # contains() tests, which Spark then evaluates once per row
+    scored = new.withColumn("_score_text", T.scoring_text())
+    if pos_items is not None:
+        scored = scored.select("*", keywords.inline_score("_score_text", pos_items).alias("positive"),
+                               match_indices(kw_list, scoring_text="_score_text").alias("match_idx"))
+    else:  # a dictionary of any size, by trigram joins; it is matched on title or content (S16)
+        scored = keywords.with_found(scored, keywords.as_table(new, positive), "_score_text", "ord", "_found")
+        inside = lambda c, m: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lower(m["keyword"]))
+        hits = F.filter("_found", lambda m: inside("title", m) | inside("content", m))
+        scored = scored.withColumn("positive", keywords.found_score("_found")).withColumn(
+            "match_idx", F.transform(hits, lambda m: m["keyword"]))
+    if neg_items is not None:
+        scored = scored.withColumn("negative", keywords.inline_score("_score_text", neg_items))
     else:
-        scored = keywords.layer1_scores(new, positive, negative, inline_limit=params.inline_keyword_limit, keep_text=True)
-        scored = scored.withColumn("match_idx", match_indices(kw_list, scoring_text="_score_text"))
+        scored = keywords.with_found(scored, keywords.as_table(new, negative), "_score_text", "ord", "_found2").withColumn(
+            "negative", keywords.found_score("_found2"))
+    scored = scored.withColumn("layer1", S.layer1("positive", "negative"))
     narrow = scored.select(
         *_uniq([*g, "id", "title", "url", "source", "published_at", "ord", "positive", "negative", "layer1", "match_idx"]),
         dedup.content_empty("content").alias("_empty"),
@@ -133,8 +138,11 @@ def run_digest(
     uniq = uniq.drop("_n_raw")
     pruned = rank.top_k(uniq, params.prune_k, [F.col("layer1").desc(), F.col("ord")], g, "l1_rank")
     fuzzy = dedup.fuzzy_dedup_greedy(pruned, g, params.fuzzy_threshold, [F.col("l1_rank")], content="_empty", rank_col="rank")
-    kw_arr = F.array(*[F.lit(k) for k in kw_list]) if kw_list else F.array().cast("array<string>")
-    with_matches = fuzzy.withColumn("matches", F.transform("match_idx", lambda i: F.element_at(kw_arr, i + 1)))
+    if pos_items is not None:  # indices into the inlined dictionary; else the keywords themselves
+        kw_arr = F.array(*[F.lit(k) for k in kw_list]) if kw_list else F.array().cast("array<string>")
+        with_matches = fuzzy.withColumn("matches", F.transform("match_idx", lambda i: F.element_at(kw_arr, i + 1)))
+    else:
+        with_matches = fuzzy.withColumn("matches", F.col("match_idx"))
     cands = rank.coverage_filter(with_matches, "matches", "rank", g, params.candidate_limit, "cov_rank")
     # at most candidate_limit rows per group: materialise once (reliable checkpoint), so the
     # size checks of the broadcast lookups below read this small set, not the whole lineage
