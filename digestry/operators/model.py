@@ -57,16 +57,19 @@ def lookup_scores(cands: DataFrame, scores: DataFrame, key: str = "id", score_co
 def model_layer(cands: DataFrame, scores: DataFrame | None, enabled: bool = True, l1: str = "layer1",
                 negative_col: str = "negative", w1: float = 0.7, w2: float = 0.3, bounded: bool = False) -> DataFrame:
     """F4 + J2 + S5 (+ F8 when disabled): adds ``layer2`` and ``final_score``."""
-    if not enabled or scores is None:
-        return cands.withColumn("layer2", F.lit(None).cast("double")).withColumn(
-            "final_score", F.round(F.col(l1)).cast("bigint")
-        )
+    if not enabled or scores is None:  # F8: the layer-1 score passes through untouched
+        return cands.withColumn("layer2", F.lit(None).cast("double")).withColumn("final_score", F.col(l1).cast("double"))
     split = negative_split(cands, negative_col)
     looked = lookup_scores(split, scores, bounded=bounded)
     l2 = F.when(F.col("needs_model"), F.col("layer2")).otherwise(F.lit(0.0))
     return looked.withColumn("layer2", l2).withColumn("final_score", S.blend(l1, "layer2", w1, w2)).drop("needs_model")
 
 
+def to_model(cands: DataFrame, negative_col: str = "negative") -> DataFrame:
+    """the rows the model is asked about; those with a negative keyword are scored 0 without it."""
+    return negative_split(cands, negative_col).where("needs_model").drop("needs_model")
+
+
 def scoring_batches(cands: DataFrame, batch_size: int = 10, order_col: str = "rank", group_cols=()) -> DataFrame:
     """B1: one row per (group, batch) with the titles in rank order."""
     b = rank.batch_numbers(cands, batch_size, order_col, group_cols)
@@ -134,8 +137,8 @@ def apply_scorer(cands: DataFrame, scorer: Callable[[list[str]], list[float]], b
     """A user scorer applied per batch of ``batch_size`` titles.
 
     Each (group, batch) is one pandas group of at most ``batch_size`` rows.  A
-    failing call scores the batch 0; too few scores are padded with 0, extra
-    ones ignored (J3).
+    failing call, or any score that isn't a number from 0 to 100 (F11), scores
+    the whole batch 0; too few scores are padded with 0, extra ones ignored (J3).
     """
     b = rank.batch_numbers(cands, batch_size, order_col, group_cols).select(*group_cols, "batch", "batch_pos", "id", "title")
     gnames = list(group_cols)
@@ -143,10 +146,12 @@ def apply_scorer(cands: DataFrame, scorer: Callable[[list[str]], list[float]], b
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("batch_pos")
         try:
-            got = list(scorer(pdf["title"].tolist()))
+            got = [float(x) for x in scorer(pdf["title"].tolist())]
         except Exception:  # noqa: BLE001  (a failed call scores the batch 0)
             got = []
-        vals = [float(got[i]) if i < len(got) and got[i] is not None else 0.0 for i in range(len(pdf))]
+        if not all(0 <= x <= 100 for x in got):  # false for NaN too
+            got = []
+        vals = (got + [0.0] * len(pdf))[: len(pdf)]
         out = pdf[[*gnames, "id"]].copy()
         out["layer2"] = vals
         return out
@@ -156,6 +161,63 @@ def apply_scorer(cands: DataFrame, scorer: Callable[[list[str]], list[float]], b
     return b.groupBy(*gnames, "batch").applyInPandas(run, schema)
 
 
-def run_audit(df: DataFrame, prompt: Column, response: Column, latency_ms: Column) -> DataFrame:
-    """Prompt, raw response and latency next to each model call."""
-    return df.withColumn("prompt", prompt).withColumn("raw_response", response).withColumn("latency_ms", latency_ms)
+def scored_by(cands: DataFrame, scorer: Callable[[list[str]], list[float]], batch_size: int, order_col: str, group_cols=(),
+              l1: str = "layer1", negative_col: str = "negative", w1: float = 0.7, w2: float = 0.3) -> DataFrame:
+    """F4 + B4 + S5: the model layer with a user scorer instead of a score table."""
+    g = list(group_cols)
+    scores = apply_scorer(to_model(cands, negative_col), scorer, batch_size, order_col, g)
+    out = cands.join(scores, [*g, "id"], "left").withColumn("layer2", F.coalesce("layer2", F.lit(0.0)))
+    return out.withColumn("final_score", S.blend(l1, "layer2", w1, w2))
+
+
+def analysed_by(items: DataFrame, analyser: Callable[[list[str]], list[tuple[str, str]]], order_col: str, group_cols=()) -> DataFrame:
+    """B5 + J4: a user analyser, titles of one digest -> (summary, category) each, joined by position.
+
+    The items of one digest (at most max_items) are one call.  A failing call, or an item without an answer,
+    falls back to a null summary and the title heuristic (S17)."""
+    g = list(group_cols)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_order")
+        try:
+            got = [(str(s or ""), str(c or "")) for s, c in analyser(pdf["title"].tolist())]
+        except Exception:  # noqa: BLE001  (a failed call leaves the fallback)
+            got = []
+        got = (got + [(None, None)] * len(pdf))[: len(pdf)]
+        out = pdf[[*g, "id"]].copy()
+        out["_as"], out["_ac"] = [x[0] for x in got], [x[1] for x in got]
+        return out
+
+    rows = items.select(*g, "id", "title", F.col(order_col).alias("_order"))
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in [*g, "id"]]
+                       + ["_as string", "_ac string"])
+    answers = rows.groupBy(*g).applyInPandas(run, schema) if g else rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, schema)
+    out = items.join(answers, [*g, "id"], "left").withColumn("summary", F.nullif(F.col("_as"), F.lit("")))
+    category = F.when(F.col("_ac").isNull(), T.heuristic_category("title")).otherwise(T.falsy_or("_ac", F.lit(T.UNCATEGORIZED)))
+    return out.withColumn("category", category).drop("_as", "_ac")
+
+
+def run_audit(batches: DataFrame, call: Callable[[str], str], group_cols=()) -> DataFrame:
+    """One model call per row of ``batches`` (group columns, batch, prompt),
+    with the raw response and the measured latency in milliseconds.
+
+    A failing call has a null response; its latency is measured too."""
+    g = list(group_cols)
+    rows = batches.select(*g, "batch", "prompt")
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields] + ["raw_response string", "latency_ms double"])
+
+    def run(parts):
+        import time
+
+        for pdf in parts:
+            answers, took = [], []
+            for prompt in pdf["prompt"]:
+                start = time.perf_counter()
+                try:
+                    answers.append(call(prompt))
+                except Exception:  # noqa: BLE001  (a failed call is part of the audit)
+                    answers.append(None)
+                took.append((time.perf_counter() - start) * 1000)
+            yield pdf.assign(raw_response=answers, latency_ms=took)
+
+    return rows.mapInPandas(run, schema)

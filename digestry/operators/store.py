@@ -7,6 +7,7 @@ in-place MERGE on parquet).  Every operator is a pure DataFrame function;
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -57,49 +58,40 @@ def to_stored(df: DataFrame, digest_date: str | None = None, keep=()) -> DataFra
     )
 
 
-# Runs with at most this many new rows upsert by broadcast joins (the stored
-# table is only streamed); larger runs use one full outer shuffle join.
+# A run's new keys and updates are broadcast up to this many rows (and session.MAX_BROADCAST_BYTES).
 MAX_BROADCAST_NEW_ROWS = 2_000_000
 
 
-def upsert(stored: DataFrame, new: DataFrame, order_col: str = "pos", extra_cols=(), new_is_small: bool = False) -> DataFrame:
-    """Insert new ids; on an existing id update only title, summary,
-    category and score.  Within ``new``, a repeated id takes the last row's
+def upsert(stored: DataFrame, new: DataFrame, order_col: str = "pos", extra_cols=(), key_cols=("id",)) -> DataFrame:
+    """Insert new keys; on an existing key update only title, summary,
+    category and score.  Within ``new``, a repeated key takes the last row's
     updatable values and the first row's other values (``order_col`` order).
     ``new`` must already be in stored form (``to_stored``) plus ``order_col``.
 
-    A run's new rows are few next to the stored table, so after a row-count
-    check they are broadcast: the stored table is streamed once through a
-    broadcast left join (updates) and once through a broadcast semi join
-    (which new ids exist), and is never shuffled.
+    The key is the id, with the group columns in front of it when several
+    digests share a table (two tenants may select one article).  The stored
+    table is streamed through a left join with the new keys and their four
+    updatable values, broadcast if rows and bytes are few; content is never
+    broadcast, and the stored table is then never shuffled.
     """
-    fixed = [c for c in ARTICLE_COLUMNS if c not in UPDATABLE and c != "id"] + list(extra_cols)
-    n = new.groupBy("id").agg(
+    keys = list(key_cols)
+    all_cols = [*ARTICLE_COLUMNS, *[c for c in extra_cols if c not in ARTICLE_COLUMNS]]
+    fixed = [c for c in all_cols if c not in UPDATABLE and c not in keys]
+    n = new.groupBy(*keys).agg(
         F.max_by(F.struct(*[F.col(c) for c in UPDATABLE]), F.col(order_col)).alias("_last"),
         F.min_by(F.struct(*[F.col(c) for c in fixed]), F.col(order_col)).alias("_first"),
-    ).select("id", *[F.col("_last")[c].alias(c) for c in UPDATABLE], *[F.col("_first")[c].alias(c) for c in fixed],
-             F.lit(True).alias("_in"))
-    all_cols = [*ARTICLE_COLUMNS, *extra_cols]
-    s = stored.select(*all_cols, F.lit(True).alias("_in"))
-    if new_is_small or n.limit(MAX_BROADCAST_NEW_ROWS + 1).count() <= MAX_BROADCAST_NEW_ROWS:
-        nb = F.broadcast(n)
-        upd = s.alias("s").join(nb.alias("n"), "id", "left").select(*[
-            F.col("id") if c == "id" else
-            (F.when(F.col("n._in").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c) if c in UPDATABLE
-             else F.col(f"s.{c}").alias(c)) for c in all_cols])
-        existing = stored.select("id").join(F.broadcast(n.select("id")), "id", "left_semi").distinct()
-        ins = n.join(existing, "id", "left_anti").select(*all_cols)
-        return upd.unionByName(ins)
-    j = s.alias("s").join(n.alias("n"), "id", "full_outer")
-    out = []
-    for c in all_cols:
-        if c == "id":
-            out.append(F.col("id"))
-        elif c in UPDATABLE:
-            out.append(F.when(F.col("n._in").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c))
-        else:
-            out.append(F.when(F.col("s._in").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
-    return j.select(*out)
+    ).select(*keys, *[F.col("_last")[c].alias(c) for c in UPDATABLE], *[F.col("_first")[c].alias(c) for c in fixed])
+    updates = n.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*UPDATABLE).alias("_new"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = stored.select(*all_cols).join(checked_broadcast(updates, MAX_BROADCAST_NEW_ROWS), same, "left")
+    updated = joined.select(*[
+        F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in UPDATABLE else F.col(c) for c in all_cols])
+    known = stored.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    new_keys = checked_broadcast(n.select(*keys), MAX_BROADCAST_NEW_ROWS)
+    known = known.join(new_keys, same, "left_semi").distinct()
+    return updated.unionByName(n.join(known, same, "left_anti").select(*all_cols))
 
 
 def mark_delivered(stored: DataFrame, delivered_ids: DataFrame, any_channel_ok=True) -> DataFrame:
@@ -129,11 +121,17 @@ def incremental_filter(new: DataFrame, hwm: str | None) -> DataFrame:
     """keep rows without a date; keep dated rows strictly newer than the
     mark; no mark -> keep all; an unparsable date is dropped.
 
-    ``hwm`` is the scalar of ``high_water_mark`` (one row, read once), so the
-    predicate is a literal that the scan can use.
+    ``hwm`` is the scalar of ``high_water_mark`` (one row, read once).  Where
+    the rows carry the parsed instant in ``published_ts``, it is compared with
+    a timestamp literal, a predicate that a scan of stored rows can use to
+    skip row groups; otherwise the text is parsed row by row.
     """
     if not hwm:
         return new
+    if "published_ts" in new.columns:
+        at = new.sparkSession.range(1).select(D.parse_instant(F.lit(hwm)).cast("string")).first()[0]
+        return new.where(F.col("published_ts").isNull() & (F.coalesce(F.col("published_at"), F.lit("")) == "")
+                         | (F.col("published_ts") > F.lit(at).cast("timestamp")))
     missing = F.coalesce(F.col("published_at"), F.lit("")) == ""
     mark = D.parse_instant(F.lit(hwm))
     newer = F.coalesce(D.parse_instant(F.col("published_at")) > mark, F.lit(False))
@@ -206,14 +204,31 @@ def with_defaults(df: DataFrame, defaults: dict = ARTICLE_DEFAULTS) -> DataFrame
     return df
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Read every version-compatible file, merging added columns."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    return with_defaults(df)
+def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """The table as of ``version``; columns it doesn't have yet get their defaults."""
+    return with_defaults(spark.read.option("mergeSchema", "true").parquet(f"{root.rstrip('/')}/v={version:08d}"))
 
 
-def write_version(df: DataFrame, root: str, version: int) -> str:
-    """Write ``df`` as version ``version`` of the table at ``root``."""
-    path = f"{root.rstrip('/')}/v={version:08d}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
+def latest_version(spark: SparkSession, root: str) -> int:
+    """Number of the last version written at ``root``; 0 when there is none.
+
+    Only the partition column is read, not the rows."""
+    try:
+        found = spark.read.parquet(root).select("v").agg(F.max("v")).first()
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return 0
+    return int(found[0] or 0)
+
+
+def read_latest(spark: SparkSession, root: str) -> DataFrame:
+    """The current state of the table at ``root``: its last full snapshot."""
+    return read_version(spark, root, latest_version(spark, root))
+
+
+def write_version(df: DataFrame, root: str, version: int | None = None) -> int:
+    """Write ``df`` as the next (or a given) full snapshot of the table at ``root``; returns its number."""
+    version = latest_version(df.sparkSession, root) + 1 if version is None else version
+    df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/v={version:08d}")
+    return version

@@ -111,9 +111,9 @@ def f5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("w4_batches", f"""WITH RECURSIVE {CHAIN}
-SELECT lang, id, CAST(floor((cov_rank - 1) / 10) AS INTEGER) AS batch, CAST((cov_rank - 1) % 10 AS INTEGER) AS batch_pos FROM cov""")
+SELECT lang, id, CAST(floor((ask_rank - 1) / 10) AS INTEGER) AS batch, CAST((ask_rank - 1) % 10 AS INTEGER) AS batch_pos FROM asked""")
 def w4(spark: SparkSession, sf: str) -> DataFrame:
-    b = rank.batch_numbers(_run(spark, sf).candidates, 10, "cov_rank", ["lang"])
+    b = rank.batch_numbers(model.to_model(_run(spark, sf).candidates), 10, "cov_rank", ["lang"])
     return b.select("lang", "id", "batch", "batch_pos")
 
 
@@ -150,6 +150,17 @@ def f6(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, sf, True).delivered_items.select("lang", "pos", "id", "title", "score")
 
 
+@register("d5_keyed_last_wins", f"""WITH {A},
+e AS (SELECT id, title, ord FROM articles), l AS (SELECT id, 'labelled: ' || title AS title, ord + 1 AS ord FROM articles JOIN labels ON id = CAST(doc_id AS VARCHAR))
+SELECT e.id, coalesce(l.title, e.title) AS title, e.ord AS pos FROM e LEFT JOIN l USING (id)""")
+def d5(spark: SparkSession, sf: str) -> DataFrame:
+    """A later row replaces the values of an earlier one with its id and keeps its position."""
+    arts = TD.articles(spark, sf).select("id", "title", F.col("ord").alias("pos"))
+    lab = TD.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    later = arts.join(lab, "id").select("id", F.concat(F.lit("labelled: "), "title").alias("title"), (F.col("pos") + 1).alias("pos"))
+    return dedup.keyed_last_wins(arts, later).select("id", "title", "pos")
+
+
 @register("q0_signal_digest", f"WITH RECURSIVE {CHAIN} SELECT * FROM digest_items")
 def _q0(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.QUERIES_RAW["q0_signal_digest"](spark, sf)

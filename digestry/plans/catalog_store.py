@@ -15,6 +15,7 @@ from digestry.plans import sql_q0 as Z
 from digestry.plans import sqlgen as Q
 from digestry.plans.catalog import register
 from digestry.plans.catalog_sources import ALL_ITEMS
+from digestry.plans.signal_digest import run_digest
 from digestry.session import checkpoint_dir
 from digestry.sources import payloads as P
 from digestry.sources import testdata as TD
@@ -98,15 +99,55 @@ def k2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("k7_schema_evolution", """
-SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS delivered FROM labels""")
+SELECT CAST(doc_id AS VARCHAR) AS id, 0 AS delivered_first, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS delivered FROM labels""")
 def k7(spark: SparkSession, sf: str) -> DataFrame:
-    """Version 1 of the table has no ``delivered`` column (the reference's last
-    migration adds it); version 2 has it.  Reading both fills the default."""
+    """Snapshot 1 of the table has no ``delivered`` column (the last migration
+    adds it), snapshot 2 has it.  Each is read back as of its version."""
     st = TD.stored_articles(spark, sf)
     root = _scratch(spark, "articles")
-    st.where(F.col("delivered") == 0).drop("delivered").write.parquet(f"{root}/v=00000001")
-    st.where(F.col("delivered") == 1).write.parquet(f"{root}/v=00000002")
-    return store.read_articles(spark, root).select("id", F.col("delivered").cast("int").alias("delivered"))
+    first = store.write_version(st.drop("delivered"), root)
+    store.write_version(st, root)
+    before = store.read_version(spark, root, first).select("id", F.col("delivered").cast("int").alias("delivered_first"))
+    return before.join(store.read_latest(spark, root).select("id", F.col("delivered").cast("int").alias("delivered")), "id", "full_outer")
+
+
+@register("k1_write_read_latest", f"""WITH RECURSIVE {CHAIN}
+SELECT s.id, s.title, s.score, CASE WHEN i.id IS NOT NULL THEN 1 ELSE s.delivered END AS delivered
+FROM stored_next s LEFT JOIN (SELECT DISTINCT id FROM items) i ON s.id = i.id""")
+def k1_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The table before the run, after it and after delivery are three
+    snapshots; the last one is read back whole, and once."""
+    root = _scratch(spark, "articles")
+    store.write_version(TD.stored_articles(spark, sf), root)
+    run = catalog.q0_run(spark, sf)
+    store.write_version(run.stored, root)
+    store.write_version(store.mark_delivered(store.read_latest(spark, root), run.delivered_items.select("id")), root)
+    return store.read_latest(spark, root).select("id", "title", "score", "delivered")
+
+
+@register("k1_two_groups_same_id", f"""WITH {Q.articles_cte()}, {Z.stored_cte()},
+known AS (SELECT s.*, l.quality FROM stored s JOIN labels l ON s.id = CAST(l.doc_id AS VARCHAR))
+SELECT 'a' AS tenant, id, CASE WHEN quality = 1 THEN 'a: ' || title ELSE title END AS title, delivered FROM known
+UNION ALL SELECT 'b', id, 'b: ' || title, 0 FROM known WHERE quality = 1""")
+def k1_tenants(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tenants share the table: one's rows are updated, the other's inserted under the same ids."""
+    st = TD.stored_articles(spark, sf)
+    new = st.where(F.col("delivered") == 1).withColumn("pos", F.lit(1)).withColumn("delivered", F.lit(0))
+    new = new.withColumn("tenant", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("title", F.concat("tenant", F.lit(": "), "title"))
+    out = store.upsert(st.withColumn("tenant", F.lit("a")), new, "pos", extra_cols=["tenant"], key_cols=["tenant", "id"])
+    return out.select("tenant", "id", "title", "delivered")
+
+
+@register("k1_content_of_later_duplicate", f"""WITH RECURSIVE {CHAIN}
+SELECT id, lang, md5(coalesce(content, '')) AS content_md5 FROM stored_next""")
+def k1_later(spark: SparkSession, sf: str) -> DataFrame:
+    """Every article comes twice, first without its content: the survivor is
+    the second row at the first one's position, and its content is stored."""
+    arts = TD.articles(spark, sf)
+    twice = arts.withColumn("content", F.lit("")).withColumn("ord", F.col("ord") * 2).unionByName(arts.withColumn("ord", F.col("ord") * 2 + 1))
+    run = run_digest(twice, TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, catalog.q0_params(), catalog.RUN_AS_OF,
+                     model_scores=TD.model_scores(spark, sf), analyses=TD.analyses(spark, sf), stored=TD.stored_articles(spark, sf))
+    return run.stored.select("id", "lang", F.md5(F.coalesce("content", F.lit(""))).alias("content_md5"))
 
 
 # --------------------------------------------------------------------------------- M5, K3
@@ -239,11 +280,16 @@ def m10(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------------------------- B1-B4, B7, J3, F11
 
 
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidates the model is asked about."""
+    return model.to_model(catalog.q0_run(spark, sf, finish=False).candidates)
+
+
 @register("b1_scoring_batches", f"""WITH RECURSIVE {CHAIN}
-SELECT lang, CAST(floor((cov_rank - 1) / 10) AS INTEGER) AS batch, string_agg(title, chr(10) ORDER BY cov_rank) AS titles_text,
-       count(*) AS n FROM cov GROUP BY 1, 2""")
+SELECT lang, CAST(floor((ask_rank - 1) / 10) AS INTEGER) AS batch, string_agg(title, chr(10) ORDER BY ask_rank) AS titles_text,
+       count(*) AS n FROM asked GROUP BY 1, 2""")
 def b1(spark: SparkSession, sf: str) -> DataFrame:
-    b = model.scoring_batches(catalog.q0_run(spark, sf, finish=False).candidates, 10, "cov_rank", ["lang"])
+    b = model.scoring_batches(_asked(spark, sf), 10, "cov_rank", ["lang"])
     return b.select("lang", "batch", F.array_join("titles", "\n").alias("titles_text"), F.size("titles").cast("bigint").alias("n"))
 
 
@@ -252,12 +298,14 @@ def _prompt_sql(titles_agg: str, n: str) -> str:
     return f"{header} || chr(10) || chr(10) || 'Titles:' || chr(10) || {titles_agg} || chr(10)"
 
 
+_BATCH_PROMPT = _prompt_sql("string_agg('- ' || title, chr(10) ORDER BY ask_rank)", "count(*)")
+
+
 @register("b2_scoring_prompt", f"""WITH RECURSIVE {CHAIN}
-SELECT lang, CAST(floor((cov_rank - 1) / 10) AS INTEGER) AS batch,
-       md5({_prompt_sql("string_agg('- ' || title, chr(10) ORDER BY cov_rank)", 'count(*)')}) AS prompt_md5
-FROM cov GROUP BY 1, 2""")
+SELECT lang, CAST(floor((ask_rank - 1) / 10) AS INTEGER) AS batch, md5({_BATCH_PROMPT}) AS prompt_md5
+FROM asked GROUP BY 1, 2""")
 def b2(spark: SparkSession, sf: str) -> DataFrame:
-    b = model.scoring_batches(catalog.q0_run(spark, sf, finish=False).candidates, 10, "cov_rank", ["lang"])
+    b = model.scoring_batches(_asked(spark, sf), 10, "cov_rank", ["lang"])
     return b.select("lang", "batch", F.md5(model.scoring_prompt(F.col("titles"))).alias("prompt_md5"))
 
 
@@ -282,17 +330,16 @@ def _response_spark(lang, scores):
 
 
 @register("b7_j3_f11_score_alignment", f"""WITH RECURSIVE {CHAIN},
-c AS (SELECT cov.lang, cov.id, cov.cov_rank, CAST(floor((cov_rank - 1) / 10) AS INTEGER) AS batch, CAST((cov_rank - 1) % 10 AS INTEGER) AS pos,
-             coalesce(ms.model_score, CAST(0 AS DOUBLE)) AS s, count(*) OVER (PARTITION BY cov.lang, floor((cov_rank - 1) / 10)) AS n
-      FROM cov LEFT JOIN ms ON cov.id = ms.id)
+c AS (SELECT asked.lang, asked.id, CAST(floor((ask_rank - 1) / 10) AS INTEGER) AS batch, CAST((ask_rank - 1) % 10 AS INTEGER) AS pos,
+             coalesce(ms.model_score, CAST(0 AS DOUBLE)) AS s, count(*) OVER (PARTITION BY asked.lang, floor((ask_rank - 1) / 10)) AS n
+      FROM asked LEFT JOIN ms ON asked.id = ms.id)
 SELECT lang, batch, pos, id,
   CASE WHEN lang = 'fr' AND pos = n - 1 THEN CAST(0 AS DOUBLE)
        WHEN lang = 'es' THEN CAST(0 AS DOUBLE)
        ELSE s END AS layer2
 FROM c""")
 def b7(spark: SparkSession, sf: str) -> DataFrame:
-    cands = catalog.q0_run(spark, sf, finish=False).candidates
-    scored = model.lookup_scores(cands, TD.model_scores(spark, sf))
+    scored = model.lookup_scores(_asked(spark, sf), TD.model_scores(spark, sf))
     b = rank.batch_numbers(scored, 10, "cov_rank", ["lang"])
     batches = b.groupBy("lang", "batch").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("batch_pos", "id"))), lambda x: x["id"]).alias("ids"),
@@ -302,15 +349,57 @@ def b7(spark: SparkSession, sf: str) -> DataFrame:
     return model.align_scores(parsed, "scores", ["lang"]).select("lang", "batch", F.col("pos").cast("int").alias("pos"), "id", "layer2")
 
 
+def _title_scorer(titles):
+    """A scorer for the tests: the title's length, at most 100; a batch with a very long title has a score out of range."""
+    return [float(len(t)) if len(t) > 400 else float(min(100, len(t))) for t in titles]
+
+
 @register("b4_user_scorer", f"""WITH RECURSIVE {CHAIN}
-SELECT lang, id, CAST(least(100, length(title)) AS DOUBLE) AS layer2 FROM cov""")
+SELECT lang, id, CASE WHEN max(length(title)) OVER (PARTITION BY lang, floor((ask_rank - 1) / 10)) > 400 THEN CAST(0 AS DOUBLE)
+                      ELSE CAST(least(100, length(title)) AS DOUBLE) END AS layer2 FROM asked""")
 def b4(spark: SparkSession, sf: str) -> DataFrame:
-    cands = catalog.q0_run(spark, sf, finish=False).candidates
+    """B4 + F11: one score out of 0..100 makes its whole batch 0."""
+    return model.apply_scorer(_asked(spark, sf), _title_scorer, 10, "cov_rank", ["lang"]).select("lang", "id", "layer2")
+
+
+@register("b4_scorer_in_q0", f"""WITH RECURSIVE {CHAIN},
+s AS (SELECT lang, id, CASE WHEN max(length(title)) OVER (PARTITION BY lang, floor((ask_rank - 1) / 10)) > 400 THEN CAST(0 AS DOUBLE)
+                            ELSE CAST(least(100, length(title)) AS DOUBLE) END AS l2 FROM asked)
+SELECT cov.lang, cov.id, {Q.blend('layer1', 's.l2')} AS final_score FROM cov LEFT JOIN s ON cov.lang = s.lang AND cov.id = s.id""")
+def b4_q0(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_digest(TD.articles(spark, sf), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, catalog.q0_params(), catalog.RUN_AS_OF,
+                     scorer=_title_scorer, stored=TD.stored_articles(spark, sf), finish=False)
+    return run.blended.select("lang", "id", "final_score")
+
 
-    def scorer(titles):
-        return [float(min(100, len(t))) for t in titles]
+def _numbering_analyser(titles):
+    """An analyser for the tests: the last item gets no answer, every other one no category."""
+    return [(f"{i}: {t}", "" if i % 2 == 0 else "Odd") for i, t in enumerate(titles[:-1])]
 
-    return model.apply_scorer(cands, scorer, 10, "cov_rank", ["lang"]).select("lang", "id", "layer2")
+
+@register("b5_user_analyser", f"""WITH RECURSIVE {CHAIN},
+n AS (SELECT *, max(sel_rank) OVER (PARTITION BY lang) AS last FROM sel)
+SELECT lang, id, CASE WHEN sel_rank < last THEN CAST(sel_rank - 1 AS VARCHAR) || ': ' || title END AS summary,
+  CASE WHEN sel_rank = last THEN {Q.heuristic_category('title')} WHEN (sel_rank - 1) % 2 = 0 THEN 'Uncategorized' ELSE 'Odd' END AS category FROM n""")
+def b5(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_digest(TD.articles(spark, sf), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, catalog.q0_params(), catalog.RUN_AS_OF,
+                     model_scores=TD.model_scores(spark, sf), analyser=_numbering_analyser, stored=TD.stored_articles(spark, sf), finish=False)
+    return run.selected.select("lang", "id", "summary", "category")
+
+
+@register("j4_alignment", f"""WITH RECURSIVE {CHAIN},
+n AS (SELECT *, max(sel_rank) OVER (PARTITION BY lang) AS last FROM sel)
+SELECT lang, id, CASE WHEN sel_rank < last THEN nullif(title, '') END AS summary, CASE WHEN sel_rank < last AND sel_rank % 2 = 0 THEN 'Even' ELSE 'Uncategorized' END AS category
+FROM n""")
+def j4(spark: SparkSession, sf: str) -> DataFrame:
+    """B7 + J4: a JSON response per digest, one answer short, parsed and joined by position."""
+    sel = catalog.q0_run(spark, sf, finish=False).selected.select("lang", "id", "title", "sel_rank")
+    rows = sel.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("sel_rank", "title"))).alias("_r"))
+    signals = F.transform(F.slice("_r", 1, F.size("_r") - 1), lambda r: F.struct(
+        r["title"].alias("summary"), F.when(r["sel_rank"] % 2 == 0, "Even").otherwise("").alias("category")))
+    resp = rows.select("lang", model.parse_analysis(F.to_json(F.struct(signals.alias("signals")))).alias("_a"))
+    items = sel.join(resp, "lang").withColumn("pos", F.col("sel_rank") - 1)
+    return model.align_analysis(items, F.col("_a")).select("lang", "id", "summary", "category")
 
 
 # --------------------------------------------------------------------------------- F8, B6, B8
@@ -324,6 +413,18 @@ def f8(spark: SparkSession, sf: str) -> DataFrame:
     return sel.select("lang", "sel_rank", "id", "final_score")
 
 
+FRACTIONAL = {k: v / 2 + 0.25 for k, v in TD.SIGNAL_KEYWORDS.items()}
+
+
+@register("f8_fractional_weights", f"""WITH RECURSIVE {Z.chain(model_enabled=False, positive=FRACTIONAL)}
+SELECT lang, CAST(sel_rank AS INTEGER) AS sel_rank, id, final_score FROM sel""")
+def f8_fractional(spark: SparkSession, sf: str) -> DataFrame:
+    """F8 with weights that aren't whole numbers: the score is not rounded before the threshold."""
+    run = run_digest(TD.articles(spark, sf), FRACTIONAL, TD.NEGATIVE_KEYWORDS, catalog.q0_params(False), catalog.RUN_AS_OF,
+                     stored=TD.stored_articles(spark, sf), finish=False)
+    return run.selected.select("lang", "sel_rank", "id", "final_score")
+
+
 @register("b6_per_item_analysis", f"""WITH RECURSIVE {CHAIN}
 SELECT lang, id, NULL::VARCHAR AS summary, {Q.heuristic_category('title')} AS category FROM sel""")
 def b6(spark: SparkSession, sf: str) -> DataFrame:
@@ -334,10 +435,15 @@ def b6(spark: SparkSession, sf: str) -> DataFrame:
     return model.fallback_analysis(b).select("lang", "id", F.col("summary").cast("string").alias("summary"), "category")
 
 
-@register("b8_run_audit", None)
+def _length_of_prompt(prompt: str) -> str:
+    return str(len(prompt))
+
+
+@register("b8_run_audit", f"""WITH RECURSIVE {CHAIN},
+p AS (SELECT lang, CAST(floor((ask_rank - 1) / 10) AS INTEGER) AS batch, {_BATCH_PROMPT} AS prompt FROM asked GROUP BY 1, 2)
+SELECT lang, batch, md5(prompt) AS prompt_md5, CAST(length(prompt) AS VARCHAR) AS raw_response, true AS timed FROM p""")
 def b8(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompt, raw response and latency next to each scoring call (the
-    default scorer is the lookup join; its latency is measured per batch)."""
-    b = model.scoring_batches(catalog.q0_run(spark, sf, finish=False).candidates, 10, "cov_rank", ["lang"])
-    return model.run_audit(b, model.scoring_prompt(F.col("titles")), F.lit(None).cast("string"), F.lit(0).cast("bigint")).select(
-        "lang", "batch", F.md5("prompt").alias("prompt_md5"), "raw_response", "latency_ms")
+    """Prompt, raw response and measured latency of each model call."""
+    b = model.scoring_batches(_asked(spark, sf), 10, "cov_rank", ["lang"]).withColumn("prompt", model.scoring_prompt(F.col("titles")))
+    audit = model.run_audit(b, _length_of_prompt, ["lang"])
+    return audit.select("lang", "batch", F.md5("prompt").alias("prompt_md5"), "raw_response", (F.col("latency_ms") >= 0).alias("timed"))

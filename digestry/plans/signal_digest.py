@@ -85,6 +85,8 @@ def run_digest(
     finish: bool = True,
     health: DataFrame | None = None,
     force: bool = False,
+    scorer=None,
+    analyser=None,
 ) -> DigestRun:
     """Q0.  With ``finish=False`` only the selection (up to J4) is planned:
     no checkpoint, store or digest step.
@@ -93,7 +95,10 @@ def run_digest(
     latest check is younger than ``params.cooldown_minutes`` are skipped
     (``force`` bypasses it), as the reference skips those sources before
     fetching.  If every source is cooling down, the run still assembles the
-    pending items."""
+    pending items.
+
+    ``scorer`` (titles -> scores, B4) takes the place of ``model_scores`` and
+    ``analyser`` (titles -> (summary, category), B5) that of ``analyses``."""
     g = list(params.group_cols)
     strict = params.strict_reference
     # the mark is one scalar of the stored table (or none)
@@ -127,8 +132,9 @@ def run_digest(
         scored = keywords.with_found(scored, keywords.as_table(new, negative), "_score_text", "ord", "_found2").withColumn(
             "negative", keywords.found_score("_found2"))
     scored = scored.withColumn("layer1", S.layer1("positive", "negative"))
+    scored = scored.withColumn("src_ord", F.col("ord"))  # a survivor's own row; ord becomes its cluster's first position
     narrow = scored.select(
-        *_uniq([*g, "id", "title", "url", "source", "published_at", "ord", "positive", "negative", "layer1", "match_idx"]),
+        *_uniq([*g, "id", "title", "url", "source", "published_at", "ord", "src_ord", "positive", "negative", "layer1", "match_idx"]),
         dedup.content_empty("content").alias("_empty"),
         F.lit(1).cast("bigint").alias("_n_raw"),
     )
@@ -150,12 +156,17 @@ def run_digest(
     # every later small set (selection, enrichment, rows to store) is a subset of the
     # candidates: one count bounds them all
     small = cands.count() <= min(model.MAX_LOOKUP_KEYS, store.MAX_BROADCAST_NEW_ROWS)
-    blended = model.model_layer(cands, model_scores, params.enable_model_scoring, w1=params.blend_l1, w2=params.blend_l2,
-                                bounded=small)
+    if scorer is not None and params.enable_model_scoring:
+        blended = model.scored_by(cands, scorer, params.batch_size, "cov_rank", g, w1=params.blend_l1, w2=params.blend_l2)
+    else:
+        blended = model.model_layer(cands, model_scores, params.enable_model_scoring, w1=params.blend_l1, w2=params.blend_l2,
+                                    bounded=small)
     sel = rank.select_top(blended, params.signal_threshold, params.max_items, g, "final_score", "cov_rank", "sel_rank")
 
     # Analysis lookup (default: precomputed table), fallback S17
-    if analyses is not None:
+    if analyser is not None:
+        sel = model.analysed_by(sel, analyser, "sel_rank", g)
+    elif analyses is not None:
         keys = sel.select("id").distinct()
         keys = F.broadcast(keys) if small else checked_broadcast(keys, model.MAX_LOOKUP_KEYS)
         a = analyses.join(keys, "id", "left_semi").dropDuplicates(["id"]).select(
@@ -174,17 +185,17 @@ def run_digest(
     enriched = materialize(enriched)
 
     dd_text = dt.datetime.fromisoformat(as_of).date().isoformat()
-    # K1: the content of the selected rows only, joined back by (id, ord)
+    # K1: the content of the selected rows only, joined back by the survivor's own row
     # the selection is small (count-checked broadcast): the text side is only streamed, never shuffled
-    keys = enriched.select("id", "ord")
+    keys = enriched.select("src_ord")
     keys = F.broadcast(keys) if small else checked_broadcast(keys, store.MAX_BROADCAST_NEW_ROWS)
-    content = articles.select("id", "ord", "content").join(keys, ["id", "ord"], "left_semi")
-    to_store = enriched.join(content, ["id", "ord"], "left").withColumn("pos", F.col("sel_rank"))
+    content = articles.select(F.col("ord").alias("src_ord"), "content").join(keys, "src_ord", "left_semi")
+    to_store = enriched.join(content, "src_ord", "left").withColumn("pos", F.col("sel_rank"))
     extra = [c for c in g if c not in store.ARTICLE_COLUMNS]  # group columns the article schema lacks
     new_rows = store.to_stored(to_store, dd_text, keep=[*extra, "pos"])
     if stored is not None:
         stored_next = store.upsert(stored.select(*store.ARTICLE_COLUMNS, *extra), new_rows, "pos", extra_cols=extra,
-                                   new_is_small=small)
+                                   key_cols=_uniq([*g, "id"]))
     else:
         stored_next = new_rows.drop("pos")
 

@@ -25,8 +25,9 @@ def stored_cte() -> str:
 )"""
 
 
-def chain(model_enabled: bool = True) -> str:
-    kw = list(TD.SIGNAL_KEYWORDS)
+def chain(model_enabled: bool = True, positive: dict | None = None) -> str:
+    positive = positive or TD.SIGNAL_KEYWORDS
+    kw = list(positive)
     txt = Q.scoring_text()
     cut_iso = f"strftime(TIMESTAMP '{RUN_AS_OF}' - INTERVAL 24 HOUR, '%Y-%m-%dT%H:%M:%S.%gZ')"
     cut_date = f"strftime(TIMESTAMP '{RUN_AS_OF}' - INTERVAL 24 HOUR, '%Y-%m-%d')"
@@ -40,7 +41,7 @@ f2 AS (
 ),
 counts AS (SELECT lang, count(*) AS total_new_items FROM f2 GROUP BY lang),
 scored0 AS (
-  SELECT *, {Q.inline_score(txt, TD.SIGNAL_KEYWORDS)} AS positive, {Q.inline_score(txt, TD.NEGATIVE_KEYWORDS)} AS negative,
+  SELECT *, ord AS src_ord, {Q.inline_score(txt, positive)} AS positive, {Q.inline_score(txt, TD.NEGATIVE_KEYWORDS)} AS negative,
          {Q.keyword_matches(kw)} AS matches
   FROM f2
 ), scored AS (SELECT *, {Q.layer1('positive', 'negative')} AS layer1 FROM scored0),
@@ -67,7 +68,8 @@ ms AS (SELECT CAST(doc_id AS VARCHAR) AS id, max(CAST(CASE WHEN toxic = 0 THEN q
 blended0 AS (
   SELECT c.*, CASE WHEN c.negative = 0 THEN coalesce(ms.model_score, {Q.dbl(0)}) ELSE {Q.dbl(0)} END AS layer2
   FROM cov c LEFT JOIN ms ON c.id = ms.id
-), blended AS (SELECT *, {Q.blend('layer1', 'layer2') if model_enabled else 'CAST(round(layer1) AS BIGINT)'} AS final_score FROM blended0),
+), blended AS (SELECT *, {Q.blend('layer1', 'layer2') if model_enabled else 'CAST(layer1 AS DOUBLE)'} AS final_score FROM blended0),
+asked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cov_rank) AS ask_rank FROM cov WHERE negative = 0),
 sel AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY final_score DESC, cov_rank) AS sel_rank
                  FROM blended WHERE final_score >= {Q.dbl(THRESHOLD)})
@@ -87,7 +89,7 @@ new_rows AS (
   SELECT e.id, e.title, e.url, e.source, nullif(a.content, '') AS content, nullif(e.summary, '') AS summary,
          coalesce(nullif(e.category, ''), 'Uncategorized') AS category, nullif(e.published_at, '') AS published_at,
          coalesce(CAST(e.score AS BIGINT), 0) AS score, '{digest_date}' AS digest_date, 0 AS delivered, e.lang, e.sel_rank AS pos
-  FROM enriched e JOIN articles a ON a.id = e.id AND a.ord = e.ord
+  FROM enriched e JOIN articles a ON a.ord = e.src_ord
 ),
 stored_next AS (
   SELECT coalesce(s.id, n.id) AS id,
@@ -102,7 +104,7 @@ stored_next AS (
          CASE WHEN s.id IS NOT NULL THEN s.digest_date ELSE n.digest_date END AS digest_date,
          CASE WHEN s.id IS NOT NULL THEN s.delivered ELSE n.delivered END AS delivered,
          CASE WHEN s.id IS NOT NULL THEN s.lang ELSE n.lang END AS lang
-  FROM stored s FULL OUTER JOIN new_rows n ON s.id = n.id
+  FROM stored s FULL OUTER JOIN new_rows n ON s.id = n.id AND s.lang IS NOT DISTINCT FROM n.lang
 ),
 pend AS (
   SELECT * FROM stored_next

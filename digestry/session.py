@@ -88,18 +88,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for a dimension table whose row count is checked first.
+# What a checked broadcast may hold at most.
+MAX_BROADCAST_BYTES = 64 << 20
 
-    Above ``max_rows`` the table is returned without the hint, so the join
-    falls back to a shuffle join (and adaptive execution may still pick a
-    broadcast when runtime statistics prove the side small).
+
+def checked_broadcast(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a dimension table whose rows and bytes are checked first.
+
+    Above ``max_rows`` rows, or ``max_bytes`` bytes of their JSON text, the table
+    is returned without the hint, so the join falls back to a shuffle join
+    (and adaptive execution may still pick a broadcast when runtime
+    statistics prove the side small).
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        from pyspark.sql import functions as F
+    from pyspark.sql import functions as F
 
-        return F.broadcast(df)
-    return df
+    size = F.octet_length(F.to_json(F.struct("*"))) if df.columns else F.lit(0)
+    rows, used = df.limit(max_rows + 1).select(size.alias("_bytes")).agg(F.count("*"), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and used <= max_bytes else df
 
 
 def materialize(df: DataFrame) -> DataFrame:
