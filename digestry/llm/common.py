@@ -20,16 +20,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet into the shared checkpoint folder and read it back.
 
     The folder is the session's ``spark.checkpoint.dir`` (a scratch folder only where that is
     unset, as in tests).  Unlike a cache, the rows survive the loss of executors, and they are
-    computed once.
+    computed once.  ``narrow`` rows (ids and numbers) are first dealt evenly to one file per core: a
+    scan of texts has far more tasks than their sizes need files.
     """
     spark = df.sparkSession
     path = f"{session.checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = df.repartition(max(2, spark.sparkContext.defaultParallelism)) if narrow else df
+    rows.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -110,8 +110,8 @@ def copies(key: Column, size: Column) -> Column:
 
 def mixture(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(targets and cuts per source, to broadcast if few) for written ``sizes``."""
-    sources = written(source_targets(sizes))
-    cuts = written(sources.join(source_cuts(sizes, sources), "src", "left"))
+    sources = written(source_targets(sizes), narrow=True)
+    cuts = written(sources.join(source_cuts(sizes, sources), "src", "left"), narrow=True)
     return sources, session.checked_broadcast(cuts.withColumnRenamed("source", "its_source"), SMALL_SOURCES)
 
 
@@ -120,7 +120,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     The text is read twice (sizes, then the cut) and never shuffled.
     """
-    sizes = written(queue_sizes(docs))
+    sizes = written(queue_sizes(docs), narrow=True)
     _, cuts = mixture(sizes)
     cols = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
@@ -152,7 +152,7 @@ FROM q0 LEFT JOIN t ON t.src = q0.src AND t.key = q0.key AND t.size = q0.size
 
 @register("op8_mix_sources", _SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = written(queue_sizes(read(spark, sf_dir, "documents")))
+    sizes = written(queue_sizes(read(spark, sf_dir, "documents")), narrow=True)
     _, cuts = mixture(sizes)
     met = sizes.join(cuts, F.col("source").eqNullSafe(F.col("its_source")))
     return met.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("key"), F.col("size"))).alias("taken"))
