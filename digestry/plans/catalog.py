@@ -96,7 +96,11 @@ def q0_run(spark: SparkSession, sf_dir: str, finish: bool = True, model_enabled:
 @register("q0_signal_digest")
 def q0_signal_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q0: digest items per language (flattened) with the digest metadata."""
-    docs = q0_run(spark, sf_dir).digests
+    return digest_rows(q0_run(spark, sf_dir).digests)
+
+
+def digest_rows(docs: DataFrame) -> DataFrame:
+    """One row per digest item, with the digest's metadata."""
     return docs.select("lang", F.posexplode("items").alias("_p", "_i"), "metadata").select(
         "lang", (F.col("_p") + 1).cast("int").alias("pos"), "_i.*",
         F.col("metadata.total_new_items").alias("total_new_items"),

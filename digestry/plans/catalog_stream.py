@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from digestry.operators import store
+from digestry.plans import sql_q0 as Z
 from digestry.plans import sqlgen as Q
 from digestry.plans.catalog import ORACLE, register
 from digestry.sources import testdata as TD
@@ -39,26 +40,69 @@ def x2(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
-def _incremental(spark: SparkSession, sf: str, with_health: bool) -> DataFrame:
-    out, state = X.scratch(spark, "x1-out"), X.scratch(spark, "x1-state")
+def _incremental(spark: SparkSession, sf: str, with_health: bool, max_files: int = 4, delay_minutes: float = 0.0) -> DataFrame:
     mark = store.read_mark(TD.stored_articles(spark, sf), True)
-    X.incremental_digest(
-        _article_stream(spark, sf), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, mark, out, state, X.scratch(spark, "x1-ckpt"),
-        threshold=60.0, top_n=10, group_cols=["lang"],
-        health=TD.health_log(spark, sf) if with_health else None, cooldown_minutes=60.0, as_of="2024-01-31 00:00:00")
-    return spark.read.parquet(out)
+    return X.incremental_digest(
+        _article_stream(spark, sf, max_files), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, mark, "1", X.scratch(spark, "x1-out"),
+        X.scratch(spark, "x1-state"), X.scratch(spark, "x1-ckpt"), threshold=60.0, top_n=10, group_cols=["lang"],
+        health=TD.health_log(spark, sf) if with_health else None, cooldown_minutes=COOLDOWN, as_of=HEALTH_AS_OF, delay_minutes=delay_minutes)
 
 
-@register("x1_x3_incremental_digest", None)
+def _run_sql(mark: str, kept: str = "true") -> str:
+    """One run's selection: newer than the mark, scored, exactly deduplicated, the best ten per language."""
+    return f"""{A}, {Z.stored_cte()},
+hwm AS (SELECT {mark} AS mark FROM stored),
+new AS (SELECT a.* FROM articles a, hwm WHERE (hwm.mark IS NULL OR a.published_ts > hwm.mark) AND {kept}),
+scored AS (SELECT *, {Q.layer1(Q.inline_score(Q.scoring_text(), TD.SIGNAL_KEYWORDS), Q.inline_score(Q.scoring_text(), TD.NEGATIVE_KEYWORDS))} AS layer1 FROM new),
+{Q.survivor_cte('d1', 'scored', ['lang'], Q.canonical_url('url'), 'url_key')},
+{Q.survivor_cte('d2', 'd1', ['lang'], Q.fingerprint('title'), 'fp_key')},
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY layer1 DESC, ord) AS k FROM d2 WHERE layer1 >= {Q.dbl(60.0)})
+SELECT lang, CAST(k AS INTEGER) AS rank, id, layer1 FROM top WHERE k <= 10"""
+
+
+HEALTH_AS_OF, COOLDOWN = "2024-01-31 00:00:00", 60.0
+_MARK = "CAST(max(coalesce(published_at, digest_date)) AS TIMESTAMP)"
+_ACTIVE = f"""a.source NOT IN (SELECT 'src' || CAST(user_id AS VARCHAR) FROM events GROUP BY 1
+  HAVING CAST(epoch_us(TIMESTAMP '{HEALTH_AS_OF}') - epoch_us(max(ts)) AS DOUBLE) / CAST(6.0e7 AS DOUBLE) < {Q.dbl(COOLDOWN)})"""
+_COLUMNS = ["lang", "rank", "id", "layer1"]
+
+
+@register("x1_x3_incremental_digest", f"WITH {_run_sql(_MARK)}")
 def x1(spark: SparkSession, sf: str) -> DataFrame:
-    """X1 + X3: per micro-batch digest selection behind a global high-water mark."""
-    return _incremental(spark, sf, False).select("batch_id", "lang", "rank", "id", "layer1")
+    """X1 + X3: one digest selection per run behind a global high-water mark."""
+    return _incremental(spark, sf, False).select(*_COLUMNS)
+
+
+@register("x1_one_file_per_batch", f"WITH {_run_sql(_MARK)}")
+def x1_small(spark: SparkSession, sf: str) -> DataFrame:
+    """The same run in micro-batches of one file: the same rows."""
+    return _incremental(spark, sf, False, max_files=1).select(*_COLUMNS)
+
+
+@register("x3_late_items", f"WITH {_run_sql(_MARK + ' - INTERVAL 6 HOUR')}")
+def x3(spark: SparkSession, sf: str) -> DataFrame:
+    """X3 with a delay: items up to six hours older than the mark are still taken."""
+    return _incremental(spark, sf, False, delay_minutes=360.0).select(*_COLUMNS)
 
 
-@register("x4_incremental_with_cooldown", None)
+@register("x4_incremental_with_cooldown", f"WITH {_run_sql(_MARK, _ACTIVE)}")
 def x4(spark: SparkSession, sf: str) -> DataFrame:
-    """The same run; sources cooling down (health log) are skipped per batch."""
-    return _incremental(spark, sf, True).select("batch_id", "lang", "rank", "id", "layer1")
+    """The same run; sources cooling down (health log at the run's start) are skipped."""
+    return _incremental(spark, sf, True).select(*_COLUMNS)
+
+
+@register("x1_streaming_q0", f"WITH RECURSIVE {Z.chain()} SELECT * FROM digest_items")
+def x1_q0(spark: SparkSession, sf: str) -> DataFrame:
+    """X1 with the whole chain: drained items against the stored table, digests and next snapshot as in Q0."""
+    from digestry.plans import catalog
+
+    root = X.scratch(spark, "x1-articles")
+    store.write_version(TD.stored_articles(spark, sf), root)
+    run = X.incremental_run(
+        _article_stream(spark, sf), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, catalog.q0_params(), catalog.RUN_AS_OF, "1", root,
+        X.scratch(spark, "x1-state"), X.scratch(spark, "x1-ckpt"), health_root=X.scratch(spark, "x1-health"),
+        model_scores=TD.model_scores(spark, sf), analyses=TD.analyses(spark, sf))
+    return catalog.digest_rows(run.digests)
 
 
 # X5's oracle is the batch keyword score: the stream computes the same values.

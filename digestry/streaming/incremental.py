@@ -2,28 +2,32 @@
 
 The reference's repeated run is a hand-made micro-batch with three pieces of
 state: the high-water mark (M1), the per-source last check (W1) and the
-stored articles.  Here:
+stored articles.  Here one run drains the stream with
+``trigger(availableNow=True)``:
 
 * X5: the layer-1 score is a stateless projection on the stream (the same
   column functions as in batch);
 * X2: exact dedup on the stream keeps the first arrival of a canonical url
   with ``dropDuplicatesWithinWatermark`` (state bounded by the watermark);
-* X1/X3/X4: a digest run per micro-batch with ``foreachBatch``; the mark and
-  the health log are tables read inside the batch, the mark (X3: global, zero
-  delay, as in the reference) is written per batch, and outputs are written
-  to a folder per ``batch_id`` so a retried batch overwrites its own output
-  (idempotent).  ``trigger(availableNow=True)`` drains what is there.
+* X1/X3/X4: the mark and the health log are read once, when the run starts;
+  every micro-batch only filters its items by them and writes the rest to its
+  own folder, so a retried batch replaces its output.  When the stream is
+  drained, the run's items are deduplicated, cut and selected once, and the
+  mark moves on.  How many files a micro-batch holds changes nothing.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestry.functions import urls as U
 from digestry.operators import dedup, keywords, rank, store
+from digestry.plans.signal_digest import DigestRun, run_digest
 from digestry.session import checkpoint_dir
 
 
@@ -64,45 +68,101 @@ def drain(stream: DataFrame, sink: str, checkpoint: str, output_mode: str = "app
     return sink
 
 
-def incremental_digest(stream: DataFrame, positive, negative, initial_mark: str | None, out_root: str, state_root: str,
-                       checkpoint: str, threshold: float, top_n: int, group_cols=(), health: DataFrame | None = None,
-                       cooldown_minutes: float = 5.0, as_of: str | None = None) -> None:
-    """X1 (+X3, X4): one digest selection per micro-batch via ``foreachBatch``.
-
-    Per batch: X4 drops items of sources cooling down (health table read in
-    the batch); X3 drops items not newer than the mark (the mark table holds
-    one row per batch; its maximum is the mark); then layer-1 scoring, exact
-    dedup and the top N per group.  The selection is written to
-    ``out_root/batch_id=N`` (overwrite: a retried batch replaces its output)
-    and the batch's mark row to ``state_root/batch_id=N``.
-    """
-    g = list(group_cols)
+def read_mark(spark: SparkSession, state_root: str, initial: str | None = None) -> str | None:
+    """The mark of the last run that ended, else ``initial``."""
+    try:
+        found = spark.read.parquet(state_root).agg(F.max("mark").alias("mark")).first()["mark"]
+    except AnalysisException as missing:  # no run has ended yet; any other failure is one
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = None
+    return max([m for m in (found, initial) if m], default=None)
+
+
+def delayed(mark: str | None, delay_minutes: float) -> str | None:
+    """The mark moved back, so items that arrive up to ``delay_minutes`` late are still taken."""
+    if not mark or not delay_minutes:
+        return mark
+    at = dt.datetime.fromisoformat(mark.replace("Z", "+00:00"))
+    at = at.replace(tzinfo=at.tzinfo or dt.timezone.utc) - dt.timedelta(minutes=delay_minutes)
+    return at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
+
+
+def drain_new_items(stream: DataFrame, mark: str | None, run_root: str, checkpoint: str, health: DataFrame | None = None,
+                    as_of: str | None = None, cooldown_minutes: float = 5.0) -> DataFrame:
+    """The stream's items that are newer than ``mark`` and whose
+    source isn't cooling down, written to ``run_root/batch_id=N`` and read back.
+
+    ``mark`` and ``health`` are those of the run's start, for all its batches."""
+    schema = stream.schema
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        marks = [initial_mark] if initial_mark else []
-        try:
-            prev = spark.read.parquet(state_root).where(F.col("batch_id") < batch_id).agg(F.max("mark").alias("m")).first()
-            if prev and prev["m"]:
-                marks.append(prev["m"])
-        except Exception:  # noqa: BLE001  (no mark written yet)
-            pass
-        mark = max(marks) if marks else None
-        items = batch
+        items = store.incremental_filter(batch, mark)
         if health is not None and as_of is not None:
-            srcs = items.select(F.col("source").alias("id")).distinct()
-            active = store.cooldown_filter(srcs, health, as_of, cooldown_minutes)
-            items = items.join(active.select(F.col("id").alias("source")), "source", "left_semi")
-        new = store.incremental_filter(items, mark)
-        scored = keywords.layer1_scores(new, positive, negative)
-        narrow = scored.withColumn("_empty", dedup.content_empty("content")).drop("content")
-        uniq = dedup.exact_dedup(narrow, g, content="_empty")
-        sel = rank.top_k(rank.signal_threshold(uniq, threshold, "layer1"), top_n, [F.col("layer1").desc(), F.col("ord")], g, "rank")
-        sel = sel.select(*g, "rank", "id", "title", "url", "published_at", "layer1").withColumn("batch_id", F.lit(batch_id))
-        sel.write.mode("overwrite").parquet(f"{out_root}/batch_id={batch_id}")
-        sel.agg(F.max("published_at").alias("mark")).where(F.col("mark").isNotNull()).write.mode("overwrite").parquet(
-            f"{state_root}/batch_id={batch_id}")
-
-    q = (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+            sources = items.select(F.col("source").alias("id")).distinct()
+            active = store.cooldown_filter(sources, health, as_of, cooldown_minutes)
+            items = items.join(active.select(F.col("id").alias("source")), "source", "left_semi").select(*schema.names)
+        items.write.mode("overwrite").parquet(f"{run_root}/batch_id={batch_id}")
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    try:
+        return spark.read.schema(schema).parquet(run_root).select(*schema.names)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # there was nothing to drain
+
+
+def advance_mark(selected: DataFrame, state_root: str, run_id: str) -> None:
+    """The run's mark, its latest published_at; a run that selects nothing leaves the mark."""
+    mark = selected.agg(F.max("published_at").alias("mark")).where(F.col("mark").isNotNull())
+    mark.write.mode("overwrite").parquet(f"{state_root}/run={run_id}")
+
+
+def incremental_digest(stream: DataFrame, positive, negative, initial_mark: str | None, run_id: str, out_root: str, state_root: str,
+                       checkpoint: str, threshold: float, top_n: int, group_cols=(), health: DataFrame | None = None,
+                       cooldown_minutes: float = 5.0, as_of: str | None = None, delay_minutes: float = 0.0) -> DataFrame:
+    """X1 (+X3, X4): one digest selection per run: layer-1 scores, exact dedup,
+    the top N per group, over all items the run drained.
+
+    The selection is written to ``out_root/run=<run_id>`` and read back."""
+    g = list(group_cols)
+    spark = stream.sparkSession
+    mark = delayed(read_mark(spark, state_root, initial_mark), delay_minutes)
+    new = drain_new_items(stream, mark, f"{out_root}-items/run={run_id}", checkpoint, health, as_of, cooldown_minutes)
+    scored = keywords.layer1_scores(new, positive, negative)
+    narrow = scored.withColumn("_empty", dedup.content_empty("content")).drop("content")
+    uniq = dedup.exact_dedup(narrow, g, content="_empty")
+    sel = rank.top_k(rank.signal_threshold(uniq, threshold, "layer1"), top_n, [F.col("layer1").desc(), F.col("ord")], g, "rank")
+    path = f"{out_root}/run={run_id}"
+    sel.select(*g, "rank", "id", "title", "url", "published_at", "layer1").write.mode("overwrite").parquet(path)
+    selected = spark.read.parquet(path)
+    advance_mark(selected, state_root, run_id)
+    return selected
+
+
+def incremental_run(stream: DataFrame, positive, negative, params, as_of: str, run_id: str, articles_root: str, state_root: str,
+                    checkpoint: str, health_root: str | None = None, **model) -> DigestRun:
+    """X1 with the whole chain (Q0) over what the run drained, against stored state.
+
+    The article table at ``articles_root`` (its last snapshot) gives the mark
+    and takes the run's articles as its next snapshot; the health log at
+    ``health_root`` silences sources that were just checked (X4) and gets one
+    row per source of this run (M5, K3).  ``model`` holds ``run_digest``'s model inputs."""
+    spark = stream.sparkSession
+    stored = store.read_latest(spark, articles_root) if store.latest_version(spark, articles_root) else None
+    mark = store.read_mark(stored, params.strict_reference) if stored is not None else None
+    health = None
+    if health_root is not None:
+        try:
+            health = spark.read.parquet(health_root).withColumn("id", F.monotonically_increasing_id())
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+    new = drain_new_items(stream, mark, f"{state_root}/items/run={run_id}", checkpoint, health, as_of, params.cooldown_minutes)
+    run = run_digest(new, positive, negative, params, as_of, stored=stored, **model)
+    store.write_version(run.stored, articles_root)
+    if health_root is not None:
+        store.append_health(store.health_records(new), health_root, as_of)
+    return run
