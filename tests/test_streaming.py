@@ -8,7 +8,8 @@ SCHEMA = "id string, title string, url string, source string, content string, pu
 
 
 def items(spark, first, last, content="kilo lima"):
-    rows = [(str(i), f"topic{i} kilo lima {'abcdefghijklmnop'[i % 16] * 6}", f"https://u.example/{i}", "s", content, f"2024-01-{i + 1:02d}T00:00:00.000Z", i)
+    unlike = ["".join(chr(97 + (i * 7 + k * (i + 2)) % 26) for k in range(40)) for i in range(10)]
+    rows = [(str(i), f"topic{i} {unlike[i]}", f"https://u.example/{i}", "s", content, f"2024-01-{i + 1:02d}T00:00:00.000Z", i)
             for i in range(first, last)]
     df = spark.createDataFrame(rows, "id string, title string, url string, source string, content string, published_at string, ord long")
     return df.selectExpr(*[c.split()[0] if c.split()[0] != "published_ts" else "to_timestamp(published_at) AS published_ts" for c in SCHEMA.split(", ")])
