@@ -15,19 +15,22 @@ is defined in terms of it.
   a replaced leader.
 * D3b (scale mode) has no bound on group size: identical normalised titles
   are collapsed first, candidate pairs come from a prefix-filtered equi-join
-  on rare bigrams (J6), and leaders are decided in rounds over the pair graph
-  (each round's state is checkpointed).  It equals the greedy loop without
+  on pairs of rare bigrams (J6), and leaders are decided in rounds over the
+  edges still open (checkpointed each round).  It equals the greedy loop without
   leader replacement; with all rows carrying content it equals D3a.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from digestry.functions import text as T
 from digestry.functions import urls as U
+from digestry.session import materialize
 
 
 def content_empty(content: str = "content") -> Column:
@@ -38,6 +41,13 @@ def content_empty(content: str = "content") -> Column:
     return F.coalesce(F.col(content), F.lit("")) == ""
 
 
+def narrow(df: DataFrame, content: str = "content") -> DataFrame:
+    """``df`` with its text replaced by the boolean ``_empty``: what dedup needs
+    of it.  Keys, ids and positions are deduplicated; text is joined back
+    by position where it is asked for."""
+    return df.withColumn("_empty", content_empty(content)).drop(content)
+
+
 def survivor_by_key(df: DataFrame, key_cols: list[str], ord_col: str = "ord", content: str = "content",
                     size_col: str | None = None) -> DataFrame:
     """M8: per key, the first row with content, else the first row; its
@@ -149,12 +159,6 @@ def fuzzy_dedup_greedy(
 # --------------------------------------------------------------------------- J6 / D3b
 
 
-def _prefix_len(n: Column, threshold: float) -> Column:
-    """AllPairs prefix length for Dice: n - ceil(n * t / (2 - t)) + 1."""
-    ratio = float(threshold) / (2.0 - float(threshold))
-    return n - F.ceil(n.cast("double") * F.lit(ratio).cast("double")) + 1
-
-
 def _norm_table(df: DataFrame, group_cols, title: str, ord_col: str) -> tuple[DataFrame, DataFrame]:
     """Items -> (member -> representative) and distinct normalised titles with their first ord."""
     g = [F.col(c) for c in group_cols]
@@ -174,70 +178,90 @@ def similar_pairs(df: DataFrame, group_cols=(), threshold: float = 0.7, title: s
     coefficient.
     """
     _, reps = _norm_table(df, group_cols, title, ord_col)
+    reps = materialize(reps)
     g = list(group_cols)
     pairs = _rep_pairs(reps, group_cols, threshold, keep_dice=True)
     return pairs.select(*g, F.col("a").alias("a_ord"), F.col("b").alias("b_ord"),
                         F.col("na_t").alias("a_norm"), F.col("nb_t").alias("b_norm"), "dice")
 
 
+# Titles are grouped by their number of bigrams, a factor of this from one group to the next.
+SIZE_STEP = 1.25
+
+
 def _rep_pairs(reps: DataFrame, group_cols, threshold: float, keep_dice: bool = False) -> DataFrame:
     """Verified similar pairs between distinct normalised titles (a._rep < b._rep).
 
-    Candidate generation (AllPairs / PPJoin, exact):
-    * bigrams are ordered rarest first by their frequency in the group;
-    * a title's prefix is its first n - ceil(n * t / (2 - t)) + 1 grams, and
-      two titles can reach Dice t only if their prefixes share a gram;
-    * length filter: n_b >= n_a * t / (2 - t) and vice versa;
-    * per pair, the first shared gram (positions p_a, p_b) must lie within the
-      pair's own prefixes (p <= n - alpha + 1, alpha = ceil(t (n_a + n_b) / 2))
-      and the positional bound 1 + min(n_a - p_a, n_b - p_b) >= alpha must hold;
-    * the number of shared prefix grams must reach alpha minus the longer of
-      the two prefix tails.
-    Only surviving pairs are verified with the exact Dice coefficient.
+    Candidate generation is exact (prefix filtering on combinations of grams):
+    * a title's bigrams are ordered rarest first by their frequency in the group;
+    * for a pair that reaches Dice t, the smaller title (n_a grams) shares at
+      least ceil(t n_a) grams with the larger one, so for l <= ceil(t n_a) the two
+      have l grams in common among the first n - overlap + l of each;
+    * titles meet on combinations of l = 2 such grams (l = 1 for a few grams),
+      together with the size group of the smaller title: the larger title probes
+      only the groups in which n_a >= n_b t / (2 - t) is possible, with the
+      prefix that group's smallest size asks for.
+    Two rare bigrams together are a far more selective key than one; the
+    candidates are then verified with the Dice coefficient itself.
     """
     g = list(group_cols)
-    # gram frequency per group: at most 37 * 37 rows per group (the alphabet of
-    # normalised titles), joined on (group, gram)
-    freq = reps.select(*g, F.explode("_grams").alias("_gram")).groupBy(*g, "_gram").agg(F.count("*").alias("_f"))
-    ex = reps.select(*g, "_rep", "_grams", F.explode("_grams").alias("_gram"))
-    ranked = ex.join(freq, [*g, "_gram"]).withColumn(
-        "_pos", F.row_number().over(Window.partitionBy(*g, "_rep").orderBy("_f", "_gram"))
-    )
-    n = F.size("_grams")
-    prefix = ranked.where(F.col("_pos") <= _prefix_len(n, threshold)).select(*g, "_rep", "_gram", "_pos", n.alias("_n"))
-    a = prefix.select(*g, F.col("_rep").alias("a"), "_gram", F.col("_pos").alias("pa"), F.col("_n").alias("na"))
-    b = prefix.select(*g, F.col("_rep").alias("b"), "_gram", F.col("_pos").alias("pb"), F.col("_n").alias("nb"))
-    lo = float(threshold) / (2.0 - float(threshold))
-    cand = (
-        a.join(b, [*g, "_gram"])
-        .where(F.col("a") < F.col("b"))
-        .where((F.col("nb").cast("double") >= F.col("na") * F.lit(lo)) & (F.col("na").cast("double") >= F.col("nb") * F.lit(lo)))
-        .groupBy(*g, "a", "b")
-        .agg(F.min(F.struct("pa", "pb")).alias("_first"), F.first("na").alias("na"), F.first("nb").alias("nb"),
-             F.count("*").alias("_shared"))
-    )
-    # alpha = ceil(t (na + nb) / 2), computed a hair low so float error never drops a pair
-    alpha = F.ceil(F.lit(float(threshold)) * (F.col("na") + F.col("nb")).cast("double") / F.lit(2.0) - F.lit(1e-9))
-    pa, pb = F.col("_first.pa"), F.col("_first.pb")
-    # common grams of rank k <= I - max(n_a - prefix_a, n_b - prefix_b) lie in both
-    # prefixes, so a pair reaching alpha shares at least alpha - max(...) prefix grams
-    tail_a = F.ceil(F.col("na").cast("double") * F.lit(lo)) - 1
-    tail_b = F.ceil(F.col("nb").cast("double") * F.lit(lo)) - 1
-    cand = cand.where(
-        (pa <= F.col("na") - alpha + 1) & (pb <= F.col("nb") - alpha + 1)
-        & (F.lit(1) + F.least(F.col("na") - pa, F.col("nb") - pb) >= alpha)
-        & (F.col("_shared") >= alpha - F.greatest(tail_a, tail_b))
-    ).select(*g, "a", "b")
+    t = float(threshold)
+    lo = t / (2.0 - t)
+    # gram frequency per group: at most 37 * 37 rows per group (the alphabet of normalised titles)
+    ex = reps.select(*g, "_rep", F.explode("_grams").alias("_gram"))
+    freq = ex.groupBy(*g, "_gram").agg(F.count("*").alias("_f"))
+    order = F.array_sort(F.collect_list(F.struct("_f", "_gram")))  # at most that many grams in a title
+    ranked = materialize(ex.join(freq, [*g, "_gram"]).groupBy(*g, "_rep").agg(order["_gram"].alias("_sorted")))
+
+    def size_group(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / F.lit(math.log(SIZE_STEP))).cast("int")
+
+    def ceil_below(x: Column) -> Column:  # a hair low, so float error never drops a pair
+        return F.ceil(x - F.lit(1e-9)).cast("int")
+
+    pairs_from = math.floor(math.log(2.0 / t + 1) / math.log(SIZE_STEP)) + 1  # ceil(t n) >= 2 in these groups
+
+    def keys(length: Column, group: Column) -> Column:
+        first = F.slice("_sorted", 1, F.least(F.size("_sorted"), length + F.when(group >= pairs_from, 2).otherwise(1)))
+        combined = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.concat(x, y))))
+        return F.when(group >= pairs_from, combined).otherwise(first)
+
+    n = F.size("_sorted")
+    small = ranked.withColumn("_k", size_group(n))
+    small = small.select(*g, "_k", F.col("_rep").alias("a"), n.alias("na"), F.explode(keys(n - ceil_below(F.lit(t) * n), F.col("_k"))).alias("_key"))
+    at_least = F.greatest(F.lit(1), ceil_below(n * F.lit(lo)))
+    probed = ranked.withColumn("_k", F.explode(F.sequence(size_group(at_least), size_group(n))))
+    least_na = F.greatest(at_least, F.floor(F.pow(F.lit(SIZE_STEP), F.col("_k"))).cast("int"))
+    overlap = ceil_below(F.lit(t) * (least_na + n) / F.lit(2.0))
+    large = probed.select(*g, "_k", F.col("_rep").alias("b"), n.alias("nb"), F.explode(keys(n - overlap, F.col("_k"))).alias("_key"))
+    met = small.join(large, [*g, "_k", "_key"]).where(
+        ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= F.col("nb") * F.lit(lo) - F.lit(1e-9)))
+    cand = met.select(*g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ra = reps.select(*g, F.col("_rep").alias("a"), F.col("_norm").alias("na_t"), F.col("_grams").alias("ga"))
     rb = reps.select(*g, F.col("_rep").alias("b"), F.col("_norm").alias("nb_t"), F.col("_grams").alias("gb"))
-    t = F.lit(float(threshold)).cast("double")
     ver = cand.join(ra, [*g, "a"]).join(rb, [*g, "b"])
-    ver = ver.withColumn("dice", T.dice("na_t", "nb_t", "ga", "gb")).where(F.col("dice") >= t)
-    if keep_dice:
-        return ver.select(*g, "a", "b", "na_t", "nb_t", "dice")
-    # pairs with empty bigram sets never share a prefix gram; only equal titles can match
-    # them (Dice 1), and those were collapsed into one representative.
-    return ver.select(*g, "a", "b")
+    ver = ver.withColumn("dice", T.dice("na_t", "nb_t", "ga", "gb")).where(F.col("dice") >= F.lit(t).cast("double"))
+    # titles without bigrams are similar only to equal ones, which are one representative
+    return ver.select(*g, "a", "b", "na_t", "nb_t", "dice") if keep_dice else ver.select(*g, "a", "b")
+
+
+def absorbed_titles(pairs: DataFrame, group_cols=()) -> DataFrame:
+    """(group, b) of the titles that an earlier leader absorbs, by rounds over
+    the edges (a, b), a < b, that are still open.
+
+    A title no open edge leads to is a leader; it absorbs its neighbours; edges
+    to and from absorbed titles are closed.  Every round decides at least the
+    earliest open title, and only open edges are read and written again.
+    """
+    g = list(group_cols)
+    open_edges, rounds = materialize(pairs.select(*g, "a", "b")), []
+    while not open_edges.isEmpty():
+        led = open_edges.select(*g, F.col("b").alias("a"))
+        absorbed = materialize(open_edges.join(led, [*g, "a"], "left_anti").select(*g, "b").distinct())
+        rounds.append(absorbed)
+        as_a = absorbed.select(*g, F.col("b").alias("a"))
+        open_edges = materialize(open_edges.join(absorbed, [*g, "b"], "left_anti").join(as_a, [*g, "a"], "left_anti"))
+    return functools.reduce(DataFrame.unionByName, rounds, pairs.select(*g, "b").limit(0))
 
 
 def fuzzy_dedup_scale(
@@ -251,59 +275,22 @@ def fuzzy_dedup_scale(
     """Greedy leader clustering without a bound on group size.
 
     Leader rule (equal to the greedy loop without leader replacement): a row
-    is a leader when no earlier leader is similar to it.  Decided by rounds
-    over the similar-pair graph of distinct titles: an undecided title whose
-    earlier neighbours are all absorbed becomes a leader; an undecided title
-    with an earlier leader neighbour is absorbed.  Every other row joins its
-    earliest similar leader; the survivor of a cluster is its first row with
-    content, else its first row (M8), at the leader's position.
+    is a leader when no earlier leader is similar to it.  Every other row joins
+    its earliest similar leader; the survivor of a cluster is its first row with
+    content, else its first row (M8), at the leader's position.  Only keys and
+    positions take part; the rows of ``df`` meet their leader by ``ord_col``.
     """
-    from digestry.session import checkpoint_dir, materialize
-
-    spark = df.sparkSession
-    checkpoint_dir(spark)
     g = list(group_cols)
     members, reps = _norm_table(df, group_cols, title, ord_col)
+    reps = materialize(reps)
     pairs = materialize(_rep_pairs(reps, group_cols, threshold))
-    nodes = reps.select(*g, "_rep")
-    # status: 1 leader, 2 absorbed, null undecided; only titles with an earlier neighbour
-    # can be absorbed, so the rest are leaders from the start.
-    has_earlier = pairs.select(*g, F.col("b").alias("_rep")).distinct().withColumn("_e", F.lit(True))
-    state = nodes.join(has_earlier, [*g, "_rep"], "left").select(
-        *g, "_rep", F.when(F.col("_e").isNull(), F.lit(1)).alias("_st")
-    )
-    state = materialize(state)
-    while True:  # every round decides at least the earliest undecided title
-        st_a = state.select(*g, F.col("_rep").alias("a"), F.col("_st").alias("sa"))
-        st_b = state.select(*g, F.col("_rep").alias("b"), F.col("_st").alias("sb"))
-        open_edges = pairs.join(st_b.where(F.col("sb").isNull()), [*g, "b"]).join(st_a, [*g, "a"])
-        per_b = open_edges.groupBy(*g, "b").agg(
-            F.max(F.when(F.col("sa") == 1, 1).otherwise(0)).alias("_has_leader"),
-            F.max(F.when(F.col("sa").isNull(), 1).otherwise(0)).alias("_has_open"),
-        )
-        new = per_b.select(
-            *g, F.col("b").alias("_rep"),
-            F.when(F.col("_has_leader") == 1, F.lit(2)).when(F.col("_has_open") == 0, F.lit(1)).alias("_new"),
-        )
-        state = (
-            state.join(new, [*g, "_rep"], "left")
-            .select(*g, "_rep", F.coalesce(F.col("_st"), F.col("_new")).alias("_st"))
-        )
-        state = materialize(state)
-        if state.where(F.col("_st").isNull()).limit(1).count() == 0:
-            break
-    leaders = state.where(F.col("_st") == 1).select(*g, "_rep")
-    # earliest similar leader of every absorbed title
-    lead_a = leaders.select(*g, F.col("_rep").alias("a"))
-    absorbed = (
-        pairs.join(lead_a, [*g, "a"])
-        .join(state.where(F.col("_st") == 2).select(*g, F.col("_rep").alias("b")), [*g, "b"])
-        .groupBy(*g, "b")
-        .agg(F.min("a").alias("_leader"))
-        .select(*g, F.col("b").alias("_rep"), "_leader")
-    )
-    rep_leader = leaders.select(*g, "_rep", F.col("_rep").alias("_leader")).unionByName(absorbed)
-    row_leader = members.join(rep_leader, [*g, "_rep"]).select(*g, F.col("_ord").alias(ord_col), "_leader")
+    absorbed = absorbed_titles(pairs, g)
+    as_a = absorbed.select(*g, F.col("b").alias("a"))
+    # earliest similar leader of every absorbed title; all others lead themselves
+    to_leader = pairs.join(absorbed, [*g, "b"], "left_semi").join(as_a, [*g, "a"], "left_anti")
+    to_leader = to_leader.groupBy(*g, "b").agg(F.min("a").alias("_leader")).withColumnRenamed("b", "_rep")
+    row_leader = members.join(to_leader, [*g, "_rep"], "left").select(
+        *g, F.col("_ord").alias(ord_col), F.coalesce("_leader", "_rep").alias("_leader"))
     tagged = df.join(row_leader, [*g, ord_col])
     out = survivor_by_key(tagged, [*g, "_leader"], ord_col=ord_col, content=content)
     return out.drop("_leader")

@@ -63,10 +63,10 @@ SELECT lang, CAST(rank AS INTEGER) AS rank, id, title, url, ord, layer1 FROM ran
 @register("q1_top_signal_after_url_dedup", _Q1_SQL)
 def q1_top_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 10 per language by keyword signal after URL dedup (threshold 60)."""
-    arts = TD.articles(spark, sf_dir)
-    uniq = dedup.dedup_url(arts, ["lang"])
-    scored = keywords.layer1_scores(uniq, TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS)
-    passed = rank.signal_threshold(scored, THRESHOLD, "layer1")
+    # scores first, map-side, so the text isn't shuffled
+    scored = keywords.layer1_scores(TD.articles(spark, sf_dir), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS)
+    uniq = dedup.dedup_url(dedup.narrow(scored), ["lang"], content="_empty")
+    passed = rank.signal_threshold(uniq, THRESHOLD, "layer1")
     top = rank.top_k(passed, TOP_N, [F.col("layer1").desc(), F.col("ord")], ["lang"], "rank")
     return top.select("lang", "rank", "id", "title", "url", "ord", "layer1")
 

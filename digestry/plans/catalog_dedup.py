@@ -25,8 +25,8 @@ WITH {A},
 {Q.survivor_cte('d1', 'articles', ['lang'], Q.canonical_url('url'), 'url_key')}
 SELECT lang, id, ord, url, title, coalesce(content, '') = '' AS no_content FROM d1""")
 def d1(spark: SparkSession, sf: str) -> DataFrame:
-    out = dedup.dedup_url(TD.articles(spark, sf), ["lang"])
-    return out.select("lang", "id", "ord", "url", "title", dedup.content_empty().alias("no_content"))
+    out = dedup.dedup_url(dedup.narrow(TD.articles(spark, sf)), ["lang"], content="_empty")
+    return out.select("lang", "id", "ord", "url", "title", F.col("_empty").alias("no_content"))
 
 
 @register("d2_fingerprint_dedup", f"""
@@ -35,8 +35,8 @@ WITH {A},
 {Q.survivor_cte('d2', 'd1', ['lang'], Q.fingerprint('title'), 'fp_key')}
 SELECT lang, id, ord, title, coalesce(content, '') = '' AS no_content FROM d2""")
 def d2(spark: SparkSession, sf: str) -> DataFrame:
-    out = dedup.exact_dedup(TD.articles(spark, sf), ["lang"])
-    return out.select("lang", "id", "ord", "title", dedup.content_empty().alias("no_content"))
+    out = dedup.exact_dedup(dedup.narrow(TD.articles(spark, sf)), ["lang"], content="_empty")
+    return out.select("lang", "id", "ord", "title", F.col("_empty").alias("no_content"))
 
 
 # --------------------------------------------------------------------------------- M2/S4, U3, J5
@@ -198,7 +198,7 @@ WITH RECURSIVE {A},
 {Q.greedy_fold_ctes('g', 'src', 'lang', 'ord', 0.7, False)},
 {_survivors_sql('g', 'articles')}""")
 def d3b(spark: SparkSession, sf: str) -> DataFrame:
-    out = dedup.fuzzy_dedup_scale(TD.articles(spark, sf), ["lang"], 0.7)
+    out = dedup.fuzzy_dedup_scale(dedup.narrow(TD.articles(spark, sf)), ["lang"], 0.7, content="_empty")
     return out.select("lang", "id", "ord")
 
 
@@ -210,7 +210,7 @@ WITH RECURSIVE {A},
 {Q.greedy_fold_ctes('g', 'src', 'lang', 'ord', 0.7, False)},
 {_survivors_sql('g', 'd2')}""")
 def d4(spark: SparkSession, sf: str) -> DataFrame:
-    out = dedup.composite_dedup(TD.articles(spark, sf), ["lang"], 0.7)
+    out = dedup.composite_dedup(dedup.narrow(TD.articles(spark, sf)), ["lang"], 0.7, content="_empty")
     return out.select("lang", "id", "ord")
 
 
