@@ -7,7 +7,7 @@ its path and of its hashed words; the blocks labelled main text are joined by ne
 The labeller is trained here, on the driver, from ``LAYOUTS`` drawn layouts with exact labels, whose words come from
 a bounded sample of the pages, and from those ``SAMPLE_PAGES`` sampled pages themselves wherever the markup says what a block is
 (inside article or main; inside nav, footer, aside or form).  The sample is the pages with the
-smallest hashes of their ids, none over ``SAMPLE_CHARS``.  Seeds are fixed, so the same table gives the same labeller.
+smallest hashes of id and html, none over ``SAMPLE_CHARS``.  Seeds are fixed, so the same table gives the same labeller.
 
 Defined results: a null, empty or text-free page has empty text and n_chars 0; nothing of a page is cut or capped;
 tags cut off at the end of a page are dropped; repeated rows come out each; other columns may have any name.
@@ -56,9 +56,13 @@ def _told_by_markup(page: list[Block]) -> list[int]:
 
 
 def sample_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> list[str]:
-    rows = pages.select(F.xxhash64(id_col).alias("order"), F.col(html_col).alias("html"))
-    rows = rows.filter(F.length("html") <= SAMPLE_CHARS).orderBy("order", "html").limit(SAMPLE_PAGES)
-    return [r["html"] for r in rows.collect()]
+    """The sampled pages; tasks send the driver hashes first, then only the pages chosen by them."""
+    rows = pages.select(F.xxhash64(id_col, html_col).alias("order"), F.col(html_col).alias("html")).filter(F.length("html") <= SAMPLE_CHARS)
+    chosen = [r["order"] for r in rows.select("order").orderBy("order").limit(SAMPLE_PAGES).collect()]
+    if not chosen:
+        return []
+    found = rows.filter(F.col("order") <= max(chosen)).dropDuplicates(["order"]).collect()
+    return [r["html"] for r in sorted(found, key=lambda r: r["order"])]
 
 
 def train_labeller(htmls: list[str]) -> Labeller:
