@@ -28,7 +28,8 @@ QUERIES, ORACLE, register = registry()
 
 MAX_COPIES = 3  # no document is taken more often
 WEIGHTS = 3  # sources weigh 1, 2, ... WEIGHTS, repeating
-ROWS_PER_RANGE = 4096  # about so many queue entries are sorted together
+ROWS_PER_RANGE = 1024  # about so many queue entries are sorted together
+MOST_RANGES = 1 << 16  # sums per range are added up in one task; beyond, the ranges grow instead
 SMALL_SOURCES = 100_000  # per-source rows (a name and a few numbers) that may be broadcast
 
 
@@ -77,7 +78,7 @@ def source_cuts(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     ``sizes`` and ``sources`` should be written tables: they are read more than once.
     """
     n = sources.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-    ranges = max(1, n // ROWS_PER_RANGE)
+    ranges = min(MOST_RANGES, max(1, n // ROWS_PER_RANGE))
     src = session.checked_broadcast(sources.withColumnRenamed("source", "its_source"), SMALL_SOURCES)
     q = sizes.join(src, F.col("source").eqNullSafe(F.col("its_source"))).select("src", "key", "size", "source_size", "target", "budget")
     q = q.filter(F.col("target") > 0).withColumn("range", _range(F.col("key"), ranges))
