@@ -34,6 +34,7 @@ VOCABULARY = "byte_bpe_50k.json"
 NODES = 3000  # steps of the search
 STEPS = 2000  # steps in the search for fillings around one length
 ROWS_PER_RANGE = 8192  # pieces of one length that are numbered together, about
+MOST_RANGES = 1 << 16  # counts per range of one length are added up in one task; beyond, the ranges grow instead
 
 Filling = tuple[tuple[int, int], ...]  # (length, how often), largest first
 Plan = list[tuple[Filling, int]]  # fillings and for how many sequences each
@@ -274,7 +275,7 @@ def number_within_length(pieces: DataFrame, total: int) -> DataFrame:
     Hash ranges are numbered apart and start after the counts of the ranges before, so a length
     that holds a third of all pieces is spread over many tasks.
     """
-    ranges = max(1, total // ROWS_PER_RANGE)
+    ranges = min(MOST_RANGES, max(1, total // ROWS_PER_RANGE))
     ranged = pieces.withColumn("range", F.shiftright(F.col("hash") * ranges, 32).cast("int"))
     counts = ranged.groupBy("length", "range").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
