@@ -7,9 +7,9 @@ A dictionary is a small dimension table ``(keyword string, weight double)``.
   tests that runs inside whole-stage code generation; the article rows are
   not shuffled.
 * A larger one, of any size, stays a table.  Every keyword is represented by
-  the one of its trigrams that the fewest texts hold; texts meet keywords by an
-  equi-join on that trigram, and each meeting is verified with ``contains``.
-  The result is the same.
+  the one of its ``GRAM``-character substrings that the fewest keywords have (a
+  shorter keyword by itself); texts meet keywords by an equi-join on that
+  gram, and each meeting is verified with ``contains``.  The result is the same.
 """
 
 from __future__ import annotations
@@ -23,7 +23,10 @@ from digestry.functions import scores as S
 from digestry.functions import text as T
 from digestry.session import checked_broadcast, materialize
 
-# Keywords of a large dictionary, each with its trigram, are broadcast up to this many.
+# Characters of the substring a keyword of a large dictionary is found by.  Five are far more selective
+# than three, and a text has about as many distinct ones.
+GRAM = 5
+# Keywords of a large dictionary, each with its gram, are broadcast up to this many.
 MAX_BROADCAST_KEYWORDS = 1_000_000
 
 
@@ -120,25 +123,21 @@ def with_found(df: DataFrame, dictionary: DataFrame, text_col: str, key: str, ou
     """M2 for any dictionary size: adds ``out``, the (keyword, weight) structs
     contained in ``text_col``.
 
-    A keyword of one or two characters is its own gram.  Grams no keyword has
-    are dropped where the text is cut into them, so only meetings travel; they
-    are collected per row (at most the keywords of one text) and join the
-    text once, by ``key``.
+    Grams that represent no keyword are dropped where the text is cut into
+    them, so only meetings travel; they are collected per row (at most the
+    keywords of one text) and join the text once, by ``key``.
     """
     words = materialize(dictionary.withColumn("_low", F.lower("keyword")))  # read several times
     always = words.where(F.col("_low") == "")  # the empty keyword is in every text
-    words = words.where(F.col("_low") != "")
-    # at most three lengths
-    sizes = sorted(r[0] for r in words.select(F.least(F.length("_low"), F.lit(3))).distinct().collect()) or [3]
-    cuts = words.select("keyword", "weight", "_low", F.explode(_grams(F.col("_low"), sizes)).alias("_gram"))
-    cuts = cuts.where(F.length("_gram") == F.least(F.length("_low"), F.lit(3)))
-    wanted = checked_broadcast(cuts.select("_gram").distinct(), MAX_BROADCAST_KEYWORDS)
+    words = words.where(F.col("_low") != "").withColumn("_size", F.least(F.length("_low"), F.lit(GRAM)))
+    # at most GRAM lengths
+    sizes = sorted(r[0] for r in words.select("_size").distinct().collect()) or [GRAM]
+    cuts = words.withColumn("_gram", F.explode(_grams(F.col("_low"), sizes))).where(F.length("_gram") == F.col("_size"))
+    shared = cuts.groupBy("_gram").agg(F.count("*").alias("_words"))
+    rarest = cuts.join(shared, "_gram").groupBy("keyword", "weight", "_low").agg(
+        F.min(F.struct(F.col("_words").alias("n"), F.col("_gram").alias("gram"))).alias("_rare"))
+    rarest = materialize(rarest.select("keyword", "weight", "_low", F.col("_rare.gram").alias("_gram")))
     held = df.select(F.col(key).alias("_key"), F.explode(_grams(F.col(text_col), sizes)).alias("_gram"))
-    texts_with = held.join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_texts"))
-    # a gram in no text rules its keyword out, so the inner join may drop others of the keyword only after the minimum
-    rarest = cuts.join(texts_with, "_gram", "left").groupBy("keyword", "weight", "_low").agg(
-        F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_rare"))
-    rarest = materialize(rarest.where(F.col("_rare.n") > 0).select("keyword", "weight", "_low", F.col("_rare.gram").alias("_gram")))
     met = held.join(checked_broadcast(rarest, MAX_BROADCAST_KEYWORDS), "_gram")
     met = met.groupBy("_key").agg(F.collect_list(F.struct("keyword", "weight", "_low")).alias("_met"))
     joined = df.join(met, df[key] == F.col("_key"), "left").drop("_key")
@@ -165,7 +164,7 @@ def keyword_hits(df: DataFrame, dictionary, id_cols: list[str], title: str = "ti
     """(row, keyword, weight) for every keyword contained in title or content.
 
     Up to ``inline_limit`` keywords the reference's substring "join" is one
-    inline match array per row, exploded; above, the trigram equi-join of
+    inline match array per row, exploded; above, the gram equi-join of
     ``with_found``.  A keyword found only across the end of the title is not a
     hit, so title and content are joined by a character no keyword has.
     """

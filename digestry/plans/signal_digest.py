@@ -120,7 +120,7 @@ def run_digest(
     if pos_items is not None:
         scored = scored.select("*", keywords.inline_score("_score_text", pos_items).alias("positive"),
                                match_indices(kw_list, scoring_text="_score_text").alias("match_idx"))
-    else:  # a dictionary of any size, by trigram joins; it is matched on title or content (S16)
+    else:  # a dictionary of any size, by gram joins; it is matched on title or content (S16)
         scored = keywords.with_found(scored, keywords.as_table(new, positive), "_score_text", "ord", "_found")
         inside = lambda c, m: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lower(m["keyword"]))
         hits = F.filter("_found", lambda m: inside("title", m) | inside("content", m))
