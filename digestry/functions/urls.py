@@ -65,18 +65,33 @@ def canonical_url(url, strict: bool = True, keep_query: bool = False, fallback_k
     return out
 
 
+def _without_dots(url: Column) -> Column:
+    """``.`` and ``..`` segments of an absolute url's path resolved; query and fragment stay."""
+    origin = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    rest = F.substring(url, F.length(origin) + F.length(path) + 1, F.length(url))
+    parts = F.slice(F.split(path, "/"), 2, F.length(path))  # the path starts with a slash
+    # a last segment that is a dot segment leaves its directory
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.array_append(acc, s)))
+    dotted = path.rlike(r"/\.\.?(/|$)")
+    return F.when(dotted, F.concat(origin, F.lit("/"), F.array_join(kept, "/"), rest)).otherwise(url)
+
+
 def resolve_url(href, base) -> Column:
-    """Href starting with 'http' kept; '/x' joined to the base origin;
-    other relative hrefs joined to the base directory; no href -> base."""
+    """An href with a scheme of its own is kept; '/x' is joined to the base
+    origin, other relative ones to the base directory, and dot segments are resolved; no href -> base."""
     h, b = _c(href), _c(base)
     base_origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     base_dir = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^?#]*/)", 1)
     base_dir = F.when(base_dir == "", F.concat(base_origin, F.lit("/"))).otherwise(base_dir)
     return (
         F.when(F.coalesce(h, F.lit("")) == "", b)
-        .when(h.startswith("http"), h)
+        .when(h.startswith("http") | h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
         .when(h.startswith("//"), F.concat(F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1), h))
-        .when(h.startswith("/"), F.concat(base_origin, h))
+        .when(h.startswith("/"), _without_dots(F.concat(base_origin, h)))
         .when(h.startswith("?") | h.startswith("#"), F.concat(F.regexp_replace(b, r"[?#].*$", ""), h))
-        .otherwise(F.concat(base_dir, h))
+        .otherwise(_without_dots(F.concat(base_dir, h)))
     )

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from digestry.functions import text as T
 from digestry.functions import urls as U
-from digestry.session import materialize
+from digestry.session import materialize, spread
 
 
 def content_empty(content: str = "content") -> Column:
@@ -187,6 +187,8 @@ def similar_pairs(df: DataFrame, group_cols=(), threshold: float = 0.7, title: s
 
 # Titles are grouped by their number of bigrams, a factor of this from one group to the next.
 SIZE_STEP = 1.25
+# 64-bit words with a bit for each gram of a title.
+WORDS = 4
 
 
 def _rep_pairs(reps: DataFrame, group_cols, threshold: float, keep_dice: bool = False) -> DataFrame:
@@ -201,8 +203,9 @@ def _rep_pairs(reps: DataFrame, group_cols, threshold: float, keep_dice: bool =
       together with the size group of the smaller title: the larger title probes
       only the groups in which n_a >= n_b t / (2 - t) is possible, with the
       prefix that group's smallest size asks for.
-    Two rare bigrams together are a far more selective key than one; the
-    candidates are then verified with the Dice coefficient itself.
+    Two rare bigrams together are a far more selective key than one.  A
+    meeting is a candidate only if bit words of both titles leave room for
+    enough shared grams; candidates are verified with the Dice coefficient itself.
     """
     g = list(group_cols)
     t = float(threshold)
@@ -211,7 +214,8 @@ def _rep_pairs(reps: DataFrame, group_cols, threshold: float, keep_dice: bool =
     ex = reps.select(*g, "_rep", F.explode("_grams").alias("_gram"))
     freq = ex.groupBy(*g, "_gram").agg(F.count("*").alias("_f"))
     order = F.array_sort(F.collect_list(F.struct("_f", "_gram")))  # at most that many grams in a title
-    ranked = materialize(ex.join(freq, [*g, "_gram"]).groupBy(*g, "_rep").agg(order["_gram"].alias("_sorted")))
+    # few rows that become many: spread over the cores again
+    ranked = spread(materialize(ex.join(freq, [*g, "_gram"]).groupBy(*g, "_rep").agg(order["_gram"].alias("_sorted"))))
 
     def size_group(n: Column) -> Column:
         return F.floor(F.log(n.cast("double")) / F.lit(math.log(SIZE_STEP))).cast("int")
@@ -222,20 +226,32 @@ def _rep_pairs(reps: DataFrame, group_cols, threshold: float, keep_dice: bool =
     pairs_from = math.floor(math.log(2.0 / t + 1) / math.log(SIZE_STEP)) + 1  # ceil(t n) >= 2 in these groups
 
     def keys(length: Column, group: Column) -> Column:
+        """The combinations as hashes with the group; a collision only adds a candidate."""
         first = F.slice("_sorted", 1, F.least(F.size("_sorted"), length + F.when(group >= pairs_from, 2).otherwise(1)))
-        combined = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.concat(x, y))))
-        return F.when(group >= pairs_from, combined).otherwise(first)
+        two = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.xxhash64(*g, group, x, y))))
+        return F.when(group >= pairs_from, two).otherwise(F.transform(first, lambda x: F.xxhash64(*g, group, x)))
 
+    # one bit per gram in WORDS words: differing bits are grams that one title has and the other hasn't
+    def word(w: int) -> Column:
+        place = lambda x: F.pmod(F.xxhash64(x), F.lit(64 * WORDS))
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(x), F.lit(64)).cast("int"))
+        inside = F.filter("_sorted", lambda x: F.floor(place(x) / 64) == w)
+        return F.aggregate(inside, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+
+    ranked = ranked.select("*", *[word(w).alias(f"_w{w}") for w in range(WORDS)])
     n = F.size("_sorted")
     small = ranked.withColumn("_k", size_group(n))
-    small = small.select(*g, "_k", F.col("_rep").alias("a"), n.alias("na"), F.explode(keys(n - ceil_below(F.lit(t) * n), F.col("_k"))).alias("_key"))
+    small = small.select(*g, F.col("_rep").alias("a"), n.alias("na"), *[F.col(f"_w{w}").alias(f"a{w}") for w in range(WORDS)], F.explode(keys(n - ceil_below(F.lit(t) * n), F.col("_k"))).alias("_key"))
     at_least = F.greatest(F.lit(1), ceil_below(n * F.lit(lo)))
     probed = ranked.withColumn("_k", F.explode(F.sequence(size_group(at_least), size_group(n))))
     least_na = F.greatest(at_least, F.floor(F.pow(F.lit(SIZE_STEP), F.col("_k"))).cast("int"))
     overlap = ceil_below(F.lit(t) * (least_na + n) / F.lit(2.0))
-    large = probed.select(*g, "_k", F.col("_rep").alias("b"), n.alias("nb"), F.explode(keys(n - overlap, F.col("_k"))).alias("_key"))
-    met = small.join(large, [*g, "_k", "_key"]).where(
-        ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= F.col("nb") * F.lit(lo) - F.lit(1e-9)))
+    large = probed.select(F.col("_rep").alias("b"), n.alias("nb"), *[F.col(f"_w{w}").alias(f"b{w}") for w in range(WORDS)], F.explode(keys(n - overlap, F.col("_k"))).alias("_key"))
+    both = F.col("na") + F.col("nb")
+    apart = functools.reduce(Column.__add__, [F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(WORDS)])
+    met = small.join(large, "_key").where(
+        ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= F.col("nb") * F.lit(lo) - F.lit(1e-9))
+        & (both - apart >= F.lit(t) * both - F.lit(1e-9)))
     cand = met.select(*g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ra = reps.select(*g, F.col("_rep").alias("a"), F.col("_norm").alias("na_t"), F.col("_grams").alias("ga"))
     rb = reps.select(*g, F.col("_rep").alias("b"), F.col("_norm").alias("nb_t"), F.col("_grams").alias("gb"))

@@ -94,7 +94,10 @@ def layer1_scores(
         if items is not None:
             out = out.withColumn(name, inline_score("_score_text", items))
         else:
-            out = with_found(out, as_table(df, dictionary), "_score_text", key, "_found").withColumn(name, found_score("_found")).drop("_found")
+            # rows without such a column meet their keywords by their text: equal texts have equal keywords
+            keyed = out if key in out.columns else out.withColumn("_hash", F.xxhash64("_score_text"))
+            keyed = with_found(keyed, as_table(df, dictionary), "_score_text", key if key in out.columns else "_hash", "_found")
+            out = keyed.withColumn(name, found_score("_found")).drop("_found", "_hash")
     out = out.withColumn("layer1", S.layer1("positive", "negative"))
     return out if keep_text else out.drop("_score_text")
 
@@ -139,7 +142,9 @@ def with_found(df: DataFrame, dictionary: DataFrame, text_col: str, key: str, ou
     rarest = materialize(rarest.select("keyword", "weight", "_low", F.col("_rare.gram").alias("_gram")))
     held = df.select(F.col(key).alias("_key"), F.explode(_grams(F.col(text_col), sizes)).alias("_gram"))
     met = held.join(checked_broadcast(rarest, MAX_BROADCAST_KEYWORDS), "_gram")
-    met = met.groupBy("_key").agg(F.collect_list(F.struct("keyword", "weight", "_low")).alias("_met"))
+    met = met.groupBy("_key").agg(F.collect_set(F.struct("keyword", "weight", "_low")).alias("_met"))
+    # few meetings are broadcast and the texts stay in place; else both are shuffled by key
+    met = checked_broadcast(materialize(met), MAX_BROADCAST_KEYWORDS)
     joined = df.join(met, df[key] == F.col("_key"), "left").drop("_key")
     empty = F.array().cast("array<struct<keyword:string,weight:double>>")
     found = F.transform(F.filter("_met", lambda m: F.contains(F.col(text_col), m["_low"])),

@@ -82,7 +82,7 @@ def _sql_resolve(h: str, b: str) -> str:
     origin = f"regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)"
     bdir = f"regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^?#]*/)', 1)"
     bdir = f"(CASE WHEN {bdir} = '' THEN {origin} || '/' ELSE {bdir} END)"
-    return (f"(CASE WHEN coalesce({h}, '') = '' THEN {b} WHEN starts_with({h}, 'http') THEN {h} "
+    return (f"(CASE WHEN coalesce({h}, '') = '' THEN {b} WHEN starts_with({h}, 'http') OR regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN {h} "
             f"WHEN starts_with({h}, '//') THEN regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.\\-]*:)', 1) || {h} "
             f"WHEN starts_with({h}, '/') THEN {origin} || {h} "
             f"WHEN starts_with({h}, '?') OR starts_with({h}, '#') THEN regexp_replace({b}, '[?#].*$', '') || {h} "

@@ -103,7 +103,7 @@ def checked_broadcast(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCA
     from pyspark.sql import functions as F
 
     size = F.octet_length(F.to_json(F.struct("*"))) if df.columns else F.lit(0)
-    rows, used = df.limit(max_rows + 1).select(size.alias("_bytes")).agg(F.count("*"), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    rows, used = df.select(size.alias("_bytes")).limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
     return F.broadcast(df) if rows <= max_rows and used <= max_bytes else df
 
 

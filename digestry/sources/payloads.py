@@ -37,9 +37,12 @@ REGISTRY_SCHEMA = (
     "id string, name string, type string, url string, tier int, tags array<string>, "
     "selector string, mapping map<string,string>"
 )
-RSS_SCHEMA = (
-    "channel struct<item: array<struct<guid: string, title: string, link: string, "
-    "description: string, pubDate: string>>>"
+_RSS_ITEM = "guid: string, title: string, link: string, description: string, `content:encoded`: string, pubDate: string, `dc:date`: string"
+RSS_SCHEMA = f"channel struct<item: array<struct<{_RSS_ITEM}>>>"
+RDF_SCHEMA = f"item array<struct<{_RSS_ITEM}>>"
+ATOM_FEED_SCHEMA = (
+    "entry array<struct<id: string, title: string, link: array<struct<_href: string, _rel: string>>, summary: string, "
+    "content: string, published: string, updated: string>>"
 )
 ATOM_SCHEMA = "entry array<struct<id: string, title: string, summary: string, published: string>>"
 NEWS_API_SCHEMA = "struct<hits: array<struct<objectID: string, title: string, url: string, story_text: string, created_at: string>>>"
@@ -95,13 +98,32 @@ def strip_tags(c: Column) -> Column:
 
 
 def html_unescape(c: Column) -> Column:
-    """The five predefined entities (and &nbsp;)."""
-    out = c
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    """The five predefined entities, &nbsp; and numeric references."""
+    out = numeric_unescape(c)
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return out
 
 
+def numeric_unescape(c: Column) -> Column:
+    """``&#233;`` and ``&#xE9;`` as characters; what isn't one stays as it is."""
+
+    def piece(p: Column, i: Column) -> Column:
+        digits = F.regexp_extract(p, r"^(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});", 1)
+        code = F.when(digits.startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).try_cast("int")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        decoded = F.concat(char, F.substring(p, F.length(digits) + 2, F.length(p)))
+        return F.when(i == 0, p).when(F.coalesce(valid, F.lit(False)), decoded).otherwise(F.concat(F.lit("&#"), p))
+
+    return F.array_join(F.transform(F.split(c, "&#"), piece), "")
+
+
+def root_element(payload: Column) -> Column:
+    """Local name of an XML payload's root element; '' when there is none."""
+    return F.regexp_extract(payload, r"(?s)^\s*(?:(?:<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*>)\s*)*<(?:[\w.-]+:)?([A-Za-z][\w.-]*)", 1)
+
+
 def _items(df: DataFrame, arr: Column, fields) -> DataFrame:
     """posexplode an item array; ``fields(x)`` maps one element to the item columns."""
     ex = df.select("source", "page", "source_url", F.posexplode_outer(arr).alias("item_pos", "_x"))
@@ -119,25 +141,48 @@ def _envelope(df: DataFrame, ok: Column, error: Column | None = None) -> DataFra
 
 
 def parse_rss(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A3: RSS items.  id = guid, else link, else 'source-title'; title else
-    'No Title'; url = link else ''; content = text snippet of the description
-    else ''; published_at = ISO form of pubDate, else pubDate as given."""
-    p = payloads.withColumn("_doc", F.from_xml("payload", RSS_SCHEMA, {"mode": "PERMISSIVE"}))
-    ok = F.col("_doc").isNotNull() & F.col("_doc.channel").isNotNull()
+    """A3: feed items, RSS, RDF or Atom by the payload's root element.
+
+    id = guid, else link, else 'source-title'; title else 'No Title'; url =
+    link else ''; content = text snippet of the description (encoded content
+    where there is none; an Atom entry's content, else its summary) else '';
+    published_at = ISO form of the date, else the date as given."""
+    root = root_element(F.col("payload"))
+    is_rss, is_rdf, is_atom = root == "rss", root == "RDF", root == "feed"
+
+    def doc(schema: str, when: Column) -> Column:
+        return F.when(when, F.from_xml("payload", schema, {"mode": "PERMISSIVE"}))
+
+    p = payloads.withColumn("_rss", doc(RSS_SCHEMA, is_rss)).withColumn("_rdf", doc(RDF_SCHEMA, is_rdf)).withColumn("_atom", doc(ATOM_FEED_SCHEMA, is_atom))
+
+    def from_item(x):
+        text = T.falsy_or(x["description"], x["content:encoded"])
+        return F.struct(x["guid"].alias("guid"), x["title"].alias("title"), x["link"].alias("link"), text.alias("text"),
+                        T.falsy_or(x["pubDate"], x["dc:date"]).alias("date"))
+
+    def from_entry(x):
+        rank = F.filter(x["link"], lambda m: F.coalesce(m["_rel"], F.lit("alternate")) == "alternate")
+        link = F.coalesce(F.get(rank, F.lit(0))["_href"], F.get(x["link"], F.lit(0))["_href"])
+        return F.struct(F.lit(None).cast("string").alias("guid"), js_trim(x["title"]).alias("title"), link.alias("link"),
+                        T.falsy_or(x["content"], x["summary"]).alias("text"), T.falsy_or(x["published"], x["updated"]).alias("date"))
+
+    rows = F.coalesce(F.transform("_rss.channel.item", from_item), F.transform("_rdf.item", from_item), F.transform("_atom.entry", from_entry))
+    p = p.withColumn("_rows", rows)
+    ok = F.coalesce((is_rss & F.col("_rss.channel").isNotNull()) | (is_rdf & F.col("_rdf").isNotNull()) | (is_atom & F.col("_atom").isNotNull()), F.lit(False))
 
     def fields(x):
-        snippet = js_trim(html_unescape(strip_tags(F.coalesce(x["description"], F.lit("")))))
-        iso = D.to_iso(D.parse_instant(x["pubDate"]))
+        snippet = js_trim(html_unescape(strip_tags(F.coalesce(x["text"], F.lit("")))))
+        iso = D.to_iso(D.parse_instant(x["date"]))
         return {
             "id": T.falsy_or(x["guid"], T.falsy_or(x["link"], F.concat(F.col("source"), F.lit("-"), F.coalesce(x["title"], F.lit("undefined"))))),
             "title": T.falsy_or(x["title"], F.lit(T.NO_TITLE)),
             "url": T.falsy_or(x["link"], F.lit("")),
-            "content": T.falsy_or(snippet, F.coalesce(x["description"], F.lit(""))),
-            "published_at": F.coalesce(iso, x["pubDate"]),
+            "content": T.falsy_or(snippet, F.coalesce(x["text"], F.lit(""))),
+            "published_at": F.coalesce(iso, x["date"]),
         }
 
     good = p.where(ok)
-    return _items(good, F.col("_doc.channel.item"), fields), _envelope(p, ok)
+    return _items(good, F.col("_rows"), fields), _envelope(p, ok)
 
 
 # --------------------------------------------------------------------------- A4 Atom
@@ -271,7 +316,7 @@ def parse_html_blocks(payloads: DataFrame, block_re: str, title_re: str | None,
         return {"id": url, "title": T.falsy_or(title, F.lit(T.NO_TITLE)) if href_prefix is None else title,
                 "url": url, "content": text_of(b, content_re), "published_at": F.lit(None).cast("string")}
 
-    return _items(p, F.col("_blocks"), fields), _envelope(p, F.lit(True))
+    return _items(p, F.col("_blocks"), fields), _envelope(p, F.col("payload").isNotNull())
 
 
 NAV_PRESET = dict(block_re=r"<li>(.*?)</li>", title_re=r"<a[^>]*>(.*?)</a>", href_re=r'<a[^>]*href="([^"]*)"', content_re=None)
@@ -283,19 +328,25 @@ TRENDING_PRESET = dict(block_re=r'(?s)<article class="Box-row">(.*?)</article>',
 # --------------------------------------------------------------------------- A10, A11
 
 
-def fan_out(payloads: DataFrame, registry: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+def fan_out(payloads: DataFrame, registry: DataFrame, as_of: str, strict_routing: bool = False) -> tuple[DataFrame, DataFrame]:
     """A10 + A11: route every payload to its parser, parse, and union.
 
     ``payloads``: (source_id, page, fetched_at, payload).  Returns (items,
     envelopes).  Items carry ``ord``, the encounter position (source id,
     page, position in the payload).  A source without a parser, or a
     payload that fails, yields an error envelope and no items.
+    ``strict_routing`` keeps the id-prefix routing even where a payload's root
+    element contradicts it (the reference's behaviour).
     """
     reg = route(registry)
     dim = reg.select(F.col("id").alias("source_id"), F.col("url").alias("source_url"), "mapping",
                      "selector", "parser", "route_error")
     p = payloads.join(checked_broadcast(dim, MAX_BROADCAST_SOURCES), "source_id")
     p = p.withColumn("source", F.col("source_id"))
+    if not strict_routing:
+        # an id prefix chooses the Atom parser; a payload that is an RSS document by its root is read as one
+        is_rss = root_element(F.col("payload")).isin("rss", "RDF")
+        p = p.withColumn("parser", F.when((F.col("parser") == "arxiv") & is_rss, F.lit("rss")).otherwise(F.col("parser")))
     outs = []
     envs = [p.where(F.col("parser").isNull()).select("source", "page", F.lit("error").alias("status"), F.col("route_error").alias("error"))]
     for parser, fn in (

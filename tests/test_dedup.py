@@ -195,3 +195,24 @@ def test_keyed_last_wins(spark):
     l = spark.createDataFrame([("a", "new", 1), ("c", "add", 2)], "id string, title string, pos int")
     out = {r["id"]: (r["title"], r["_src"]) for r in dedup.keyed_last_wins(e, l).collect()}
     assert out == {"a": ("new", 0), "b": ("keep", 0), "c": ("add", 1)}
+
+
+def test_text_is_never_shuffled_by_dedup(spark):
+    """No exchange or aggregate of the narrow dedup plans holds the content."""
+    df = articles_df(spark, [(str(i), f"https://u.example/{i % 7}", LETTERS[i % 5:], "body") for i in range(40)])
+    plans = [dedup.exact_dedup(dedup.narrow(df), content="_empty"), dedup.dedup_url(dedup.narrow(df), content="_empty"),
+             dedup.composite_dedup(dedup.narrow(df), content="_empty")]
+    for out in plans:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        for line in plan.splitlines():
+            if "Exchange" in line or "Aggregate" in line:
+                assert "content" not in line, line
+    wide = dedup.exact_dedup(df)._jdf.queryExecution().executedPlan().toString()
+    assert any("content" in x for x in wide.splitlines() if "Aggregate" in x)
+
+
+def test_absorbed_titles_in_a_chain(spark):
+    # 0-1-2-3-4-5: 0 leads and absorbs 1, so 2 leads and absorbs 3, so 4 leads and absorbs 5
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long")
+    assert sorted(r["b"] for r in dedup.absorbed_titles(pairs).collect()) == [1, 3, 5]
+    assert dedup.absorbed_titles(pairs.limit(0)).count() == 0

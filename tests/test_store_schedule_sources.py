@@ -153,3 +153,42 @@ def test_digest_run_skips_cooling_sources(spark):
     assert {r["id"] for r in run.selected.collect()} <= {"1", "3", "5"}
     forced = run_digest(arts, {"agents": 10}, {}, params, "2024-01-01 12:00:00", health=health, force=True, finish=False)
     assert any(r["id"] in {"0", "2", "4"} for r in forced.selected.collect())
+
+
+FEEDS = [
+    ("enc", "<rss><channel><item><title>a</title><link>l1</link><content:encoded>&lt;p&gt;x &amp;#233;&amp;#x27; &amp;#0; &amp;#z;&lt;/p&gt;</content:encoded></item></channel></rss>"),
+    ("atom", '<?xml version="1.0"?><!-- c --><feed xmlns="http://www.w3.org/2005/Atom"><entry><id>i</id><title> t </title><link rel="self" href="s"/>'
+             '<link href="l2"/><summary>sum</summary><updated>2024-01-02T03:04:05Z</updated></entry></feed>'),
+    ("rdf", '<rdf:RDF xmlns:rdf="r"><channel><title>c</title></channel><item><title>b</title><link>l3</link><dc:date>2024-01-02T03:04:05Z</dc:date></item></rdf:RDF>'),
+    ("html", "<html><body>404</body></html>"),
+    ("null", None),
+]
+
+
+def test_feed_variants_by_root_element(spark):
+    df = _payloads(spark, [(name, 0, "https://x", None, text) for name, text in FEEDS])
+    items, env = P.parse_rss(df)
+    got = {r["source"]: r for r in items.collect()}
+    assert sorted(got) == ["atom", "enc", "rdf"]
+    assert (got["enc"]["id"], got["enc"]["content"]) == ("l1", "x \u00e9' &#0; &#z;")
+    assert [got["atom"][c] for c in ("id", "title", "url", "content", "published_at")] == ["l2", "t", "l2", "sum", "2024-01-02T03:04:05.000Z"]
+    assert [got["rdf"][c] for c in ("title", "url", "published_at")] == ["b", "l3", "2024-01-02T03:04:05.000Z"]
+    assert {r["source"]: r["status"] for r in env.collect()} == {"enc": "ok", "atom": "ok", "rdf": "ok", "html": "error", "null": "error"}
+
+
+def test_rss_behind_an_id_prefix(spark):
+    reg = spark.createDataFrame([("arxiv-x", "n", "rss", "https://x", 1, None, None, None)], P.REGISTRY_SCHEMA)
+    pay = spark.createDataFrame([("arxiv-x", 0, FEEDS[0][1])], "source_id string, page bigint, payload string")
+    assert P.fan_out(pay, reg, "2024-01-01 00:00:00")[0].count() == 1
+    assert P.fan_out(pay, reg, "2024-01-01 00:00:00", strict_routing=True)[0].count() == 0
+
+
+def test_href_resolution(spark):
+    from digestry.functions import urls as U
+
+    base = "https://h.example/a/b/c?q=1#f"
+    cases = {"../x": "https://h.example/a/x", "./x": "https://h.example/a/b/x", "../../../x": "https://h.example/x", "/p/./q/../r?s=../t": "https://h.example/p/r?s=../t",
+             "..": "https://h.example/a/", "mailto:a@b.example": "mailto:a@b.example", "ftp://f/x": "ftp://f/x", "x": "https://h.example/a/b/x", "//o/x": "https://o/x",
+             "#z": "https://h.example/a/b/c#z", "": base}
+    rows = spark.createDataFrame([(h, base) for h in cases], "h string, b string").select("h", U.resolve_url("h", "b").alias("r")).collect()
+    assert {r["h"]: r["r"] for r in rows} == cases
