@@ -205,10 +205,10 @@ NAV_ITEMS = f"""nav_b AS (
 
 @register("a08_html_blocks", f"WITH {NAV_ITEMS} SELECT {ITEM_SQL_COLS} FROM nav_items")
 def a08(spark: SparkSession, sf: str) -> DataFrame:
-    def nav(d):
-        return P.parse_html_blocks(d.where(F.col("selector").isNotNull()), **P.NAV_PRESET)
+    def selected(d):
+        return P.parse_html_selected(d.where(F.col("selector").isNotNull()))
 
-    return _item_out(_run_parser(spark, sf, "scrape", nav).where(F.col("source") != "github_trending"))
+    return _item_out(_run_parser(spark, sf, "scrape", selected).where(F.col("source") != "github_trending"))
 
 
 def _xml_escape_sql(x: str) -> str:

@@ -31,8 +31,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    On a cluster this is a shared folder and is never replaced.  Only when the
-    setting is unset (local tests) a scratch folder is created and registered.
+    On a cluster this is a shared folder and is never replaced; without one the
+    job fails here.  Only a session of one process (tests, the local bench)
+    that has no setting gets a scratch folder.
     """
     try:
         sc = spark.sparkContext
@@ -43,6 +44,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if sc is not None and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="digestry-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(local)

@@ -34,3 +34,25 @@ def test_spread_only_widens_narrow_scans(spark):
     assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism)
     assert spread(wide).rdd.getNumPartitions() == wide.rdd.getNumPartitions()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    import pytest
+
+    from digestry import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())

@@ -192,3 +192,17 @@ def test_href_resolution(spark):
              "#z": "https://h.example/a/b/c#z", "": base}
     rows = spark.createDataFrame([(h, base) for h in cases], "h string, b string").select("h", U.resolve_url("h", "b").alias("r")).collect()
     assert {r["h"]: r["r"] for r in rows} == cases
+
+
+def test_blocks_by_the_sources_own_selector(spark):
+    page = ('<ul><li><a href="/nav">nav</a></li></ul><div class="wide post"><h2>T &#49;</h2><a class="more" href="../x">go</a><p>one</p><p>two</p></div>'
+            '<div class="posting"><h2>no</h2></div><DIV class=\'post\'><h2></h2></DIV>')
+    mapping = {"title": "h2", "url": "a.more", "content": "p"}
+    rows = [("a", 0, "https://h.example/d/e/", mapping, ".post", page), ("b", 0, "https://h.example/", mapping, "div > .post", page),
+            ("c", 0, "https://h.example/", mapping, "li", page), ("d", 0, "https://h.example/", mapping, ".post", None)]
+    df = spark.createDataFrame(rows, "source string, page bigint, source_url string, mapping map<string,string>, selector string, payload string")
+    items, env = P.parse_html_selected(df)
+    got = {(r["source"], r["item_pos"]): (r["title"], r["url"], r["content"]) for r in items.collect()}
+    assert got == {("a", 0): ("T 1", "https://h.example/d/x", "onetwo"), ("a", 1): ("No Title", "https://h.example/d/e/", ""),
+                   ("c", 0): ("No Title", "https://h.example/", "")}
+    assert {r["source"]: r["status"] for r in env.collect()} == {"a": "ok", "b": "error", "c": "ok", "d": "error"}
