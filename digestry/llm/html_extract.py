@@ -9,8 +9,9 @@ a bounded sample of the pages, and from those ``SAMPLE_PAGES`` sampled pages the
 (inside article or main; inside nav, footer, aside or form).  The sample is the pages with the
 smallest hashes of id and html, none over ``SAMPLE_CHARS``.  Seeds are fixed, so the same table gives the same labeller.
 
-Defined results: a null, empty or text-free page has empty text and n_chars 0; nothing of a page is cut or capped;
-tags cut off at the end of a page are dropped; repeated rows come out each; other columns may have any name.
+Defined results: a null, empty or text-free page has empty text and n_chars 0; nothing of a page is cut or capped,
+but what stands inside script, style, textarea, title, iframe, template, svg, object, audio, video and canvas is not text of the page (end tags
+left out: see ``page_blocks``); tags cut off at the end of a page are dropped; repeated rows come out each; other columns may have any name.
 """
 
 from __future__ import annotations

@@ -12,8 +12,17 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot "
     "th thead tr ul".split()
 )
-#: Nothing inside these is text of the page.
-SKIPPED = frozenset("audio canvas head iframe math object script style svg template textarea title video".split())
+#: Raw text up to the end tag, or to the end of the page; none of it is text of the page.
+RAW = frozenset("iframe script style textarea title".split())
+#: Nothing inside these is text of the page; like blocks, they end at their own end tag or at a parent's.
+HIDDEN = frozenset("audio canvas object svg template video".split())
+#: Those that, without an end tag of their own, end also where a parent's is left out; object only with its cell or row.
+LEFT_OPEN = {t: re.compile(rf"<(/?){t}\b", re.I) for t in ("audio", "canvas", "object", "video")}
+#: Start tags that may stand in a head; any other, and any text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Start tags that end an svg, unless inside one of ``SVG_HTML``.
+ENDS_SVG = BLOCKS | frozenset("b big br code em embed head hr i img listing meta nobr ruby s small span strong strike sub sup tt u var".split())
+SVG_HTML = frozenset("desc foreignobject title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes, if it is the innermost open block of the kind.
 CLOSES = {
@@ -58,29 +67,46 @@ def descriptor(tag: str, attributes: str) -> tuple[str, ...]:
 def blocks(page: str | None) -> list[Block]:
     """Blocks with text: references decoded, white space turned into single spaces, trimmed."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # open blocks: tag, descriptor
+    stack: list[tuple[str, tuple[str, ...], bool]] = []  # open blocks and hidden elements: tag, descriptor, without an end tag
     parts: list[str] = []
     linked = total = 0  # characters inside links, and all, of the block
     in_link = False
+    hidden = head = -1  # height of the stack below the outermost hidden element, and at the start of the open head
+    inline: dict[str, list[int]] = {}  # height of the stack at each start tag of other elements
 
     def text(raw: str) -> None:
-        nonlocal linked, total
-        if raw:
+        nonlocal linked, total, head
+        if raw and hidden < 0:
             parts.append(raw)
             n = len(raw.strip())
             total += n
             linked += n * in_link
+            if n:
+                head = -1
+
+    def space() -> None:
+        if hidden < 0:
+            parts.append(" ")
 
     def flush() -> None:
         nonlocal linked, total
         if parts:
             joined = " ".join(html.unescape("".join(parts)).split())
             if joined:
-                path = [t for _, d in stack for t in d]
+                path = [t for _, d, _ in (stack if hidden < 0 else stack[:hidden]) for t in d]
                 out.append(Block((*path, "a") if 2 * linked > total else tuple(path), joined))
             parts.clear()
         linked = total = 0
 
+    def leave(height: int) -> None:
+        """Close all above ``height``; a hidden element closed alone doesn't end the block around it."""
+        nonlocal hidden
+        if height != hidden and (hidden < 0 or height < hidden):
+            flush()
+        del stack[height:]
+        if height <= hidden:
+            hidden = -1
+
     page = page or ""
     at = 0
     while True:
@@ -94,35 +120,67 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
+        if head >= 0 and (tag in ("head", "body") if closing or hidden >= 0 else tag not in IN_HEAD):
+            if len(stack) > head:
+                leave(head)
+            head = -1
+        while stack and stack[-1][0] == "svg" and (tag in ("p", "br") if closing else tag in ENDS_SVG):
+            leave(len(stack) - 1)
+        in_svg = bool(stack) and stack[-1][0] == "svg"
         if closing:
-            if tag == "a":
+            if tag in BLOCKS or tag in HIDDEN or tag in SVG_HTML:
+                height = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+                if height >= 0:
+                    leave(height)
+                elif tag in BLOCKS and hidden < 0:
+                    flush()
+                continue
+            heights = inline.get(tag)
+            while heights:
+                height = heights.pop()
+                if height <= len(stack):
+                    if height == hidden:
+                        leave(height)
+                    break
+            if tag == "a" and hidden < 0:
                 in_link = False
-            elif tag in BLOCKS:
-                flush()
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-        elif tag in SKIPPED and not attributes.endswith("/"):
-            end = _end_of(page, tag, at)
-            parts.append(" ")
-            at = end
+        elif tag in HIDDEN and not in_svg or in_svg and (tag in SVG_HTML or tag == "svg"):
+            space()
+            if not attributes.endswith("/"):
+                following = LEFT_OPEN[tag].search(page, at) if tag in LEFT_OPEN else None
+                if hidden < 0:
+                    hidden = len(stack)
+                stack.append((tag, (), tag in LEFT_OPEN and not (following and following[1])))
+        elif in_svg:
+            continue
+        elif tag in RAW:
+            space()
+            if not attributes.endswith("/"):
+                end = _ENDS[tag].search(page, at)
+                at = end.end() if end else len(page)
         elif tag == "br":
-            parts.append(" ")
-        elif tag == "a":
-            in_link = True
+            space()
+        elif tag == "head":
+            if hidden < 0:
+                head = len(stack)
         elif tag in BLOCKS:
-            flush()
-            while stack and stack[-1][0] in CLOSES[tag]:
-                stack.pop()
+            if hidden < 0:
+                flush()
+            while stack:
+                k = len(stack) - 1
+                while k >= 0 and stack[k][2] and (stack[k][0] != "object" or tag in ("td", "th", "tr")):
+                    k -= 1
+                if k < 0 or stack[k][0] not in CLOSES[tag]:
+                    break
+                leave(k)
             if tag not in VOID:
-                stack.append((tag, descriptor(tag, attributes)))
+                stack.append((tag, descriptor(tag, attributes), False))
+        elif tag not in VOID:
+            inline.setdefault(tag, []).append(len(stack))
+            if tag == "a" and hidden < 0:
+                in_link = True
     flush()
     return out
 
 
-_ENDS = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)" + (r"|(?=<body\b)" if t == "head" else ""), re.I) for t in SKIPPED}
-
-
-def _end_of(page: str, tag: str, at: int) -> int:
-    m = _ENDS[tag].search(page, at)
-    return m.end() if m else len(page)
+_ENDS = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}

@@ -85,3 +85,23 @@ def test_table(spark, labeller):
     assert [tuple(r) for r in got] == [(1, "u", text, len(text))] * 2 + [(2, None, "", 0), (None, "v", "", 0), (3, "w", "", 0)]
     assert html_extract.extract(df.limit(0), labeller).count() == 0
     assert html_extract.sample_pages(df.limit(0)) == []
+
+
+def test_left_out_end_tags_lose_no_text():
+    assert texts("<!DOCTYPE html><head><title>T</title><h1>A</h1><p>text") == ["A", "text"]
+    assert texts("<html><head><meta charset=x><noscript><link href=y></noscript>\n<script>x</script>plain<p>text") == ["plain", "text"]
+    assert texts("<head><template><p>no</p><body>yes</body>") == ["yes"]
+    for tag in ("video", "audio", "canvas", "object", "svg", "template", "math"):
+        assert texts(f"<div><{tag} src=x></div><article><p>kept</p></article>") == ["kept"], tag
+        assert texts(f"<p>one <span><{tag}></span> two</p>three") == ["one two", "three"], tag
+        assert texts(f"<p>one<{tag}/> two</p>") == ["one two"], tag
+    assert texts("<ul><li><video src=x><li>two</ul><p><audio src=y><p>three<table><tr><td><object><td>four") == ["two", "three", "four"]
+    assert texts("<div><svg><title>no</title><path d=x><article><p>kept</article>") == ["kept"]
+
+
+def test_hidden_elements_and_formulas():
+    assert texts("<p>a <video><div>no</div><script>'</video>'</script></video> b</p>") == ["a b"]
+    assert texts("<p>a <span><object><span>no</span><object>no</object> no</object></span> b") == ["a b"]
+    assert texts("<p>a <svg><title>no</title><foreignObject><p>no</p></foreignObject><svg>no</svg>no</svg> b</p>c") == ["a b", "c"]
+    assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p>") == ["if x=1 then"]
+    assert texts("a<script>x") == texts("a<title>x<p>y") == texts("a<iframe><p>x") == ["a"]
