@@ -58,6 +58,53 @@ def test_bands(spark):
     assert not any(got[i]["kept"] for i in range(len(clean), len(clean) + 5))
 
 
+def prose(pick, n_bytes):
+    syllables = [a + b for a in "bcdfglmnprst" for b in "aeiou"]
+    lexicon = ["".join(pick.choice(syllables) for _ in range(pick.randint(1, 4))) for _ in range(2000)]
+    return " ".join(pick.choice(lexicon) for _ in range(n_bytes // 3))[:n_bytes]
+
+
+def noise(pick, n_bytes):
+    return " ".join(base64.b64encode(pick.randbytes(45)).decode() for _ in range(n_bytes // 60 + 1))[:n_bytes]
+
+
+def rows(pick, n_bytes):
+    return "".join(f"the same long tables {i}\n" for i in range(n_bytes // 22 + 9))[:n_bytes]
+
+
+def test_chunks_decide_alone(spark):
+    pick = random.Random(6)
+    planted = [(make, n, share) for make in (noise, rows) for n, share in ((40_000, 0.1), (40_000, 0.3), (6000, 0.3))]
+    texts = []
+    for make, n, share in planted:
+        text = prose(pick, n)
+        texts.append(text[: n // 3] + " " + make(pick, int(n * share)) + " " + text[n // 3 + int(n * share) :])
+    text = prose(pick, 40_000)
+    texts.append(text[:9000] + " " + noise(pick, 700) + " " + text[9000:])
+    got = judged(spark, texts)
+    for i, case in enumerate(planted):
+        low, high = quality.band(len(texts[i]))
+        assert not got[i]["base_failed"] and low <= got[i]["ratio"] <= high and not got[i]["kept"], case
+    assert got[len(planted)]["kept"]
+
+
+def test_whole_decides_alone(spark):
+    # every ordered pair of 41 phrases once: no five words come twice, and no kilobyte repeats much
+    words = prose(random.Random(7), 4000).split()
+    phrases = [" ".join(f"{w}{i}" for w in words[4 * i : 4 * i + 4]) for i in range(41)]
+    text = " ".join(phrases[k * d % 41] for d in range(1, 41) for k in range(41))
+    (row,) = judged(spark, [text]).values()
+    assert not row["base_failed"] and row["bad_chunk_share"] <= quality.MAX_BAD_SHARE and not row["kept"]
+
+
+def test_short_upper_bands(spark):
+    pick = random.Random(8)
+    sizes = [200, 240, 300, 400, 700, 1500, 5000]
+    got = judged(spark, [" ".join(base64.b64encode(pick.randbytes(12)).decode() for _ in range(400))[:n] for n in sizes] + [prose(pick, n) for n in sizes])
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in range(len(sizes)))
+    assert all(got[i]["kept"] for i in range(len(sizes), 2 * len(sizes)))
+
+
 def test_one_and_none(spark):
     assert judged(spark, []) == {}
     df = spark.createDataFrame([(1, "w%d " * 3, "x"), (2, " ".join(f"w{i * i}q" for i in range(40)), "x"), (2, None, None)], "doc_id long, text string, ratio string")
