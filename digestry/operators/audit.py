@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from digestry.functions import urls as U
+from digestry.operators.rank import numbered
+from digestry.session import materialize
 from digestry.sources.payloads import SOURCE_TYPES
 
 # ---------------------------------------------------------------------------
@@ -21,6 +23,7 @@ MSG_FEED_BAD_TYPE = "Feed '{name}' has an invalid or missing 'type' (must be rss
 MSG_CHANNEL_NO_URL = "Delivery channel [{idx}] ({type}) is missing a webhookUrl."
 MSG_CHANNEL_BAD_URL = "Delivery channel [{idx}] ({type}) has a malformed webhook URL: {url}"
 MSG_BAD_TIME = "Please enter valid HH:mm time"
+MAX_REPORT_DETAILS = 10_000  # of a report that is one document
 TIME_RE = r"^([0-1]?[0-9]|2[0-3]):[0-5][0-9]$"
 # ---------------------------------------------------------------------------
 
@@ -109,21 +112,42 @@ def audit_totals(audit: DataFrame) -> DataFrame:
     )
 
 
-def audit_report(audit: DataFrame) -> DataFrame:
-    """K6: ``{summary, details[]}`` as one JSON document, built by one
-    aggregation (no join).  The details hold one entry per registered
-    source, so the document is bounded by the registry."""
-    doc = audit.agg(
-        F.struct(
-            F.count("*").alias("totalFeeds"),
-            F.count_if(F.col("status") == "ok").alias("successfulFeeds"),
-            F.count_if(F.col("status") == "error").alias("failedFeeds"),
-            F.sum("item_count").cast("bigint").alias("totalItems"),
-            F.sum("total_characters").cast("bigint").alias("totalCharacters"),
-        ).alias("summary"),
-        F.array_sort(F.collect_list(F.struct(
-            F.col("source"), F.col("status"), F.col("item_count").alias("itemCount"),
-            F.col("total_characters").alias("totalCharacters"), F.col("average_item_size").alias("averageItemSize"),
-            F.col("error")))).alias("details"),
-    )
+def _summary() -> Column:
+    return F.struct(
+        F.count("*").alias("totalFeeds"),
+        F.count_if(F.col("status") == "ok").alias("successfulFeeds"),
+        F.count_if(F.col("status") == "error").alias("failedFeeds"),
+        F.sum("item_count").cast("bigint").alias("totalItems"),
+        F.sum("total_characters").cast("bigint").alias("totalCharacters"),
+    ).alias("summary")
+
+
+def _detail() -> Column:
+    return F.struct(
+        F.col("source"), F.col("status"), F.col("item_count").alias("itemCount"),
+        F.col("total_characters").alias("totalCharacters"), F.col("average_item_size").alias("averageItemSize"),
+        F.col("error"))
+
+
+def _report_rows(placed: DataFrame) -> DataFrame:
+    summary = placed.agg(_summary()).select(F.lit(0).cast("bigint").alias("pos"), F.to_json(F.struct("summary")).alias("json"))
+    return summary.unionByName(placed.select("pos", F.to_json(_detail()).alias("json")))
+
+
+def _placed(audit: DataFrame) -> DataFrame:
+    return numbered(audit, (), ("source", "status", "item_count", "total_characters", "average_item_size", "error"))
+
+
+def report_rows(audit: DataFrame) -> DataFrame:
+    """K6 for a registry of any size: (pos, json), the summary at 0, then one detail per source in order."""
+    return _report_rows(_placed(audit))
+
+
+def audit_report(audit: DataFrame, max_details: int = MAX_REPORT_DETAILS) -> DataFrame:
+    """K6: ``{summary, details[]}`` as one JSON document, if a count shows at most
+    ``max_details`` sources; the lines of ``report_rows`` in order otherwise."""
+    placed = materialize(_placed(audit))
+    if placed.count() > max_details:
+        return _report_rows(placed).orderBy("pos").select("json")
+    doc = placed.agg(_summary(), F.array_sort(F.collect_list(_detail())).alias("details"))
     return doc.select(F.to_json(F.struct("summary", "details")).alias("json"))

@@ -1,8 +1,9 @@
 """Digest documents and run accounting.
 
-A digest holds the selected items of one group (at most max_items new items
-plus the pending ones), so collecting one group's items into one array is
-bounded by the selection, not by the input.
+A digest holds the selected items of one group (at most max_items new items)
+and the pending ones, which grow with the stored table.  So its general form is
+one row per item (``item_rows``); a nested document is built only of a digest
+whose positions show that it has at most ``MAX_DIGEST_ITEMS`` items.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ SUMMARY_TEXT = "New since the last run: {new}. Picked for you: *{selected}*."
 FOOTER_TEXT = "Sent by digestry"
 # ---------------------------------------------------------------------------
 
+MAX_DIGEST_ITEMS = 100_000  # of one nested document
 ITEM_FIELDS = ("title", "url", "summary", "category", "source", "score")
 
 
@@ -29,10 +31,14 @@ def item_struct() -> Column:
 
 def assemble(items: DataFrame, counts: DataFrame | None, digest_date: str, group_cols=(), pos_col: str = "pos") -> DataFrame:
     """M7 + M6: one digest per group: ordered item structs and metadata
-    (new items after the incremental filter, number selected, date)."""
+    (new items after the incremental filter, number selected, date).
+
+    Fails at an item beyond position ``MAX_DIGEST_ITEMS``, before such a digest is gathered."""
     g = list(group_cols)
+    place = F.when(F.col(pos_col) <= MAX_DIGEST_ITEMS, F.col(pos_col)).otherwise(
+        F.raise_error(F.lit(f"a digest has more than {MAX_DIGEST_ITEMS} items; take its item rows")).cast("bigint"))
     docs = items.groupBy(*g).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("_p"), item_struct().alias("_i")))),
+        F.transform(F.array_sort(F.collect_list(F.struct(place.alias("_p"), item_struct().alias("_i")))),
                     lambda x: x["_i"]).alias("items")
     )
     if counts is not None:
@@ -53,6 +59,20 @@ def assemble(items: DataFrame, counts: DataFrame | None, digest_date: str, group
     )
 
 
+def item_rows(placed: DataFrame, counts: DataFrame, digest_date: str, group_cols=()) -> DataFrame:
+    """M7 as rows: one per item of ``rank.numbered`` rows, with the digest's metadata; ``counts`` has one row per group."""
+    g = list(group_cols)
+    if g:  # joined as in assemble, but a hot group is only streamed past the counts
+        rows = placed.join(F.broadcast(counts) if counts.count() <= MAX_DIGEST_ITEMS else counts, g, "left")
+    else:
+        row = counts.first()
+        rows = placed.withColumn("total_new_items", F.lit(row["total_new_items"] if row else 0).cast("bigint"))
+    fields = [c for c in ITEM_FIELDS if c not in g]
+    return rows.select(
+        *g, F.col("pos").cast("int").alias("pos"), *fields, F.coalesce("total_new_items", F.lit(0)).cast("bigint").alias("total_new_items"),
+        F.col("total").cast("bigint").alias("total_selected"), F.lit(digest_date).alias("digest_date"))
+
+
 def new_item_counts(new_items: DataFrame, group_cols=()) -> DataFrame:
     """M6: items after the incremental filter, before dedup, per group."""
     return new_items.groupBy(*group_cols).agg(F.count("*").cast("bigint").alias("total_new_items"))

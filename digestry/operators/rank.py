@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from digestry.session import materialize
+
 
 def top_k(df: DataFrame, k: int, order_cols: list[Column], group_cols=(), rank_col: str | None = "rank") -> DataFrame:
     """First k rows per group in ``order_cols`` order (stable through ``ord``)."""
@@ -78,3 +80,21 @@ def batch_numbers(df: DataFrame, batch_size: int, order_col: str = "rank", group
     return df.withColumn(out_col, F.floor(rn / F.lit(batch_size)).cast("int")).withColumn(
         "batch_pos", (rn % F.lit(batch_size)).cast("int")
     )
+
+
+def numbered(rows: DataFrame, group_cols, order_cols, pos: str = "pos", total: str = "total") -> DataFrame:
+    """Position from 1 in each group, and the group's number of rows, without a task that holds a whole group.
+
+    Rows are dealt into ranges of (group, order) and written once; each row's position is its place in its
+    range plus the rows of its group in earlier ranges.  ``order_cols`` must tell a group's rows apart."""
+    g, order = list(group_cols), list(order_cols)
+    ranged = materialize(rows.repartitionByRange(*g, *order).withColumn("_range", F.spark_partition_id()))
+    whole = Window.partitionBy(*[f"_g{i}" for i in range(len(g))])  # as many rows as a group has ranges
+    before = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(total, F.sum("_n").over(whole))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(g):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    placed = ranged.withColumn("_in", F.row_number().over(Window.partitionBy(*g, "_range").orderBy(*order))).join(counts, same)
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_in")).alias(pos), total)

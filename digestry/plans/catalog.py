@@ -96,27 +96,16 @@ def q0_run(spark: SparkSession, sf_dir: str, finish: bool = True, model_enabled:
 @register("q0_signal_digest")
 def q0_signal_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q0: digest items per language (flattened) with the digest metadata."""
-    return digest_rows(q0_run(spark, sf_dir).digests)
-
-
-def digest_rows(docs: DataFrame) -> DataFrame:
-    """One row per digest item, with the digest's metadata."""
-    return docs.select("lang", F.posexplode("items").alias("_p", "_i"), "metadata").select(
-        "lang", (F.col("_p") + 1).cast("int").alias("pos"), "_i.*",
-        F.col("metadata.total_new_items").alias("total_new_items"),
-        F.col("metadata.total_selected").alias("total_selected"),
-        F.col("metadata.date").alias("digest_date"),
-    )
+    return q0_run(spark, sf_dir).digest_items
 
 
 @register("q0_digest_per_source")
 def q0_digest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q0 with one digest per source (20 digests in one job): the group column
     is any article column; every per-group cut applies inside each source."""
-    docs = q0_run(spark, sf_dir, group="source").digests
-    return docs.select("source", F.posexplode("items").alias("_p", "_i"), "metadata").select(
-        F.col("source").alias("digest"), (F.col("_p") + 1).cast("int").alias("pos"), "_i.*",
-        F.col("metadata.total_new_items").alias("total_new_items"), F.col("metadata.total_selected").alias("total_selected"))
+    rows = q0_run(spark, sf_dir, group="source").digest_items
+    return rows.select(
+        F.col("source").alias("digest"), "pos", "title", "url", "summary", "category", "source", "score", "total_new_items", "total_selected")
 
 
 # the per-operator query modules register themselves on import

@@ -102,7 +102,7 @@ def x1_q0(spark: SparkSession, sf: str) -> DataFrame:
         _article_stream(spark, sf), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, catalog.q0_params(), catalog.RUN_AS_OF, "1", root,
         X.scratch(spark, "x1-state"), X.scratch(spark, "x1-ckpt"), health_root=X.scratch(spark, "x1-health"),
         model_scores=TD.model_scores(spark, sf), analyses=TD.analyses(spark, sf))
-    return catalog.digest_rows(run.digests)
+    return run.digest_items
 
 
 # X5's oracle is the batch keyword score: the stream computes the same values.

@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from digestry.functions import scores as S
@@ -42,8 +43,29 @@ class DigestRun:
     blended: DataFrame  # after F4/J2/S5 (layer2, final_score)
     selected: DataFrame  # after F3/T3 + J4 (sel_rank, summary, category, score)
     stored: DataFrame  # K1 result (the next table version)
-    delivered_items: DataFrame  # U2 result, with pos
-    digests: DataFrame  # M7 result
+    unplaced: DataFrame | None  # U2 result, in the order of _p
+    counts: DataFrame  # M6 per group
+    digest_date: str | None
+    group_cols: tuple[str, ...]
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return rank.numbered(self.unplaced, self.group_cols, ["_p"])
+
+    @property
+    def delivered_items(self) -> DataFrame:
+        """U2 result, with pos."""
+        return self.placed.drop("_p", "total")
+
+    @property
+    def digest_items(self) -> DataFrame:
+        """M7 as one row per item, for digests of any size."""
+        return digest.item_rows(self.placed, self.counts, self.digest_date, self.group_cols)
+
+    @property
+    def digests(self) -> DataFrame:
+        """M7 result, one nested row per digest."""
+        return digest.assemble(self.delivered_items, self.counts, self.digest_date, self.group_cols, "pos")
 
 
 def _uniq(cols: list[str]) -> list[str]:
@@ -179,7 +201,7 @@ def run_digest(
         sel = model.fallback_analysis(sel)
     enriched = sel.withColumn("score", F.col("final_score"))
     if not finish:
-        return DigestRun(new, uniq, pruned, fuzzy, cands, blended, enriched, None, None, None)
+        return DigestRun(new, uniq, pruned, fuzzy, cands, blended, enriched, None, None, counts, None, tuple(g))
     # the selection is at most max_items rows per group; materialise it once
     # (reliable checkpoint in spark.checkpoint.dir) for the store and digest steps
     enriched = materialize(enriched)
@@ -209,9 +231,6 @@ def run_digest(
         F.max_by(F.struct(*[F.col(c) for c in digest.ITEM_FIELDS]), F.col("_src")).alias("_v"),
         F.min(F.struct("_src", "_k1", "_k2")).alias("_p"),
     )
-    # one digest's items (selected + pending): bounded by the selection, not by the input
-    w = Window.partitionBy(*g).orderBy("_p") if g else Window.orderBy("_p")
-    items = keyed.select(*g, "id", *[F.col("_v")[c].alias(c) for c in digest.ITEM_FIELDS if c not in g], "_p").withColumn(
-        "pos", F.row_number().over(w)).drop("_p")
-    docs = digest.assemble(items, counts, dd_text, g, "pos")
-    return DigestRun(new, uniq, pruned, fuzzy, cands, blended, enriched, stored_next, items, docs)
+    # one digest's items (selected + pending): the pending ones grow with the stored table
+    items = keyed.select(*g, "id", *[F.col("_v")[c].alias(c) for c in digest.ITEM_FIELDS if c not in g], "_p")
+    return DigestRun(new, uniq, pruned, fuzzy, cands, blended, enriched, stored_next, items, counts, dd_text, tuple(g))

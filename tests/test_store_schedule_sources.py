@@ -206,3 +206,32 @@ def test_blocks_by_the_sources_own_selector(spark):
     assert got == {("a", 0): ("T 1", "https://h.example/d/x", "onetwo"), ("a", 1): ("No Title", "https://h.example/d/e/", ""),
                    ("c", 0): ("No Title", "https://h.example/", "")}
     assert {r["source"]: r["status"] for r in env.collect()} == {"a": "ok", "b": "error", "c": "ok", "d": "error"}
+
+
+def test_reports_and_digests_as_rows(spark):
+    import json
+
+    import pytest
+
+    from digestry.operators import audit, digest, rank
+
+    rows = spark.range(500).selectExpr("IF(id < 400, 'hot', IF(id < 499, 'b', NULL)) AS g", "id", "(id * 7919) % 500 AS key")
+    got = rank.numbered(rows, ["g"], ["key"]).collect()
+    for group, n in (("hot", 400), ("b", 99), (None, 1)):
+        mine = sorted((r for r in got if r["g"] == group), key=lambda r: r["key"])
+        assert [(r["pos"], r["total"]) for r in mine] == [(i + 1, n) for i in range(n)]
+
+    feeds = spark.createDataFrame(
+        [(f"s{i:03}", "error" if i % 5 == 0 else "ok", i, 10 * i, 10, "bad" if i % 5 == 0 else None) for i in range(60)],
+        "source string, status string, item_count bigint, total_characters bigint, average_item_size bigint, error string")
+    document = json.loads(audit.audit_report(feeds).first()["json"])
+    lines = [json.loads(r["json"]) for r in audit.audit_report(feeds, max_details=59).collect()]
+    assert lines[0] == {"summary": document["summary"]} and lines[1:] == document["details"] and len(lines) == 61
+    assert [json.loads(r["json"]) for r in audit.report_rows(feeds).orderBy("pos").collect()] == lines
+
+    big = spark.range(digest.MAX_DIGEST_ITEMS + 1).selectExpr(
+        "id + 1 AS pos", "id AS total", "'t' AS title", "'u' AS url", "'' AS summary", "'c' AS category", "'s' AS source", "1.0D AS score")
+    counts = spark.createDataFrame([(7,)], "total_new_items bigint")
+    assert digest.item_rows(big, counts, "2024-01-20").count() == digest.MAX_DIGEST_ITEMS + 1
+    with pytest.raises(Exception, match="item rows"):
+        digest.assemble(big, counts, "2024-01-20").collect()
