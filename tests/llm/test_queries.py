@@ -8,8 +8,8 @@ from digestry.llm import catalog
 DIR = "/root/testdata/sf0.001"
 
 
-def test_ten_queries():
-    assert sorted(int(name[2:].split("_")[0]) for name in catalog.QUERIES) == list(range(1, 11))
+def test_all_queries():
+    assert sorted(int(name[2:].split("_")[0]) for name in catalog.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
