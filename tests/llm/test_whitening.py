@@ -82,7 +82,7 @@ def test_beyond_64_bits_is_exact(spark):
 def test_beyond_38_digits_is_null(spark):
     rows = [(i, [float(random.Random(i).randint(-(2**53), 2**53)) for _ in range(3)]) for i in range(50)]
     got = whitening.whiten(frame(spark, rows))
-    assert got.count() == 150 and got.filter("deviation is null").count() > 0
+    assert got.filter("deviation is null").select("vec_id").distinct().count() > 40
 
 
 def test_one_vector_or_none(spark):
