@@ -211,6 +211,45 @@ def a08(spark: SparkSession, sf: str) -> DataFrame:
     return _item_out(_run_parser(spark, sf, "scrape", selected).where(F.col("source") != "github_trending"))
 
 
+#: How the nested listings below are read.
+LISTINGS = {
+    "child": ("div.list > div.post", {"title": ".head h2 > a", "url": "a[rel=bookmark]", "content": ".body .para, p.note"}),
+    "any": ("div.list .post", {"title": "h2", "url": ".head a ~ a, .quote a", "content": "div.body div"}),
+}
+
+
+def _nested_listing(articles: DataFrame) -> DataFrame:
+    """One page per 20 articles: posts in posts, blocks of one tag name in each other, a post outside the list."""
+    t, c, i = TD.xml_escape(F.col("title")), TD.xml_escape(F.col("content")), F.col("ord").cast("string")
+    post = F.concat(
+        F.lit('<div class="wide post" id="d'), i, F.lit('"><div class="head"><!-- <h2>no</h2> --><h2><b></b><a href="/x/'), i, F.lit('" rel=bookmark>'), t,
+        F.lit('</a></h2><a href=first>1</a><a href="../y?n='), i, F.lit('">2</a></div><div class="body"><div class="para">one '),
+        F.lit('<div>in</div></div><p>o<div class="para">'), c,
+        F.lit('</div></div><p class="note">n<div class="post quote"><h2>q'), i, F.lit('</h2><a href="https://q.example/'), i, F.lit('">q</a><div class=body><div>Q</div></div></div></div>'))
+    body = TD._pages_of(articles.withColumn("_page", F.floor(F.col("ord") / PI)), ["_page"], "ord", post,
+                        F.lit('<html><body><div class="post"><h2>outside</h2></div><div class="list"><script>"<div class=post>"</script>'), F.lit("</div></body></html>"))
+    of = [F.struct(F.lit(name).alias("source"), F.lit(selector).alias("selector"), F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]).alias("mapping"))
+          for name, (selector, mapping) in LISTINGS.items()]
+    return body.select(F.explode(F.array(*of)).alias("s"), F.col("_page").cast("bigint").alias("page"), "payload").select(
+        "s.*", "page", F.lit("https://list.example/a/b/").alias("source_url"), "payload")
+
+
+_POST_NO = f"row_number() OVER (PARTITION BY floor(ord / {PI}) ORDER BY ord) - 1"
+
+
+@register("a08_nested_selectors", f"""WITH {A},
+posts AS (SELECT CAST(floor(ord / {PI}) AS BIGINT) AS page, {_POST_NO} AS n, CAST(ord AS VARCHAR) AS i, title, coalesce(content, '') AS content FROM articles),
+items AS (
+  SELECT 'child' AS source, page, n AS item_pos, 'https://list.example/x/' || i AS id, {_trimjs('title')} AS title, {_trimjs("'one in' || content || 'n'")} AS content FROM posts
+  UNION ALL
+  SELECT 'any', page, 2 * n, 'https://list.example/a/y?n=' || i, {_trimjs("title || 'q' || i")}, {_trimjs("'one inin' || content || 'Q'")} FROM posts
+  UNION ALL
+  SELECT 'any', page, 2 * n + 1, 'https://q.example/' || i, 'q' || i, 'Q' FROM posts)
+SELECT source, page, CAST(item_pos AS INTEGER) AS item_pos, id, coalesce(nullif(title, ''), 'No Title') AS title, id AS url, md5(content) AS content_md5, CAST(NULL AS VARCHAR) AS published_at FROM items""")
+def a08_nested(spark: SparkSession, sf: str) -> DataFrame:
+    return _item_out(P.parse_html_selected(_nested_listing(TD.articles(spark, sf)))[0])
+
+
 def _xml_escape_sql(x: str) -> str:
     return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 

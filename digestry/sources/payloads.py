@@ -19,6 +19,7 @@ from digestry.functions import dates as D
 from digestry.functions import text as T
 from digestry.functions import urls as U
 from digestry.session import checked_broadcast
+from digestry.sources import html_select as H
 
 # ---------------------------------------------------------------------------
 # Fixed values.
@@ -319,45 +320,24 @@ def parse_html_blocks(payloads: DataFrame, block_re: str, title_re: str | None,
     return _items(p, F.col("_blocks"), fields), _envelope(p, F.col("payload").isNotNull())
 
 
-# What a selector may be: a tag, a class, or a tag with a class.
-SELECTOR = r"^([A-Za-z][A-Za-z0-9]*)?(?:\.([A-Za-z0-9_-]+))?$"
-
-
-def _open_tag(selector: Column) -> Column:
-    """Regular expression of a selected element's start tag; group 1 is its name."""
-    tag, cls = F.regexp_extract(selector, SELECTOR, 1), F.regexp_extract(selector, SELECTOR, 2)
-    name = F.when(tag == "", F.lit("[A-Za-z][A-Za-z0-9]*")).otherwise(tag)
-    has_class = F.concat(F.lit(r"(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?"), cls, F.lit(r"(?:\s[^\"']*)?[\"'])"))
-    return F.concat(F.lit("(?is)<("), name, F.lit(r")\b"), F.when(cls == "", F.lit("")).otherwise(has_class))
-
-
-def _element(selector: Column) -> Column:
-    """Regular expression of a whole element; group 2 is what is inside, up to the first end tag of its name."""
-    return F.concat(_open_tag(selector), F.lit(r"[^>]*>(.*?)</\1\s*>"))
-
-
 def parse_html_selected(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks by each source's own ``selector`` and ``mapping`` (title, url, content).
 
-    A selector is a tag, a class, or both (``li``, ``.post``, ``div.post``); any
-    other one, or a missing payload, gives an error envelope, never other blocks.
-    A field is the text of the mapped elements inside the block; the url is the
+    Selectors are those of ``html_select``; any other one, or a missing payload, gives an error envelope,
+    never other blocks.  A field is the text of all mapped elements inside the block; the url is the
     first mapped element's href, resolved on the source url (S7), else the source url."""
-    simple = lambda c: c.isNull() | (c.rlike(SELECTOR) & (c != ""))
-    m = F.col("mapping")
-    ok = F.col("payload").isNotNull() & (F.col("selector") != "") & simple(F.col("selector")) & simple(m["title"]) & simple(m["url"]) & simple(m["content"])
-    p = payloads.where(ok).withColumn("_blocks", F.regexp_extract_all("payload", _element(F.col("selector")), F.lit(2)))
-    ex = p.select("source", "page", "source_url", "mapping", F.posexplode("_blocks").alias("item_pos", "_x"))
-
-    def text_of(name: str) -> Column:
-        inside = F.array_join(F.regexp_extract_all(F.col("_x"), _element(m[name]), F.lit(2)), "")
-        return F.coalesce(js_trim(html_unescape(strip_tags(inside))), F.lit(""))
-
-    href = F.get(F.regexp_extract_all(F.col("_x"), F.concat(_open_tag(m["url"]), F.lit(r"[^>]*?\bhref\s*=\s*[\"']([^\"']*)")), F.lit(2)), F.lit(0))
-    url = U.resolve_url(F.nullif(href, F.lit("")), F.col("source_url"))
-    items = ex.select("source", "page", "item_pos", url.alias("id"), T.falsy_or(text_of("title"), F.lit(T.NO_TITLE)).alias("title"), url.alias("url"),
-                      text_of("content").alias("content"), F.lit(None).cast("string").alias("published_at"))
-    return items, _envelope(payloads, F.coalesce(ok, F.lit(False)), F.lit(MSG_UNSUPPORTED_SCRAPE))
+    supported = lambda c: c.isNull() | c.rlike(H.SELECTOR)
+    fields = [F.nullif(F.col("mapping")[name], F.lit("")).alias(f"_{name}") for name in H.FIELDS]
+    p = payloads.select("*", *fields)
+    ok = F.col("payload").isNotNull() & F.col("selector").rlike(H.SELECTOR)
+    for name in H.FIELDS:
+        ok = ok & supported(F.col(f"_{name}"))
+    found = p.where(ok).select("source", F.col("page").cast("bigint").alias("page"), "source_url", "selector", *[f"_{name}" for name in H.FIELDS], "payload")
+    ex = found.mapInArrow(H.blocks_of_pages, H.SCHEMA)
+    url = U.resolve_url(F.nullif("href", F.lit("")), F.col("source_url"))
+    items = ex.select("source", "page", "item_pos", url.alias("id"), T.falsy_or(js_trim(F.col("title")), F.lit(T.NO_TITLE)).alias("title"), url.alias("url"),
+                      js_trim(F.col("content")).alias("content"), F.lit(None).cast("string").alias("published_at"))
+    return items, _envelope(p, F.coalesce(ok, F.lit(False)), F.lit(MSG_UNSUPPORTED_SCRAPE))
 
 
 TRENDING_PRESET = dict(block_re=r'(?s)<article class="Box-row">(.*?)</article>', title_re=r"(?s)<h2[^>]*>(.*?)</h2>",
