@@ -94,15 +94,45 @@ def upsert(stored: DataFrame, new: DataFrame, order_col: str = "pos", extra_cols
     return updated.unionByName(n.join(known, same, "left_anti").select(*all_cols))
 
 
-def mark_delivered(stored: DataFrame, delivered_ids: DataFrame, any_channel_ok=True) -> DataFrame:
-    """delivered = 1 for the given ids, if at least one channel succeeded."""
+def mark_delivered(stored: DataFrame, delivered: DataFrame, any_channel_ok=True, key_cols=("id",)) -> DataFrame:
+    """delivered = 1 for the given keys, if at least one channel succeeded.
+
+    ``key_cols`` is the table's key: the group columns and the id where several digests share the
+    table, since one digest's delivery says nothing about another's copy of the article."""
     if any_channel_ok is False:
         return stored
-    ids = delivered_ids.select(F.col("id").alias("_did")).distinct().withColumn("_hit", F.lit(1))
-    # a digest's ids are few: broadcast them (count-checked) and stream the table
-    j = stored.join(checked_broadcast(ids, MAX_BROADCAST_NEW_ROWS), stored["id"] == F.col("_did"), "left")
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)]
+    hits = delivered.select(*keys).distinct().withColumn("_hit", F.lit(1))
+    same = F.lit(True)
+    for i, k in enumerate(key_cols):
+        same = same & stored[k].eqNullSafe(F.col(f"_k{i}"))
+    # a digest's keys are few: broadcast them (count-checked) and stream the table
+    j = stored.join(checked_broadcast(hits, MAX_BROADCAST_NEW_ROWS), same, "left")
     gate = F.lit(True) if any_channel_ok is True else any_channel_ok
-    return j.withColumn("delivered", F.when(F.col("_hit").isNotNull() & gate, F.lit(1)).otherwise(F.col("delivered"))).drop("_did", "_hit")
+    marked = F.when(F.col("_hit").isNotNull() & gate, F.lit(1)).otherwise(F.col("delivered"))
+    return j.withColumn("delivered", marked).drop("_hit", *[f"_k{i}" for i in range(len(key_cols))])
+
+
+def delivery_ledger(items: DataFrame, group_cols=(), digest_col: str = "digest") -> DataFrame:
+    """What each digest holds: (group, digest, id), once each.  Written before delivery, it outlives the run."""
+    return items.select(*group_cols, digest_col, "id").distinct()
+
+
+def committed(ledger: DataFrame, outcomes: DataFrame, group_cols=(), digest_col: str = "digest") -> DataFrame:
+    """M9 -> K2: the ledger's rows of digests that at least one channel took.
+
+    ``outcomes`` has one row per group, digest and channel, with its status; a digest without any row isn't committed."""
+    keys = [*group_cols, digest_col]
+    taken = outcomes.where(F.col("status") == "ok").select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)]).distinct()
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & ledger[k].eqNullSafe(F.col(f"_c{i}"))
+    return ledger.join(checked_broadcast(taken, MAX_BROADCAST_NEW_ROWS), same, "left_semi")
+
+
+def commit_deliveries(stored: DataFrame, ledger: DataFrame, outcomes: DataFrame, group_cols=(), digest_col: str = "digest") -> DataFrame:
+    """K2 behind its gate: only articles of committed digests, in their own group, become delivered."""
+    return mark_delivered(stored, committed(ledger, outcomes, group_cols, digest_col), key_cols=(*group_cols, "id"))
 
 
 def high_water_mark(stored: DataFrame, strict: bool = True) -> DataFrame:
@@ -144,6 +174,36 @@ def read_mark(stored: DataFrame, strict: bool = True) -> str | None:
     return row["hwm"] if row else None
 
 
+def source_marks(stored: DataFrame, strict: bool = False) -> DataFrame:
+    """M1 per source: (source, hwm)."""
+    if strict:
+        return stored.groupBy("source").agg(F.max(F.coalesce(F.col("published_at"), F.col("digest_date"))).alias("hwm"))
+    ts = F.coalesce(D.parse_instant(F.col("published_at")), F.to_timestamp(F.col("digest_date")))
+    return stored.groupBy("source").agg(D.to_iso(F.max(ts)).alias("hwm"))
+
+
+def merge_marks(*marks: DataFrame) -> DataFrame:
+    """The later mark of each source."""
+    out = marks[0].select("source", "hwm")
+    for more in marks[1:]:
+        out = out.unionByName(more.select("source", "hwm"))
+    return out.groupBy("source").agg(F.max("hwm").alias("hwm"))
+
+
+def incremental_filter_by_source(new: DataFrame, marks: DataFrame) -> DataFrame:
+    """F2 with one mark per source, so a source that comes late keeps its items.
+
+    The rules are those of ``incremental_filter``; a source without a mark keeps all.  The marks, one row per source, are
+    broadcast if few (checked), and the items are streamed past them."""
+    at = D.parse_instant(F.col("hwm"))
+    own = marks.where(F.coalesce(F.col("hwm"), F.lit("")) != "").select(F.col("source").alias("_source"), at.alias("_mark"))
+    met = new.join(checked_broadcast(own, MAX_BROADCAST_NEW_ROWS), new["source"].eqNullSafe(F.col("_source")), "left")
+    when = F.col("published_ts") if "published_ts" in new.columns else D.parse_instant(F.col("published_at"))
+    missing = F.coalesce(F.col("published_at"), F.lit("")) == ""
+    newer = F.coalesce(when > F.col("_mark"), F.lit(False))
+    return met.where(F.col("_source").isNull() | missing | newer).drop("_source", "_mark")
+
+
 def latest_per_source(health: DataFrame) -> DataFrame:
     """The latest health row per source (ties: highest id)."""
     return health.groupBy("source").agg(
@@ -178,11 +238,16 @@ def health_records(items: DataFrame, envelopes: DataFrame | None = None) -> Data
     )
 
 
-def append_health(records: DataFrame, path: str, as_of) -> None:
-    """K3: append one row per source per run, partitioned by check date."""
+def append_health(records: DataFrame, path: str, as_of, run_id: str | None = None) -> None:
+    """K3: append one row per source per run, partitioned by check date.
+
+    A run with an id has a folder of its own, which a retry replaces, so its rows are there once."""
     ts = D.as_of_literal(as_of)
-    (records.withColumn("last_check", ts).withColumn("check_date", F.to_date(ts))
-     .write.mode("append").partitionBy("check_date").parquet(path))
+    rows = records.withColumn("last_check", ts).withColumn("check_date", F.to_date(ts))
+    if run_id is None:
+        rows.write.mode("append").partitionBy("check_date").parquet(path)
+    else:
+        rows.write.mode("overwrite").partitionBy("check_date").parquet(f"{path.rstrip('/')}/run={run_id}")
 
 
 def pending(stored: DataFrame, threshold: float, as_of, hours: int = 24, strict: bool = True) -> DataFrame:
@@ -227,8 +292,10 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame:
     return read_version(spark, root, latest_version(spark, root))
 
 
-def write_version(df: DataFrame, root: str, version: int | None = None) -> int:
-    """Write ``df`` as the next (or a given) full snapshot of the table at ``root``; returns its number."""
+def write_version(df: DataFrame, root: str, version: int | None = None, replace: bool = False) -> int:
+    """Write ``df`` as the next (or a given) full snapshot of the table at ``root``; returns its number.
+
+    ``replace`` lets a retried run write its snapshot again."""
     version = latest_version(df.sparkSession, root) + 1 if version is None else version
-    df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/v={version:08d}")
+    df.write.mode("overwrite" if replace else "errorifexists").parquet(f"{root.rstrip('/')}/v={version:08d}")
     return version

@@ -16,7 +16,7 @@ from digestry.plans import sqlgen as Q
 from digestry.plans.catalog import register
 from digestry.plans.catalog_sources import ALL_ITEMS
 from digestry.plans.signal_digest import run_digest
-from digestry.session import checkpoint_dir
+from digestry.session import checkpoint_dir, materialize
 from digestry.sources import payloads as P
 from digestry.sources import testdata as TD
 
@@ -91,13 +91,51 @@ def f2(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("k2_mark_delivered", f"""WITH RECURSIVE {CHAIN}
 SELECT s.id, CASE WHEN i.id IS NOT NULL THEN 1 ELSE s.delivered END AS delivered
-FROM stored_next s LEFT JOIN (SELECT DISTINCT id FROM items) i ON s.id = i.id""")
+FROM stored_next s LEFT JOIN (SELECT DISTINCT lang, id FROM items) i ON s.id = i.id AND s.lang IS NOT DISTINCT FROM i.lang""")
 def k2(spark: SparkSession, sf: str) -> DataFrame:
     run = catalog.q0_run(spark, sf)
-    marked = store.mark_delivered(run.stored, run.delivered_items.select("id"), any_channel_ok=True)
+    marked = store.mark_delivered(run.stored, run.delivered_items, any_channel_ok=True, key_cols=["lang", "id"])
     return marked.select("id", "delivered")
 
 
+#: What each channel said of each tenant's digests; fr's digest of tenant a has no outcome yet.
+OUTCOMES = [("a", "en", "webhook", "error"), ("a", "en", "slack", "ok"), ("a", "de", "webhook", "error"), ("a", "de", "slack", "error"), ("a", "es", "slack", "ok"),
+            ("b", "en", "webhook", "error"), ("b", "de", "webhook", "ok"), ("b", "fr", "webhook", "ok"), ("b", "es", "slack", "error")]
+_OUTCOMES_SQL = ", ".join(f"({', '.join(map(Q.q, o))})" for o in OUTCOMES)
+
+
+@register("m9_k2_delivery_gate", f"""WITH RECURSIVE {CHAIN},
+o(tenant, digest, channel, status) AS (VALUES {_OUTCOMES_SQL}),
+done AS (SELECT DISTINCT tenant, digest FROM o WHERE status = 'ok'),
+hit AS (SELECT DISTINCT d.tenant, i.id FROM items i JOIN done d ON d.digest = i.lang)
+SELECT t.tenant, s.id, CASE WHEN h.id IS NOT NULL THEN 1 ELSE s.delivered END AS delivered
+FROM stored_next s CROSS JOIN (VALUES ('a'), ('b')) t(tenant) LEFT JOIN hit h ON h.id = s.id AND h.tenant = t.tenant""")
+def m9_k2(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tenants hold the same articles in one table, one digest per language each; only what a committed digest of the same
+    tenant held becomes delivered, from a ledger written before delivery."""
+    run = catalog.q0_run(spark, sf)
+    tenants = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("tenant")
+    root = _scratch(spark, "deliveries")
+    store.delivery_ledger(run.delivered_items.select(tenants, F.col("lang").alias("digest"), "id"), ["tenant"]).write.parquet(root)
+    outcomes = spark.createDataFrame(OUTCOMES, "tenant string, digest string, channel string, status string")
+    out = store.commit_deliveries(run.stored.select("*", tenants), spark.read.parquet(root), outcomes, ["tenant"])
+    return out.select("tenant", "id", "delivered")
+
+
+@register("f2_mark_per_source", f"""WITH {Q.articles_cte()}, {Z.stored_cte()},
+st AS (SELECT *, CAST(id AS BIGINT) AS n FROM stored),
+marks AS (SELECT source, max(TIMESTAMP '{TD.EPOCH_START}' + to_hours(CAST(n AS INTEGER))) AS mark FROM st GROUP BY source)
+SELECT a.source, count(*) AS kept, min(a.id) AS least FROM articles a LEFT JOIN marks m ON m.source IS NOT DISTINCT FROM a.source
+WHERE m.mark IS NULL OR a.published_ts > m.mark GROUP BY a.source""")
+def f2_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """One mark per source, merged from two halves of the stored articles, each with its own publication date."""
+    st = TD.stored_articles(spark, sf).withColumn("published_at", D.to_iso(TD.published_ts(F.col("id").cast("bigint"))))
+    odd = F.col("id").cast("bigint") % 2 == 1
+    marks = store.merge_marks(store.source_marks(st.where(odd)), store.source_marks(st.where(~odd), strict=True))
+    new = store.incremental_filter_by_source(TD.articles(spark, sf), marks)
+    return new.groupBy("source").agg(F.count("*").alias("kept"), F.min("id").alias("least"))
+
+
 @register("k7_schema_evolution", """
 SELECT CAST(doc_id AS VARCHAR) AS id, 0 AS delivered_first, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS delivered FROM labels""")
 def k7(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +151,7 @@ def k7(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("k1_write_read_latest", f"""WITH RECURSIVE {CHAIN}
 SELECT s.id, s.title, s.score, CASE WHEN i.id IS NOT NULL THEN 1 ELSE s.delivered END AS delivered
-FROM stored_next s LEFT JOIN (SELECT DISTINCT id FROM items) i ON s.id = i.id""")
+FROM stored_next s LEFT JOIN (SELECT DISTINCT lang, id FROM items) i ON s.id = i.id AND s.lang IS NOT DISTINCT FROM i.lang""")
 def k1_versions(spark: SparkSession, sf: str) -> DataFrame:
     """The table before the run, after it and after delivery are three
     snapshots; the last one is read back whole, and once."""
@@ -121,7 +159,7 @@ def k1_versions(spark: SparkSession, sf: str) -> DataFrame:
     store.write_version(TD.stored_articles(spark, sf), root)
     run = catalog.q0_run(spark, sf)
     store.write_version(run.stored, root)
-    store.write_version(store.mark_delivered(store.read_latest(spark, root), run.delivered_items.select("id")), root)
+    store.write_version(store.mark_delivered(store.read_latest(spark, root), run.delivered_items, key_cols=["lang", "id"]), root)
     return store.read_latest(spark, root).select("id", "title", "score", "delivered")
 
 
@@ -180,12 +218,14 @@ def m5(spark: SparkSession, sf: str) -> DataFrame:
 SELECT d AS check_date, status, count(*) AS rows, CAST(sum(items_found) AS BIGINT) AS items_found
 FROM m5, (VALUES ('2024-01-30'), ('2024-01-31')) v(d) GROUP BY 1, 2""")
 def k3(spark: SparkSession, sf: str) -> DataFrame:
-    """Two runs appended to a health log partitioned by check date, read back."""
+    """Two runs appended to a health log partitioned by check date, one of them twice (a retry), read back."""
     items, env = _envelopes(spark, sf)
     rec = store.health_records(items, env)
     path = _scratch(spark, "health")
-    store.append_health(rec, path, "2024-01-30 08:00:00")
-    store.append_health(rec, path, "2024-01-31 08:00:00")
+    rec = materialize(rec)
+    store.append_health(rec, path, "2024-01-30 08:00:00", "first")
+    for _ in range(2):
+        store.append_health(rec, path, "2024-01-31 08:00:00", "second")
     back = spark.read.parquet(path)
     return back.groupBy(F.col("check_date").cast("string").alias("check_date"), "status").agg(
         F.count("*").alias("rows"), F.sum("items_found").cast("bigint").alias("items_found"))

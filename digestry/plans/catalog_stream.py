@@ -105,6 +105,21 @@ def x1_q0(spark: SparkSession, sf: str) -> DataFrame:
     return run.digest_items
 
 
+@register("x4_streaming_health_log", f"""SELECT source, 'ok' AS status, CAST(count(*) AS INTEGER) AS items_found, CAST(NULL AS VARCHAR) AS error_message
+FROM documents GROUP BY source""")
+def x4_health(spark: SparkSession, sf: str) -> DataFrame:
+    """The health log of a streaming run: every checked source with all its items, new or not, once although the run is called twice."""
+    from digestry.plans import catalog
+
+    root, health = X.scratch(spark, "x4-articles"), X.scratch(spark, "x4-health")
+    state, ckpt = X.scratch(spark, "x4-state"), X.scratch(spark, "x4-ckpt")
+    store.write_version(TD.stored_articles(spark, sf), root)
+    for _ in range(2):
+        X.incremental_run(_article_stream(spark, sf), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, catalog.q0_params(), catalog.RUN_AS_OF, "1", root, state, ckpt,
+                          health_root=health, model_scores=TD.model_scores(spark, sf), analyses=TD.analyses(spark, sf))
+    return spark.read.parquet(health).select("source", "status", "items_found", "error_message")
+
+
 # X5's oracle is the batch keyword score: the stream computes the same values.
 from digestry.plans import catalog_dedup as _cd  # noqa: E402
 

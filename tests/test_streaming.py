@@ -1,3 +1,5 @@
+import pytest
+
 from digestry.operators import store
 from digestry.params import DigestParams
 from digestry.streaming import incremental as X
@@ -66,3 +68,80 @@ def test_two_runs_of_the_whole_chain(spark, tmp_path):
     run(3, "2024-01-10 09:01:00")
     assert store.read_latest(spark, articles).count() == 5
     assert spark.read.parquet(health).count() == 2
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize(("step", "when"), [("drained", "before"), ("stored", "before"), ("ended", "before")])
+def test_a_stopped_run_is_completed_by_the_next(spark, tmp_path, monkeypatch, step, when):
+    src, articles, state, health = (str(tmp_path / x) for x in ("in", "articles", "state", "health"))
+    schema, params = items(spark, 0, 1).schema, DigestParams(cooldown_minutes=5.0)
+    write = X.RunLedger._write
+
+    def run(n, as_of):
+        stream = X.file_stream(spark, src, schema, 100)
+        return X.incremental_run(stream, OWN_TOPICS, {}, params, as_of, str(n), articles, state, f"{state}/ckpt", health)
+
+    def stops(self, run_id, at, *more):
+        if when == "after" or at != step:
+            write(self, run_id, at, *more)
+        if at == step:
+            raise Stopped
+
+    items(spark, 0, 3).coalesce(1).write.mode("append").parquet(src)
+    monkeypatch.setattr(X.RunLedger, "_write", stops)
+    with pytest.raises(Stopped):
+        run(1, "2024-01-10 08:00:00")
+    monkeypatch.setattr(X.RunLedger, "_write", write)
+    run(2, "2024-01-10 09:00:00")
+    run(2, "2024-01-10 09:30:00")  # a run that has ended changes nothing
+    rows = store.read_latest(spark, articles).collect()
+    assert sorted(r["id"] for r in rows) == ["0", "1", "2"]
+    log = spark.read.parquet(health)
+    assert [tuple(r) for r in log.select("source", "status", "items_found").collect()] == [("s", "ok", 3)]
+    begun_by_1 = not (step == "begun" and when == "before")  # else the second run is the first to know of anything
+    assert {str(r["last_check"]) for r in log.collect()} == {"2024-01-10 08:00:00" if begun_by_1 else "2024-01-10 09:00:00"}
+    # what comes later is taken once, from the mark of the completed run
+    items(spark, 1, 5).coalesce(1).write.mode("append").parquet(src)
+    run(3, "2024-01-10 10:00:00")
+    assert sorted(r["id"] for r in store.read_latest(spark, articles).collect()) == ["0", "1", "2", "3", "4"]
+    assert sorted(r["items_found"] for r in spark.read.parquet(health).collect()) == [3, 4]
+
+
+def test_a_selection_stopped_while_draining(spark, tmp_path, monkeypatch):
+    src = str(tmp_path / "in")
+    items(spark, 0, 6).repartition(3).write.parquet(src)
+    complete = X.RunLedger.complete
+
+    def stops(self, run_id, step):
+        raise Stopped
+
+    monkeypatch.setattr(X.RunLedger, "complete", stops)
+    state = str(tmp_path / "state")
+    with pytest.raises(Stopped):
+        selection(spark, tmp_path, src, 1, state=state, run="1")
+    monkeypatch.setattr(X.RunLedger, "complete", complete)
+    assert selection(spark, tmp_path, src, 1, state=state, run="2")[0] == []
+    assert sorted(r["id"] for r in spark.read.parquet(f"{state}-out/run=1").collect()) == [str(i) for i in range(6)]
+
+
+def test_payload_stream_reports_failed_and_empty_sources(spark, tmp_path):
+    from digestry.sources import payloads as P
+
+    registry = spark.createDataFrame([(s, s, "json", f"https://{s}.example/", 1, [], None, {"title": "t"}) for s in ("good", "bad", "none", "old")], P.REGISTRY_SCHEMA)
+    rows = [("good", 0, '{"items": [{"t": "a", "date": "2024-01-09"}, {"t": "b", "date": "2024-01-08"}]}'), ("bad", 0, "{"), ("none", 0, '{"items": []}'),
+            ("old", 0, '{"items": [{"t": "c", "date": "2020-01-01"}]}')]
+    df = spark.createDataFrame(rows, "source_id string, page bigint, payload string").selectExpr("*", "timestamp'2024-01-10' AS fetched_at")
+    src = str(tmp_path / "in")
+    df.coalesce(1).write.parquet(src)
+
+    def parse(batch):
+        return P.fan_out(batch, registry, "2024-01-10 08:00:00")
+
+    root = str(tmp_path / "run")
+    new = X.drain_new_items(X.file_stream(spark, src, df.schema, 1), "2024-01-01", root, str(tmp_path / "ckpt"), parse=parse)
+    assert sorted(r["title"] for r in new.collect()) == ["a", "b"]
+    got = {r["source"]: (r["status"], r["items_found"]) for r in X.drained_health(spark, root).collect()}
+    assert got == {"good": ("ok", 2), "bad": ("error", 0), "none": ("ok", 0), "old": ("ok", 1)}
