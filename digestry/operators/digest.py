@@ -109,6 +109,25 @@ def chat_blocks(digests: DataFrame, group_cols=()) -> DataFrame:
     return digests.select(*group_cols, F.concat(F.lit('{"blocks":['), blocks, F.lit("]}")).alias("json"))
 
 
+def write_documents(docs: DataFrame, path: str, group_cols=(), column: str = "json") -> str:
+    """K4, K5, K6 as files: one text file per digest, in a folder named by its group.
+
+    Spark's own writer commits the files, so they are there whole or not at all, in any store; a digest that is
+    written again replaces its file and leaves the others."""
+    rows = docs.select(*group_cols, F.col(column).alias("value"))
+    if not group_cols:
+        rows.coalesce(1).write.mode("overwrite").text(path)
+    else:
+        rows.repartition(*group_cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*group_cols).text(path)
+    return path
+
+
+def read_documents(spark, path: str, group_cols=(), column: str = "json") -> DataFrame:
+    """The files of ``write_documents``, one row per line."""
+    schema = ", ".join(["value string", *[f"`{c}` string" for c in group_cols]])
+    return spark.read.schema(schema).text(path).select(*group_cols, F.col("value").alias(column))
+
+
 def delivery_outcome(outcomes: DataFrame, group_cols=()) -> DataFrame:
     """M9: succeeded / failed channels per digest; commit when >= 1 succeeded."""
     return outcomes.groupBy(*group_cols).agg(

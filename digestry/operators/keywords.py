@@ -48,9 +48,13 @@ def _as_items(dictionary, limit: int) -> list[tuple[str, float]] | None:
     if isinstance(dictionary, Mapping):
         items = [(str(k), float(v)) for k, v in dictionary.items()]
         return items if len(items) <= limit else None
-    if dictionary.limit(limit + 1).count() > limit:
-        return None
-    return [(r["keyword"], float(r["weight"])) for r in dictionary.select("keyword", "weight").collect()]
+    entries = _entries(dictionary).limit(limit + 1).collect()
+    return [(r["keyword"], r["weight"]) for r in entries] if len(entries) <= limit else None
+
+
+def _entries(dictionary: DataFrame) -> DataFrame:
+    """A dictionary table as the map it stands for: a keyword that it repeats counts once, with its largest weight."""
+    return dictionary.groupBy("keyword").agg(F.max(F.col("weight").cast("double")).alias("weight"))
 
 
 def inline_score(text_lower: str, items: list[tuple[str, float]]) -> Column:
@@ -103,11 +107,11 @@ def layer1_scores(
 
 
 def as_table(df: DataFrame, dictionary) -> DataFrame:
-    """A dictionary as a (keyword, weight) table."""
+    """A dictionary as a (keyword, weight) table, one row per keyword."""
     if isinstance(dictionary, Mapping):
         rows = [(str(k), float(v)) for k, v in dictionary.items()]
         return df.sparkSession.createDataFrame(rows, "keyword string, weight double")
-    return dictionary.select("keyword", F.col("weight").cast("double").alias("weight"))
+    return _entries(dictionary)
 
 
 def _grams(text: Column, sizes: list[int]) -> Column:

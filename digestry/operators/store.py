@@ -299,3 +299,78 @@ def write_version(df: DataFrame, root: str, version: int | None = None, replace:
     version = latest_version(df.sparkSession, root) + 1 if version is None else version
     df.write.mode("overwrite" if replace else "errorifexists").parquet(f"{root.rstrip('/')}/v={version:08d}")
     return version
+
+
+class BucketedTable:
+    """K1 at scale: the article table in hash buckets of its key, of which a run rewrites only those it touches.
+
+    ``data/v=N/bucket=B`` holds the rows of a bucket as of version N, ``manifest/v=N`` says for version N which folder each
+    bucket is in.  The manifest is written last: a run that is stopped before leaves the table as it was, and its retry writes
+    the same folders again.  Every version can be read as long as its folders are kept; readers of an older one aren't disturbed."""
+
+    MANIFEST = "bucket int, at int, buckets int"
+
+    def __init__(self, spark: SparkSession, root: str, key_cols=("id",), buckets: int = 256):
+        self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), list(key_cols), buckets
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.buckets)).cast("int")
+
+    def versions(self) -> int:
+        return latest_version(self.spark, f"{self.root}/manifest")
+
+    def _manifest(self, version: int) -> dict[int, int]:
+        """Bucket -> version of its folder; at most one entry per bucket."""
+        rows = self.spark.read.schema(self.MANIFEST).parquet(f"{self.root}/manifest/v={version:08d}").collect()
+        if rows and rows[0].buckets != self.buckets:
+            raise ValueError(f"the table at {self.root} has {rows[0].buckets} buckets")
+        return {r.bucket: r["at"] for r in rows if r.bucket >= 0}
+
+    def _rows(self, manifest: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.root}/data/v={v:08d}/bucket={b}" for b, v in sorted(manifest.items())]
+        if not paths:
+            return None
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows as of a version (the last one by default), columns added later with their defaults."""
+        rows = self._rows(self._manifest(self.versions() if version is None else version))
+        return with_defaults(self.spark.createDataFrame([], ARTICLE_SCHEMA) if rows is None else rows)
+
+    def _write(self, rows: DataFrame, version: int, before: dict[int, int], touched: list[int]) -> int:
+        out = rows.withColumn("bucket", self._bucket())
+        # one file per bucket
+        out.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/v={version:08d}")
+        try:
+            found = {r.bucket for r in self.spark.read.parquet(f"{self.root}/data/v={version:08d}").select(F.col("bucket").cast("int")).distinct().collect()}
+        except AnalysisException as missing:  # no rows, so no files
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            found = set()
+        manifest = {b: v for b, v in before.items() if b not in touched} | {b: version for b in found}
+        # the entry without a bucket makes a version of an empty table one that is there
+        entries = self.spark.createDataFrame([(b, v, self.buckets) for b, v in [(-1, version), *sorted(manifest.items())]], self.MANIFEST)
+        entries.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v={version:08d}")
+        return version
+
+    def create(self, rows: DataFrame) -> int:
+        return self._write(rows, 1, {}, list(range(self.buckets)))
+
+    def change(self, keys: DataFrame, fn) -> int:
+        """Put ``fn(rows)`` in place of the rows of all buckets that hold one of ``keys``; returns the version."""
+        version = self.versions()
+        touched = [r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()]  # at most one per bucket
+        if not touched:
+            return version
+        manifest = self._manifest(version)
+        rows = self._rows({b: v for b, v in manifest.items() if b in set(touched)})
+        rows = with_defaults(rows if rows is not None else self.read(version).limit(0))
+        return self._write(fn(rows), version + 1, manifest, touched)
+
+    def upsert(self, new: DataFrame, order_col: str = "pos", extra_cols=()) -> int:
+        """K1 on the buckets of the run's keys; ``new`` should be a written or checkpointed table."""
+        return self.change(new, lambda rows: upsert(rows, new, order_col, extra_cols, self.keys))
+
+    def mark_delivered(self, delivered: DataFrame) -> int:
+        """K2 on the buckets of the delivered keys."""
+        return self.change(delivered, lambda rows: mark_delivered(rows, delivered, key_cols=self.keys))

@@ -3,12 +3,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from digestry.operators import audit, subscriptions
+from digestry.operators import audit, digest, subscriptions
+from digestry.plans import catalog
 from digestry.plans import sqlgen as Q
 from digestry.plans.catalog import register
+from digestry.session import checkpoint_dir
 from digestry.plans.catalog_sources import ALL_ITEMS, REGISTRY_SQL
 from digestry.sources import payloads as P
 from digestry.sources import testdata as TD
@@ -61,6 +65,12 @@ def k6(spark: SparkSession, sf: str) -> DataFrame:
     return audit.audit_report(_audit(spark, sf))
 
 
+@register("k6_file_sink", catalog.ORACLE["k6_audit_report"])
+def k6_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/k6-{uuid.uuid4().hex}"
+    return digest.read_documents(spark, digest.write_documents(k6(spark, sf), path))
+
+
 # --------------------------------------------------------------------------------- F9, F10, F13, F12
 
 _A_RE = r'<a href="([^"]*)">([^<]*)</a>'
@@ -102,10 +112,10 @@ def f9(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("idx", "scope", F.col("rule_pos").cast("int").alias("rule_pos"), "message")
 
 
-_F10_SRC = """(SELECT CAST(page_id * 3 + k AS BIGINT) AS idx, type, webhook_url FROM (
+_F10_SRC = """(SELECT CAST(page_id * (max(k) OVER () + 1) + k AS BIGINT) AS idx, type, webhook_url FROM (
   SELECT page_id, 0 AS k, 'webhook' AS type, url AS webhook_url FROM pages
-  UNION ALL SELECT page_id, 1, 'slack', regexp_extract(html, 'href="([^"]*)"', 1) FROM pages
-  UNION ALL SELECT page_id, 2, 'webhook', CAST(NULL AS VARCHAR) FROM pages))"""
+  UNION ALL SELECT page_id, unnest(range(1, len(links) + 1)), 'slack', unnest(links) FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS links FROM pages)
+  UNION ALL SELECT page_id, 1 + len(coalesce(regexp_extract_all(html, 'href="([^"]*)"', 1), [])), 'webhook', CAST(NULL AS VARCHAR) FROM pages))"""
 _F10_RULES = [
     f"CASE WHEN coalesce(trim(webhook_url), '') = '' THEN {_msg(audit.MSG_CHANNEL_NO_URL, idx='idx', type='type')} END",
     f"CASE WHEN coalesce(trim(webhook_url), '') <> '' AND NOT {Q.is_valid_url('webhook_url')} THEN "

@@ -163,6 +163,17 @@ def k1_versions(spark: SparkSession, sf: str) -> DataFrame:
     return store.read_latest(spark, root).select("id", "title", "score", "delivered")
 
 
+@register("k1_bucketed_table", catalog.ORACLE["k1_write_read_latest"])
+def k1_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """The same three states as versions of a bucketed table; the second and third write only the buckets they touch."""
+    table = store.BucketedTable(spark, _scratch(spark, "article-buckets"), ["lang", "id"], 64)
+    table.create(TD.stored_articles(spark, sf))
+    run = catalog.q0_run(spark, sf)
+    table.upsert(materialize(run.new_rows), "pos", ["lang"])
+    table.mark_delivered(materialize(run.delivered_items))
+    return table.read().select("id", "title", "score", "delivered")
+
+
 @register("k1_two_groups_same_id", f"""WITH {Q.articles_cte()}, {Z.stored_cte()},
 known AS (SELECT s.*, l.quality FROM stored s JOIN labels l ON s.id = CAST(l.doc_id AS VARCHAR))
 SELECT 'a' AS tenant, id, CASE WHEN quality = 1 THEN 'a: ' || title ELSE title END AS title, delivered FROM known
@@ -286,6 +297,24 @@ def k5(spark: SparkSession, sf: str) -> DataFrame:
     return digest.chat_blocks(catalog.q0_run(spark, sf).digests, ["lang"])
 
 
+def _sink(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """Written, one digest written again as a retry does, and read back."""
+    docs = materialize(docs)
+    path = digest.write_documents(docs, _scratch(spark, name), ["lang"])
+    digest.write_documents(docs.where(F.col("lang") == "en"), path, ["lang"])
+    return digest.read_documents(spark, path, ["lang"])
+
+
+@register("k4_file_sink", catalog.ORACLE["k4_digest_json"])
+def k4_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _sink(spark, k4(spark, sf), "k4")
+
+
+@register("k5_file_sink", catalog.ORACLE["k5_chat_blocks"])
+def k5_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _sink(spark, k5(spark, sf), "k5")
+
+
 @register("m9_delivery_outcome", """
 SELECT strftime(ts, '%Y-%m-%d') AS digest, count(*) FILTER (WHERE event_type <> 'error') AS succeeded,
        count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type <> 'error') >= 1 AS commit

@@ -47,6 +47,7 @@ class DigestRun:
     counts: DataFrame  # M6 per group
     digest_date: str | None
     group_cols: tuple[str, ...]
+    new_rows: DataFrame | None = None  # the selection in stored form, with pos
 
     @cached_property
     def placed(self) -> DataFrame:
@@ -161,8 +162,11 @@ def run_digest(
         F.lit(1).cast("bigint").alias("_n_raw"),
     )
     uniq = dedup.exact_dedup(narrow, g, strict, params.keep_query_params, content="_empty", size_col="_n_raw")
+    # the narrow survivors are read twice, for the counts and for the cut: keep them until both are written
+    uniq = uniq.persist()
     # M6 from the cluster sizes: no second pass over the input
-    counts = uniq.groupBy(*g).agg(F.sum("_n_raw").alias("total_new_items"))
+    counts = materialize(uniq.groupBy(*g).agg(F.sum("_n_raw").alias("total_new_items")))
+    kept = uniq
     uniq = uniq.drop("_n_raw")
     pruned = rank.top_k(uniq, params.prune_k, [F.col("layer1").desc(), F.col("ord")], g, "l1_rank")
     fuzzy = dedup.fuzzy_dedup_greedy(pruned, g, params.fuzzy_threshold, [F.col("l1_rank")], content="_empty", rank_col="rank")
@@ -175,6 +179,7 @@ def run_digest(
     # at most candidate_limit rows per group: materialise once (reliable checkpoint), so the
     # size checks of the broadcast lookups below read this small set, not the whole lineage
     cands = materialize(cands)
+    kept.unpersist()
     # every later small set (selection, enrichment, rows to store) is a subset of the
     # candidates: one count bounds them all
     small = cands.count() <= min(model.MAX_LOOKUP_KEYS, store.MAX_BROADCAST_NEW_ROWS)
@@ -233,4 +238,4 @@ def run_digest(
     )
     # one digest's items (selected + pending): the pending ones grow with the stored table
     items = keyed.select(*g, "id", *[F.col("_v")[c].alias(c) for c in digest.ITEM_FIELDS if c not in g], "_p")
-    return DigestRun(new, uniq, pruned, fuzzy, cands, blended, enriched, stored_next, items, counts, dd_text, tuple(g))
+    return DigestRun(new, uniq, pruned, fuzzy, cands, blended, enriched, stored_next, items, counts, dd_text, tuple(g), new_rows)

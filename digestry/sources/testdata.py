@@ -340,16 +340,16 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delivery channels: every page as a webhook (its url) and as a chat hook
-    (its first link, often relative); the ad block's text is a third, unset hook."""
+    """Delivery channels: every page as a webhook (its url), each of its links as a
+    chat hook (often relative), and one unset hook."""
     p = table(spark, sf_dir, "pages")
-    first_href = F.regexp_extract(F.col("html"), r'href="([^"]*)"', 1)
-    return p.select(F.posexplode(F.array(
-        F.struct(F.lit("webhook").alias("type"), F.col("url").alias("webhook_url")),
-        F.struct(F.lit("slack").alias("type"), first_href.alias("webhook_url")),
-        F.struct(F.lit("webhook").alias("type"), F.lit(None).cast("string").alias("webhook_url")),
-    )).alias("_k", "_c"), "page_id").select(
-        (F.col("page_id") * 3 + F.col("_k")).cast("bigint").alias("idx"), "_c.type", "_c.webhook_url")
+    hook = lambda kind, url: F.struct(F.lit(kind).alias("type"), url.alias("webhook_url"))
+    links = F.transform(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1), lambda u: hook("slack", u))
+    hooks = F.concat(F.array(hook("webhook", F.col("url"))), F.coalesce(links, F.array().cast("array<struct<type:string,webhook_url:string>>")),
+                     F.array(hook("webhook", F.lit(None).cast("string"))))
+    ex = p.select("page_id", F.posexplode(hooks).alias("_k", "_c"))
+    room = ex.agg(F.coalesce(F.max("_k") + 1, F.lit(1))).first()[0]
+    return ex.select((F.col("page_id") * F.lit(room) + F.col("_k")).cast("bigint").alias("idx"), "_c.type", "_c.webhook_url")
 
 
 def href_registry(spark: SparkSession, sf_dir: str) -> DataFrame:

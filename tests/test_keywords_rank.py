@@ -72,3 +72,13 @@ def test_top_k_grouped_and_stable(spark):
     df = spark.createDataFrame([("g", 1, 5.0), ("g", 2, 5.0), ("g", 3, 9.0), ("h", 4, 1.0)], "g string, ord int, s double")
     out = rank.top_k(df, 2, [F.col("s").desc(), F.col("ord")], ["g"], "rank").orderBy("g", "rank").collect()
     assert [(r["g"], r["ord"]) for r in out] == [("g", 3), ("g", 1), ("h", 4)]
+
+
+def test_repeated_keywords_give_one_result_for_any_size(spark):
+    words = spark.createDataFrame([("agi", 5.0), ("agi", 5.0), ("here", 1.0), ("here", 0.5), ("", 2.0), ("", 2.0)], "keyword string, weight double")
+    df = spark.createDataFrame([(1, "AGI", "is here"), (2, "none", None)], "ord long, title string, content string")
+    for limit in (512, 1):
+        got = {r["ord"]: r["positive"] for r in keywords.layer1_scores(df, words, {}, inline_limit=limit).collect()}
+        assert got == {1: 8.0, 2: 2.0}
+        hits = keywords.keyword_hits(df, words.where("keyword <> ''"), ["ord"], inline_limit=limit).collect()
+        assert sorted(map(tuple, hits)) == [(1, "agi", 5.0), (1, "here", 1.0)]
