@@ -369,7 +369,14 @@ class BucketedTable:
 
     def upsert(self, new: DataFrame, order_col: str = "pos", extra_cols=()) -> int:
         """K1 on the buckets of the run's keys; ``new`` should be a written or checkpointed table."""
-        return self.change(new, lambda rows: upsert(rows, new, order_col, extra_cols, self.keys))
+
+        def merged(rows: DataFrame) -> DataFrame:
+            for c in (*self.keys, *extra_cols):  # a table without rows has no columns of its own yet
+                if c not in rows.columns:
+                    rows = rows.withColumn(c, F.lit(None).cast(new.schema[c].dataType))
+            return upsert(rows, new, order_col, extra_cols, self.keys)
+
+        return self.change(new, merged)
 
     def mark_delivered(self, delivered: DataFrame) -> int:
         """K2 on the buckets of the delivered keys."""
