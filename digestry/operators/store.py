@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from digestry.functions import dates as D
 from digestry.functions import text as T
-from digestry.session import checked_broadcast
+from digestry.session import checked_broadcast, materialize
 
 # Stored-article schema; columns added later get defaults on read (K7).
 ARTICLE_SCHEMA = StructType([
@@ -227,6 +227,27 @@ def cooldown_filter(sources: DataFrame, health: DataFrame, as_of, minutes: float
     return j.where(F.col("_last").isNull() | (age >= F.lit(float(minutes)))).drop("_src", "_last")
 
 
+def write_payloads(payloads: DataFrame, path: str) -> str:
+    """The raw payload table with a folder per ``source_id``."""
+    payloads.write.mode("append").partitionBy("source_id").parquet(path)
+    return path
+
+
+def active_payloads(payloads: DataFrame, sources: DataFrame, health: DataFrame, as_of, minutes: float, force: bool = False) -> DataFrame:
+    """F1 at the scan: the payloads of sources that aren't cooling down.
+
+    ``payloads`` is read from ``write_payloads``' folders.  The ages of all sources' checks are written first, one row each;
+    those that are old enough, broadcast if a check finds them few, are then a dynamic partition filter: the files of
+    a cooled source aren't read."""
+    if force:
+        return payloads
+    latest = latest_per_source(health).select(F.col("source").alias("id"), F.col("last_check").alias("_last"))
+    age = F.coalesce(D.minutes_between(D.as_of_literal(as_of), F.col("_last")), F.lit(float("inf")))
+    ages = materialize(sources.select("id").distinct().join(latest, "id", "left").select(F.col("id").alias("source_id"), age.alias("_age")))
+    active = ages.where(F.col("_age") >= F.lit(float(minutes))).select("source_id")
+    return payloads.join(checked_broadcast(active, MAX_BROADCAST_NEW_ROWS), "source_id", "left_semi")
+
+
 def health_records(items: DataFrame, envelopes: DataFrame | None = None) -> DataFrame:
     """M5: items found per source with status (one row per parsed source)."""
     counts = items.groupBy("source").agg(F.count("*").cast("int").alias("items_found"))

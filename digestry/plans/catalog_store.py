@@ -199,6 +199,20 @@ def k1_later(spark: SparkSession, sf: str) -> DataFrame:
     return run.stored.select("id", "lang", F.md5(F.coalesce("content", F.lit(""))).alias("content_md5"))
 
 
+@register("f1_scan_pruning", f"""WITH {HEALTH_SQL},
+cold AS (SELECT source FROM health GROUP BY source
+  HAVING CAST(epoch_us(TIMESTAMP '{HEALTH_AS_OF}') - epoch_us(max(last_check)) AS DOUBLE) / CAST(6.0e7 AS DOUBLE) < {Q.dbl(1440.0)})
+SELECT source AS source_id, count(*) AS payloads, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents
+WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM cold) GROUP BY source""")
+def f1_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as payloads, a folder per source; only folders of sources that were not checked within a day are read."""
+    docs = TD.table(spark, sf, "documents").select(F.col("source").alias("source_id"), F.col("text").alias("payload"))
+    path = store.write_payloads(docs, _scratch(spark, "payloads"))
+    sources = docs.select(F.col("source_id").alias("id")).where("id IS NOT NULL")
+    kept = store.active_payloads(spark.read.parquet(path), sources, TD.health_log(spark, sf), HEALTH_AS_OF, 1440.0)
+    return kept.groupBy("source_id").agg(F.count("*").alias("payloads"), F.sum(F.length("payload")).alias("characters"))
+
+
 # --------------------------------------------------------------------------------- M5, K3
 
 

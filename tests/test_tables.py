@@ -82,3 +82,21 @@ def test_documents_as_files(spark, tmp_path):
     assert sum(f.startswith("part-") for _, _, names in os.walk(path) for f in names) == 4
     one = digest.write_documents(docs.limit(1).select("json"), str(tmp_path / "one"))
     assert digest.read_documents(spark, one).count() == 1
+
+
+def test_a_cooled_source_is_not_scanned(spark, tmp_path):
+    payloads = spark.createDataFrame([(s, i, "x" * 10) for s in ("cold", "old", "never") for i in range(20)], "source_id string, page int, payload string")
+    path = store.write_payloads(payloads, str(tmp_path / "p"))
+    health = spark.createDataFrame([("cold", 1, "2024-01-10 07:59:00"), ("cold", 0, "2023-01-01"), ("old", 2, "2024-01-10 07:00:00")], "source string, id int, at string")
+    health = health.selectExpr("source", "id", "CAST(at AS timestamp) AS last_check")
+    sources = payloads.selectExpr("source_id AS id")
+    whole = spark.read.parquet(path)
+    kept = store.active_payloads(whole, sources, health, "2024-01-10 08:00:00", 5.0)
+    assert {r[0] for r in kept.select("source_id").distinct().collect()} == {"old", "never"}
+    assert "dynamicpruning" in kept._jdf.queryExecution().executedPlan().toString()
+    for file in (tmp_path / "p" / "source_id=cold").glob("part-*"):
+        file.write_bytes(b"not parquet")  # reading it would fail
+    assert kept.count() == 40
+    forced = store.active_payloads(whole, sources, health, "2024-01-10 08:00:00", 5.0, force=True)
+    with pytest.raises(Exception):
+        forced.count()
