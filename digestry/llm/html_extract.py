@@ -6,7 +6,7 @@ its path and of its hashed words; the blocks labelled main text are joined by ne
 
 The labeller is trained here, on the driver, from ``LAYOUTS`` drawn layouts with exact labels, whose words come from
 a bounded sample of the pages, and from those ``SAMPLE_PAGES`` sampled pages themselves wherever the markup says what a block is
-(inside article or main; inside nav, footer, aside or form).  The sample is the pages with the
+(inside article or main, but not in what is named as comments, notices or adverts; inside nav, footer, aside or form).  The sample is the pages with the
 smallest hashes of id and html, none over ``SAMPLE_CHARS``.  Seeds are fixed, so the same table gives the same labeller.
 
 Defined results: a null, empty or text-free page has empty text and n_chars 0; nothing of a page is cut or capped,
@@ -26,7 +26,7 @@ from digestry.llm.page_layouts import Layouts
 
 QUERIES, ORACLE, register = registry()
 
-LAYOUTS = 900
+LAYOUTS = 1200
 SAMPLE_PAGES = 150
 SAMPLE_CHARS = 100_000
 SAMPLE_WORDS = 20_000
@@ -34,6 +34,9 @@ SEED = 11
 EPOCHS = 7
 INSIDE = {"article", "main"}
 OUTSIDE = {"nav", "footer", "aside", "form", "button", "select"}
+#: Class and id words of what may stand inside an article without being its text.
+APART = {f".{w}" for w in ("ad ads advert advertisement alert banner comment commentlist comments consent cookie discussion disqus gdpr modal newsletter notice "
+                           "paywall popup promo related replies reply respond responses share sidebar social sponsored subscribe tags widget").split()}
 
 Features = list[tuple[list[int], list[int]]]
 
@@ -53,7 +56,12 @@ def _drawn(layouts: Layouts) -> tuple[Features, list[int]]:
 
 
 def _told_by_markup(page: list[Block]) -> list[int]:
-    return [0 if OUTSIDE & set(b.path) else 1 if INSIDE & set(b.path) else -1 for b in page]
+    def label(path: set) -> int:
+        if OUTSIDE & path:
+            return 0
+        return 1 if INSIDE & path and not APART & path else -1
+
+    return [label(set(b.path)) for b in page]
 
 
 def sample_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> list[str]:

@@ -46,6 +46,11 @@ NAMED = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"(
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: What a block's path tells of the elements around it: the outermost and the innermost ones, and of each the first words of its class,
+#: id and role.  It is a feature of the labeller, bounded so that deep pages take linear time and memory; texts are never cut.
+OUTER, INNER, NAMES = 8, 24, 24
+
+
 class Block(NamedTuple):
     path: tuple[str, ...]  # tokens of the open elements, innermost last
     text: str
@@ -61,7 +66,7 @@ def descriptor(tag: str, attributes: str) -> tuple[str, ...]:
                 out += ["." + p.lower() for p in PART.findall(value)]
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 out.append(".hidden")
-    return tuple(out)
+    return tuple(out[: 1 + NAMES])
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -72,6 +77,7 @@ def blocks(page: str | None) -> list[Block]:
     linked = total = 0  # characters inside links, and all, of the block
     in_link = False
     hidden = head = -1  # height of the stack below the outermost hidden element, and at the start of the open head
+    heights: dict[str, list[int]] = {}  # height of the stack below each of its elements
     inline: dict[str, list[int]] = {}  # height of the stack at each start tag of other elements
 
     def text(raw: str) -> None:
@@ -93,7 +99,9 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             joined = " ".join(html.unescape("".join(parts)).split())
             if joined:
-                path = [t for _, d, _ in (stack if hidden < 0 else stack[:hidden]) for t in d]
+                height = len(stack) if hidden < 0 else hidden
+                around = stack[:height] if height <= OUTER + INNER else stack[:OUTER] + stack[height - INNER : height]
+                path = [t for _, d, _ in around for t in d]
                 out.append(Block((*path, "a") if 2 * linked > total else tuple(path), joined))
             parts.clear()
         linked = total = 0
@@ -103,6 +111,8 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal hidden
         if height != hidden and (hidden < 0 or height < hidden):
             flush()
+        for gone, _, _ in stack[height:]:
+            heights[gone].pop()
         del stack[height:]
         if height <= hidden:
             hidden = -1
@@ -129,15 +139,14 @@ def blocks(page: str | None) -> list[Block]:
         in_svg = bool(stack) and stack[-1][0] == "svg"
         if closing:
             if tag in BLOCKS or tag in HIDDEN or tag in SVG_HTML:
-                height = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-                if height >= 0:
-                    leave(height)
+                if heights.get(tag):
+                    leave(heights[tag][-1])
                 elif tag in BLOCKS and hidden < 0:
                     flush()
                 continue
-            heights = inline.get(tag)
-            while heights:
-                height = heights.pop()
+            below = inline.get(tag)
+            while below:
+                height = below.pop()
                 if height <= len(stack):
                     if height == hidden:
                         leave(height)
@@ -150,6 +159,7 @@ def blocks(page: str | None) -> list[Block]:
                 following = LEFT_OPEN[tag].search(page, at) if tag in LEFT_OPEN else None
                 if hidden < 0:
                     hidden = len(stack)
+                heights.setdefault(tag, []).append(len(stack))
                 stack.append((tag, (), tag in LEFT_OPEN and not (following and following[1])))
         elif in_svg:
             continue
@@ -174,6 +184,7 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 leave(k)
             if tag not in VOID:
+                heights.setdefault(tag, []).append(len(stack))
                 stack.append((tag, descriptor(tag, attributes), False))
         elif tag not in VOID:
             inline.setdefault(tag, []).append(len(stack))

@@ -31,6 +31,12 @@ PHRASES = {
 }
 
 
+#: Share of pages without any furniture of their own making.
+PLAIN = 0.4
+#: Share of texts with made-up words among those of the sample.
+STRANGE = 0.3
+
+
 def _end(start: str) -> str:
     return "".join(f"</{t.split('>')[0].split()[0]}>" for t in reversed(start.split("<")[1:]))
 
@@ -42,8 +48,13 @@ class Layouts:
         self.words, self.pick = words or ["word"], random.Random(seed)
 
     def text(self, low: int, high: int) -> str:
-        n = self.pick.randint(low, high)
-        return " ".join(self.pick.choice(self.words) for _ in range(n))
+        """Words of the sample; in a share of the texts every other one is made up, as pages have words that no sample holds."""
+        p = self.pick
+        n, strange = p.randint(low, high), p.random() < STRANGE
+        return " ".join(self.unheard() if strange and p.random() < 0.5 else p.choice(self.words) for _ in range(n))
+
+    def unheard(self) -> str:
+        return "".join(self.pick.choices("aeiounrstldmhcgbp", k=self.pick.randint(2, 9))) + self.pick.choice(["", "", "", "", ",", "."])
 
     def mark(self, label: int, text: str) -> str:
         return f"x{label}q {text}"
@@ -135,8 +146,47 @@ class Layouts:
             body += self.some(0.04, self.ad) + self.some(0.03, self.side) + self.some(0.02, self.notice) + self.some(0.01, self.form)
         return self.around(CONTENT, title * (p.random() < 0.85) + body)
 
+    def line_of_links(self) -> str:
+        p = self.pick
+        links = [f'<a href="/x">{self.text(1, 3)}</a>' for _ in range(p.randint(1, 8))]
+        return f'<a href="/w">{self.mark(0, self.text(1, 2))}</a>' + "".join(p.choice([" | ", " ", "<br>", " - ", "<br>\n"]) + x for x in links)
+
+    def plain_text(self) -> str:
+        """The article as early and hand-made pages have it: without heading, class or section."""
+        p, roll = self.pick, self.pick.random()
+        lengths = p.choice([(1, 6), (5, 25), (10, 60), (40, 140)])
+        n = p.choice([1, 1, 2, 3, 4, 6])
+        if roll < 0.25:
+            return self.mark(1, p.choice(["<br><br>", "<br>", "<br/><br/>\n"]).join(self.text(*lengths) for _ in range(n)))
+        tag = "p" if roll < 0.75 else p.choice(["div", "td", "center", "li", "pre", "p"])
+        if tag == "td":
+            return "<table>" + "".join(f"<tr><td>{self.mark(1, self.text(*lengths))}</td></tr>" for _ in range(n)) + "</table>"
+        return "".join(f"<{tag}>{self.mark(1, self.text(*lengths))}</{tag}>" for _ in range(n))
+
+    def plain_page(self) -> str:
+        p = self.pick
+        title = p.choice([f"<h1>{self.mark(1, self.text(1, 8))}</h1>", f"<h2>{self.mark(1, self.text(1, 8))}</h2>", f"<p><b>{self.mark(1, self.text(1, 8))}</b></p>"]) * (p.random() < 0.3)
+        article = title + self.plain_text() + (f"<p>{self.mark(1, self.text(5, 50))}</p>" + self.plain_text()) * (p.random() < 0.2)
+        menu = self.line_of_links() if p.random() < 0.7 else self.links(2, 6)
+        end = p.choice(["<p>", "<div>", "<center>", "<address>", "<small>", "<p><small>", '<p align="center">'])
+        last = "<hr>" * (p.random() < 0.6) + end + self.mark(0, p.choice(PHRASES["footer"]) + (" " + self.text(1, 5)) * (p.random() < 0.5)) + _end(end)
+        if p.random() < 0.3:
+            cells = [f"<td>{menu}</td>", f"<td>{article}</td>"]
+            if p.random() < 0.2:
+                cells.reverse()
+            row = "<tr>" + "".join(cells) + "</tr>" if p.random() < 0.7 else f"<tr>{cells[0]}</tr><tr>{cells[1]}</tr>"
+            body = f"<table>{row}" + (f"<tr><td>{last}</td></tr></table>" if p.random() < 0.3 else "</table>" + last * (p.random() < 0.4))
+        else:
+            bar = p.choice(["<p>", "<div>", "<center>"])
+            if p.random() < 0.5:
+                article = self.around(p.choice([WRAPS, ["<div>"], ["<div><div>"], ["<section>"], ["<center>"]]), article)
+            body = (bar + menu + _end(bar) + "<hr>" * (p.random() < 0.3)) * (p.random() < 0.3) + article + last * (p.random() < 0.4)
+        return f"<html><body>{body}</body></html>"
+
     def page(self) -> str:
         p = self.pick
+        if p.random() < PLAIN:
+            return self.plain_page()
         parts = [self.some(0.25, self.notice), self.some(0.4, self.header), self.some(0.8, self.nav), self.some(0.2, self.side), self.some(0.5, self.ad)]
         if p.random() < 0.3:
             p.shuffle(parts)

@@ -105,3 +105,57 @@ def test_hidden_elements_and_formulas():
     assert texts("<p>a <svg><title>no</title><foreignObject><p>no</p></foreignObject><svg>no</svg>no</svg> b</p>c") == ["a b", "c"]
     assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p>") == ["if x=1 then"]
     assert texts("a<script>x") == texts("a<title>x<p>y") == texts("a<iframe><p>x") == ["a"]
+
+
+SENTENCES = ["The river rose quickly after the storm and several roads were closed.", "Officials said on Monday that repairs would take at least two weeks to finish.",
+             "Residents were asked to avoid the bridge until an inspection is complete."]
+THREE = "".join(f"<p>{s}</p>" for s in SENTENCES)
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<body><div>{THREE}</div>", SENTENCES),
+    (f"<html><body>{THREE}</body></html>", SENTENCES),
+    ("<html><body>" + "<br><br>".join(SENTENCES) + "</body></html>", [" ".join(SENTENCES)]),
+    (f"<html><body><table><tr><td><a href=/>Home</a> <a href=/a>About</a></td><td>{THREE}</td></tr></table></body></html>", SENTENCES),
+    (f"<html><body><h1>Flood</h1>{THREE}<hr><p>Copyright 2020 Some Paper</p></body></html>", ["Flood", *SENTENCES]),
+    ("<body><div>" + "".join(f"<div>{s}</div>" for s in SENTENCES) + "</div></body>", SENTENCES),
+    (f"<body><p><a href=a>Home</a> | <a href=b>News</a> | <a href=c>Contact</a></p><hr>{THREE}<hr><address>Contact: web@example.org</address>", SENTENCES),
+    (f'<body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><main><h2>Flood</h2>{THREE}<section class="comments"><h3>Comments</h3>'
+     "<p>I agree with all of this</p></section></main><footer>&copy; 2020</footer>", ["Flood", *SENTENCES]),
+    (f"<body><h2>Flood</h2><p>{SENTENCES[0]}</p><ul><li>{SENTENCES[1]}</li><li>{SENTENCES[2]}</li></ul></body>", ["Flood", *SENTENCES]),
+])
+def test_pages_written_by_hand(page, want):
+    assert html_extract.main_texts(by_hand(), [page])[0].split("\n") == want
+
+
+def by_hand():
+    """A labeller from the pages of the smallest tables, trained once."""
+    if not _TRAINED:
+        import pyarrow.parquet as pq
+
+        _TRAINED.append(html_extract.train_labeller(pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()))
+    return _TRAINED[0]
+
+
+_TRAINED: list = []
+
+
+def test_comments_inside_an_article_have_no_label_from_the_markup():
+    page = page_blocks.blocks('<article><p>a</p><div class="comments"><p>b</p></div><aside>c</aside></article><div id="x"><p>d</p></div><main><div class="ad">e</div></main>')
+    assert html_extract._told_by_markup(page) == [1, -1, 0, -1, -1]
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 200_000, "</p>" * 250_000, "<div class='" + "ab " * 60_000 + "'>" + "<p>x" * 20_000, "<div>" * 100_000 + "</p></li></td>" * 60_000])
+def test_deep_pages_take_linear_time(page):
+    import time
+    import tracemalloc
+
+    start = time.process_time()
+    found = page_blocks.blocks(page)
+    assert time.process_time() - start < 20
+    assert sum(b.text.count("x") for b in found) == page.count("x") and max([len(b.path) for b in found], default=0) <= 32 * 25
+    if page.startswith("<div>x"):
+        tracemalloc.start()
+        page_blocks.blocks(page[: 6 * 20_000])
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+        tracemalloc.stop()
