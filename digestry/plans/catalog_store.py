@@ -350,14 +350,7 @@ SELECT a.lang, count(*) AS raw,
   (SELECT count(*) FROM sel s WHERE s.lang = a.lang) AS selected
 FROM articles a GROUP BY a.lang""")
 def m10(spark: SparkSession, sf: str) -> DataFrame:
-    run = catalog.q0_run(spark, sf, finish=False)
-    arts = TD.articles(spark, sf)
-    stages = {"new_items": run.new_items, "unique_items": run.unique, "pruned": run.pruned, "fuzzy_kept": run.fuzzy,
-              "candidates": run.candidates, "selected": run.selected}
-    out = arts.groupBy("lang").agg(F.count("*").alias("raw"))
-    for name, df in stages.items():
-        out = out.join(df.groupBy("lang").agg(F.count("*").alias(name)), "lang", "left")
-    return out.select("lang", "raw", *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in stages])
+    return catalog.q0_run(spark, sf, finish=False).funnel(TD.articles(spark, sf))
 
 
 # --------------------------------------------------------------------------------- B1-B4, B7, J3, F11

@@ -53,6 +53,23 @@ class DigestRun:
     def placed(self) -> DataFrame:
         return rank.numbered(self.unplaced, self.group_cols, ["_p"])
 
+    def funnel(self, raw: DataFrame) -> DataFrame:
+        """Per group the rows that reach each stage.
+
+        The first two stages are counted by the job that finds the survivors, the others on written rows, at most
+        prune_k per group; of ``raw``, the run's articles, only the group columns are read."""
+        g = list(self.group_cols)
+        keys = g or ["_all"]  # one digest: one group
+
+        def grouped(rows: DataFrame) -> DataFrame:
+            return rows if g else rows.withColumn("_all", F.lit(1))
+
+        out = digest.stage_funnel(grouped(raw), [], keys).join(grouped(self.counts).withColumnRenamed("total_new_items", "new_items"), keys, "left")
+        for name, rows in (("pruned", self.pruned), ("fuzzy_kept", self.fuzzy), ("candidates", self.candidates), ("selected", self.selected)):
+            out = out.join(grouped(rows).groupBy(*keys).agg(F.count("*").alias(name)), keys, "left")
+        stages = ["new_items", "unique_items", "pruned", "fuzzy_kept", "candidates", "selected"]
+        return out.select(*g, "raw", *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in stages])
+
     @property
     def delivered_items(self) -> DataFrame:
         """U2 result, with pos."""
@@ -165,10 +182,12 @@ def run_digest(
     # the narrow survivors are read twice, for the counts and for the cut: keep them until both are written
     uniq = uniq.persist()
     # M6 from the cluster sizes: no second pass over the input
-    counts = materialize(uniq.groupBy(*g).agg(F.sum("_n_raw").alias("total_new_items")))
+    counts = materialize(uniq.groupBy(*g).agg(F.sum("_n_raw").alias("total_new_items"), F.count("*").alias("unique_items")))
     kept = uniq
     uniq = uniq.drop("_n_raw")
-    pruned = rank.top_k(uniq, params.prune_k, [F.col("layer1").desc(), F.col("ord")], g, "l1_rank")
+    # at most prune_k narrow rows per group; all later stages, and the funnel's counts, read these
+    pruned = materialize(rank.top_k(uniq, params.prune_k, [F.col("layer1").desc(), F.col("ord")], g, "l1_rank"))
+    kept.unpersist()
     fuzzy = dedup.fuzzy_dedup_greedy(pruned, g, params.fuzzy_threshold, [F.col("l1_rank")], content="_empty", rank_col="rank")
     if pos_items is not None:  # indices into the inlined dictionary; else the keywords themselves
         kw_arr = F.array(*[F.lit(k) for k in kw_list]) if kw_list else F.array().cast("array<string>")
@@ -179,7 +198,6 @@ def run_digest(
     # at most candidate_limit rows per group: materialise once (reliable checkpoint), so the
     # size checks of the broadcast lookups below read this small set, not the whole lineage
     cands = materialize(cands)
-    kept.unpersist()
     # every later small set (selection, enrichment, rows to store) is a subset of the
     # candidates: one count bounds them all
     small = cands.count() <= min(model.MAX_LOOKUP_KEYS, store.MAX_BROADCAST_NEW_ROWS)

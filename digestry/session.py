@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # JSON with a repeated key keeps the last value, as in the reference's parser.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

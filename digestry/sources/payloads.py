@@ -237,17 +237,16 @@ def parse_json(payloads: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     A6: the list is the payload itself when it is an array, else
     ``payload[mapping.items or 'items']``; per-field paths come from the
     mapping with defaults title/url/content/date; a payload whose list is not
-    an array is ok with no items.  A7: ``data.children[].data``.
+    an array is ok with no items.  A payload is parsed once, into a variant; one that
+    a variant can't hold gives an error envelope.  A7: ``data.children[].data``.
     """
     has_map = F.col("mapping").isNotNull()
     is_reddit = F.col("source").startswith("reddit")
-    p = payloads.withColumn("_trim", F.ltrim(F.col("payload")))
-    # the JSON path comes from each row's mapping (SQL accepts a column path)
-    list_text = F.when(F.col("_trim").startswith("["), F.col("payload")).otherwise(
-        F.expr("get_json_object(payload, concat('$.', coalesce(mapping['items'], 'items')))")
-    )
-    p = p.withColumn("_list", F.when(has_map, F.from_json(list_text, "array<string>")))
-    p = p.withColumn("_valid", F.when(has_map, F.from_json(F.col("payload"), "map<string,string>").isNotNull() | F.from_json(F.col("payload"), "array<string>").isNotNull()))
+    first = F.substring(F.ltrim(F.col("payload")), 1, 1)
+    # one parse per mapped payload; the paths inside it come from each row's mapping
+    p = payloads.withColumn("_json", F.when(has_map & first.isin("{", "["), F.try_parse_json("payload")))
+    items_path = F.when(first == "[", F.lit("$")).otherwise(F.concat(F.lit("$."), F.coalesce(F.col("mapping")["items"], F.lit("items"))))
+    p = p.withColumn("_list", F.try_variant_get("_json", items_path, "array<variant>")).withColumn("_valid", F.col("_json").isNotNull())
     p = p.withColumn("_reddit", F.when(~has_map & is_reddit, F.from_json("payload", REDDIT_SCHEMA)))
     ok = (has_map & F.col("_valid")) | (~has_map & is_reddit & F.col("_reddit.data.children").isNotNull())
     err = F.when(~has_map & ~is_reddit, F.lit(MSG_UNSUPPORTED_JSON)).otherwise(F.lit(MSG_PARSE_FAILED))
@@ -255,10 +254,10 @@ def parse_json(payloads: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
 
     def mapped(x):
         def get(key, default):
-            return F.expr(f"get_json_object(_x, concat('$.', coalesce(mapping['{key}'], '{default}')))")
+            return F.try_variant_get(x, F.concat(F.lit("$."), F.coalesce(F.col("mapping")[key], F.lit(default))), "string")
 
         return {
-            "id": T.falsy_or(F.get_json_object(x, "$.id"),
+            "id": T.falsy_or(F.try_variant_get(x, F.lit("$.id"), "string"),
                              F.concat(F.lit("json-"), F.col("source"), F.lit("-"), F.col("item_pos").cast("string"))),
             "title": T.falsy_or(get("title", "title"), F.lit(T.NO_TITLE)),
             "url": T.falsy_or(get("url", "url"), F.col("source_url")),

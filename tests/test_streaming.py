@@ -74,7 +74,7 @@ class Stopped(Exception):
     pass
 
 
-@pytest.mark.parametrize(("step", "when"), [("drained", "before"), ("stored", "before"), ("ended", "before")])
+@pytest.mark.parametrize(("step", "when"), [("drained", "before"), ("stored", "before")])
 def test_a_stopped_run_is_completed_by_the_next(spark, tmp_path, monkeypatch, step, when):
     src, articles, state, health = (str(tmp_path / x) for x in ("in", "articles", "state", "health"))
     schema, params = items(spark, 0, 1).schema, DigestParams(cooldown_minutes=5.0)

@@ -100,3 +100,15 @@ def test_a_cooled_source_is_not_scanned(spark, tmp_path):
     forced = store.active_payloads(whole, sources, health, "2024-01-10 08:00:00", 5.0, force=True)
     with pytest.raises(Exception):
         forced.count()
+
+
+def test_funnel_of_one_digest(spark):
+    from digestry.params import DigestParams
+    from digestry.plans.signal_digest import run_digest
+
+    rows = [(str(i), f"kilo {'abcdefghij'[i] * 9}", f"https://u.example/{i % 4}", "s", "lima" if i else "", None, i) for i in range(6)]
+    articles = spark.createDataFrame(rows, "id string, title string, url string, source string, content string, published_at string, ord long")
+    run = run_digest(articles, {"kilo": 70, "aaa": 10}, {}, DigestParams(max_items=1, enable_model_scoring=False), "2024-01-10 08:00:00", finish=False)
+    row = run.funnel(articles).first().asDict()
+    assert (row["raw"], row["new_items"], row["unique_items"], row["pruned"], row["selected"]) == (6, 6, 4, 4, 1)
+    assert row["fuzzy_kept"] == run.fuzzy.count() and row["candidates"] == run.candidates.count()
