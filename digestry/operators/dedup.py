@@ -253,10 +253,16 @@ def _rep_pairs(reps: DataFrame, group_cols, threshold: float, keep_dice: bool =
         ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= F.col("nb") * F.lit(lo) - F.lit(1e-9))
         & (both - apart >= F.lit(t) * both - F.lit(1e-9)))
     cand = met.select(*g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return verified(cand, reps, g, t, keep_dice)
+
+
+def verified(cand: DataFrame, reps: DataFrame, group_cols, threshold: float, keep_dice: bool = False) -> DataFrame:
+    """The candidate pairs (group, a, b) whose titles reach the Dice coefficient."""
+    g = list(group_cols)
     ra = reps.select(*g, F.col("_rep").alias("a"), F.col("_norm").alias("na_t"), F.col("_grams").alias("ga"))
     rb = reps.select(*g, F.col("_rep").alias("b"), F.col("_norm").alias("nb_t"), F.col("_grams").alias("gb"))
     ver = cand.join(ra, [*g, "a"]).join(rb, [*g, "b"])
-    ver = ver.withColumn("dice", T.dice("na_t", "nb_t", "ga", "gb")).where(F.col("dice") >= F.lit(t).cast("double"))
+    ver = ver.withColumn("dice", T.dice("na_t", "nb_t", "ga", "gb")).where(F.col("dice") >= F.lit(float(threshold)).cast("double"))
     # titles without bigrams are similar only to equal ones, which are one representative
     return ver.select(*g, "a", "b", "na_t", "nb_t", "dice") if keep_dice else ver.select(*g, "a", "b")
 
@@ -287,6 +293,7 @@ def fuzzy_dedup_scale(
     title: str = "title",
     content: str = "content",
     ord_col: str = "ord",
+    find_pairs=_rep_pairs,
 ) -> DataFrame:
     """Greedy leader clustering without a bound on group size.
 
@@ -295,11 +302,12 @@ def fuzzy_dedup_scale(
     its earliest similar leader; the survivor of a cluster is its first row with
     content, else its first row (M8), at the leader's position.  Only keys and
     positions take part; the rows of ``df`` meet their leader by ``ord_col``.
+    ``find_pairs`` finds the similar titles: all of them, or those of ``minhash.rep_pairs``.
     """
     g = list(group_cols)
     members, reps = _norm_table(df, group_cols, title, ord_col)
     reps = materialize(reps)
-    pairs = materialize(_rep_pairs(reps, group_cols, threshold))
+    pairs = materialize(find_pairs(reps, group_cols, threshold))
     absorbed = absorbed_titles(pairs, g)
     as_a = absorbed.select(*g, F.col("b").alias("a"))
     # earliest similar leader of every absorbed title; all others lead themselves

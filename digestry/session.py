@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -128,3 +129,14 @@ def materialize(df: DataFrame) -> DataFrame:
     finally:
         df.unpersist()
     return out
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet into the checkpoint folder and read back.
+
+    For loops that join a table with itself round after round: a checkpoint keeps the size estimated for its plan, and
+    estimates of joins multiply, so after a dozen rounds planning alone takes minutes; a table has the size of its files.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
