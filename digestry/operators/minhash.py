@@ -27,9 +27,11 @@ def band_keys(reps: DataFrame, group_cols=(), bands: int = BANDS, rows: int = RO
     g = list(group_cols)
     hashed = F.transform("_grams", lambda x: F.xxhash64(x))
 
+    def least(number):
+        return F.array_min(F.transform("_hashed", lambda x: F.xxhash64(x, number)))
+
     def key(band):
-        least = [F.array_min(F.transform("_hashed", lambda x, r=r: F.xxhash64(x, band * rows + r))) for r in range(rows)]
-        return F.xxhash64(*g, band, *least)
+        return F.xxhash64(*g, band, *[least(band * rows + r) for r in range(rows)])
 
     titles = spread(reps.where(F.size("_grams") > 0).select(*g, "_rep", hashed.alias("_hashed")))
     return titles.select(*g, "_rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("_key"))

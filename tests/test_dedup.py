@@ -216,3 +216,24 @@ def test_absorbed_titles_in_a_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long")
     assert sorted(r["b"] for r in dedup.absorbed_titles(pairs).collect()) == [1, 3, 5]
     assert dedup.absorbed_titles(pairs.limit(0)).count() == 0
+
+
+def test_minhash_finds_most_similar_pairs_and_no_others(spark):
+    from digestry.operators import minhash
+
+    pick, words = random.Random(11), [f"{a}{b}{c}" for a in ("ka", "mo", "ri", "tu") for b in ("len", "dor", "vis") for c in ("a", "ex", "ium")]
+    rows = []
+    for _ in range(60):
+        base = [pick.choice(words) for _ in range(6)]
+        for _ in range(5):
+            near = list(base)
+            near[pick.randrange(6)] = pick.choice(words)
+            rows.append(" ".join(near))
+    rows += ["", "x", "x", " "]
+    df = articles_df(spark, [(str(i), f"https://u.example/{i}", t) for i, t in enumerate(rows)])
+    exact = {(r["a_ord"], r["b_ord"]) for r in dedup.similar_pairs(df).collect()}
+    found = {(r["a_ord"], r["b_ord"]) for r in minhash.similar_pairs(df).collect()}
+    assert found <= exact and len(found) >= 0.9 * len(exact) > 300
+    assert minhash.similar_pairs(df.limit(0)).count() == 0
+    leaders = dedup.fuzzy_dedup_scale(df, find_pairs=minhash.rep_pairs).count()
+    assert dedup.fuzzy_dedup_scale(df).count() <= leaders <= 1.1 * dedup.fuzzy_dedup_scale(df).count()
