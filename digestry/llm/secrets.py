@@ -10,11 +10,13 @@ is too short still uses up its characters.  Added kinds: ``github``, ``npm``, ``
 Spans are in code points, end exclusive.
 
 Defined results: a null or empty text has no span; every row gets one result row, repeated rows too;
-whole texts are scanned, however long.
+an empty table gives an empty one; other columns are not looked at, whatever their names, and masking keeps them;
+whole texts are scanned, however long, in time in proportion to their length.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +39,9 @@ HEX_CHARS = 32
 
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")  # three of them, joined by dots, the first with more than ``eyJ``
 PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----")
+PEM_END = re.compile(r"(?=-----END ([A-Z ]{0,40}PRIVATE KEY)-----)")
 
 #: keyword in the lower-cased text -> kind
 KEYWORDS = {
@@ -75,6 +78,47 @@ def header_decodes(header: str) -> bool:
         return False
 
 
+class _Tokens:
+    """JSON web tokens of one text, asked for at rising places.  All places in one run of token characters share
+    its end and what follows, so a run is read once, however many headers begin in it."""
+
+    def __init__(self, text: str):
+        self.text, self.run_end, self.end = text, 0, None
+
+    def match(self, at: int) -> tuple[int, bool] | None:
+        text = self.text
+        if not text.startswith("eyJ", at):
+            return None
+        if at >= self.run_end:
+            self.run_end, self.end = JWT_RUN.match(text, at).end(), None
+            if text.startswith(".", self.run_end):
+                second = JWT_RUN.match(text, self.run_end + 1).end()
+                if second > self.run_end + 1 and text.startswith(".", second):
+                    self.end = JWT_RUN.match(text, second + 1).end()
+        if self.end is None or self.run_end == at + 3:
+            return None
+        return self.end, header_decodes(text[at : self.run_end])
+
+
+class _Keys:
+    """PEM blocks of one text: the end markers are looked up once, at the first header."""
+
+    def __init__(self, text: str):
+        self.text, self.ends = text, None
+
+    def match(self, at: int) -> tuple[int, bool] | None:
+        m = PEM.match(self.text, at)
+        if not m:
+            return None
+        if self.ends is None:
+            self.ends = {}
+            for end in PEM_END.finditer(self.text):
+                self.ends.setdefault(end[1], []).append(end.start())
+        places = self.ends.get(m[1], [])
+        i = bisect.bisect_left(places, m.end())
+        return (places[i] + len(f"-----END {m[1]}-----"), True) if i < len(places) else (m.end(), True)
+
+
 def _match(kind: str, text: str, at: int) -> tuple[int, bool] | None:
     """(end, whether it counts) of the match of a kind that starts at ``at``."""
     if kind == "assign":
@@ -83,18 +127,8 @@ def _match(kind: str, text: str, at: int) -> tuple[int, bool] | None:
     if kind == "access":
         m = ACCESS.match(text, at)
         return m and (m.end(), m.end() - at >= ACCESS_CHARS)
-    if kind in ("github", "npm"):
-        m = (GITHUB if kind == "github" else NPM).match(text, at)
-        return m and (m.end(), crc_holds(m[1], m[2]))
-    if kind == "jwt":
-        m = JWT.match(text, at)
-        return m and (m.end(), header_decodes(m[1]))
-    m = PEM.match(text, at)
-    if not m:
-        return None
-    foot = f"-----END {m[1]}-----"
-    end = text.find(foot, m.end())
-    return (end + len(foot), True) if end >= 0 else (m.end(), True)
+    m = (GITHUB if kind == "github" else NPM).match(text, at)
+    return m and (m.end(), crc_holds(m[1], m[2]))
 
 
 def _hex_spans(text: str, data: bytes) -> list[Span]:
@@ -124,11 +158,12 @@ def make_scanner():
         data = text.encode()
         lowered = data.lower().decode()  # A-Z only, so places stay the same
         out, used = _hex_spans(text, data), dict.fromkeys(KINDS, 0)
+        readers = {"jwt": _Tokens(text), "pem": _Keys(text)}
         for last, (length, kind) in automaton.iter(lowered):
             at = last + 1 - length
             if at < used[kind]:
                 continue
-            found = _match(kind, text, at)
+            found = readers[kind].match(at) if kind in readers else _match(kind, text, at)
             if found:
                 used[kind] = found[0]
                 if found[1]:

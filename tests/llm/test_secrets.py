@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 
 from digestry.llm import secrets
@@ -55,3 +56,44 @@ def test_mask_and_table(spark):
     assert out.columns == df.columns
     assert [(r["text"], r["n_chars"]) for r in out.collect()[:3]] == [("a [REDACTED] b", 14), ("a [REDACTED] b", 14), (None, None)]
     assert secrets.find_secrets(df.limit(0)).count() == 0
+
+
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----")
+
+
+def brute_added(text):
+    """Tokens and keys by whole patterns, tried at each place."""
+    out, at = [], 0
+    while m := JWT.search(text, at):
+        if secrets.header_decodes(m[1]):
+            out.append((m.start(), secrets.KINDS.index("jwt"), m.end()))
+        at = m.end()
+    at = 0
+    while m := PEM.search(text, at):
+        foot = f"-----END {m[1]}-----"
+        end = text.find(foot, m.end())
+        at = end + len(foot) if end >= 0 else m.end()
+        out.append((m.start(), secrets.KINDS.index("pem"), at))
+    return sorted(out)
+
+
+def test_tokens_and_keys_against_brute_force():
+    parts = ["eyJ", "eyJhbGciOiJIUzI1NiJ9", ".", "a_-", "EYJ", "eyj", " ", "é", "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----",
+             "-----END PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "END PRIVATE KEY-----", "-----", "x"]
+    pick, scan, seen = random.Random(12), secrets.make_scanner(), 0
+    for _ in range(6000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(0, 14)))
+        want = brute_added(text)
+        assert [s for s in scan(text) if s[1] in (5, 6)] == want, text
+        seen += len(want)
+    assert seen > 3000
+
+
+def test_long_texts_of_headers_alone_take_linear_time():
+    scan = secrets.make_scanner()
+    started = time.process_time()
+    assert scan("eyJ" * 400_000) == []
+    keys = "".join(f"-----BEGIN {chr(65 + i % 26)}{chr(65 + i // 26 % 26)} PRIVATE KEY-----" for i in range(20_000))
+    assert len(scan(keys)) == 20_000
+    assert time.process_time() - started < 10
