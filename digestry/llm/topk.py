@@ -8,9 +8,11 @@ query's k-th best score so far are compacted away.  Scores of the survivors are
 result is exact.  Each task returns k rows per query, merged by a ranked window.
 
 Queries are a stated set and go in rounds of ``ROUND_BYTES``, however many there are, so what a
-broadcast or a task holds is bounded; candidates are read once per round and never shuffled.
+broadcast or a task holds is bounded, and a task multiplies ``PRODUCTS`` pairs at once; candidates are read once per
+round and never shuffled.  Each round's result is written before the next one begins.
 
-Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without id;
+Defined results: vectors that are null or hold null or non-finite components (256 times the component counts)
+take no part, nor do rows without id; other columns are not looked at, whatever their names;
 vectors of different length don't meet; repeated (id, vector) rows count once as a query and each as
 a candidate; a query's own id is never its candidate.  Sums beyond 2**53 are computed with unbounded integers; a score beyond
 64 bits raises.  Empty tables give an empty result.
@@ -29,11 +31,12 @@ SCALE = 256
 DIMS = 16  # dimensions in a block
 CHUNK = 4096  # candidates in vertical layout at once
 ROUND_BYTES = 16 << 20  # integers of the queries of one round
+PRODUCTS = 4 << 20  # first products (queries x candidates) that a task holds at once
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, vector of the rows that take part."""
-    whole = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * SCALE) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"))
     return rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & whole)
 
@@ -75,9 +78,11 @@ class Queries:
                 self._merge(q, scores, ids)
             return
         columns, rest = np.ascontiguousarray(matrix.T), _rest_norms(matrix)
-        first = self.matrix[:, :DIMS] @ columns[:DIMS]
-        for q in range(len(self.ids)):
-            self._search(q, first[q], columns, rest, ids)
+        step = max(1, PRODUCTS // max(1, len(ids)))
+        for at in range(0, len(self.ids), step):
+            first = self.matrix[at : at + step, :DIMS] @ columns[:DIMS]
+            for q, partial in enumerate(first, at):
+                self._search(q, partial, columns, rest, ids)
 
     def _search(self, q: int, partial, columns, rest, ids) -> None:
         import numpy as np
@@ -139,10 +144,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     asked = written(usable(queries, id_col, vec_col).distinct())
     size = asked.agg(F.coalesce(F.sum(8 * F.size("vector") + 64), F.lit(0))).first()[0]
     rounds = -(-size // ROUND_BYTES)
-    parts = [_round(spark, candidates, asked.filter(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r), k) for r in range(rounds)]
-    found = parts[0] if parts else spark.createDataFrame([], FOUND)
-    for part in parts[1:]:
-        found = found.union(part)
+    found = spark.createDataFrame([], FOUND)
+    for r in range(rounds):
+        found = found.union(_round(spark, candidates, asked.filter(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r), k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
@@ -151,7 +155,8 @@ FOUND = "query_id long, id long, score long"
 
 
 def _round(spark: SparkSession, candidates: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """The best k per query and task of one round's queries, which are bounded by ``ROUND_BYTES``."""
+    """The best k per query and task of one round's queries, which are bounded by ``ROUND_BYTES``; written before the
+    next round's queries are read, so one round's at most are on the driver or broadcast."""
     batches = asked.toArrow().combine_chunks().to_batches()
     shared = spark.sparkContext.broadcast([x for b in batches for x in _by_length(b)])
 
@@ -173,7 +178,9 @@ def _round(spark: SparkSession, candidates: DataFrame, asked: DataFrame, k: int)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "id", "score"])
 
-    return candidates.mapInArrow(run, FOUND)
+    found = written(candidates.mapInArrow(run, FOUND))
+    shared.destroy()
+    return found
 
 
 K, EVERY = 5, 50

@@ -63,3 +63,23 @@ def test_several_rounds_and_empty_tables(spark, monkeypatch):
     assert topk.top_k(df, df.limit(0), 5).count() == 0
     assert topk.top_k(df.limit(0), df, 5).count() == 0
     assert topk.top_k(df.limit(1), df.limit(1), 5).count() == 0
+
+
+def test_slices_of_queries_give_the_same_result(monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    queries, matrix = np.floor(draw.normal(0, 80, (37, 40))), np.floor(draw.normal(0, 80, (300, 40)))
+    found = []
+    for products in (1, 300 * 5, 10**9):
+        monkeypatch.setattr(topk, "PRODUCTS", products)
+        asked = topk.Queries(np.arange(37), queries, 5)
+        asked.meet(np.arange(100, 400), matrix)
+        found.append(list(asked.rows()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 37 * 5
+
+
+def test_components_too_large_to_scale_take_no_part(spark):
+    rows = [(0, [1.0, 2.0], "x"), (1, [3.0, 1.0], "x"), (5, [1e308, 0.0], "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [tuple(r) for r in topk.top_k(df, df, 5).orderBy("query_id").collect()] == [(0, 1, 1, 5 * 65536), (1, 1, 0, 5 * 65536)]
