@@ -168,8 +168,8 @@ def fillings(left: dict[int, int], length: int, most: int, steps: int = STEPS) -
         k, room, chosen = stack.pop()
         while k < len(sizes) and sizes[k] > room:
             k += 1
-        if k < len(sizes) and sizes[k] < room and spare.get(room):
-            continue  # a length passed over before fills this room alone
+        if k < len(sizes) and sizes[k] < room and spare.get(room, 0) > dict(chosen).get(room, 0):
+            continue  # a length passed over before, of which a piece is left, fills this room alone
         if k == len(sizes):
             if undominated(chosen, room, spare):
                 found[chosen] = room

@@ -78,6 +78,11 @@ def test_search_beats_best_fit_and_nears_the_bound(n):
     assert used <= bound * 1.01 + 1
 
 
+def test_fillings_use_each_piece_once():
+    found = packing.fillings({8: 2, 6: 1, 4: 1, 2: 1}, 20, 10)
+    assert (0, ((8, 1), (6, 1), (4, 1), (2, 1))) in found and (0, ((8, 2), (4, 1))) in found
+
+
 def test_cut():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)] and packing.cut(3, 4) == [(0, 3)]
 
