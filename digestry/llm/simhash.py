@@ -7,6 +7,10 @@ verified on all 64 bits.  Of two segments that differ in one bit, the one with t
 up the other, which halves the ball: 17 look-ups per segment on average.  Texts with one fingerprint count as one
 node, so copies make no pairs.  Links are contracted to components by stars.
 
+A segment that more than a thousandth of the distinct fingerprints share is indexed once more: of the
+other segment's two halves, again one differs in at most one bit, so entries and look-ups under
+such a key also carry a half, and no task gathers the whole key.
+
 Defined results: A-Z is lower-cased; a text of fewer words than a shingle is one shingle; a null
 or empty text, or one of white space, has fingerprint zero and is linked like any other.  The
 component id is the smallest doc_id reached; null ids are passed over, and a component of rows without ids has a
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from digestry.llm.common import join_split, map_texts, read, registry, written
+from digestry.llm.common import HOT_SHARE, join_split, map_texts, read, registry, written
 from digestry.llm.components import component_roots
 
 QUERIES, ORACLE, register = registry()
@@ -27,6 +31,8 @@ SHINGLE = 3  # words
 SEED = 42
 MAX_BITS = 3
 SEGMENT = 32  # bits; two segments
+HALF = SEGMENT // 2
+CROWD = 64  # entries that a key may have in any case before its entries are indexed once more
 BLOCK = 1 << 16  # hashes whose bits are counted at once
 
 
@@ -71,8 +77,37 @@ def _key(value: Column, k: int) -> Column:
     return value.bitwiseOR(F.lit(k << SEGMENT))
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of distinct fingerprints in column fp that differ in 1 to ``MAX_BITS`` bits; a pair may come twice."""
+def _halves(fp: Column) -> tuple[Column, Column]:
+    """The two halves of the segment that column ``key`` isn't about."""
+    other = F.when(F.shiftright("key", SEGMENT) == 0, _segment(fp, 1)).otherwise(_segment(fp, 0))
+    return other.bitwiseAND(F.lit(2**HALF - 1)), F.shiftright(other, HALF)
+
+
+def _half_key(value: Column, j: int) -> Column:
+    return value.bitwiseOR(F.lit(j << HALF).cast("long"))
+
+
+def _met(probes: DataFrame, table: DataFrame, n_nodes: int) -> DataFrame:
+    """``probes`` (u, key) joined to ``table`` (v, key); under crowded keys only those that also agree by a half of the other segment."""
+    crowded = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(CROWD, n_nodes // HOT_SHARE))
+    crowded = written(crowded.select("key").coalesce(1))
+    if crowded.isEmpty():
+        return probes.join(table, "key")
+    hot = F.broadcast(crowded)  # fewer than 2 * HOT_SHARE keys: each node has two entries
+    low, high = _halves(F.col("v"))
+    entries = table.join(hot, "key").withColumn("half", F.explode(F.array(_half_key(low, 0), _half_key(high, 1))))
+
+    def ball(half: Column, j: int) -> list[Column]:
+        return [_half_key(half, j), *(_half_key(half.bitwiseXOR(F.lit(1 << b).cast("long")), j) for b in range(HALF))]
+
+    low, high = _halves(F.col("u"))
+    looked_up = probes.join(hot, "key").withColumn("half", F.explode(F.array(*ball(low, 0), *ball(high, 1))))
+    among = looked_up.join(entries, ["key", "half"]).drop("half")
+    return probes.join(hot, "key", "left_anti").join(table.join(hot, "key", "left_anti"), "key").unionByName(among)
+
+
+def links(nodes: DataFrame, n_nodes: int) -> DataFrame:
+    """Pairs (u, v) of distinct fingerprints in column fp that differ in 1 to ``MAX_BITS`` bits; a pair may come more than once."""
     table = nodes.select(F.col("fp").alias("v"), F.explode(F.array(*[_key(_segment(F.col("fp"), k), k) for k in (0, 1)])).alias("key"))
     bits = F.sequence(F.lit(0), F.lit(SEGMENT - 1))
 
@@ -86,7 +121,7 @@ def links(nodes: DataFrame) -> DataFrame:
     apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
     # equal segments meet from both sides; one side is enough
     twice = (_key(_segment(F.col("u"), 0), 0) == F.col("key")) | (_key(_segment(F.col("u"), 1), 1) == F.col("key"))
-    met = probes.join(table, "key").filter((apart <= MAX_BITS) & (F.col("u") != F.col("v")) & (~twice | (F.col("u") < F.col("v"))))
+    met = _met(probes, table, n_nodes).filter((apart <= MAX_BITS) & (F.col("u") != F.col("v")) & (~twice | (F.col("u") < F.col("v"))))
     return met.select("u", "v")
 
 
@@ -94,7 +129,7 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for a written table of doc_id and fp; the least fp of the least id's texts is in ``least_fp``."""
     nodes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
     total, n_nodes = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    roots = component_roots(links(nodes))
+    roots = component_roots(links(nodes, n_nodes))
     rooted = written(nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp")).drop("v"))
     # ids come first among the ids, then those without one
     least = F.min(F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("id"), F.col("fp").alias("fp")))

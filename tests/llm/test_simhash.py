@@ -72,12 +72,30 @@ def test_links_against_all_pairs(spark):
                 x ^= 1 << pick.randrange(64)
             nodes.add(x)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    got = simhash.links(spark.createDataFrame([(signed(x),) for x in nodes], "fp long")).collect()
+    got = simhash.links(spark.createDataFrame([(signed(x),) for x in nodes], "fp long"), len(nodes)).collect()
     want = {frozenset((signed(x), signed(y))) for x in nodes for y in nodes if 0 < (x ^ y).bit_count() <= 3}
     assert {frozenset((r["u"], r["v"])) for r in got} == want
     assert len(got) <= 2 * len(want)
 
 
+def test_crowded_segments_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    pick = random.Random(10)
+    low, high = pick.getrandbits(32), pick.getrandbits(32) | 1 << 31
+    nodes = set()
+    for _ in range(60):  # all share a segment, some of them also half of the other, or all but a bit
+        x = pick.getrandbits(32)
+        for _ in range(4):
+            near = x
+            for _ in range(pick.randint(0, 4)):
+                near ^= 1 << pick.randrange(32)
+            nodes |= {near << 32 | low, high << 32 | near, near << 32 | low ^ 1 << pick.randrange(32)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = simhash.links(spark.createDataFrame([(signed(x),) for x in nodes], "fp long"), len(nodes)).collect()
+    want = {frozenset((signed(x), signed(y))) for x in nodes for y in nodes if 0 < (x ^ y).bit_count() <= 3}
+    assert len(want) > 100 and {frozenset((r["u"], r["v"])) for r in got} == want
+
+
 def test_keep_one_of_each_component(spark):
     rows = [r for r in table()]
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA + ", row string")
