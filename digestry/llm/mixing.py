@@ -30,6 +30,7 @@ MAX_COPIES = 3  # no document is taken more often
 WEIGHTS = 3  # sources weigh 1, 2, ... WEIGHTS, repeating
 ROWS_PER_RANGE = 1024  # about so many queue entries are sorted together
 MOST_RANGES = 1 << 16  # sums per range are added up in one task; beyond, the ranges grow instead
+SLOTS_TOGETHER = 1024  # slots of finish times whose sums are added up together; a source far larger than its target spreads over very many
 SMALL_SOURCES = 100_000  # per-source rows (a name and a few numbers) that may be broadcast
 
 
@@ -72,6 +73,10 @@ def _range(key: Column, ranges: int) -> Column:
     return F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * ranges, 32)
 
 
+def _before(words: str, window) -> Column:
+    return F.coalesce(F.sum(words).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+
+
 def source_cuts(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per source: passes (whole passes taken) and last_key, last_size of the partial pass.
 
@@ -81,24 +86,29 @@ def source_cuts(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     ranges = min(MOST_RANGES, max(1, n // ROWS_PER_RANGE))
     src = session.checked_broadcast(sources.withColumnRenamed("source", "its_source"), SMALL_SOURCES)
     q = sizes.join(src, F.col("source").eqNullSafe(F.col("its_source"))).select("src", "key", "size", "source_size", "target", "budget")
-    q = q.filter(F.col("target") > 0).withColumn("range", _range(F.col("key"), ranges))
+    # rows equal in key and size are taken together: one entry, however many ids are null or repeated
+    q = q.filter(F.col("target") > 0).groupBy("src", "key", "size", "source_size", "target", "budget").agg(F.sum("size").alias("words"))
+    q = q.withColumn("range", _range(F.col("key"), ranges))
 
     # words before each hash range of a source, from sums per range
-    sums = q.groupBy("src", "range").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("src", "range", F.coalesce(F.sum("words").over(ahead), F.lit(0).cast("long")).alias("ahead"))
-    # equal (key, size) are peers of a RANGE frame: they get one number and are taken together
-    inside = Window.partitionBy("src", "range").orderBy("key", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    q = q.withColumn("inside", F.sum("size").over(inside)).join(sums, ["src", "range"])
+    sums = q.groupBy("src", "range").agg(F.sum("words").alias("words"))
+    ahead = Window.partitionBy("src").orderBy("range")
+    sums = sums.select("src", "range", _before("words", ahead).alias("ahead"))
+    inside = Window.partitionBy("src", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    q = q.withColumn("inside", F.sum("words").over(inside)).join(sums, ["src", "range"])
     q = q.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_COPIES - 1))))
     q = q.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("ahead") + F.col("inside")).cast("double") / F.col("target"))
 
-    # global sort by finish time: value ranges, their sums first, then a running sum in each range
-    q = q.select("src", "pass", "key", "size", "finish", "budget", F.floor(F.col("finish") * ranges).alias("slot"))
-    slots = q.groupBy("slot").agg(F.sum("size").alias("words"))
-    slots = slots.select("slot", F.coalesce(F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("start"))
-    running = Window.partitionBy("slot").orderBy("finish", "src", "pass", "key", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = q.withColumn("upto", F.sum("size").over(running)).join(slots, "slot").filter(F.col("start") + F.col("upto") <= F.col("budget"))
+    # global sort by finish time: value ranges, their sums first, in two levels, then a running sum in each range
+    entry = F.col("words").alias("entry")
+    q = q.select("src", "pass", "key", "size", entry, "finish", "budget", F.floor(F.col("finish") * ranges).alias("slot"))
+    slots = q.groupBy("slot").agg(F.sum("entry").alias("words")).withColumn("group", F.floor(F.col("slot") / SLOTS_TOGETHER))
+    groups = slots.groupBy("group").agg(F.sum("words").alias("words"))
+    groups = groups.select("group", _before("words", Window.orderBy("group")).alias("base"))
+    slots = slots.withColumn("start", _before("words", Window.partitionBy("group").orderBy("slot"))).join(groups, "group")
+    slots = slots.select("slot", (F.col("base") + F.col("start")).alias("start"))
+    running = Window.partitionBy("slot").orderBy("finish", "src", "pass", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = q.withColumn("upto", F.sum("entry").over(running)).join(slots, "slot").filter(F.col("start") + F.col("upto") <= F.col("budget"))
     last = taken.groupBy("src").agg(F.max(F.struct("pass", "key", "size")).alias("last"))
     return last.select("src", F.col("last.pass").alias("passes"), F.col("last.key").alias("last_key"), F.col("last.size").alias("last_size"))
 

@@ -49,6 +49,14 @@ def test_many_ranges_give_the_same(spark, monkeypatch):
     check(spark, rows(700, 2))
 
 
+def test_many_slots_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", 3)
+    monkeypatch.setattr(mixing, "SLOTS_TOGETHER", 7)
+    data = [(i, "w " * (i % 9), "en", f"s{i % 50}", 0) for i in range(300)] + [(1000 + i, "w " * 30, "en", "half", 0) for i in range(100)]
+    data += [(pick, "w " * (i % 4), "en", "half", 0) for pick in (None, 5) for i in range(150)]
+    check(spark, data)
+
+
 def test_targets_and_caps(spark):
     data = [(i, "w " * 10, "en", "big", 0) for i in range(300)] + [(1000 + i, "w " * 10, "en", "tiny", 0) for i in range(3)]
     got = check(spark, data)
