@@ -9,9 +9,11 @@ character.  A part of the labelled documents that no model counts calibrates the
 temperature) and the rejection (a highest cross-entropy per language).
 
 The sample: about ``SAMPLE_DOCS`` documents per language, drawn by a hash of their id from those that
-are not held out, whole texts, none over ``SAMPLE_CHARS``.  Its window counts are added up on the
-cluster; only they and one row per calibration document reach the driver.  Predictions cover every
-row and whole texts.
+are not held out, whole texts, until ``SAMPLE_CHARS`` characters of the language are reached; documents over
+``LONG`` characters come last, so they fill up what the others leave.  Every language with a
+text gives at least one document, and one with fewer than ``CALIBRATES`` in the calibration fold is learned from that fold
+too, and has no highest cross-entropy.  Window counts are added up on the cluster; only they and one row per calibration
+document reach the driver.  Predictions cover every row and whole texts.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, and for all texts if
 nothing was learned; a prediction above its language's highest cross-entropy keeps its language, is
@@ -23,7 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from digestry import session
@@ -33,7 +35,9 @@ QUERIES, ORACLE, register = registry()
 
 ORDER = 4
 SAMPLE_DOCS = 1500  # labelled documents per language, expected
-SAMPLE_CHARS = 200_000  # longer documents are not drawn
+SAMPLE_CHARS = 8_000_000  # characters per language; the document that passes them is the last one drawn
+LONG = 200_000  # characters; longer documents are drawn last
+CALIBRATES = 20  # documents of a language that calibrate it; if there are fewer, they are counted instead
 LANGUAGES = 10_000  # rows of (language, rate) that may be broadcast
 FOLDS = 5  # remainder 0 is held out, 1 calibrates, the others are counted
 BLOCK = 1 << 16  # characters whose windows are looked up at once
@@ -262,25 +266,32 @@ def calibrate(models: Models, truths: list[str], bits: list) -> None:
     models.highest = np.full(len(models.languages), np.inf)
     for k in range(len(models.languages)):
         own = table[right & (truth == k), k]
-        if len(own) >= 20:
+        if len(own) >= CALIBRATES:
             models.highest[k] = 1.1 * np.quantile(own, 0.999)
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """lang, text, fold of the labelled sample."""
+    """lang, text, counted (or else it calibrates) of the labelled sample."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
     rates = known.groupBy("lang").agg((SAMPLE_DOCS / F.count(F.lit(1))).alias("rate"))
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    drawn = known.select("doc_id", "lang", "text").join(session.checked_broadcast(rates, LANGUAGES), "lang")
-    drawn = drawn.filter((chance < F.col("rate")) & (F.length("text") <= SAMPLE_CHARS))
-    return drawn.select("lang", "text", fold(F.col("doc_id")).cast("int").alias("fold"))
+    drawn = known.select("doc_id", "lang", "text").join(session.checked_broadcast(rates, LANGUAGES), "lang").filter(chance < F.col("rate"))
+    chars = F.length("text").cast("long")
+    place = F.struct((chars > LONG).alias("long"), F.xxhash64("doc_id", F.lit("order")).alias("nth"), F.col("doc_id").alias("id"))
+    drawn = written(drawn.select("lang", "text", (fold(F.col("doc_id")) == 1).alias("calibrates"), place.alias("place"), chars.alias("chars")))
+    # over lengths only, and about SAMPLE_DOCS rows per language
+    ahead = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    within = drawn.select("lang", "place", "chars", "calibrates").withColumn("ahead", F.coalesce(F.sum("chars").over(ahead), F.lit(0).cast("long")))
+    ends = within.filter(F.col("ahead") < SAMPLE_CHARS).groupBy("lang").agg(F.max("place").alias("end"), F.count_if("calibrates").alias("n_calibrate"))
+    drawn = drawn.join(session.checked_broadcast(ends, LANGUAGES), "lang").filter(F.col("place") <= F.col("end"))
+    return drawn.select("lang", "text", (~F.col("calibrates") | (F.col("n_calibrate") < CALIBRATES)).alias("counted"))
 
 
 def learn(docs: DataFrame) -> Models:
     """Calibrated models from the documents (doc_id, text, lang) that aren't held out."""
-    drawn = written(sample(docs))
+    drawn = written(sample(docs))  # read twice
     counts: dict[str, dict[str, int]] = {}
-    for r in window_counts(drawn.filter("fold <> 1")).toLocalIterator():
+    for r in window_counts(drawn.filter("counted")).toLocalIterator():
         counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
     models = estimate(counts)
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -292,7 +303,7 @@ def learn(docs: DataFrame) -> Models:
 
         return work
 
-    scored = map_texts(drawn.filter("fold = 1").select("lang", "text"), "lang string, bits array<double>", make).filter("bits is not null").collect()
+    scored = map_texts(drawn.filter("not counted").select("lang", "text"), "lang string, bits array<double>", make).filter("bits is not null").collect()
     calibrate(models, [r["lang"] for r in scored], [r["bits"] for r in scored])
     return models
 

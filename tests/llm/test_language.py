@@ -1,5 +1,7 @@
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -83,3 +85,79 @@ def test_characters():
     assert "".join(map(chr, language.characters("  A1b--É\n"))) == " a b é "
     assert language.characters("12 .") is None
     assert math.isfinite(language.estimate({"x": {"abca": 1}}).cross_entropy("q")[0])
+
+
+def brute_force(counted, text):
+    """Bits per character and language by the definition, recursively."""
+
+    def normal(t):
+        return re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in f" {t.lower()} "))
+
+    def windows(t, n):
+        return [t[i : i + n] for i in range(len(t) - n + 1)]
+
+    longest = {lang: Counter(w for t in texts for w in windows(normal(t), 4)) for lang, texts in counted.items()}
+    alphabet = len({c for table in longest.values() for w in table for c in w}) + 1
+    text = normal(text)
+    out = {}
+    for lang, table in longest.items():
+        tables = {4: table}
+        for n in (3, 2, 1):
+            tables[n] = Counter(w[1:] for w in tables[n + 1])
+
+        def p(window, tables=tables):
+            n = len(window)
+            if n == 0:
+                return 1 / alphabet
+            here = tables[n]
+            ones, twos = (sum(v == k for v in here.values()) for k in (1, 2))
+            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+            same = [v for w, v in here.items() if w[:-1] == window[:-1]]
+            if not same:
+                return p(window[1:])
+            return (max(here[window] - discount, 0) if window in here else 0) / sum(same) + discount * len(same) / sum(same) * p(window[1:])
+
+        out[lang] = -sum(math.log2(p(w)) for w in windows(text, 4)) / (len(text) - 3)
+    return out
+
+
+def test_predictions_against_the_definition(spark):
+    pick = random.Random(11)
+    rows = []
+    for i in range(45):
+        lang = pick.choice(list(SYLLABLES))
+        rows.append((i, text(pick, lang, pick.randint(2, 9)), lang if i % 4 else None, "s", 0.5))
+    df = spark.createDataFrame(rows, SCHEMA)
+    models = language.learn(df)
+    counted = {}
+    for i, t, lang, *_ in rows:  # too few calibrate: their fold is learned from as well
+        if lang and language_fold(i) != 0:
+            counted.setdefault(lang, []).append(t)
+    assert models.languages == sorted(counted)
+    got = {r["doc_id"]: r for r in language.identify(df, models).collect()}
+    for i, t, *_ in rows:
+        bits = brute_force(counted, t)
+        assert np.allclose(models.cross_entropy(t), [bits[x] for x in models.languages], atol=1e-4)
+        best = min(bits, key=bits.get)
+        assert got[i]["lang_pred"] == best
+        odds = sum(math.exp(-(b - bits[best]) * models.temperature) for b in bits.values())
+        assert abs(got[i]["score"] - 1 / odds) < 1e-3 and not got[i]["rejected"]
+
+
+def test_no_language_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(language, "LONG", 2000)
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 30_000)
+    pick = random.Random(4)
+    rows = [(i, text(pick, "aa", 40), "aa", "s", 0.5) for i in range(200)]
+    ids = [i for i in range(1000, 1100) if language_fold(i) != 0]
+    rows += [(i, text(pick, "bb", 4000), "bb", "s", 0.5) for i in ids[:5]]  # long documents only
+    rows += [(next(i for i in range(2000, 2100) if language_fold(i) == 1), text(pick, "cc", 40), "cc", "s", 0.5)]  # in the calibration fold only
+    rows += [(3000, text(pick, "bb", 30), None, "s", 0.5), (3001, text(pick, "cc", 30), None, "s", 0.5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    models = language.learn(df)
+    assert models.languages == ["aa", "bb", "cc"]
+    by = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, models).collect()}
+    assert (by[3000], by[3001]) == ("bb", "cc")
+    drawn = language.sample(df).toPandas()
+    chars = drawn.assign(n=drawn.text.str.len()).groupby("lang").n.agg(["sum", "max"])
+    assert (chars["sum"] - chars["max"] <= 30_000).all()
