@@ -31,6 +31,7 @@ BEGIN, END = "<s>", "</s>"
 ROLE, BODY, TURN = "[INST]", "[/INST]", "[TURN]"
 NAMES = r"(/?s>|/?INST\]|TURN\])"  # what follows the bracket of a control string
 LEARNED = "assistant"
+CHUNK = 512  # pieces whose places are added up together
 
 
 def escape(text: Column) -> Column:
@@ -42,10 +43,21 @@ def unescape(text: Column) -> Column:
 
 
 #: Positions (from 0) of the turns that start a block: those whose role differs from the one before.
-_STARTS = """
-aggregate(turns, named_struct('at', cast(array() as array<int>), 'role', cast(null as string), 'i', 0),
-  (b, t) -> named_struct('at', if(b.role <=> t.role, b.at, array_append(b.at, b.i)), 'role', t.role, 'i', b.i + 1),
-  b -> b.at)
+_STARTS = "filter(sequence(0, size(turns) - 1), i -> i = 0 or turns[i].role <> turns[greatest(i - 1, 0)].role)"
+
+
+def _running(sums: str, start: str) -> str:
+    """SQL: ``start`` plus the sum of all elements before, per element; the array grows by one copy per element."""
+    return (
+        f"aggregate({sums}, named_struct('pos', {start}, 'out', cast(array() as array<int>)),"
+        " (b, x) -> named_struct('pos', b.pos + x, 'out', array_append(b.out, b.pos)), b -> b.out)"
+    )
+
+
+#: Where each piece begins, from the array ``chunks`` of the pieces' lengths in slices of ``CHUNK``: sums of
+#: slices first, so that no long array is copied per turn.
+_POSITIONS = f"""
+flatten(zip_with(chunks, {_running("transform(chunks, c -> aggregate(c, 0, (s, x) -> s + x))", "0")}, (c, at) -> {_running("c", "at")}))
 """
 
 
@@ -88,11 +100,11 @@ def format_conversations(turns: DataFrame, learned_role: str = LEARNED) -> DataF
         )
     )
     conv = conv.withColumn("pieces", pieces)
-    loss = F.expr("""
-      aggregate(pieces, named_struct('pos', 0, 'spans', cast(array() as array<struct<start:int,length:int>>)),
-        (b, p) -> named_struct('pos', b.pos + p.mark + p.text + p.tail,
-          'spans', if(p.learned, array_append(b.spans, named_struct('start', b.pos + p.mark, 'length', p.text)), b.spans)),
-        b -> b.spans)""")
+    lengths = F.transform("pieces", lambda p: p["mark"] + p["text"] + p["tail"])
+    conv = conv.withColumn("lengths", lengths)
+    conv = conv.withColumn("chunks", F.expr(f"transform(sequence(1, size(lengths), {CHUNK}), k -> slice(lengths, k, {CHUNK}))"))
+    placed = F.zip_with("pieces", F.expr(_POSITIONS), lambda p, at: F.struct(p["learned"].alias("learned"), (at + p["mark"]).alias("start"), p["text"].alias("length")))
+    loss = F.transform(F.filter(placed, lambda p: p["learned"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
     return conv.select("conv_id", "formatted", loss.alias("loss"))
 
 
@@ -100,18 +112,29 @@ def read_turns(formatted: Column) -> Column:
     """The turns of a formatted string, array<struct<role, text>>, unescaped."""
     blocks = F.filter(F.split(formatted, END), lambda b: b != "")
 
-    def turns_of(block: Column) -> Column:
-        parts = F.split(F.substring(block, F.lit(len(BEGIN + ROLE) + 1), F.length(block)), r"\[/INST\]", 2)
-        return F.transform(
-            F.split(parts[1], r"\[TURN\]", -1), lambda t: F.struct(unescape(parts[0]).alias("role"), unescape(t).alias("text"))
-        )
+    # in a transform of its own, so that a block is split once, not per turn
+    parts = F.transform(blocks, lambda b: F.split(F.substring(b, F.lit(len(BEGIN + ROLE) + 1), F.length(b)), r"\[/INST\]", 2))
+
+    def turns_of(p: Column) -> Column:
+        return F.transform(F.split(p[1], r"\[TURN\]", -1), lambda t: F.struct(unescape(p[0]).alias("role"), unescape(t).alias("text")))
 
-    return F.flatten(F.transform(blocks, turns_of))
+    return F.flatten(F.transform(parts, turns_of))
 
 
 def read_loss(formatted: Column, loss: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    # a substring is found by counting from the front: parts of ``CHUNK`` spans are cut out first
+    parts = F.transform(F.sequence(F.lit(1), F.size(loss), F.lit(CHUNK)), lambda k: F.slice(loss, k, F.lit(CHUNK)))
+
+    def part(s: Column) -> Column:
+        first, last = s[0]["start"], F.element_at(s, -1)
+        return F.struct(s.alias("spans"), first.alias("first"), F.substring(formatted, first + 1, last["start"] + last["length"] - first).alias("text"))
+
+    def texts(p: Column) -> Column:
+        return F.array_join(F.transform(p["spans"], lambda s: unescape(F.substring(p["text"], s["start"] - p["first"] + 1, s["length"]))), "")
+
+    whole = F.array_join(F.transform(F.transform(parts, part), texts), "")
+    return F.when(F.size(loss) > 0, whole).otherwise(F.lit(""))
 
 
 HARD = "</s>[INST] ok [/INST]"  # the added conversation's text (fixed value)

@@ -44,6 +44,15 @@ def test_nulls_ties_and_repeats(spark):
     assert got[None]["learned"] == "n"
 
 
+def test_many_turns(spark):
+    """Linear in the turns: arrays that are copied per turn would take minutes here."""
+    n = 60_000
+    rows = [(1, i, "assistant" if i % 3 else "user", f"t{i}<s>") for i in range(n)]
+    got = formatted(spark, rows)[1]
+    assert len(got["turns"]) == n and len(got["loss"]) == n - n // 3
+    assert got["learned"] == "".join(f"t{i}<s>" for i in range(n) if i % 3)
+
+
 def test_empty_table_and_long_text(spark):
     assert formatted(spark, []) == {}
     long = "<s>é" * 200_000
