@@ -83,13 +83,13 @@ def q0_params(model_enabled: bool = True, group: str = "lang"):
     return DigestParams(group_cols=(group,), enable_model_scoring=model_enabled)
 
 
-def q0_run(spark: SparkSession, sf_dir: str, finish: bool = True, model_enabled: bool = True, group: str = "lang"):
+def q0_run(spark: SparkSession, sf_dir: str, finish: bool = True, model_enabled: bool = True, group: str = "lang", groups=None):
     from digestry.plans.signal_digest import run_digest
 
     return run_digest(
         TD.articles(spark, sf_dir), TD.SIGNAL_KEYWORDS, TD.NEGATIVE_KEYWORDS, q0_params(model_enabled, group), RUN_AS_OF,
         model_scores=TD.model_scores(spark, sf_dir), analyses=TD.analyses(spark, sf_dir),
-        stored=TD.stored_articles(spark, sf_dir), finish=finish,
+        stored=TD.stored_articles(spark, sf_dir), finish=finish, groups=groups,
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from digestry.operators import audit, digest, subscriptions
 from digestry.plans import catalog
+from digestry.plans import sql_q0 as Z
 from digestry.plans import sqlgen as Q
 from digestry.plans.catalog import register
 from digestry.session import checkpoint_dir
@@ -18,6 +19,7 @@ from digestry.sources import payloads as P
 from digestry.sources import testdata as TD
 
 PI = TD.PAGE_ITEMS
+CHAIN = Z.chain()
 
 AUDIT_SQL = f"""{ALL_ITEMS}, {REGISTRY_SQL},
 env_err AS (SELECT DISTINCT 'api-' || event_type AS source, '{P.MSG_UNSUPPORTED_API}' AS error FROM events),
@@ -150,15 +152,42 @@ def f13(spark: SparkSession, sf: str) -> DataFrame:
 _NOW = f"TIMESTAMP '{TD.SUBS_AS_OF}'"
 
 
-@register("f12_due_subscriptions", f"""WITH {SUBS_SQL}
-SELECT id, cron, scheduled_time, active, last_run,
+_DUE_SQL = f"""SELECT id, cron, scheduled_time, active, last_run,
   CASE WHEN coalesce(active, 0) = 0 THEN false
        WHEN coalesce(last_run, '') = '' THEN true
        WHEN cron = 'daily' AND coalesce(scheduled_time, '') <> '' THEN
             strftime({_NOW}, '%H:%M') >= scheduled_time AND NOT coalesce(strftime(last_ts, '%Y-%m-%d') = strftime({_NOW}, '%Y-%m-%d'), false)
        ELSE coalesce(CAST(epoch_us({_NOW}) - epoch_us(date_trunc('millisecond', last_ts)) AS DOUBLE) / CAST(3.6e9 AS DOUBLE) >= CAST(24.0 AS DOUBLE), false)
   END AS due
-FROM subs""")
+FROM subs"""
+
+
+@register("f12_due_subscriptions", f"WITH {SUBS_SQL} {_DUE_SQL}")
 def f12(spark: SparkSession, sf: str) -> DataFrame:
     d = subscriptions.due(TD.subscriptions(spark, sf), TD.SUBS_AS_OF)
     return d.select("id", "cron", "scheduled_time", "active", "last_run", "due")
+
+
+_DUE_LANGS_SQL = f"""{SUBS_SQL},
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+users AS (SELECT DISTINCT user_id FROM events),
+first_user AS (SELECT lang, 'sub-' || CAST(min(user_id) AS VARCHAR) AS id FROM langs JOIN users ON user_id % n = k GROUP BY lang),
+own AS (SELECT subs.* REPLACE ('hourly' AS cron, CAST(NULL AS VARCHAR) AS scheduled_time) FROM first_user JOIN subs USING (id)),
+lang_subs AS (SELECT * FROM first_user JOIN ({_DUE_SQL.replace("FROM subs", "FROM own")}) USING (id))"""
+
+
+@register("f12_due_digests", f"""WITH RECURSIVE {CHAIN}, {_DUE_LANGS_SQL}
+SELECT * FROM digest_items WHERE lang IN (SELECT lang FROM lang_subs WHERE due)""")
+def f12_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Q0 for the languages whose subscription is due."""
+    groups = subscriptions.due_groups(TD.language_subscriptions(spark, sf), TD.SUBS_AS_OF, ["lang"])
+    return catalog.q0_run(spark, sf, groups=groups).digest_items
+
+
+@register("f12_after_run", f"""WITH {_DUE_LANGS_SQL}
+SELECT lang, id, CASE WHEN due THEN strftime({_NOW}, '%Y-%m-%dT%H:%M:%S.%gZ') ELSE last_run END AS last_run FROM lang_subs""")
+def f12_after_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The subscriptions after all due digests ran."""
+    subs = TD.language_subscriptions(spark, sf)
+    done = subscriptions.due_groups(subs, TD.SUBS_AS_OF, ["lang"])
+    return subscriptions.record_runs(subs, TD.SUBS_AS_OF, done, ["lang"]).select("lang", "id", "last_run")

@@ -86,6 +86,13 @@ class DigestRun:
         return digest.assemble(self.delivered_items, self.counts, self.digest_date, self.group_cols, "pos")
 
 
+def _of_groups(rows: DataFrame, wanted: DataFrame, group_cols: list[str]) -> DataFrame:
+    same = F.lit(True)
+    for i, c in enumerate(group_cols):
+        same = same & rows[c].eqNullSafe(wanted[f"_g{i}"])
+    return rows.join(wanted, same, "left_semi")
+
+
 def _uniq(cols: list[str]) -> list[str]:
     """Column names without repeats (a group column may also be an article column)."""
     return list(dict.fromkeys(cols))
@@ -127,6 +134,7 @@ def run_digest(
     force: bool = False,
     scorer=None,
     analyser=None,
+    groups: DataFrame | None = None,
 ) -> DigestRun:
     """Q0.  With ``finish=False`` only the selection (up to J4) is planned:
     no checkpoint, store or digest step.
@@ -137,6 +145,9 @@ def run_digest(
     fetching.  If every source is cooling down, the run still assembles the
     pending items.
 
+    ``groups`` (one row per group wanted, e.g. ``subscriptions.due_groups``) limits the run to
+    those digests; the stored rows of all others stay as they are.
+
     ``scorer`` (titles -> scores, B4) takes the place of ``model_scores`` and
     ``analyser`` (titles -> (summary, category), B5) that of ``analyses``."""
     g = list(params.group_cols)
@@ -148,6 +159,9 @@ def run_digest(
         active = store.cooldown_filter(sources, health, as_of, params.cooldown_minutes)
         keys = checked_broadcast(active.select(F.col("id").alias("source")), 1 << 20)
         articles = articles.join(keys, "source", "left_semi")
+    if groups is not None:
+        wanted = checked_broadcast(groups.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)]), 1 << 20)
+        articles = _of_groups(articles, wanted, g)
     new = store.incremental_filter(articles, hwm)
 
     # scan-side work: layer-1 score, coverage matches, content flag; then drop the text
@@ -247,6 +261,8 @@ def run_digest(
     # F6 + U2: pending (storage order) then this run's items; later wins, first position kept
     pend = store.pending(stored_next, params.signal_threshold, as_of, params.pending_hours, strict)
     fields = _uniq([*g, *digest.ITEM_FIELDS, "id"])
+    if groups is not None:
+        pend = _of_groups(pend, wanted, g)
     pend = pend.select(*fields, F.lit(0).alias("_src"), F.col("digest_date").alias("_k1"), F.col("id").alias("_k2"))
     cur = enriched.select(*fields, F.lit(1).alias("_src"),
                           F.lpad(F.col("sel_rank").cast("string"), 12, "0").alias("_k1"), F.lit("").alias("_k2"))

@@ -7,7 +7,7 @@ size grows with them.  The same derivations are written in DuckDB SQL in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from digestry.functions import dates, text
@@ -318,6 +318,18 @@ SUBS_AS_OF = "2024-01-30 12:00:00"
 # ---------------------------------------------------------------------------
 
 
+def language_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One subscription per language of `documents`, with `lang`: every 24 hours, else that of the first user dealt to it (users in turn, by id)."""
+    langs = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("lang").distinct()
+    langs = langs.withColumn("_k", F.row_number().over(Window.orderBy("lang")) - 1)  # one row per language
+    subs = subscriptions(spark, sf_dir)
+    user = F.substring("id", 5, 20).cast("long")
+    k = F.pmod(user, F.lit(max(1, langs.count()))).alias("_k")
+    first = subs.groupBy(k).agg(F.min_by(F.struct(*subs.columns), user).alias("_s"))
+    own = langs.join(first, "_k").select("lang", "_s.*")
+    return own.withColumn("cron", F.lit("hourly")).withColumn("scheduled_time", F.lit(None).cast("string"))
+
+
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One subscription per user of `events`: daily when the user signed up
     (else hourly); the time is the first event's value read as 'H.mm'; inactive

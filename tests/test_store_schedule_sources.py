@@ -72,6 +72,19 @@ def test_due_rules(spark):
     assert at6["h24"] and not at6["h23"] and not at6["off"]
 
 
+def test_runs_are_recorded_for_finished_groups_only(spark):
+    rows = [("a", "en", "hourly", None, 1, None), ("b", "de", "hourly", None, 1, None), ("c", None, "hourly", None, 1, "2024-01-01T00:00:00.000Z"),
+            ("d", "en", "hourly", None, 1, "2024-01-10T05:00:00.000Z")]
+    df = spark.createDataFrame(rows, SUBS)
+    at = "2024-01-10 06:00:00"
+    assert {r["name"] for r in subscriptions.due_groups(df, at, ["name"]).collect()} == {"en", "de", None}
+    finished = spark.createDataFrame([("en",), ("en",), (None,)], "name string")
+    after = {r["id"]: r["last_run"] for r in subscriptions.record_runs(df, at, finished, ["name"]).collect()}
+    now = "2024-01-10T06:00:00.000Z"
+    assert after == {"a": now, "b": None, "c": now, "d": "2024-01-10T05:00:00.000Z"}  # b failed and stays due, d wasn't due
+    assert [r["name"] for r in subscriptions.due_groups(df.withColumn("last_run", F.lit(now)), at, ["name"]).collect()] == []
+
+
 def _payloads(spark, rows):
     return spark.createDataFrame(rows, "source string, page bigint, source_url string, mapping map<string,string>, payload string")
 
