@@ -15,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from digestry.operators import dedup
-from digestry.session import materialize, spread
+from digestry.functions import text as T
+from digestry.operators import dedup, title_blocks
+from digestry.session import materialize, rewritten, spread
 
 BANDS = 32
 ROWS = 4
@@ -25,7 +26,7 @@ ROWS = 4
 def band_keys(reps: DataFrame, group_cols=(), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(group, _rep, _key): ``bands`` keys per title that has bigrams."""
     g = list(group_cols)
-    hashed = F.transform("_grams", lambda x: F.xxhash64(x))
+    hashed = F.transform(T.bigrams(F.col("_norm")), lambda x: F.xxhash64(x))
 
     def least(number):
         return F.array_min(F.transform("_hashed", lambda x: F.xxhash64(x, number)))
@@ -33,17 +34,32 @@ def band_keys(reps: DataFrame, group_cols=(), bands: int = BANDS, rows: int = RO
     def key(band):
         return F.xxhash64(*g, band, *[least(band * rows + r) for r in range(rows)])
 
-    titles = spread(reps.where(F.size("_grams") > 0).select(*g, "_rep", hashed.alias("_hashed")))
+    titles = spread(reps.where(F.length("_norm") > 1).select(*g, "_rep", hashed.alias("_hashed")))
     return titles.select(*g, "_rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("_key"))
 
 
 def rep_pairs(reps: DataFrame, group_cols=(), threshold: float = 0.7, keep_dice: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """As ``dedup._rep_pairs``, from shared band keys."""
     g = list(group_cols)
-    keys = materialize(band_keys(reps, g, bands, rows))
+    keys = band_keys(reps, g, bands, rows)  # shuffled once: the other side reuses the exchange
     one, other = keys.withColumnRenamed("_rep", "a"), keys.withColumnRenamed("_rep", "b")
     met = one.join(other, [*g, "_key"]).where(F.col("a") < F.col("b")).select(*g, "a", "b").distinct()
-    return dedup.verified(met, reps, g, threshold, keep_dice)
+    found = verified(met, reps, g, threshold)
+    if not keep_dice:
+        return found.drop("dice")
+    for end in ("a", "b"):
+        found = found.join(reps.select(*g, F.col("_rep").alias(end), F.col("_norm").alias(f"n{end}_t")), [*g, end])
+    return found
+
+
+def verified(met: DataFrame, reps: DataFrame, group_cols, threshold: float) -> DataFrame:
+    """(group, a, b, dice) of the candidates that reach the Dice coefficient, from the bit sets of their bigrams."""
+    g = list(group_cols)
+    words = rewritten(title_blocks.with_words(reps.select(*g, "_rep", "_norm")))
+    for end in ("a", "b"):
+        met = met.join(words.select(*g, F.col("_rep").alias(end), F.col("_n").alias(f"_n{end}"), F.col("_words").alias(f"_w{end}")), [*g, end])
+    dice = title_blocks.shared(F.col("_wa"), F.col("_wb")).cast("double") * F.lit(2.0) / (F.col("_na") + F.col("_nb")).cast("double")
+    return met.select(*g, "a", "b", dice.alias("dice")).where(F.col("dice") >= F.lit(float(threshold)))
 
 
 def similar_pairs(df: DataFrame, group_cols=(), threshold: float = 0.7, title: str = "title", ord_col: str = "ord",

@@ -237,3 +237,26 @@ def test_minhash_finds_most_similar_pairs_and_no_others(spark):
     assert minhash.similar_pairs(df.limit(0)).count() == 0
     leaders = dedup.fuzzy_dedup_scale(df, find_pairs=minhash.rep_pairs).count()
     assert dedup.fuzzy_dedup_scale(df).count() <= leaders <= 1.1 * dedup.fuzzy_dedup_scale(df).count()
+
+
+def test_titles_in_blocks_and_waves_are_all_compared(spark, monkeypatch):
+    from digestry.operators import title_blocks
+
+    pick = random.Random(3)
+    words = ["alpha", "bravo", "carbon", "delta", "ember", "falcon", "garnet", "harbor"]
+    rows = [(g, i, " ".join(pick.choice(words) for _ in range(pick.randrange(1, 7)))) for i, g in enumerate(pick.choice(["x", "x", "x", "y", None]) for _ in range(150))]
+    df = spark.createDataFrame([(g, i, t, "c", str(i)) for g, i, t in rows], "grp string, ord bigint, title string, content string, id string")
+    first = {}
+    for g, i, t in rows:
+        if g is not None:
+            first.setdefault((g, t), i)
+    grams = lambda s: {s[i:i + 2] for i in range(len(s) - 1)}
+    want = {(g, i, j) for (g, t), i in first.items() for (h, u), j in first.items()
+            if g == h and i < j and 2 * len(grams(t) & grams(u)) / (len(grams(t)) + len(grams(u))) >= 0.7}
+    whole = ids(dedup.fuzzy_dedup_scale(df, ["grp"], 0.7))
+    monkeypatch.setattr(title_blocks, "BLOCK", 40)
+    monkeypatch.setattr(title_blocks, "AT_ONCE", 5)
+    got = [(r["grp"], r["a_ord"], r["b_ord"]) for r in dedup.similar_pairs(df, ["grp"], 0.7).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(dedup, "WAVE", 60)
+    assert ids(dedup.fuzzy_dedup_scale(df, ["grp"], 0.7)) == whole
