@@ -156,16 +156,18 @@ def incremental_filter(new: DataFrame, hwm: str | None) -> DataFrame:
     a timestamp literal, a predicate that a scan of stored rows can use to
     skip row groups; otherwise the text is parsed row by row.
     """
+    return new.where(newer_than(new.sparkSession, hwm, new.columns)) if hwm else new
+
+
+def newer_than(spark: SparkSession, hwm: str | None, columns):
+    """The condition of ``incremental_filter`` on rows with these columns; a run that filters batch by batch makes it once."""
     if not hwm:
-        return new
-    if "published_ts" in new.columns:
-        at = new.sparkSession.range(1).select(D.parse_instant(F.lit(hwm)).cast("string")).first()[0]
-        return new.where(F.col("published_ts").isNull() & (F.coalesce(F.col("published_at"), F.lit("")) == "")
-                         | (F.col("published_ts") > F.lit(at).cast("timestamp")))
+        return F.lit(True)
     missing = F.coalesce(F.col("published_at"), F.lit("")) == ""
-    mark = D.parse_instant(F.lit(hwm))
-    newer = F.coalesce(D.parse_instant(F.col("published_at")) > mark, F.lit(False))
-    return new.where(missing | newer)
+    if "published_ts" in columns:
+        at = spark.range(1).select(D.parse_instant(F.lit(hwm)).cast("string")).first()[0]
+        return F.col("published_ts").isNull() & missing | (F.col("published_ts") > F.lit(at).cast("timestamp"))
+    return missing | F.coalesce(D.parse_instant(F.col("published_at")) > D.parse_instant(F.lit(hwm)), F.lit(False))
 
 
 def read_mark(stored: DataFrame, strict: bool = True) -> str | None:

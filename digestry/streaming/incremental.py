@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from digestry.functions import urls as U
 from digestry.operators import dedup, keywords, rank, store
 from digestry.plans.signal_digest import DigestRun, run_digest
-from digestry.session import checkpoint_dir
+from digestry.session import checkpoint_dir, rewritten
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -36,8 +36,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stage_files(df: DataFrame, path: str, partition_col: str) -> str:
-    """Write a table as files partitioned by ``partition_col`` (the stream's input)."""
-    df.write.partitionBy(partition_col).parquet(path)
+    """Write a table as files partitioned by ``partition_col`` (the stream's input).
+
+    The rows are first dealt by that column into pieces of about the size that a scan's task reads (large values are split, small
+    ones kept together), so there are about as many files as values and pieces, not one per value and task."""
+    df.hint("rebalance", partition_col).write.partitionBy(partition_col).parquet(path)
     return path
 
 
@@ -157,12 +160,19 @@ def drain_new_items(stream: DataFrame, mark: str | None, run_root: str, checkpoi
     envelopes also report sources that failed or gave nothing."""
     spark, key = stream.sparkSession, "source" if parse is None else "source_id"
     schema = stream.schema if parse is None else parse(spark.createDataFrame([], stream.schema))[0].schema
+    cooling = None
+    if health is not None and as_of is not None:  # the log is read once: what is left of it are the sources that cool down
+        checked = health.select(F.col("source").alias("id")).where("id IS NOT NULL").distinct()
+        active = store.cooldown_filter(checked, health.select("id", "source", "last_check"), as_of, cooldown_minutes)
+        cooling = rewritten(checked.join(active, "id", "left_anti"))
+    newer = store.newer_than(spark, mark, schema.names)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if health is not None and as_of is not None:
-            sources = batch.select(F.col(key).alias("id")).distinct()
-            active = store.cooldown_filter(sources, health, as_of, cooldown_minutes)
-            batch = batch.join(active.select(F.col("id").alias(key)), key, "left_semi").select(*batch.columns)
+        if cooling is not None:
+            # only the batch's own few sources meet the cooling ones, and only those are broadcast
+            sources = batch.select(F.col(key).alias("id")).where("id IS NOT NULL").distinct()
+            silent = F.broadcast(cooling.join(F.broadcast(sources), "id", "left_semi").select(F.col("id").alias(key)))
+            batch = batch.where(F.col(key).isNotNull()).join(silent, key, "left_anti").select(*batch.columns)
         batch.persist()
         if parse is None:
             items, found = batch, batch.groupBy("source").agg(F.count("*").alias("items_found")).select(
@@ -171,7 +181,7 @@ def drain_new_items(stream: DataFrame, mark: str | None, run_root: str, checkpoi
             items, envelopes = parse(batch)
             found = envelopes.select("source", "status", F.col("items_found").cast("bigint").alias("items_found"), "error")
         found.write.mode("overwrite").parquet(f"{run_root}/health/batch_id={batch_id}")
-        store.incremental_filter(items, mark).select(*schema.names).write.mode("overwrite").parquet(f"{run_root}/items/batch_id={batch_id}")
+        items.where(newer).select(*schema.names).write.mode("overwrite").parquet(f"{run_root}/items/batch_id={batch_id}")
         batch.unpersist()
 
     stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

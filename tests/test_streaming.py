@@ -145,3 +145,19 @@ def test_payload_stream_reports_failed_and_empty_sources(spark, tmp_path):
     assert sorted(r["title"] for r in new.collect()) == ["a", "b"]
     got = {r["source"]: (r["status"], r["items_found"]) for r in X.drained_health(spark, root).collect()}
     assert got == {"good": ("ok", 2), "bad": ("error", 0), "none": ("ok", 0), "old": ("ok", 1)}
+
+
+def test_staged_files_dont_grow_with_the_tasks_and_the_log_is_read_once(spark, tmp_path):
+    rows = [(str(i), "abc"[i % 3], i) for i in range(240)]
+    df = spark.createDataFrame(rows, "id string, source string, ord long").repartition(8)
+    staged = X.stage_files(df, str(tmp_path / "staged"), "source")
+    assert len(list((tmp_path / "staged").rglob("*.parquet"))) <= 4
+    assert sorted(r["id"] for r in spark.read.parquet(staged).collect()) == sorted(r[0] for r in rows)
+    # sources checked two and ninety minutes ago, and one that was never: only the first is silent
+    health = spark.sql("""SELECT 1L AS id, 'a' AS source, timestamp'2024-01-10 07:58:00' AS last_check
+                          UNION ALL SELECT 2L, 'b', timestamp'2024-01-10 06:30:00'""")
+    schema = "id string, source string, published_at string, ord long"
+    df.selectExpr("id", "source", "'2024-01-09' AS published_at", "ord").repartition(3).write.parquet(str(tmp_path / "in"))
+    new = X.drain_new_items(X.file_stream(spark, str(tmp_path / "in"), schema, 1), None, str(tmp_path / "run"), str(tmp_path / "ckpt"), health,
+                            "2024-01-10 08:00:00", 60.0)
+    assert sorted(r["id"] for r in new.collect()) == sorted(r[0] for r in rows if r[1] != "a")
