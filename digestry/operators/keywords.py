@@ -9,7 +9,7 @@ A dictionary is a small dimension table ``(keyword string, weight double)``.
 * A larger one, of any size, stays a table.  Every keyword is represented by
   the one of its ``GRAM``-character substrings that the fewest keywords have (a
   shorter keyword by itself); texts meet keywords by an equi-join on that
-  gram, and each meeting is verified with ``contains``.  The result is the same.
+  gram, and each meeting is verified with ``contains`` where it is made.  The result is the same.
 """
 
 from __future__ import annotations
@@ -126,13 +126,30 @@ def _grams(text: Column, sizes: list[int]) -> Column:
     return F.array_compact(F.array_distinct(F.flatten(F.array(*parts))))
 
 
+# Rows and characters of texts whose keywords are broadcast.
+FEW_ROWS, FEW_CHARACTERS = 10_000, 1_000_000
+
+
+def _few(df: DataFrame, text_col: str) -> bool:
+    sizes = df.select(F.length(text_col).alias("_n")).limit(FEW_ROWS + 1)
+    rows, characters = sizes.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    return rows <= FEW_ROWS and characters <= FEW_CHARACTERS
+
+
+def _shares(df: DataFrame) -> int:
+    """Partitions for texts that are dealt out: adaptive execution doesn't know that cutting them is the work."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def with_found(df: DataFrame, dictionary: DataFrame, text_col: str, key: str, out: str) -> DataFrame:
     """M2 for any dictionary size: adds ``out``, the (keyword, weight) structs
     contained in ``text_col``.
 
-    Grams that represent no keyword are dropped where the text is cut into
-    them, so only meetings travel; they are collected per row (at most the
-    keywords of one text) and join the text once, by ``key``.
+    The rows are shuffled once, by ``key`` and text.  Grams that represent no
+    keyword are dropped where the text is cut into them, and a meeting is
+    verified where it is made; what is found is collected per row (at most the
+    keywords of one text) and joins the text in its partition.
     """
     words = materialize(dictionary.withColumn("_low", F.lower("keyword")))  # read several times
     always = words.where(F.col("_low") == "")  # the empty keyword is in every text
@@ -144,17 +161,20 @@ def with_found(df: DataFrame, dictionary: DataFrame, text_col: str, key: str, ou
     rarest = cuts.join(shared, "_gram").groupBy("keyword", "weight", "_low").agg(
         F.min(F.struct(F.col("_words").alias("n"), F.col("_gram").alias("gram"))).alias("_rare"))
     rarest = materialize(rarest.select("keyword", "weight", "_low", F.col("_rare.gram").alias("_gram")))
-    held = df.select(F.col(key).alias("_key"), F.explode(_grams(F.col(text_col), sizes)).alias("_gram"))
-    met = held.join(checked_broadcast(rarest, MAX_BROADCAST_KEYWORDS), "_gram")
-    met = met.groupBy("_key").agg(F.collect_set(F.struct("keyword", "weight", "_low")).alias("_met"))
-    # few meetings are broadcast and the texts stay in place; else both are shuffled by key
-    met = checked_broadcast(materialize(met), MAX_BROADCAST_KEYWORDS)
-    joined = df.join(met, df[key] == F.col("_key"), "left").drop("_key")
+    # rows are dealt once by key and text; after that a row's meetings, their verification and the text stay in one partition
+    mine = ["_key", "_text_hash"]
+    keyed = df.withColumn("_key", F.col(key)).withColumn("_text_hash", F.xxhash64(text_col))
+    dealt = keyed.repartition(_shares(df), *mine)
+    held = dealt.where("_key IS NOT NULL").dropDuplicates(mine).select(*mine, text_col, F.explode(_grams(F.col(text_col), sizes)).alias("_gram"))
+    # a keyword has one gram, so a text meets it once
+    met = held.join(checked_broadcast(rarest, MAX_BROADCAST_KEYWORDS), "_gram").where(F.contains(F.col(text_col), F.col("_low")))
+    met = met.groupBy(*mine).agg(F.collect_list(F.struct("keyword", "weight")).alias("_met"))
+    # what few short texts hold is broadcast, and they stay in place
+    joined = keyed.join(F.broadcast(met), mine, "left") if _few(df, text_col) else dealt.join(met.hint("merge"), mine, "left")
+    joined = joined.drop(*mine)
     empty = F.array().cast("array<struct<keyword:string,weight:double>>")
-    found = F.transform(F.filter("_met", lambda m: F.contains(F.col(text_col), m["_low"])),
-                        lambda m: F.struct(m["keyword"].alias("keyword"), m["weight"].alias("weight")))
     base = [F.struct(F.lit(r["keyword"]).alias("keyword"), F.lit(float(r["weight"])).alias("weight")) for r in always.collect()]
-    found = F.coalesce(found, empty)
+    found = F.coalesce("_met", empty)
     return joined.withColumn(out, F.concat(found, F.array(*base)) if base else found).drop("_met")
 
 

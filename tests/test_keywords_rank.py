@@ -82,3 +82,15 @@ def test_repeated_keywords_give_one_result_for_any_size(spark):
         assert got == {1: 8.0, 2: 2.0}
         hits = keywords.keyword_hits(df, words.where("keyword <> ''"), ["ord"], inline_limit=limit).collect()
         assert sorted(map(tuple, hits)) == [(1, "agi", 5.0), (1, "here", 1.0)]
+
+
+def test_what_many_texts_hold_is_not_written(spark, monkeypatch):
+    written, write = [], keywords.materialize
+    monkeypatch.setattr(keywords, "materialize", lambda df: (written.append(df.columns), write(df))[1])
+    monkeypatch.setattr(keywords, "FEW_ROWS", 0)
+    df = spark.createDataFrame([(1, "alpha bravo", "x"), (1, "alpha bravo", "x"), (1, "carbon", "alphabet"), (2, "", None), (3, "bra", "vo")],
+                               "ord long, title string, content string")
+    words = spark.createDataFrame([("alpha", 5.0), ("bravo", 7.0), ("alphabet", 1.0), ("o", 2.0)], "keyword string, weight double")
+    got = keywords.layer1_scores(df, words, {}, inline_limit=1).select("ord", "title", "positive").collect()
+    assert sorted(map(tuple, got)) == [(1, "alpha bravo", 14.0), (1, "alpha bravo", 14.0), (1, "carbon", 8.0), (2, "", 0.0), (3, "bra", 2.0)]
+    assert not [c for c in written if "_met" in c]
