@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from digestry.functions import dates as D
 from digestry.functions import text as T
 from digestry.functions import urls as U
-from digestry.session import checked_broadcast
+from digestry.session import PLAIN_TEXTS, checked_broadcast, rewritten
 from digestry.sources import html_select as H
 
 # ---------------------------------------------------------------------------
@@ -89,21 +89,34 @@ def route(registry: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- helpers
 
 
+def _where(c: Column, asks, change) -> Column:
+    """``change`` of the texts that need it; others stay as they are.  The text is computed once."""
+    return F.get(F.transform(F.array(c), lambda x: F.when(asks(x), change(x)).otherwise(x)), F.lit(0))
+
+
+# What a text that needs trimming starts or ends with: white space, or a line end that `$` looks past.
+_ENDS = tuple(" \t\n\x0b\f\r\x85\u2028\u2029")
+
+
 def js_trim(c: Column) -> Column:
     """String.prototype.trim: strip leading and trailing whitespace (not only spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return _where(c, lambda x: F.left(x, F.lit(1)).isin(*_ENDS) | F.right(x, F.lit(1)).isin(*_ENDS), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
 
 
 def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, r"<[^>]*>", "")
+    return _where(c, lambda x: F.contains(x, F.lit("<")), lambda x: F.regexp_replace(x, r"<[^>]*>", ""))
 
 
 def html_unescape(c: Column) -> Column:
     """The five predefined entities, &nbsp; and numeric references."""
-    out = numeric_unescape(c)
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+
+    def unescaped(x: Column) -> Column:
+        out = numeric_unescape(x)
+        for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+            out = F.replace(out, F.lit(ent), F.lit(ch))
+        return out
+
+    return _where(c, lambda x: F.contains(x, F.lit("&")), unescaped)
 
 
 def numeric_unescape(c: Column) -> Column:
@@ -182,8 +195,8 @@ def parse_rss(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
             "published_at": F.coalesce(iso, x["date"]),
         }
 
-    good = p.where(ok)
-    return _items(good, F.col("_rows"), fields), _envelope(p, ok)
+    # a payload that isn't ok has no rows; a filter on ok would parse each payload twice
+    return _items(p, F.col("_rows"), fields), _envelope(p, ok)
 
 
 # --------------------------------------------------------------------------- A4 Atom
@@ -203,8 +216,7 @@ def parse_atom(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
             "published_at": js_trim(F.coalesce(x["published"], F.lit(""))),
         }
 
-    good = p.where(ok)
-    return _items(good, F.col("_doc.entry"), fields), _envelope(p, ok)
+    return _items(p, F.col("_doc.entry"), fields), _envelope(p, ok)
 
 
 # --------------------------------------------------------------------------- A5 news API
@@ -224,8 +236,7 @@ def parse_news_api(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
             "content": T.falsy_or(x["story_text"], F.lit("")), "published_at": x["created_at"],
         }
 
-    good = p.where(ok)
-    return _items(good, F.col("_doc.hits"), fields), _envelope(p, ok, err)
+    return _items(p.where(is_hn), F.col("_doc.hits"), fields), _envelope(p, ok, err)
 
 
 # --------------------------------------------------------------------------- A6 mapped JSON, A7 Reddit
@@ -275,11 +286,11 @@ def parse_json(payloads: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
             "published_at": D.epoch_seconds_to_iso(post["created_utc"]),
         }
 
-    good = p.where(ok)
-    ex = good.where(has_map).select("source", "page", "source_url", "mapping", F.posexplode("_list").alias("item_pos", "_x"))
+    ex = p.where(has_map).select("source", "page", "source_url", "mapping", F.posexplode_outer("_list").alias("item_pos", "_x"))
+    ex = ex.where(F.col("item_pos").isNotNull())
     m = mapped(F.col("_x"))
     mapped_items = ex.select("source", "page", "item_pos", *[m[c].alias(c) for c in ITEM_COLUMNS[3:]])
-    reddit_items = _items(good.where(~has_map), F.col("_reddit.data.children"), reddit)
+    reddit_items = _items(p.where(~has_map), F.col("_reddit.data.children"), reddit)
     return mapped_items.unionByName(reddit_items), _envelope(p, ok, err)
 
 
@@ -347,6 +358,11 @@ TRENDING_PRESET = dict(block_re=r'(?s)<article class="Box-row">(.*?)</article>',
 # --------------------------------------------------------------------------- A10, A11
 
 
+def _routed(p: DataFrame) -> DataFrame:
+    """``p`` written once, a folder per parser: each parser then reads its own payloads only, for items as for envelopes."""
+    return rewritten(p.drop("source_id", "fetched_at"), "parser", options=PLAIN_TEXTS)
+
+
 def fan_out(payloads: DataFrame, registry: DataFrame, as_of: str, strict_routing: bool = False) -> tuple[DataFrame, DataFrame]:
     """A10 + A11: route every payload to its parser, parse, and union.
 
@@ -366,6 +382,7 @@ def fan_out(payloads: DataFrame, registry: DataFrame, as_of: str, strict_routing
         # an id prefix chooses the Atom parser; a payload that is an RSS document by its root is read as one
         is_rss = root_element(F.col("payload")).isin("rss", "RDF")
         p = p.withColumn("parser", F.when((F.col("parser") == "arxiv") & is_rss, F.lit("rss")).otherwise(F.col("parser")))
+    p = _routed(p)
     outs = []
     envs = [p.where(F.col("parser").isNull()).select("source", "page", F.lit("error").alias("status"), F.col("route_error").alias("error"))]
     for parser, fn in (

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from digestry.functions import dates, text
-from digestry.session import checkpoint_dir, materialize, spread
+from digestry.session import checkpoint_dir, materialize, rewritten, spread
 
 # ---------------------------------------------------------------------------
 # Fixed values of the test binding.
@@ -307,9 +307,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = (rss.unionByName(atom).unionByName(reddit).unionByName(mapped).unionByName(hn).unionByName(trending)
            .unionByName(pages).unionByName(evt).unionByName(api))
     # a deployment reads its payload table from storage; the binding writes the
-    # derived one once (reliable checkpoint) so every parser branch reads it back
-    checkpoint_dir(spark)
-    return materialize(out.withColumn("fetched_at", F.to_timestamp(F.lit(AS_OF))))
+    # derived one once, as Parquet, so every reader reads it back
+    return rewritten(out.withColumn("fetched_at", F.to_timestamp(F.lit(AS_OF))))
 
 
 # ---------------------------------------------------------------------------
