@@ -34,8 +34,8 @@ audit AS (
 
 
 def _audit(spark: SparkSession, sf: str) -> DataFrame:
-    pl, reg = TD.payloads(spark, sf), TD.registry(spark, sf)
-    items, env = P.fan_out(pl, reg, TD.AS_OF)
+    reg = TD.registry(spark, sf)
+    items, env = P.fan_out(TD.raw_payloads(spark, sf), reg, TD.AS_OF)
     return audit.feed_audit(reg, items, env)
 
 

@@ -286,8 +286,8 @@ per_parser AS (
 )
 SELECT parser, CAST(n AS BIGINT) AS items, (SELECT max(source_ord) FROM ords) AS n_sources FROM per_parser""")
 def a10(spark: SparkSession, sf: str) -> DataFrame:
-    pl, reg = _prepared(spark, sf)
-    items, _ = P.fan_out(pl, reg, TD.AS_OF)
+    reg = TD.registry(spark, sf)
+    items, _ = P.fan_out(TD.raw_payloads(spark, sf), reg, TD.AS_OF)
     routed = P.route(reg).select(F.col("id").alias("source"), "parser")
     n_sources = reg.select("id").distinct().count()
     return items.join(routed, "source").groupBy("parser").agg(F.count("*").alias("items")).withColumn(
@@ -298,8 +298,7 @@ def a10(spark: SparkSession, sf: str) -> DataFrame:
 WITH api AS (SELECT DISTINCT 'api-' || event_type AS source, CAST(floor(event_id / {PI}) AS BIGINT) AS page FROM events)
 SELECT 'error' AS status, '{P.MSG_UNSUPPORTED_API}' AS error, count(*) AS payloads, CAST(0 AS BIGINT) AS items FROM api""")
 def a11(spark: SparkSession, sf: str) -> DataFrame:
-    pl, reg = _prepared(spark, sf)
-    _, env = P.fan_out(pl, reg, TD.AS_OF)
+    _, env = P.fan_out(TD.raw_payloads(spark, sf), TD.registry(spark, sf), TD.AS_OF)
     return env.where(F.col("status") == "error").groupBy("status", "error").agg(
         F.count("*").alias("payloads"), F.sum("items_found").cast("bigint").alias("items"))
 

@@ -16,7 +16,7 @@ from digestry.plans import sqlgen as Q
 from digestry.plans.catalog import register
 from digestry.plans.catalog_sources import ALL_ITEMS
 from digestry.plans.signal_digest import run_digest
-from digestry.session import checkpoint_dir, materialize
+from digestry.session import checkpoint_dir, materialize, rewritten
 from digestry.sources import payloads as P
 from digestry.sources import testdata as TD
 
@@ -217,8 +217,7 @@ def f1_pruned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _envelopes(spark: SparkSession, sf: str):
-    pl, reg = TD.payloads(spark, sf), TD.registry(spark, sf)
-    items, env = P.fan_out(pl, reg, TD.AS_OF)
+    items, env = P.fan_out(TD.raw_payloads(spark, sf), TD.registry(spark, sf), TD.AS_OF)
     per_source = env.groupBy("source").agg(
         F.when(F.max(F.when(F.col("status") == "error", 1).otherwise(0)) == 1, F.lit("error")).otherwise(F.lit("ok")).alias("status"),
         F.min("error").alias("error"))
@@ -247,7 +246,7 @@ def k3(spark: SparkSession, sf: str) -> DataFrame:
     items, env = _envelopes(spark, sf)
     rec = store.health_records(items, env)
     path = _scratch(spark, "health")
-    rec = materialize(rec)
+    rec = rewritten(rec)
     store.append_health(rec, path, "2024-01-30 08:00:00", "first")
     for _ in range(2):
         store.append_health(rec, path, "2024-01-31 08:00:00", "second")

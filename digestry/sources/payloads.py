@@ -224,8 +224,8 @@ def parse_atom(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_news_api(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A5: ``hits[]`` of the 'hn' source; other api sources are an error."""
-    p = payloads.withColumn("_doc", F.from_json("payload", NEWS_API_SCHEMA))
     is_hn = F.col("source") == "hn"
+    p = payloads.withColumn("_doc", F.when(is_hn, F.from_json("payload", NEWS_API_SCHEMA)))
     ok = is_hn & F.col("_doc.hits").isNotNull()
     err = F.when(~is_hn, F.lit(MSG_UNSUPPORTED_API)).otherwise(F.lit(MSG_PARSE_FAILED))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from digestry.functions import dates, text
-from digestry.session import checkpoint_dir, materialize, rewritten, spread
+from digestry.session import rewritten, spread
 
 # ---------------------------------------------------------------------------
 # Fixed values of the test binding.
@@ -67,8 +67,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles_from_documents(spread(table(spark, sf_dir, "documents")))
 
 
-def articles_from_documents(d: DataFrame) -> DataFrame:
-    """The article projection of a documents DataFrame (batch or streaming)."""
+def articles_from_documents(d: DataFrame, *keep: str) -> DataFrame:
+    """The article projection of a documents DataFrame (batch or streaming), and its columns ``keep``."""
     title = doc_title(F.col("text"))
     url = F.concat(
         F.lit("https://"), F.col("source"), F.lit(".example/"),
@@ -85,6 +85,7 @@ def articles_from_documents(d: DataFrame) -> DataFrame:
         ts.alias("published_ts"),
         F.col("doc_id").cast("bigint").alias("ord"),
         F.col("lang"),
+        *keep,
     )
 
 
@@ -229,53 +230,78 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("hn", "News API", "api", "https://hn.example/api/search", 1, ["news"], None, None),
          ("github_trending", "Trending", "scrape", "https://github.com/trending", 1, ["code"], None, None)],
         "id string, name string, type string, url string, tier int, tags array<string>, selector string, mapping map<string,string>")
-    # a small dimension table read by several branches: materialise it once
-    checkpoint_dir(spark)
-    return materialize(feeds.unionByName(pages).unionByName(events_json).unionByName(events_api).unionByName(fixed))
+    # a small dimension table read by several branches: written once, in as few files as it needs
+    return rewritten(feeds.unionByName(pages).unionByName(events_json).unionByName(events_api).unionByName(fixed))
 
 
 def xml_escape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def _pages_of(items: DataFrame, key_cols: list[str], pos_col: str, body: Column, head: Column, tail: Column,
-              sep: str = "") -> DataFrame:
-    """Group items into payload pages of at most PAGE_ITEMS consecutive rows."""
+def _pages_of(items: DataFrame, key_cols: list[str], pos_col: str, body: Column, payload) -> DataFrame:
+    """Group items into payload pages of at most PAGE_ITEMS consecutive rows; ``payload`` makes one of the bodies in order.
+
+    ``items`` are dealt out by ``key_cols`` before, as they are read: bodies are then made and grouped in the tasks of that
+    shuffle, not in those of the scan, which has one per row group, whatever its size."""
     grouped = items.groupBy(*key_cols).agg(
         F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("_k"), body.alias("_b")))).alias("_items"))
-    return grouped.select(*key_cols, F.concat(head, F.array_join(F.transform("_items", lambda x: x["_b"]), sep), tail).alias("payload"))
+    return grouped.select(*key_cols, payload(F.transform("_items", lambda x: x["_b"])).alias("payload"))
+
+
+def _framed(head: str, tail: str, sep: str = ""):
+    """Bodies joined by ``sep`` between ``head`` and ``tail``."""
+    return lambda bodies: F.concat(F.lit(head), F.array_join(bodies, sep), F.lit(tail))
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw payload table (source_id, page, fetched_at, payload)."""
-    a = articles(spark, sf_dir)
-    a = a.withColumn("source_id", _feed_id(F.col("lang"), F.col("source"))).withColumn(
-        "page", F.floor(F.col("ord") / F.lit(PAGE_ITEMS)).cast("bigint"))
+    """The raw payload table (source_id, page, fetched_at, payload).
+
+    A deployment reads its payload table from storage; the binding writes the derived one once, as Parquet, so every
+    reader reads it back."""
+    return rewritten(raw_payloads(spark, sf_dir))
+
+
+def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``payloads`` as they are made, for a reader that reads them once.
+
+    Documents are read, projected and grouped in one pass, whatever the format of their language's feed."""
+    d = table(spark, sf_dir, "documents")
+    lang = F.col("lang")
+    fmt = F.when(lang == "fr", F.lit("atom")).when(lang == "de", F.lit("reddit")).when(lang == "es", F.lit("mapped")).otherwise(F.lit("rss"))
+    d = d.withColumn("source_id", _feed_id(lang, F.col("source"))).withColumn(
+        "page", F.floor(F.col("doc_id").cast("bigint") / F.lit(PAGE_ITEMS)).cast("bigint")).withColumn("format", fmt)
     keys = ["source_id", "page"]
-    en = a.where(~F.coalesce(F.col("lang").isin("fr", "de", "es"), F.lit(False)))
+    a = articles_from_documents(d.repartition(*keys, "format"), *keys, "format")
     rss_item = F.concat(
         F.lit("<item><guid>"), xml_escape(F.col("url")), F.lit("</guid><title>"), xml_escape(F.col("title")),
         F.lit("</title><link>"), xml_escape(F.col("url")), F.lit("</link><description>"), xml_escape(F.col("content")),
         F.lit("</description><pubDate>"), F.date_format(F.col("published_ts"), RFC822_OUT), F.lit(" GMT</pubDate></item>"))
-    rss = _pages_of(en, keys, "ord", rss_item, F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>feed</title>'),
-                    F.lit("</channel></rss>"))
-    fr = a.where(F.col("lang") == "fr")
     entry = F.concat(
         F.lit("<entry><id>"), xml_escape(F.col("url")), F.lit("</id><title>"), xml_escape(F.col("title")),
         F.lit("</title><summary>"), xml_escape(F.col("content")), F.lit("</summary><published>"), F.col("published_at"),
         F.lit("</published></entry>"))
-    atom = _pages_of(fr, keys, "ord", entry, F.lit(f'<?xml version="1.0"?><feed xmlns="{ATOM_NS}"><title>feed</title>'), F.lit("</feed>"))
-    de = a.where(F.col("lang") == "de")
     child = F.to_json(F.struct(F.struct(
         F.concat(F.lit("t3_"), F.col("id")).alias("name"), F.col("title"),
         F.concat(F.lit("/r/"), F.col("source"), F.lit("/comments/"), F.col("id")).alias("url"),
         F.col("content").alias("selftext"),
         (F.unix_micros(F.col("published_ts")) / F.lit(1_000_000)).cast("double").alias("created_utc")).alias("data")))
-    reddit = _pages_of(de, keys, "ord", child, F.lit('{"kind":"Listing","data":{"children":['), F.lit("]}}"), ",")
-    es = a.where(F.col("lang") == "es")
     res = F.to_json(F.struct(F.col("title").alias("heading"), F.col("url").alias("link"), F.col("content").alias("desc"),
                              F.col("published_at").alias("date")))
-    mapped = _pages_of(es, keys, "ord", res, F.lit('{"results":['), F.lit("]}"), ",")
+    formats = {
+        "rss": (rss_item, _framed('<?xml version="1.0"?><rss version="2.0"><channel><title>feed</title>', "</channel></rss>")),
+        "atom": (entry, _framed(f'<?xml version="1.0"?><feed xmlns="{ATOM_NS}"><title>feed</title>', "</feed>")),
+        "reddit": (child, _framed('{"kind":"Listing","data":{"children":[', "]}}", ",")),
+        "mapped": (res, _framed('{"results":[', "]}", ",")),
+    }
+
+    def by_format(of) -> Column:
+        out = F
+        for name, spec in formats.items():
+            out = out.when(F.col("format") == name, of(*spec))
+        return out
+
+    feeds = _pages_of(a, [*keys, "format"], "ord", by_format(lambda body, _: body),
+                      lambda bodies: by_format(lambda _, framed: framed(bodies))).drop("format")
     bench = table(spark, sf_dir, "benchmark").select(
         F.lit("hn").alias("source_id"), F.floor(F.col("item_id") / F.lit(PAGE_ITEMS)).cast("bigint").alias("page"),
         F.col("item_id"),
@@ -283,32 +309,29 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("item_id").cast("string").alias("objectID"), doc_title(F.col("text")).alias("title"),
             F.lit(None).cast("string").alias("url"), F.col("text").alias("story_text"),
             dates.to_iso(published_ts(F.col("item_id"))).alias("created_at"))).alias("hit"))
-    hn = _pages_of(bench, keys, "item_id", F.col("hit"), F.lit('{"hits":['), F.lit("]}"), ",")
+    hn = _pages_of(bench, keys, "item_id", F.col("hit"), _framed('{"hits":[', "]}", ","))
     turns = table(spark, sf_dir, "conversations")
     # as many page numbers per conversation as its longest one needs: none collide
     room = turns.agg(F.coalesce(F.floor(F.max("turn") / F.lit(PAGE_ITEMS)) + 1, F.lit(1))).first()[0]
-    conv = turns.select(
-        F.lit("github_trending").alias("source_id"),
-        (F.col("conv_id") * F.lit(room) + F.floor(F.col("turn") / F.lit(PAGE_ITEMS))).cast("bigint").alias("page"),
-        "turn",
+    conv = turns.withColumn("page", (F.col("conv_id") * F.lit(room) + F.floor(F.col("turn") / F.lit(PAGE_ITEMS))).cast("bigint"))
+    conv = conv.repartition("page").select(
+        F.lit("github_trending").alias("source_id"), "page", "turn",
         F.concat(F.lit('<article class="Box-row"><h2 class="h3 lh-condensed"><a href="/'), F.col("role"), F.lit("/c"),
                  F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit('">\n  '), F.col("role"),
                  F.lit(" /\n  c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"),
                  F.lit('\n</a></h2><p class="col-9">'), xml_escape(F.col("text")), F.lit("</p></article>")).alias("block"))
-    trending = _pages_of(conv, keys, "turn", F.col("block"), F.lit("<html><body>"), F.lit("</body></html>"))
-    pages = table(spark, sf_dir, "pages").select(
+    trending = _pages_of(conv, keys, "turn", F.col("block"), _framed("<html><body>", "</body></html>"))
+    pages = spread(table(spark, sf_dir, "pages")).select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("source_id"), F.lit(0).cast("bigint").alias("page"),
         F.col("html").alias("payload"))
     ev = table(spark, sf_dir, "events").select(
         "event_type", "event_id", F.floor(F.col("event_id") / F.lit(PAGE_ITEMS)).cast("bigint").alias("page"), "props")
-    ev_pages = _pages_of(ev, ["event_type", "page"], "event_id", F.col("props"), F.lit("["), F.lit("]"), ",")
-    evt = ev_pages.select(F.concat(F.lit("evt-"), F.col("event_type")).alias("source_id"), "page", "payload")
-    api = ev_pages.select(F.concat(F.lit("api-"), F.col("event_type")).alias("source_id"), "page", "payload")
-    out = (rss.unionByName(atom).unionByName(reddit).unionByName(mapped).unionByName(hn).unionByName(trending)
-           .unionByName(pages).unionByName(evt).unionByName(api))
-    # a deployment reads its payload table from storage; the binding writes the
-    # derived one once, as Parquet, so every reader reads it back
-    return rewritten(out.withColumn("fetched_at", F.to_timestamp(F.lit(AS_OF))))
+    ev_pages = _pages_of(ev.repartition("event_type", "page"), ["event_type", "page"], "event_id", F.col("props"), _framed("[", "]", ","))
+    # each page of events comes twice, as a JSON feed's payload and as an API's
+    both = F.explode(F.array(F.lit("evt-"), F.lit("api-"))).alias("_prefix")
+    ev_pages = ev_pages.select("event_type", "page", "payload", both).select(F.concat("_prefix", "event_type").alias("source_id"), "page", "payload")
+    out = feeds.unionByName(hn).unionByName(trending).unionByName(pages).unionByName(ev_pages)
+    return out.withColumn("fetched_at", F.to_timestamp(F.lit(AS_OF)))
 
 
 # ---------------------------------------------------------------------------
