@@ -23,7 +23,7 @@ MSG_FEED_BAD_TYPE = "Feed '{name}' has an invalid or missing 'type' (must be rss
 MSG_CHANNEL_NO_URL = "Delivery channel [{idx}] ({type}) is missing a webhookUrl."
 MSG_CHANNEL_BAD_URL = "Delivery channel [{idx}] ({type}) has a malformed webhook URL: {url}"
 MSG_BAD_TIME = "Please enter valid HH:mm time"
-MAX_REPORT_DETAILS = 10_000  # of a report that is one document
+REPORT_CHUNK = 10_000  # details that are joined into one text at a time
 TIME_RE = r"^([0-1]?[0-9]|2[0-3]):[0-5][0-9]$"
 # ---------------------------------------------------------------------------
 
@@ -143,11 +143,22 @@ def report_rows(audit: DataFrame) -> DataFrame:
     return _report_rows(_placed(audit))
 
 
-def audit_report(audit: DataFrame, max_details: int = MAX_REPORT_DETAILS) -> DataFrame:
-    """K6: ``{summary, details[]}`` as one JSON document, if a count shows at most
-    ``max_details`` sources; the lines of ``report_rows`` in order otherwise."""
+def audit_report(audit: DataFrame, max_details: int | None = None) -> DataFrame:
+    """K6: ``{summary, details[]}`` as one JSON document, for a registry of any size.
+
+    Details are written as JSON by the tasks that number them and joined ``REPORT_CHUNK`` at a time, so the last task
+    holds the document's text and nothing else.  Only a caller that gives ``max_details`` gets the lines of
+    ``report_rows``, in order, for a registry above it."""
     placed = materialize(_placed(audit))
-    if placed.count() > max_details:
+    if max_details is not None and placed.count() > max_details:
         return _report_rows(placed).orderBy("pos").select("json")
-    doc = placed.agg(_summary(), F.array_sort(F.collect_list(_detail())).alias("details"))
-    return doc.select(F.to_json(F.struct("summary", "details")).alias("json"))
+
+    def joined(items: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", items))), lambda x: x[items]), ",").alias("_text")
+
+    details = placed.select(F.col("pos").alias("_at"), F.to_json(_detail()).alias("_json"))
+    chunks = details.groupBy(F.floor(F.col("_at") / F.lit(REPORT_CHUNK)).alias("_chunk")).agg(joined("_json"))
+    details = chunks.select(F.col("_chunk").alias("_at"), "_text").agg(joined("_text"))
+    summary = placed.agg(_summary()).select(F.to_json("summary").alias("_summary"))
+    return details.crossJoin(F.broadcast(summary)).select(
+        F.concat(F.lit('{"summary":'), "_summary", F.lit(',"details":['), "_text", F.lit("]}")).alias("json"))
