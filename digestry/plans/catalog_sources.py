@@ -220,14 +220,15 @@ LISTINGS = {
 
 def _nested_listing(articles: DataFrame) -> DataFrame:
     """One page per 20 articles: posts in posts, blocks of one tag name in each other, a post outside the list."""
-    t, c, i = TD.xml_escape(F.col("title")), TD.xml_escape(F.col("content")), F.col("ord").cast("string")
+    t, c = (TD.xml_escape(F.coalesce(x, F.lit(""))) for x in ("title", "content"))
+    i = F.col("ord").cast("string")
     post = F.concat(
         F.lit('<div class="wide post" id="d'), i, F.lit('"><div class="head"><!-- <h2>no</h2> --><h2><b></b><a href="/x/'), i, F.lit('" rel=bookmark>'), t,
         F.lit('</a></h2><a href=first>1</a><a href="../y?n='), i, F.lit('">2</a></div><div class="body"><div class="para">one '),
         F.lit('<div>in</div></div><p>o<div class="para">'), c,
         F.lit('</div></div><p class="note">n<div class="post quote"><h2>q'), i, F.lit('</h2><a href="https://q.example/'), i, F.lit('">q</a><div class=body><div>Q</div></div></div></div>'))
     body = TD._pages_of(articles.withColumn("_page", F.floor(F.col("ord") / PI)), ["_page"], "ord", post,
-                        F.lit('<html><body><div class="post"><h2>outside</h2></div><div class="list"><script>"<div class=post>"</script>'), F.lit("</div></body></html>"))
+                        TD._framed('<html><body><div class="post"><h2>outside</h2></div><div class="list"><script>"<div class=post>"</script>', "</div></body></html>"))
     of = [F.struct(F.lit(name).alias("source"), F.lit(selector).alias("selector"), F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]).alias("mapping"))
           for name, (selector, mapping) in LISTINGS.items()]
     return body.select(F.explode(F.array(*of)).alias("s"), F.col("_page").cast("bigint").alias("page"), "payload").select(
