@@ -6,7 +6,9 @@ A dictionary is a small dimension table ``(keyword string, weight double)``.
   checked first) and folded into one JVM expression, a sum of ``contains``
   tests that runs inside whole-stage code generation; the article rows are
   not shuffled.
-* A larger one, of any size, stays a table.  Every keyword is represented by
+* A larger one is numbered and sent to Python tasks, which find its keywords by the texts' runs
+  (``finder``): the rows stay where they are.
+* One above ``MAX_BROADCAST_KEYWORDS``, of any size, stays a table.  Every keyword is represented by
   the one of its ``GRAM``-character substrings that the fewest keywords have (a
   shorter keyword by itself); texts meet keywords by an equi-join on that
   gram, and each meeting is verified with ``contains`` where it is made.  The result is the same.
@@ -21,12 +23,13 @@ from pyspark.sql import functions as F
 
 from digestry.functions import scores as S
 from digestry.functions import text as T
-from digestry.session import checked_broadcast, materialize
+from digestry.operators.finder import Listed
+from digestry.session import MAX_BROADCAST_BYTES, checked_broadcast, materialize
 
 # Characters of the substring a keyword of a large dictionary is found by.  Five are far more selective
 # than three, and a text has about as many distinct ones.
 GRAM = 5
-# Keywords of a large dictionary, each with its gram, are broadcast up to this many.
+# Keywords of a large dictionary are sent to all tasks up to this many (and ``MAX_BROADCAST_BYTES``).
 MAX_BROADCAST_KEYWORDS = 1_000_000
 
 
@@ -66,6 +69,11 @@ def inline_score(text_lower: str, items: list[tuple[str, float]]) -> Column:
     return F.expr(balanced_sum([T.sql_double(0)] + terms))
 
 
+def known(dictionary):
+    """A dictionary table written once, for what reads it more than once; a mapping as it is."""
+    return dictionary if isinstance(dictionary, Mapping) else materialize(_entries(dictionary))
+
+
 def balanced_sum(terms: list[str]) -> str:
     """``t1 + t2 + ...`` as a balanced tree, so a long dictionary does not build
     an expression nested as deep as it is long."""
@@ -93,15 +101,14 @@ def layer1_scores(
     """
     txt = T.scoring_text(title, content)
     out = df.withColumn("_score_text", txt)
-    for dictionary, name in ((positive, "positive"), (negative, "negative")):
+    for dictionary, name in ((known(positive), "positive"), (known(negative), "negative")):
         items = _as_items(dictionary, inline_limit)
         if items is not None:
             out = out.withColumn(name, inline_score("_score_text", items))
         else:
             # rows without such a column meet their keywords by their text: equal texts have equal keywords
             keyed = out if key in out.columns else out.withColumn("_hash", F.xxhash64("_score_text"))
-            keyed = with_found(keyed, as_table(df, dictionary), "_score_text", key if key in out.columns else "_hash", "_found")
-            out = keyed.withColumn(name, found_score("_found")).drop("_found", "_hash")
+            out = with_score(keyed, as_table(df, dictionary), "_score_text", key if key in out.columns else "_hash", name).drop("_hash")
     out = out.withColumn("layer1", S.layer1("positive", "negative"))
     return out if keep_text else out.drop("_score_text")
 
@@ -142,9 +149,37 @@ def _shares(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
+def _listed(dictionary: DataFrame) -> tuple[DataFrame | None, Listed | None]:
+    """A dictionary table numbered from 0, ``_id``, as a table and for Python tasks; neither if a count of its rows and bytes is too large."""
+    size = F.coalesce(F.octet_length("keyword"), F.lit(0)) + 8
+    rows, used = dictionary.select(size.alias("_n")).limit(MAX_BROADCAST_KEYWORDS + 1).agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if rows > MAX_BROADCAST_KEYWORDS or used > MAX_BROADCAST_BYTES:
+        return None, None
+    # of one partition, ids are places; no texts are in it
+    numbered = dictionary.select("keyword", F.col("weight").cast("double").alias("weight"), F.lower("keyword").alias("_low"))
+    numbered = materialize(numbered.repartition(1).withColumn("_id", F.monotonically_increasing_id().cast("int")))
+    return numbered, Listed(numbered.toArrow().sort_by("_id").drop_columns("_id"))
+
+
+def with_score(df: DataFrame, dictionary: DataFrame, text_col: str, key: str, out: str) -> DataFrame:
+    """M2 for any dictionary size: adds ``out``, the summed weights of the keywords contained in ``text_col``."""
+    _, listed = _listed(dictionary)
+    if listed is None:
+        return _with_met(df, dictionary, text_col, key, "_found").withColumn(out, found_score("_found")).drop("_found")
+    return df.withColumn(out, F.arrow_udf(listed.scores, "double")(F.col(text_col)))
+
+
 def with_found(df: DataFrame, dictionary: DataFrame, text_col: str, key: str, out: str) -> DataFrame:
     """M2 for any dictionary size: adds ``out``, the (keyword, weight) structs
-    contained in ``text_col``.
+    contained in ``text_col``; ``key`` names a column unique per row."""
+    _, listed = _listed(dictionary)
+    if listed is None:
+        return _with_met(df, dictionary, text_col, key, out)
+    return df.withColumn(out, F.arrow_udf(listed.found, "array<struct<keyword:string,weight:double>>")(F.col(text_col)))
+
+
+def _with_met(df: DataFrame, dictionary: DataFrame, text_col: str, key: str, out: str) -> DataFrame:
+    """``with_found`` by gram joins, for a dictionary that doesn't fit a task.
 
     The rows are shuffled once, by ``key`` and text.  Grams that represent no
     keyword are dropped where the text is cut into them, and a meeting is
@@ -193,15 +228,20 @@ def keyword_hits(df: DataFrame, dictionary, id_cols: list[str], title: str = "ti
     """(row, keyword, weight) for every keyword contained in title or content.
 
     Up to ``inline_limit`` keywords the reference's substring "join" is one
-    inline match array per row, exploded; above, the gram equi-join of
-    ``with_found``.  A keyword found only across the end of the title is not a
+    inline match array per row, exploded; above, rows are given the numbers of their keywords, or
+    those of the gram join of ``_with_met``.  A keyword found only across the end of the title is not a
     hit, so title and content are joined by a character no keyword has.
     """
+    dictionary = known(dictionary)
     items = _as_items(dictionary, inline_limit)
     if items is None:
         both = df.withColumn("_both", F.lower(F.concat_ws("\x00", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit("")))))
-        found = with_found(both, as_table(df, dictionary), "_both", key, "_found")
-        return found.select(*id_cols, F.explode("_found").alias("_m")).select(*id_cols, "_m.keyword", "_m.weight")
+        table, listed = _listed(as_table(df, dictionary))
+        if listed is None:
+            found = _with_met(both, as_table(df, dictionary), "_both", key, "_found")
+            return found.select(*id_cols, F.explode("_found").alias("_m")).select(*id_cols, "_m.keyword", "_m.weight")
+        found = both.select(*id_cols, F.explode(F.arrow_udf(listed.numbers, "array<int>")("_both")).alias("_id"))
+        return found.join(F.broadcast(table.select("_id", "keyword", "weight")), "_id").select(*id_cols, "keyword", "weight")
     weights = F.create_map(*[x for k, w in items for x in (F.lit(k), F.lit(float(w)))]) if items else None
     hits = df.select(*id_cols, F.explode(T.keyword_matches([k for k, _ in items], title, content)).alias("keyword"))
     if weights is None:

@@ -269,7 +269,7 @@ t AS (SELECT id, {Q.scoring_text()} AS txt FROM articles)
 SELECT t.id, coalesce(sum(d.weight), CAST(0 AS DOUBLE)) AS positive
 FROM t LEFT JOIN d ON contains(t.txt, d.keyword) GROUP BY t.id""")
 def m2_large(spark: SparkSession, sf: str) -> DataFrame:
-    """M2 above the inline limit: an equi-join on each keyword's rarest gram."""
+    """M2 above the inline limit: keywords found by the runs of the texts."""
     d = _large_dictionary(spark, sf)
     out = keywords.layer1_scores(TD.articles(spark, sf), d, {}, inline_limit=512)
     return out.select("id", "positive")

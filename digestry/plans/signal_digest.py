@@ -93,6 +93,22 @@ def _of_groups(rows: DataFrame, wanted: DataFrame, group_cols: list[str]) -> Dat
     return rows.join(wanted, same, "left_semi")
 
 
+def _matched(rows: DataFrame, articles: DataFrame, positive: DataFrame) -> DataFrame:
+    """``rows``, few per group, with ``matches``: the keywords in the title or the content of the article each came from (S16),
+    which is known by its position and its texts."""
+    mine = ["src_ord", "_text_hash"]
+    rows = materialize(rows)
+    asked = rows.select(*[F.col(c).alias(f"{c}_") for c in mine]).distinct()
+    texts = articles.select(F.col("ord").alias("src_ord"), F.xxhash64("title", "content").alias("_text_hash"), "title", "content")
+    same = F.col("src_ord").eqNullSafe(F.col("src_ord_")) & (F.col("_text_hash") == F.col("_text_hash_"))
+    texts = texts.join(checked_broadcast(asked, store.MAX_BROADCAST_NEW_ROWS), same, "left_semi").dropDuplicates(mine)
+    # a keyword found only across the end of the title is no match
+    both = F.lower(F.concat_ws("\x00", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
+    found = keywords.with_found(texts.select(*mine, both.alias("_both")), positive, "_both", "src_ord", "_found")
+    found = found.select(*[F.col(c).alias(f"{c}_") for c in mine], F.transform("_found", lambda m: m["keyword"]).alias("matches"))
+    return rows.join(found, same, "left").drop("_text_hash", *[f"{c}_" for c in mine])
+
+
 def _uniq(cols: list[str]) -> list[str]:
     """Column names without repeats (a group column may also be an article column)."""
     return list(dict.fromkeys(cols))
@@ -165,6 +181,7 @@ def run_digest(
     new = store.incremental_filter(articles, hwm)
 
     # scan-side work: layer-1 score, coverage matches, content flag; then drop the text
+    positive, negative = keywords.known(positive), keywords.known(negative)
     pos_items = keywords._as_items(positive, params.inline_keyword_limit)
     neg_items = keywords._as_items(negative, params.inline_keyword_limit)
     kw_list = [k for k, _ in pos_items] if pos_items is not None else []
@@ -174,17 +191,13 @@ def run_digest(
     if pos_items is not None:
         scored = scored.select("*", keywords.inline_score("_score_text", pos_items).alias("positive"),
                                match_indices(kw_list, scoring_text="_score_text").alias("match_idx"))
-    else:  # a dictionary of any size, by gram joins; it is matched on title or content (S16)
-        scored = keywords.with_found(scored, keywords.as_table(new, positive), "_score_text", "ord", "_found")
-        inside = lambda c, m: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lower(m["keyword"]))
-        hits = F.filter("_found", lambda m: inside("title", m) | inside("content", m))
-        scored = scored.withColumn("positive", keywords.found_score("_found")).withColumn(
-            "match_idx", F.transform(hits, lambda m: m["keyword"]))
+    else:  # a dictionary of any size; what the few rows left after the prune match is asked for below
+        scored = keywords.with_score(scored, keywords.as_table(new, positive), "_score_text", "ord", "positive")
+        scored = scored.withColumn("match_idx", F.xxhash64("title", "content"))
     if neg_items is not None:
         scored = scored.withColumn("negative", keywords.inline_score("_score_text", neg_items))
     else:
-        scored = keywords.with_found(scored, keywords.as_table(new, negative), "_score_text", "ord", "_found2").withColumn(
-            "negative", keywords.found_score("_found2"))
+        scored = keywords.with_score(scored, keywords.as_table(new, negative), "_score_text", "ord", "negative")
     scored = scored.withColumn("layer1", S.layer1("positive", "negative"))
     scored = scored.withColumn("src_ord", F.col("ord"))  # a survivor's own row; ord becomes its cluster's first position
     narrow = scored.select(
@@ -207,7 +220,8 @@ def run_digest(
         kw_arr = F.array(*[F.lit(k) for k in kw_list]) if kw_list else F.array().cast("array<string>")
         with_matches = fuzzy.withColumn("matches", F.transform("match_idx", lambda i: F.element_at(kw_arr, i + 1)))
     else:
-        with_matches = fuzzy.withColumn("matches", F.col("match_idx"))
+        fuzzy = fuzzy.withColumnRenamed("match_idx", "_text_hash")
+        with_matches = _matched(fuzzy, new, keywords.as_table(new, positive))
     cands = rank.coverage_filter(with_matches, "matches", "rank", g, params.candidate_limit, "cov_rank")
     # at most candidate_limit rows per group: materialise once (reliable checkpoint), so the
     # size checks of the broadcast lookups below read this small set, not the whole lineage
